@@ -121,8 +121,12 @@ def _share_order(season_weight: float) -> list[Column]:
     return [share_first, F.col("item_id")]
 
 
-def item_signatures(features: DataFrame, k: int, season_weight: float = 1.0) -> DataFrame:
-    """(season, signature) with colour, family, accords, share range and its k best items in order."""
+def item_signatures(features: DataFrame, k: int, season_weight: float | None = 1.0) -> DataFrame:
+    """(season, signature) with colour, family, accords, share range and its k best items in order.
+
+    Without a season weight the list holds every item that some non-negative weight could need: the k best
+    shares and, for weight 0, the k lowest ids.
+    """
     names = ["family", *ACCORDS]
     signature = F.concat_ws(SEP, *[F.coalesce(F.col(c), F.lit(NO_VALUE)) for c in names])
     rows = by_season(features).withColumn("signature", signature)
@@ -130,12 +134,20 @@ def item_signatures(features: DataFrame, k: int, season_weight: float = 1.0) ->
     ranges = rows.groupBy(*key, *names, "f0", "f1", "f2").agg(
         F.min("share").alias("low_share"), F.max("share").alias("high_share")
     )
-    best = top_k(rows.select(*key, "share", "item_id"), key, _share_order(season_weight), k, rank="pos")
+    slim = rows.select(*key, "share", "item_id")
+    if season_weight is None:
+        both = [top_k(slim, key, _share_order(w), k) for w in (1.0, 0.0)]
+        best = both[0].unionByName(both[1]).distinct().withColumn("pos", F.lit(0))
+    else:
+        best = top_k(slim, key, _share_order(season_weight), k, rank="pos")
     lists = best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "item_id", "share"))).alias("best"))
     return ranges.join(lists, key)
 
 
-def raw_pairs(profiles: DataFrame, signatures: DataFrame, style_scores: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+def raw_pairs(
+    profiles: DataFrame, signatures: DataFrame, style_scores: DataFrame, gate: DataFrame | None = None,
+    null_scores_zero: bool = False,
+) -> DataFrame:
     """Profile x signature rows of the same season with raw style and colour score.
 
     Disliked signatures are left out, and with a gate so are the families the style does not allow.
@@ -146,7 +158,9 @@ def raw_pairs(profiles: DataFrame, signatures: DataFrame, style_scores: DataFram
         met = met.join(gate, ["style", "family"])
     met = met.join(style_scores.withColumnRenamed("score", "style_raw"), ["style", "family"], "left")
     colour = similarity([F.col(f"c{i}") for i in range(3)], [F.col(f"f{i}") for i in range(3)])
-    return met.withColumn("style_raw", F.coalesce("style_raw", F.lit(0.0))).withColumn("color_raw", colour)
+    if null_scores_zero:
+        colour = F.coalesce(colour, F.lit(0.0))
+    return met.withColumns({"style_raw": F.coalesce("style_raw", F.lit(0.0)), "color_raw": colour})
 
 
 GROUP = ["season", "_slot", "profile"]
@@ -233,11 +247,12 @@ def season_scaled(share_value: Column, epsilon: float = EPSILON) -> Column:
 
 def scaled_profile_top(
     profiles: DataFrame, features: DataFrame, style_scores: DataFrame, weights: Sequence[float], k: int,
-    epsilon: float = EPSILON,
+    epsilon: float = EPSILON, null_scores_zero: bool = False,
 ) -> DataFrame:
     """Top k per profile by the weighted sum of the scaled scores."""
     signatures = item_signatures(features, k, weights[2])
-    pairs = scaled_pairs(raw_pairs(profiles, signatures, style_scores), epsilon)
+    raw = raw_pairs(profiles, signatures, style_scores, null_scores_zero=null_scores_zero)
+    pairs = scaled_pairs(raw, epsilon)
     style, colour = F.col("style_score"), F.col("color_score")
     first = F.get(F.col("best"), F.lit(0))
 
@@ -251,10 +266,15 @@ def scaled_profile_top(
 def scaled_top(
     users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame,
     weights: Sequence[float] = (1.0, 1.0, 1.0), k: int = 3, use_dislikes: bool = True, epsilon: float = EPSILON,
+    null_scores_zero: bool = False,
 ) -> DataFrame:
-    """Top k per user by scaled scores; the equal weights give the plain sum."""
+    """Top k per user by scaled scores; equal weights give the plain sum.
+
+    ``null_scores_zero`` counts a missing colour score as 0 before scaling (the batch rule).
+    """
     profiled = user_profiles(users, clothes_colours, use_dislikes)
-    best = scaled_profile_top(distinct_profiles(profiled), features, style_scores, weights, k, epsilon)
+    profiles = distinct_profiles(profiled)
+    best = scaled_profile_top(profiles, features, style_scores, weights, k, epsilon, null_scores_zero)
     return _to_users(profiled, best, SCORE_COLUMNS)
 
 
