@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from stylematch.vocab import EPSILON
 
 
+# plain decimal notation only: Spark's cast would also take suffixes such as "1d"
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _number(text: Column) -> Column:
+    clean = F.trim(text)
+    return F.when(clean.rlike(_NUMBER), clean.try_cast("double"))
+
+
 def decimal_comma(text: Column) -> Column:
     """``"3,9"`` is 3.9; blank or bad input is 0.0."""
-    return F.coalesce(F.trim(F.replace(text, F.lit(","), F.lit("."))).try_cast("double"), F.lit(0.0))
+    return F.coalesce(_number(F.replace(text, F.lit(","), F.lit("."))), F.lit(0.0))
 
 
 def decimal_comma_int(text: Column) -> Column:
@@ -19,7 +28,7 @@ def decimal_comma_int(text: Column) -> Column:
 
 def thousands_id(text: Column) -> Column:
     """``"1,234"`` is 1234 and ``"100026.0"`` is 100026; bad input is null."""
-    return F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast("double").cast("bigint")
+    return _number(F.replace(text, F.lit(","), F.lit(""))).cast("bigint")
 
 
 def zero_to_null(value: Column) -> Column:

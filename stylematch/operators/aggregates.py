@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import clean_key
@@ -17,16 +17,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def value_shares(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """Most frequent values with their share of all non-null values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(_whole())
-    return counts.withColumn("share", F.col("n") / total).orderBy(F.col("n").desc(), F.col(column)).limit(k)
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    # only used over one row per distinct value, never over raw rows
-    return Window.partitionBy(F.lit(0))
+    present = df.filter(F.col(column).isNotNull())
+    total = present.count()
+    best = value_counts(present, column).orderBy(F.col("n").desc(), F.col(column)).limit(k)
+    return best.withColumn("share", F.col("n") / F.lit(float(total)))
 
 
 def stacked(df: DataFrame, columns: Sequence[str], out: str = "value") -> DataFrame:
@@ -172,7 +166,8 @@ def next_id(df: DataFrame, column: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight = max/n, soft_weight = sqrt(max/n))."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    weight = F.max("n").over(_whole()) / F.col("n")
+    largest = F.max("n").over(Window.partitionBy(F.lit(0)))  # one row per class
+    weight = largest / F.col("n")
     return counts.withColumn("weight", weight).withColumn("soft_weight", F.sqrt("weight"))
 
 

@@ -103,13 +103,14 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, key: str, row_id: str, salts: int = 32, share: float = 0.01, how: str = "inner"
+    big: DataFrame, small: DataFrame, key: str, row_id: str, salts: int = 32, how: str = "inner",
+    hot: list | None = None,
 ) -> DataFrame:
     """Equi-join that spreads the hot keys of ``big`` over ``salts`` partitions.
 
-    Only the hot keys (fewer than ``1/share``) are copied on the small side.
+    Only the hot keys (fewer than ``1/share`` of ``hot_keys``) are copied on the small side.
     """
-    hot = hot_keys(big, key, share)
+    hot = hot_keys(big, key) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
     slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")

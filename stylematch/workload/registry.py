@@ -23,8 +23,12 @@ def query(name: str, covers: str, sql: str | None = None, tables: str = "", extr
         QUERIES[name] = fn
         COVERS[name] = covers.split()
         if sql is not None:
-            head = [c for c in (ctes(tables.split()), extra.strip().rstrip(",")) if c]
-            ORACLES[name] = (f"WITH RECURSIVE {', '.join(head)}\n" if head else "") + sql.strip()
+            head = [c for c in (ctes(tables.split()), extra.strip()) if c]
+            body = sql.strip()
+            if head and body.upper().startswith("WITH "):
+                head.append(body[5:])
+                body = ""
+            ORACLES[name] = (f"WITH {', '.join(head)}\n" if head else "") + body
         return fn
 
     return register
