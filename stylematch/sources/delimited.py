@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stylematch.session import scratch_path
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 # Names Spark's CSV source understands. The two code pages need spark.sql.legacy.javaCharsets.
 CHARSET = {"cp949": "x-windows-949", "cp1252": "windows-1252", "utf-8": "UTF-8", "utf-8-sig": "UTF-8"}
