@@ -1,4 +1,4 @@
 """The registered queries: each operator over tables derived from the given parquet files."""
 
-from stylematch.workload import evaluation, functions, rows, scoring  # noqa: F401
+from stylematch.workload import evaluation, functions, grouped, rows, scoring  # noqa: F401
 from stylematch.workload.registry import COVERS, ORACLES, QUERIES  # noqa: F401

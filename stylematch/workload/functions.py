@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 from stylematch import vocab
 from stylematch.functions import colour, numbers, season, text
 from stylematch.workload.registry import query
-from stylematch.workload.tables import DERIVED, CTE, derived, pick, seasons, table
+from stylematch.workload.tables import add_derived, derived, pick, seasons, table
 
 S = "CAST({} AS STRING)".format
 SIZE, KEY = S("p_size"), S("p_partkey")
 
 
-def _add(name: str, base: str, cols: dict[str, str]) -> None:
-    DERIVED[name] = (base, cols)
-    CTE[name] = (f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {base})", ())
-
-
-_add("colour_texts", "part", {
+add_derived("colour_texts", "part", {
     "id": "p_partkey",
     "text": (
         f"CASE p_partkey % 9 WHEN 0 THEN 'rgb(' || {SIZE} || ', ' || {S('p_size * 3')} || ', 7);' "
@@ -26,7 +21,7 @@ _add("colour_texts", "part", {
         f"WHEN 6 THEN {SIZE} || ', 13' WHEN 7 THEN ' #a0B1c2 ' WHEN 8 THEN '12 34 56 78' END"
     ),
 })
-_add("number_texts", "part", {
+add_derived("number_texts", "part", {
     "id": "p_partkey",
     "text": (
         f"CASE p_partkey % 11 WHEN 0 THEN {SIZE} || ',9' WHEN 1 THEN '1,234' WHEN 2 THEN ' 7 ' WHEN 3 THEN '' "
@@ -35,7 +30,7 @@ _add("number_texts", "part", {
     ),
     "year": "p_size % 4 * 500",
 })
-_add("messy_texts", "part", {
+add_derived("messy_texts", "part", {
     "id": "p_partkey",
     "text": (
         f"CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN '' WHEN 3 THEN ' A/B_' || p_type || ' ' "
@@ -304,7 +299,7 @@ def code_translation(spark, sf):
     )
 
 
-_add("image_names", "part", {
+add_derived("image_names", "part", {
     "id": "p_partkey",
     "file": (
         f"CASE p_partkey % 8 WHEN 0 THEN p_type || '_' || {KEY} || '_top.jpg' WHEN 1 THEN p_type || '_' || {KEY} || '_dress.PNG' "

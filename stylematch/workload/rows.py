@@ -14,22 +14,12 @@ from stylematch.plans import score
 from stylematch.plans.styles import add_pairs
 from stylematch.sources import tables as maintenance
 from stylematch.sources.delimited import column_named, tidy_header
-from stylematch.workload.functions import _add
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import PEOPLE
 from stylematch.workload.tables import (
-    ACCORD_COLOURS, accord_colours, clothes_colours, derived, families, pick, rating_log, seasons, table, weight_history,
+    ACCORD_COLOURS, accord_colours, add_derived, clothes_colours, derived, families, pick, rating_log, seasons, table, weight_history,
 )
 
-MAKERS = [
-    "Jo-Malone-London", "JOMALONELONDON perfumes", None, "Chanel", "Le-Labo", "Zara", "CREED", "No-Brand",
-    "Giorgio-Armani", "Brand X",
-]
-_add("makers", "part", {
-    "id": "p_partkey", "brand": pick("p_size % 10", MAKERS), "url": "'u/' || p_name", "country": "p_type", "year": "p_size",
-    "name": "CASE WHEN p_partkey % 13 <> 0 THEN p_name || CASE WHEN p_size % 6 = 0 THEN ' Limited-Edition' ELSE '' END END",
-})
-
 
 @query(
     "brand_allow_list", "P1 P2", tables="makers",
@@ -229,7 +219,7 @@ def facet_filter(spark, sf):
     return filters.list_filter(derived(spark, sf, "tops"), facets, "스", ["style", "sub_style"]).select("id", "style", "sub_style")
 
 
-_add("forms", "customer", {
+add_derived("forms", "customer", {
     "id": "c_custkey",
     "season": pick("c_custkey % 6", ["봄", "여름", "가을", "겨울", ""]),
     "top": pick("c_custkey % 3", ["shirt", "knit"]), "top_color": pick("c_custkey % 4", ["white", "black", "navy"]),

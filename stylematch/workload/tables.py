@@ -209,6 +209,22 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def add_derived(name: str, base: str, cols: dict[str, str]) -> None:
+    """Register one more derived table."""
+    DERIVED[name] = (base, cols)
+    CTE[name] = (f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {base})", ())
+
+
+MAKERS = [
+    "Jo-Malone-London", "JOMALONELONDON perfumes", None, "Chanel", "Le-Labo", "Zara", "CREED", "No-Brand",
+    "Giorgio-Armani", "Brand X",
+]
+add_derived("makers", "part", {
+    "id": "p_partkey", "brand": pick("p_size % 10", MAKERS), "url": "'u/' || p_name", "country": "p_type", "year": "p_size",
+    "name": "CASE WHEN p_partkey % 13 <> 0 THEN p_name || CASE WHEN p_size % 6 = 0 THEN ' Limited-Edition' ELSE '' END END",
+})
+
+
 def ctes(names: Sequence[str]) -> str:
     """CTE text of the named tables with what they need, in order."""
     done: list[str] = []
