@@ -79,7 +79,7 @@ def _rounds(threshold: int, n: int) -> str:
     return ", ".join(parts)
 
 
-RARE_THRESHOLD = 24
+RARE_THRESHOLD = 25
 
 
 @query(
@@ -95,14 +95,14 @@ def rare_value_fixpoint(spark, sf):
 @query(
     "rare_value_mask", "A6", tables="rare_items",
     extra=_CLEAN + ", q AS (SELECT v FROM (SELECT a1 AS v FROM r0 UNION ALL SELECT a2 FROM r0 UNION ALL SELECT a3 FROM r0) "
-    f"GROUP BY v HAVING count(*) < {RARE_THRESHOLD + 8})",
+    f"GROUP BY v HAVING count(*) < {RARE_THRESHOLD + 5})",
     sql="SELECT id, " + ", ".join(f"CASE WHEN {c} IN (SELECT v FROM q) THEN 'None' ELSE {c} END AS {c}" for c in ("a1", "a2", "a3")) + " FROM r0",
 )
 def rare_value_mask(spark, sf):
     """Rare values replaced by None, rows kept."""
     columns = ["a1", "a2", "a3"]
     rows = aggregates.accord_text(derived(spark, sf, "rare_items").select("id", *columns), columns)
-    return aggregates.mask_rare(rows, columns, RARE_THRESHOLD + 8).select("id", *columns)
+    return aggregates.mask_rare(rows, columns, RARE_THRESHOLD + 5).select("id", *columns)
 
 
 @query(

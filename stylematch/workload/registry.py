@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stylematch.workload.tables import ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
+_SQL: dict[str, tuple[str, str, str]] = {}
 
 
 def query(name: str, covers: str, sql: str | None = None, tables: str = "", extra: str = ""):
@@ -23,12 +23,19 @@ def query(name: str, covers: str, sql: str | None = None, tables: str = "", extr
         QUERIES[name] = fn
         COVERS[name] = covers.split()
         if sql is not None:
-            head = [c for c in (ctes(tables.split()), extra.strip()) if c]
-            body = sql.strip()
-            if head and body.upper().startswith("WITH "):
-                head.append(body[5:])
-                body = ""
-            ORACLES[name] = (f"WITH {', '.join(head)}\n" if head else "") + body
+            _SQL[name] = (sql.strip(), tables, extra.strip())
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """Check SQL per query, with the CTEs it needs in front."""
+    out = {}
+    for name, (body, tables, extra) in _SQL.items():
+        head = [c for c in (ctes(tables.split()), extra) if c]
+        if head and body.upper().startswith("WITH "):
+            out[name] = f"WITH {', '.join([*head, body[5:]])}"
+        else:
+            out[name] = (f"WITH {', '.join(head)}\n" if head else "") + body
+    return out
