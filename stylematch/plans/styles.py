@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -64,19 +66,26 @@ def _forest(trees: int, bins: int) -> RandomForestClassifier:
     )
 
 
-def _boosted(rounds: int, bins: int) -> OneVsRest:
+def _fit_boosted(coded: DataFrame, rounds: int, bins: int, classes: int) -> list:
+    """One boosted-tree model per class against the rest, fitted side by side."""
     single = GBTClassifier(maxIter=rounds, maxDepth=4, maxBins=bins, seed=42)
-    return OneVsRest(
-        classifier=single, featuresCol="features", labelCol="y", weightCol="weight", predictionCol="boosted_prediction",
-        rawPredictionCol="boosted_raw",
+    rest = OneVsRest(
+        classifier=single, featuresCol="features", labelCol="y", weightCol="weight", parallelism=classes
     )
+    return [
+        m.setPredictionCol(f"is_{c}").setRawPredictionCol(f"raw_{c}").setProbabilityCol(f"p_{c}")
+        for c, m in enumerate(rest.fit(coded).models)
+    ]
 
 
-def boosted_probability(raw: Column) -> Column:
-    """Normalised class probabilities from the one-against-rest margins."""
-    each = F.transform(vector_to_array(raw), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
+def _boosted_probability(models: Sequence, df: DataFrame, out: str) -> DataFrame:
+    """Adds the class probabilities, normalised over the one-against-rest models."""
+    for model in models:
+        df = model.transform(df)
+    each = F.array(*[F.get(vector_to_array(f"p_{c}"), F.lit(1)) for c in range(len(models))])
     total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(each, lambda p: p / total)
+    helpers = [f"{name}_{c}" for c in range(len(models)) for name in ("raw", "p", "is")]
+    return df.withColumn(out, F.transform(each, lambda p: p / total)).drop(*helpers)
 
 
 @dataclass
@@ -86,8 +95,10 @@ class StyleModel:
     features: list[str]
     codes: DataFrame
     labels: DataFrame
-    forest: object
-    boosted: object
+    bins: int
+    n_classes: int
+    forest: RandomForestClassificationModel | None = None
+    boosted: list | None = None
 
     def encode(self, df: DataFrame) -> DataFrame:
         coded = ordinal_encode(add_pairs(df), self.features, self.codes)
@@ -96,8 +107,8 @@ class StyleModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds the class probabilities, ``prediction`` (code) and ``predicted_style``."""
-        scored = self.boosted.transform(self.forest.transform(self.encode(df)))
-        both = [vector_to_array("forest_probability"), boosted_probability(F.col("boosted_raw"))]
+        scored = _boosted_probability(self.boosted, self.forest.transform(self.encode(df)), "boosted_probability")
+        both = [vector_to_array("forest_probability"), F.col("boosted_probability")]
         voted = scored.withColumn("probability", soft_vote(both))
         voted = voted.withColumn("prediction", arg_max_class(F.col("probability")))
         return label_decode(voted, "prediction", self.labels, "style", "predicted_style")
@@ -111,20 +122,31 @@ def split_and_fill(rows: DataFrame, features: Sequence[str], test_share: float =
     return fill_modes(train, "style", features, modes), fill_modes(test, "style", features, modes)
 
 
-def train_style_model(train: DataFrame, base: Sequence[str], trees: int = 50, rounds: int = 20) -> StyleModel:
-    """Random forest and boosted trees with softened class weights."""
+def encoders(train: DataFrame, base: Sequence[str]) -> StyleModel:
+    """Dictionaries of the training rows; the models are still to be fitted."""
     paired = add_pairs(train)
     features = list(base) + [c for c in paired.columns if c in PAIRS]
     codes = stage(ordinal_codes(paired, features), "codes")
     labels = stage(ordinal_codes(train, ["style"]), "labels")
     sizes = codes.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
     bins = max(32, (sizes.agg(F.max("n")).first()[0] or 0) + 2)
-    model = StyleModel(features, codes, labels, None, None)
-    weights = class_weights(train, "style").select("style", F.col("soft_weight").alias("weight"))
-    y = labels.select(F.col("value").alias("style"), F.col("code").cast("double").alias("y"))
-    coded = stage(model.encode(train).join(weights, "style").join(y, "style").select("id", "features", "y", "weight"), "train")
-    model.forest = _forest(trees, bins).fit(coded)
-    model.boosted = _boosted(rounds, bins).fit(coded)
+    return StyleModel(features, codes, labels, bins, labels.count())
+
+
+def coded_rows(model: StyleModel, rows: DataFrame) -> DataFrame:
+    """(id, features, y, weight) with softened class weights, written once because fitting reads it many times."""
+    weights = class_weights(rows, "style").select("style", F.col("soft_weight").alias("weight"))
+    y = model.labels.select(F.col("value").alias("style"), F.col("code").cast("double").alias("y"))
+    coded = model.encode(rows).join(weights, "style").join(y, "style")
+    return stage(coded.select("id", "features", "y", "weight"), "coded")
+
+
+def train_style_model(train: DataFrame, base: Sequence[str], trees: int = 50, rounds: int = 20) -> StyleModel:
+    """Random forest and boosted trees on the encoded rows."""
+    model = encoders(train, base)
+    coded = coded_rows(model, train)
+    model.forest = _forest(trees, model.bins).fit(coded)
+    model.boosted = _fit_boosted(coded, rounds, model.bins, model.n_classes)
     return model
 
 
@@ -137,25 +159,29 @@ def predict_outfits(outfits: DataFrame, two_piece: StyleModel, one_piece: StyleM
     )
 
 
-def train_stacked(coded: DataFrame, bins: int, trees: int = 20, rounds: int = 5, folds: int = 3):
-    """Logistic meta-model on out-of-fold probabilities of both base models; returns (base models, meta-model)."""
+def train_stacked(model: StyleModel, coded: DataFrame, trees: int = 20, rounds: int = 5, folds: int = 3):
+    """Logistic meta-model on out-of-fold probabilities of both base models; the base models stay in ``model``."""
     folded = coded.withColumn("_fold", F.pmod(F.xxhash64("id", F.lit(42)), F.lit(folds)))
+
+    def fitted(rows: DataFrame) -> tuple:
+        return _forest(trees, model.bins).fit(rows), _fit_boosted(rows, rounds, model.bins, model.n_classes)
+
     out_of_fold = None
     for fold in range(folds):
-        rest, held = folded.filter(F.col("_fold") != fold), folded.filter(F.col("_fold") == fold)
-        scored = _base_probabilities(_forest(trees, bins).fit(rest), _boosted(rounds, bins).fit(rest), held)
-        part = scored.select("id", "y", "weight", "meta")
+        base = fitted(folded.filter(F.col("_fold") != fold))
+        part = _meta_features(*base, folded.filter(F.col("_fold") == fold)).select("y", "weight", "meta")
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
     meta = LogisticRegression(featuresCol="meta", labelCol="y", weightCol="weight", maxIter=100)
-    fitted = meta.fit(stage(out_of_fold.select("y", "weight", "meta"), "meta"))
-    return (_forest(trees, bins).fit(coded), _boosted(rounds, bins).fit(coded)), fitted
+    stacked = meta.fit(stage(out_of_fold, "meta"))
+    model.forest, model.boosted = fitted(coded)
+    return stacked
 
 
-def _base_probabilities(forest, boosted, df: DataFrame) -> DataFrame:
-    scored = boosted.transform(forest.transform(df))
-    joined = F.concat(vector_to_array("forest_probability"), boosted_probability(F.col("boosted_raw")))
+def _meta_features(forest, boosted: Sequence, df: DataFrame) -> DataFrame:
+    scored = _boosted_probability(boosted, forest.transform(df), "boosted_probability")
+    joined = F.concat(vector_to_array("forest_probability"), F.col("boosted_probability"))
     return scored.withColumn("meta", array_to_vector(joined))
 
 
-def predict_stacked(base, meta, coded: DataFrame) -> DataFrame:
-    return meta.transform(_base_probabilities(*base, coded).drop("prediction", "rawPrediction", "probability"))
+def predict_stacked(model: StyleModel, meta, coded: DataFrame) -> DataFrame:
+    return meta.transform(_meta_features(model.forest, model.boosted, coded))
