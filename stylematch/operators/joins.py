@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylematch.session import shuffle_width
+
 # part -> columns taken from its clothes table
 PART_COLUMNS = {
     "top": ["top_material", "top_fit", "top_print", "top_neckline", "top_sleeve_length"],
@@ -123,13 +125,16 @@ def salted_join(
 def fanned_join(left: DataFrame, right: DataFrame, key: str, left_id: str, fan: int | None = None) -> DataFrame:
     """Equi-join on a key with few values, spread over ``fan`` slots.
 
-    Every left row goes to the slot of its id, the right side is copied once per slot. The result keeps
-    ``_slot`` and is partitioned by (key, _slot), so windows by (key, _slot, left_id) need no further shuffle.
+    Every left row goes to the slot of its id, the right side is copied once per slot. The left side is placed by
+    (key, _slot) with a fixed width, because each of its rows grows by the right rows of its key: a width chosen by
+    its own small size would put that work into one task. The result keeps ``_slot`` and the placement, so windows
+    by (key, _slot, left_id) need no further shuffle.
     """
-    fan = fan or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = shuffle_width(left.sparkSession)
+    fan = fan or width
     slotted = left.withColumn("_slot", F.pmod(F.xxhash64(F.col(left_id)), F.lit(fan)).cast("int"))
     copied = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    return slotted.join(copied, [key, "_slot"])
+    return slotted.repartition(width, key, "_slot").join(copied, [key, "_slot"])
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

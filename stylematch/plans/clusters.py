@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stylematch.session import spread
+
 CATEGORY = "c:"
 
 
@@ -126,7 +128,7 @@ def fit(
     rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 20, gamma: float | None = None
 ) -> dict[int, Prototypes]:
     """Centres for every k; a k stops when its centres no longer move."""
-    rows = rows.persist()
+    rows = spread(rows).persist()
     try:
         gamma = mismatch_weight(rows) if gamma is None else gamma
         models = _start(rows, ks, gamma, seed)

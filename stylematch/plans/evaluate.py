@@ -14,6 +14,7 @@ from stylematch.operators.sets import weight_grid
 from stylematch.plans.score import (
     by_season, distinct_profiles, item_signatures, raw_pairs, scaled_pairs, season_scaled, user_profiles,
 )
+from stylematch.session import shuffle_width
 
 SCORES = ("style_score", "color_score", "season_score")
 
@@ -87,10 +88,11 @@ def grid_hits(candidates: DataFrame, k: int, steps: int = 5, group: str = "user_
     # 175 directions for six steps: a constant of the search, not data
     directions = sorted({tuple(r) for r in weight_grid(spark, steps).select(*names).collect()})
     weights = {n: F.lit(np.array([d[i] for d in directions])) for i, n in enumerate(names)}
-    spread = candidates.repartition(group).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(len(directions) - 1))))
+    placed = candidates.repartition(shuffle_width(spark), group)
+    every = placed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(len(directions) - 1))))
     at = [F.get(weights[n], F.col("_d")) for n in names]
     style, colour, season = (F.col(c) for c in SCORES)
-    scored = spread.select(
+    scored = every.select(
         group, "_d", "item_id", "n_hits", (style * at[0] + colour * at[1] + season * at[2]).alias("_score")
     )
     best = top_k(scored, [group, "_d"], [F.col("_score").desc(), F.col("item_id")], k)

@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylematch.operators.aggregates import tokens, vocabulary
 from stylematch.operators.joins import salted_join
 from stylematch.operators.ranking import top_k
-from stylematch.session import cut_lineage
+from stylematch.session import cut_lineage, spread
+from stylematch.sources.delimited import stage
 
 
 def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: int = 25) -> DataFrame:
     """(doc_id, term, weight): L2-normalised tf * (ln((1+n)/(1+df)) + 1).
 
     Tokens are cut at ``sep`` without trimming and kept when they occur ``min_count`` times in total; kept tokens
-    are lowercased and split at blanks into terms. Counts are combined per document before they are moved.
-    Joins on a token or term go through a salted join, because a common one occurs in most documents.
+    are lowercased and split at blanks into terms. The vocabulary and the document counts are staged as tables, so
+    the joins know their sizes: a small one is broadcast, a large one meets the tokens in a salted join, because a
+    common token occurs in most documents.
     """
     n_docs = docs.count()
-    token_rows = docs.select(doc_id, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), sep)).alias("token"))
-    in_doc = token_rows.groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = cut_lineage(
-        in_doc.groupBy("token").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_count)
-    )
-    kept = salted_join(in_doc, frequent.select("token"), "token", doc_id, hot=common_keys(frequent, "token", "total"))
-    terms = kept.select(doc_id, "n", F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term"))
-    tf = terms.filter(F.col("term") != "").groupBy(doc_id, "term").agg(F.sum("n").alias("tf"))
-    tf = cut_lineage(tf)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = cut_lineage(df)
+    token_rows = tokens(spread(docs.select(doc_id, text)), doc_id, text, sep)
+    frequent = stage(vocabulary(token_rows, min_count), "frequent")
+    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, hot=common_keys(frequent, "token", "n"))
+    terms = kept.select(doc_id, F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term"))
+    tf = stage(terms.filter(F.col("term") != "").groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    df = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     idf = df.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     raw = salted_join(tf, idf, "term", doc_id, hot=common_keys(df, "term", "df"))
     raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
@@ -88,7 +86,8 @@ def class_report(rows: DataFrame, label: str = "label", prediction: str = "predi
     precision = F.coalesce(F.try_divide("tp", "predicted"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    scored = by_class.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1)
+    # one row per class, read four times below
+    scored = cut_lineage(by_class.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1))
     measures = ["precision", "recall", "f1"]
     per_class = scored.select(F.col("class").cast("string"), *measures, "support")
     total = F.sum("support")

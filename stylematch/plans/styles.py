@@ -117,9 +117,9 @@ class StyleModel:
 def split_and_fill(rows: DataFrame, features: Sequence[str], test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(training, test) rows; null cells take the training mode of the row's own style."""
     split = stage(stratified_split(rows, "style", "id", test_share), "split")
-    train, test = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
-    modes = group_modes(train, "style", features)
-    return fill_modes(train, "style", features, modes), fill_modes(test, "style", features, modes)
+    modes = group_modes(split.filter("NOT is_test"), "style", features)
+    filled = stage(fill_modes(split, "style", features, modes), "filled")
+    return filled.filter("NOT is_test").drop("is_test"), filled.filter("is_test").drop("is_test")
 
 
 def encoders(train: DataFrame, base: Sequence[str]) -> StyleModel:

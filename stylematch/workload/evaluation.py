@@ -9,6 +9,7 @@ from stylematch.operators.aggregates import overlap_sizes
 from stylematch.operators.ranking import arg_max
 from stylematch.operators.sets import common_items, weight_grid
 from stylematch.plans import evaluate, score
+from stylematch.sources.delimited import stage
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import (
     BASE, FIRST_PEOPLE, PEOPLE, feats_sql, pairs_sql, scaled_sql, stored_scores,
@@ -149,6 +150,7 @@ _GRID_STORED = [
 def best_weights_stored_scores(spark, sf):
     """Best weight triple for the stored DECIMAL(10,6) scores of the first users; the first best wins."""
     scores = stored_scores(spark, sf).withColumns({c: F.col(c).cast("decimal(10,6)") for c in evaluate.SCORES})
+    scores = stage(scores.select("user_id", "item_id", *evaluate.SCORES), "stored")
     grid = evaluate.search_weights(scores, rating_log(spark, sf), rated_only=True)
     return arg_max(grid, "mean_precision", "seq").withColumns(
         {c: F.round(c, 9) for c in ("w_style", "w_color", "w_season", "mean_precision")}

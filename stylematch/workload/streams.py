@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stylematch.plans import evaluate
 from stylematch.session import scratch_path
+from stylematch.sources.delimited import stage
 from stylematch.streaming import ratings
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import stored_scores
@@ -59,7 +60,7 @@ def rating_log_stream(spark, sf):
 @query("weights_refit_stream", "T3 S11 E3")
 def weights_refit_stream(spark, sf):
     """Weights searched again after new log rows; one version per batch."""
-    scores = stored_scores(spark, sf)
+    scores = stage(stored_scores(spark, sf).select("user_id", "item_id", *evaluate.SCORES), "stored")
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     lines = ratings.file_stream(spark, f"{sf}/lineitem.parquet*", table(spark, sf, "lineitem"))
     log = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item_id")).join(orders, "o_orderkey")
