@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 def _ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
     numeric = df.withColumn("_pos", F.col(order).cast("double"))
+    ranges = max(ranges, 2)
     cuts = numeric.approxQuantile("_pos", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol="_pos", outputCol="_range").transform(numeric).drop("_pos")
 
 
