@@ -58,9 +58,10 @@ def read_basket(spark: SparkSession, path: str) -> DataFrame:
     return current_basket(keep_latest(changes, ["session_id", "item_id"], [F.col("event_id").desc()]))
 
 
-def _other_batches(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
-    rows = spark.read.schema(f"{like.schema.simpleString()[7:-1]}, batch_id bigint").parquet(path)
-    return rows.filter(F.col("batch_id") < batch_id)
+def _largest_id_before(spark: SparkSession, path: str, batch_id: int) -> int:
+    """Largest id of the earlier batches; the folder partitions keep a repeated batch from seeing its own rows."""
+    rows = spark.read.schema("smelling_user_id bigint, batch_id bigint").parquet(path)
+    return rows.filter(F.col("batch_id") < batch_id).agg(F.max("smelling_user_id")).first()[0] or 0
 
 
 def start_log(baskets: DataFrame, path: str) -> StreamingQuery:
@@ -71,11 +72,7 @@ def start_log(baskets: DataFrame, path: str) -> StreamingQuery:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = 0
-        if batch_id > 0:
-            ids = batch.limit(0).withColumn("smelling_user_id", F.lit(0).cast("bigint"))
-            earlier = _other_batches(spark, path, batch_id, ids)
-            before = earlier.agg(F.max("smelling_user_id")).first()[0] or 0
+        before = _largest_id_before(spark, path, batch_id) if batch_id > 0 else 0
         numbered = with_position(batch.select("basket_id").distinct(), "basket_id", "_pos")
         rows = batch.join(numbered, "basket_id").withColumn("smelling_user_id", F.col("_pos") + F.lit(before + 1))
         rows.drop("_pos").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
