@@ -32,7 +32,7 @@ def enrich_outfits(
         side = source.select(
             F.col("id").alias(f"{part}_id"), *cols, F.col("sub_style").alias(f"{part}_sub_style")
         )
-        wide = wide.join(side, f"{part}_id", "left")
+        wide = outer_join_spread(wide, side, f"{part}_id", "user_id")
     return wide
 
 
@@ -69,11 +69,11 @@ def with_parent(child: DataFrame, parent: DataFrame, key: str) -> tuple[DataFram
     return child.join(keys, key, "left_semi"), child.join(keys, key, "left_anti")
 
 
-def soft_reference(child: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+def soft_reference(child: DataFrame, column: str, parent: DataFrame, parent_key: str, row_id: str) -> DataFrame:
     """Unmatched references become null; rows stay."""
-    keys = parent.select(F.col(parent_key).alias("_key")).distinct()
-    joined = child.join(keys, F.col(column) == F.col("_key"), "left")
-    return joined.withColumn(column, F.col("_key")).drop("_key")
+    known = parent.select(F.col(parent_key).alias(column)).distinct().withColumn("_found", F.col(column))
+    joined = outer_join_spread(child, known, column, row_id)
+    return joined.withColumn(column, F.col("_found")).drop("_found")
 
 
 def first_match(choices: DataFrame, table: DataFrame, on: Sequence[str], id_col: str, out: str) -> DataFrame:
@@ -122,21 +122,39 @@ def salted_join(
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def fanned_join(left: DataFrame, right: DataFrame, key: str, left_id: str, fan: int | None = None) -> DataFrame:
-    """Equi-join on a key with few values, spread over ``fan`` slots.
+# right sides up to this many (narrow) rows are copied to every executor instead of once per slot
+BROADCAST_ROWS = 50_000
 
-    Every left row goes to the slot of its id, the right side is copied once per slot. The left side is placed by
-    (key, _slot) with a fixed width, because each of its rows grows by the right rows of its key: a width chosen by
-    its own small size would put that work into one task. The result keeps ``_slot`` and the placement, so windows
-    by (key, _slot, left_id) need no further shuffle.
+
+def fanned_join(
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_rows: int, fan: int | None = None
+) -> DataFrame:
+    """Equi-join on a key with few values, in which every left row grows by the right rows of its key.
+
+    ``right_rows`` is the counted size of the right side. A small one is broadcast and the left rows are placed by
+    their id. A larger one is copied once per slot, and every left row goes to the slot of its id, so that a key
+    with many rows is spread over all slots. Either way the left side is placed with a fixed width (a width chosen
+    by its own small size would put the growth into one task), and windows by (key, _slot, left_id) need no
+    further shuffle.
     """
     width = shuffle_width(left.sparkSession)
+    if fan is None and right_rows <= BROADCAST_ROWS:
+        placed = left.withColumn("_slot", F.lit(0)).repartition(width, left_id)
+        return placed.join(F.broadcast(right), key)
     fan = fan or width
     slotted = left.withColumn("_slot", F.pmod(F.xxhash64(F.col(left_id)), F.lit(fan)).cast("int"))
     copied = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     return slotted.repartition(width, key, "_slot").join(copied, [key, "_slot"])
 
 
+def outer_join_spread(left: DataFrame, right: DataFrame, key: str, row_id: str, spots: int = 1024) -> DataFrame:
+    """Left join on one key; rows whose key is null are spread by their id instead of meeting in one task."""
+    nowhere = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(spots)).cast("string"))
+    keyed = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), nowhere))
+    side = right.withColumn("_key", F.col(key).cast("string")).drop(key)
+    return keyed.join(side, "_key", "left").drop("_key")
+
+
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Best row per key; the limit is applied before the shuffle as well."""
     best = Window.partitionBy(*keys).orderBy(*order)

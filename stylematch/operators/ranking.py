@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.numbers import min_max
+from stylematch.session import stage
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -24,11 +25,11 @@ def best_rows(df: DataFrame, score: str, tie: str, k: int = 3) -> DataFrame:
 def scale_by_group(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Min-max scaling of each column inside its group.
 
-    The extremes are aggregated (combined before the shuffle) and joined back, so a group that holds a
-    large share of the rows is never sent to one task.
+    The extremes are aggregated (combined before the shuffle) and staged, one row per group. Few groups are then
+    joined back without moving the rows; with many groups, a large one is split by the skew join.
     """
     extremes = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    sides = df.groupBy(group).agg(*extremes)
+    sides = stage(df.groupBy(group).agg(*extremes), "extremes")
     scaled = {c: min_max(F.col(c), F.col(f"_min_{c}"), F.col(f"_max_{c}")) for c in columns}
     return df.join(sides, group).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in ("min", "max")])
 

@@ -209,6 +209,14 @@ def _silhouettes(x: np.ndarray, own: np.ndarray, stat: Prototypes) -> np.ndarray
     return np.where(n_own > 1, value, 0.0)
 
 
+def bounded_terms(weights: DataFrame, most: int = 5000) -> list[str]:
+    """All terms in order; refuses a vocabulary too wide for dense vectors."""
+    terms = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(most + 1).collect()]
+    if len(terms) > most:
+        raise ValueError(f"more than {most} terms: raise the minimum count")
+    return terms
+
+
 def dense_vectors(weights: DataFrame, docs: DataFrame, doc_id: str, terms: Sequence[str]) -> DataFrame:
     """TF-IDF rows to one dense vector per document over a bounded vocabulary; no term gives zeros."""
     index = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])

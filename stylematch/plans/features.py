@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from stylematch.operators.aggregates import tokens, vocabulary
 from stylematch.operators.joins import salted_join
 from stylematch.operators.ranking import top_k
-from stylematch.session import cut_lineage, spread
-from stylematch.sources.delimited import stage
+from stylematch.session import cut_lineage, spread, stage
 
 
 def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: int = 25) -> DataFrame:

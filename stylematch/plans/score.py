@@ -22,6 +22,7 @@ from stylematch.operators.aggregates import newest_row
 from stylematch.operators.filters import disliked
 from stylematch.operators.joins import fanned_join, lookup
 from stylematch.operators.ranking import scale_by_group, top_k
+from stylematch.session import stage
 from stylematch.vocab import EPSILON, SEASONS
 
 ACCORDS = ["accord1", "accord2", "accord3"]
@@ -150,9 +151,11 @@ def raw_pairs(
 ) -> DataFrame:
     """Profile x signature rows of the same season with raw style and colour score.
 
+    The signatures are staged as a table: it is small, it is counted, and it is read in one place.
     Disliked signatures are left out, and with a gate so are the families the style does not allow.
     """
-    met = fanned_join(profiles, signatures, "season", "profile")
+    signatures = stage(signatures, "signatures")
+    met = fanned_join(profiles, signatures, "season", "profile", signatures.count())
     met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
     if gate is not None:
         met = met.join(gate, ["style", "family"])
@@ -295,7 +298,7 @@ def score_all_items(
     Each (item, season) row meets the users of its season, so no item row is moved more than once per user.
     """
     profiled = user_profiles(users, clothes_colours, use_dislikes)
-    met = fanned_join(by_season(features), profiled, "season", "item_id")
+    met = fanned_join(by_season(features), profiled, "season", "item_id", profiled.count())
     if use_dislikes:
         met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
     if gate is not None:

@@ -17,7 +17,7 @@ from stylematch.functions.text import pair
 from stylematch.operators.aggregates import class_weights, fill_modes, group_modes
 from stylematch.operators.encode import label_decode, ordinal_codes, ordinal_encode, stratified_split
 from stylematch.operators.filters import exclude_value, recode
-from stylematch.sources.delimited import stage
+from stylematch.session import stage
 
 TWO_PIECE = [
     "top_category", "top_color", "top_sleeve_length", "top_material", "top_print", "top_fit", "top_sub_style",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch import vocab
+from stylematch.operators.joins import outer_join_spread
 from stylematch.operators.ordered import with_position
 
 # Accords the generator lets users dislike.
@@ -29,7 +30,7 @@ def _pick_value(users: DataFrame, table: DataFrame, column: str, out: str, when:
         numbered = with_position(values, out, "_pos")
     n = values.count()
     drawn = users.withColumn("_pos", F.when(when, F.pmod(_draw(out, seed), F.lit(n)).cast("bigint")))
-    return drawn.join(numbered.withColumn("_pos", F.col("_pos").cast("bigint")), "_pos", "left").drop("_pos")
+    return outer_join_spread(drawn, numbered, "_pos", "user_id").drop("_pos")
 
 
 def random_users(ids: DataFrame, top_bottom: DataFrame, dresses: DataFrame, dress_share: float = 0.4, seed: int = 42) -> DataFrame:

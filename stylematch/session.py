@@ -62,6 +62,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a stage table below the shared folder and read it back.
+
+    Later plans start from files that outlive executors, and know the size of the table.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and stops plan growth."""
     shared_dir(df.sparkSession)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.session import scratch_path
-
 BOM = "\ufeff"
 
 # Names Spark's CSV source understands. The two code pages need spark.sql.legacy.javaCharsets.
@@ -71,10 +69,3 @@ def write_delimited(
         df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
         .option("emptyValue", "").option("encoding", _charset(df.sparkSession, encoding)).csv(path)
     )
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a stage table as parquet below the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from stylematch.operators.aggregates import overlap_sizes
 from stylematch.operators.ranking import arg_max
 from stylematch.operators.sets import common_items, weight_grid
 from stylematch.plans import evaluate, score
-from stylematch.sources.delimited import stage
+from stylematch.session import stage
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import (
     BASE, FIRST_PEOPLE, PEOPLE, feats_sql, pairs_sql, scaled_sql, stored_scores,

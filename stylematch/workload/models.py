@@ -8,7 +8,7 @@ from stylematch import vocab
 from stylematch.operators.aggregates import value_counts
 from stylematch.operators.joins import enrich_outfits
 from stylematch.plans import clusters, features, styles, synthetic
-from stylematch.sources.delimited import stage
+from stylematch.session import stage
 from stylematch.workload.registry import query
 from stylematch.workload.tables import add_derived, derived, families, table
 
@@ -113,7 +113,7 @@ def note_clusters(spark, sf):
     """Notes to TF-IDF vectors, K-Prototypes with gender as category, cluster sizes and families."""
     noted = derived(spark, sf, "noted")
     weights = stage(features.tf_idf(noted, "item_id", "notes"), "weights")
-    terms = [r[0] for r in weights.select("term").distinct().orderBy("term").collect()]
+    terms = clusters.bounded_terms(weights)
     dense = clusters.dense_vectors(weights, noted.select("item_id", "gender"), "item_id", terms)
     rows = stage(clusters.vector_rows(dense, "item_id", "vector", "gender"), "vectors")
     labels = clusters.assign(rows, clusters.fit(rows, [11])[11])

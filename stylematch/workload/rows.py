@@ -363,7 +363,7 @@ def children_with_parent(spark, sf):
 def soft_references(spark, sf):
     """Unknown tops become null, users stay."""
     users = derived(spark, sf, "users").select("user_id", "top_id")
-    return joins.soft_reference(users, "top_id", derived(spark, sf, "tops"), "id")
+    return joins.soft_reference(users, "top_id", derived(spark, sf, "tops"), "id", "user_id")
 
 
 @query(

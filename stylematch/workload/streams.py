@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stylematch.plans import evaluate
-from stylematch.session import scratch_path
-from stylematch.sources.delimited import stage
+from stylematch.session import scratch_path, stage
 from stylematch.streaming import ratings
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import stored_scores

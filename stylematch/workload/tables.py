@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stylematch import vocab
 from stylematch.functions.colour import rgb, rgb_or_hex
 from stylematch.plans.score import item_features
-from stylematch.sources.delimited import stage
+from stylematch.session import stage
 
 
 def pick(expr: str, values: Sequence[str | None]) -> str:

@@ -222,14 +222,16 @@ def test_salted_join_equals_plain_join(spark, hot_rows):
 def test_fanned_join_equals_plain_join(spark):
     left = spark.createDataFrame([(i, i % 4) for i in range(100)], "id int, k int")
     right = spark.createDataFrame([(j % 4, j) for j in range(40)], "k int, v int")
-    fanned = joins.fanned_join(left, right, "k", "id", fan=6)
-    assert pairs(fanned, "id", "v") == pairs(left.join(right, "k"), "id", "v")
+    want = pairs(left.join(right, "k"), "id", "v")
+    small, large = joins.fanned_join(left, right, "k", "id", 40), joins.fanned_join(left, right, "k", "id", 10**9)
+    assert pairs(small, "id", "v") == want and pairs(large, "id", "v") == want
+    assert pairs(joins.fanned_join(left, right, "k", "id", 40, fan=6), "id", "v") == want
 
 
 def test_soft_reference_and_first_match(spark):
     child = spark.createDataFrame([(1, 5), (2, 9), (3, None)], "id int, ref int")
     parent = spark.createDataFrame([(5,), (5,)], "pid int")
-    assert sorted(map(str, pairs(joins.soft_reference(child, "ref", parent, "pid").fillna(-1), "id", "ref"))) == ["(1, 5)", "(2, -1)", "(3, -1)"]
+    assert sorted(map(str, pairs(joins.soft_reference(child, "ref", parent, "pid", "id").fillna(-1), "id", "ref"))) == ["(1, 5)", "(2, -1)", "(3, -1)"]
     table = spark.createDataFrame([(8, "a"), (3, "a"), (4, "b")], "gid int, c string")
     choices = spark.createDataFrame([(1, "a"), (2, "q")], "id int, c string")
     assert {r["id"]: r["m"] for r in joins.first_match(choices, table, ["c"], "gid", "m").collect()} == {1: 3, 2: None}
