@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import clean_key
-from stylematch.session import cut_lineage
+from stylematch.session import cut_lineage, stage
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -123,8 +123,11 @@ def group_modes(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_modes(df: DataFrame, group: str, columns: Sequence[str], modes: DataFrame) -> DataFrame:
-    """Null cells take the mode of their row's group."""
-    side = modes.withColumnsRenamed({c: f"_mode_{c}" for c in columns})
+    """Null cells take the mode of their row's group.
+
+    The modes (one row per group) are staged, so few groups are joined without moving the rows.
+    """
+    side = stage(modes.withColumnsRenamed({c: f"_mode_{c}" for c in columns}), "modes")
     filled = {c: F.coalesce(F.col(c).cast("string"), F.col(f"_mode_{c}")) for c in columns}
     return df.join(side, group, "left").withColumns(filled).drop(*[f"_mode_{c}" for c in columns])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import any_list
+from stylematch.session import stage
 
 
 def list_like_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,26 +64,26 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_test``: exactly round(n * test_share) rows of each class, chosen by hash order.
 
-    Rows are ranked inside (class, hash cell) and the cells of a class are chained by their counts, so a class
-    that holds most rows is still spread over ``cells`` groups.
+    Rows are counted per (class, hash cell) and the cells of a class are chained by their counts. A cell lies
+    before or behind the border of its class as a whole; only the rows of the border cell are ranked.
     """
     hashed = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
     hashed = hashed.withColumn("_cell", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(cells)))
     sizes = hashed.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_size"))
     in_class = Window.partitionBy(label)
     before = in_class.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sizes.select(
-        F.col(label).alias("_label"), F.col("_cell").alias("_c"),
+    plan = stage(sizes.select(
+        F.col(label).alias("_label"), F.col("_cell").alias("_c"), "_size",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.round(F.sum("_size").over(in_class) * F.lit(test_share)).cast("bigint").alias("_n_test"),
-    )
-    rank = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h", row_id))
-    joined = hashed.withColumn("_rn", rank).join(
-        plan, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_c"))
-    )
-    return joined.withColumn("is_test", F.col("_before") + F.col("_rn") <= F.col("_n_test")).select(
-        *df.columns, "is_test"
-    )
+    ), "cells")
+    placed = hashed.join(plan, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_c")))
+    first, last, n_test = F.col("_before"), F.col("_before") + F.col("_size"), F.col("_n_test")
+    border = (first < n_test) & (last > n_test)
+    rank = F.row_number().over(Window.partitionBy("_label", "_c").orderBy("_h", row_id))
+    whole = placed.filter(~border).withColumn("is_test", last <= n_test)
+    ranked = placed.filter(border).withColumn("is_test", first + rank <= n_test)
+    return whole.unionByName(ranked).select(*df.columns, "is_test")
 
 
 def oversample(df: DataFrame, label: str, targets: Mapping[str, int], row_id: str, seed: int = 42) -> DataFrame:

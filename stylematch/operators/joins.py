@@ -97,11 +97,10 @@ def latest_bundle(log: DataFrame, session: str, items: DataFrame, item_id: str =
     return log.join(newest, session).join(items.select(item_id, "name"), item_id, "left")
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """Keys that hold more than ``share`` of all rows; there are fewer than ``1/share`` of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r[0] for r in counts.filter(F.col("n") > total * share).select(key).collect() if r[0] is not None]
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = 0.01) -> list:
+    """Keys that hold more than ``share`` of the counted rows; there are fewer than ``1/share`` of them."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter((F.col(n) > total * share) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def salted_join(
@@ -112,7 +111,8 @@ def salted_join(
 
     Only the hot keys (fewer than ``1/share`` of ``hot_keys``) are copied on the small side.
     """
-    hot = hot_keys(big, key) if hot is None else hot
+    if hot is None:
+        hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
     if not hot:
         return big.join(small, key, how)
     slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")

@@ -197,22 +197,19 @@ def epsilon_histograms(
     scores: DataFrame, columns: Sequence[str] = SCORES, epsilons: Sequence[float] = (0.01, 0.02, 0.05), bins: int = 30
 ) -> DataFrame:
     """(column, epsilon, bin, n): counts of each smoothed score in equal bins between its extremes."""
-    ends = scores.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
-    ranges = ends.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"low_{c}").alias("low"), F.col(f"high_{c}").alias("high"))
-        for c in columns
-    ])).alias("e")).select("e.*")
-    values = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
-    trials = F.array(*[F.lit(x) for x in epsilons])
-    long = (
-        scores.select(F.explode(F.array(*values)).alias("v")).select("v.*")
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-        .join(ranges, "column").withColumn("epsilon", F.explode(trials))
-    )
+    ends = scores.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]).first()
+    values = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(ends[f"low_{c}"]).cast("double").alias("low"),
+            F.lit(ends[f"high_{c}"]).cast("double").alias("high"), F.lit(float(e)).alias("epsilon"),
+        )
+        for c in columns for e in epsilons
+    ]
+    long = scores.select(F.explode(F.array(*values)).alias("v")).select("v.*")
 
     def moved(c: str) -> Column:
         return (F.col(c) + F.col("epsilon")) / (F.lit(1.0) + F.col("epsilon"))
 
     place = F.try_divide(moved("value") - moved("low"), moved("high") - moved("low")) * F.lit(float(bins))
     slot = F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return long.groupBy("column", "epsilon", slot.alias("bin")).agg(F.sum("_n").alias("n"))
+    return long.groupBy("column", "epsilon", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.operators.aggregates import tokens, vocabulary
-from stylematch.operators.joins import salted_join
+from stylematch.operators.joins import hot_keys, salted_join
 from stylematch.operators.ranking import top_k
 from stylematch.session import cut_lineage, spread, stage
 
@@ -22,23 +22,17 @@ def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: i
     n_docs = docs.count()
     token_rows = tokens(spread(docs.select(doc_id, text)), doc_id, text, sep)
     frequent = stage(vocabulary(token_rows, min_count), "frequent")
-    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, hot=common_keys(frequent, "token", "n"))
+    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, hot=hot_keys(frequent, "token"))
     terms = kept.select(doc_id, F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term"))
     tf = stage(terms.filter(F.col("term") != "").groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     idf = df.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    raw = salted_join(tf, idf, "term", doc_id, hot=common_keys(df, "term", "df"))
+    raw = salted_join(tf, idf, "term", doc_id, hot=hot_keys(df, "term", "df"))
     raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", (F.col("w") / norm).alias("weight"))
 
 
-def common_keys(counts: DataFrame, key: str, n: str, share: float = 0.01) -> list:
-    """Keys that hold more than ``share`` of the counted rows; fewer than ``1/share`` exist."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.filter(F.col(n) > total * share).select(key).collect()]
-
-
 def cluster_terms(weights: DataFrame, labels: DataFrame, doc_id: str, k: int = 10) -> DataFrame:
     """Top k terms per cluster by mean weight; a document without the term counts 0."""
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))

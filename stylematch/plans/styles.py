@@ -135,7 +135,7 @@ def encoders(train: DataFrame, base: Sequence[str]) -> StyleModel:
 
 def coded_rows(model: StyleModel, rows: DataFrame) -> DataFrame:
     """(id, features, y, weight) with softened class weights, written once because fitting reads it many times."""
-    weights = class_weights(rows, "style").select("style", F.col("soft_weight").alias("weight"))
+    weights = stage(class_weights(rows, "style").select("style", F.col("soft_weight").alias("weight")), "weights")
     y = model.labels.select(F.col("value").alias("style"), F.col("code").cast("double").alias("y"))
     coded = model.encode(rows).join(weights, "style").join(y, "style")
     return stage(coded.select("id", "features", "y", "weight"), "coded")

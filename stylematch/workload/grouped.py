@@ -237,14 +237,12 @@ def similar_neighbours_dropped(spark, sf):
 @query(
     "repeated_keys_dropped", "W2 F20", tables="garments",
     sql="""WITH k AS (SELECT seq, lower(trim(split_part(file_name, '_', 1))) AS p, lower(trim(style)) AS s FROM garments),
-    b AS (SELECT CAST(floor(seq / 40) AS BIGINT) AS seq2, seq, substr(p, 1, 1) AS p, s FROM k),
-    l AS (SELECT *, lag(p) OVER (ORDER BY seq) AS pp, lag(s) OVER (ORDER BY seq) AS ps FROM b)
+    l AS (SELECT *, lag(p) OVER (ORDER BY seq) AS pp, lag(s) OVER (ORDER BY seq) AS ps FROM k)
     SELECT seq FROM l WHERE NOT coalesce(p = pp AND s = ps, false)""",
 )
 def repeated_keys_dropped(spark, sf):
     """Rows whose key equals the key of the row before are dropped; a null style never equals."""
-    prefix = F.substring(clean_key(name_prefix(F.col("file_name"))), 1, 1)
-    keys = [prefix, clean_key(F.col("style"))]
+    keys = [clean_key(name_prefix(F.col("file_name"))), clean_key(F.col("style"))]
     return ordered.drop_repeated_key(derived(spark, sf, "garments"), keys, "seq").select("seq")
 
 
@@ -384,21 +382,24 @@ def list_like_columns(spark, sf):
     return encode.list_like_columns(derived(spark, sf, "tops"), columns)
 
 
-_CODE = "(SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS c FROM (SELECT DISTINCT {0} AS v FROM tops WHERE {0} IS NOT NULL AND id % 2 = 0))"
+_CODE = "(SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS c FROM (SELECT DISTINCT {0} AS v FROM tops WHERE {0} IS NOT NULL))"
 
 
 @query(
-    "ordinal_codes", "M7 M8", tables="tops",
-    sql=f"""SELECT t.id, coalesce(a.c, -1) AS top_material, coalesce(b.c, -1) AS top_color, s.v AS style FROM tops t
-    LEFT JOIN {_CODE.format('top_material')} a ON a.v = t.top_material LEFT JOIN {_CODE.format('top_color')} b ON b.v = t.top_color
-    LEFT JOIN {_CODE.format('style')} s ON s.v = t.style""",
+    "ordinal_codes", "M7 M8", tables="tops users",
+    sql=f"""SELECT user_id, coalesce(a.c, -1) AS top_category, coalesce(b.c, -1) AS top_color, s.v AS style FROM users u
+    LEFT JOIN {_CODE.format('top_category')} a ON a.v = replace(u.top_category, '셔츠', '?') LEFT JOIN {_CODE.format('top_color')} b
+    ON b.v = u.top_color LEFT JOIN {_CODE.format('style')} s ON s.v = u.user_style""",
 )
 def ordinal_codes(spark, sf):
-    """Codes learned on half of the rows, unknown values -1; the label is encoded and decoded again."""
-    tops = derived(spark, sf, "tops").select("id", "top_material", "top_color", "style")
-    codes = encode.ordinal_codes(tops.filter(F.col("id") % 2 == 0), ["top_material", "top_color", "style"])
-    coded = encode.ordinal_encode(tops, ["top_material", "top_color", "style"], codes).withColumnRenamed("style", "y")
-    return encode.label_decode(coded, "y", codes, "style", "style").select("id", "top_material", "top_color", "style")
+    """Codes learned on the garments and applied to the users, unknown values -1; the label is decoded again."""
+    columns = ["top_category", "top_color", "style"]
+    codes = encode.ordinal_codes(derived(spark, sf, "tops"), columns)
+    users = derived(spark, sf, "users").select(
+        "user_id", F.replace("top_category", F.lit("셔츠"), F.lit("?")).alias("top_category"), "top_color", F.col("user_style").alias("style")
+    )
+    coded = encode.ordinal_encode(users, columns, codes).withColumnRenamed("style", "y")
+    return encode.label_decode(coded, "y", codes, "style", "style").select("user_id", *columns)
 
 
 @query(

@@ -134,7 +134,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "garments": ("part", {
         "seq": "p_partkey",
-        "file_name": "p_name || '_' || CAST(p_partkey AS STRING)",
+        "file_name": "' ' || p_type || ' _' || CAST(p_partkey AS STRING)",
         "style": pick("p_size % 5", [*vocab.STYLES[:4], None]),
         "top_color": pick("(p_size / 17 - p_size / 17 % 1)", ["화이트", "블랙", None]),
         "top_category": pick("p_partkey % 2", ["셔츠", "니트웨어"]),
