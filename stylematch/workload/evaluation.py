@@ -210,7 +210,8 @@ def score_rating_correlation_per_user(spark, sf):
 )
 def epsilon_histograms(spark, sf):
     """30-bin histograms of the stored scores under three epsilons."""
-    return evaluate.epsilon_histograms(stored_scores(spark, sf))
+    scores = stage(stored_scores(spark, sf).select("user_id", "item_id", *evaluate.SCORES), "stored")
+    return evaluate.epsilon_histograms(scores)
 
 
 @query(

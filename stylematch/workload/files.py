@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from stylematch import vocab
 from stylematch.functions.numbers import decimal_comma, thousands_id
-from stylematch.plans import catalogue, outfits
+from stylematch.plans import catalogue, loading, outfits
 from stylematch.session import scratch_path
 from stylematch.sources.delimited import read_delimited, write_delimited
 from stylematch.sources.outfit_labels import FIELD, LIST_FIELDS, PARTS, RECT, read_label_documents
 from stylematch.workload.registry import query
-from stylematch.workload.tables import derived, table
+from stylematch.workload.tables import derived, seasons, table
 
 
 @query(
@@ -174,3 +174,73 @@ def label_crop_boxes(spark, sf):
 def image_folders(spark, sf):
     """Target file and folder of each top image."""
     return outfits.image_folders(derived(spark, sf, "tops"), "top")
+
+
+@query(
+    "loaded_seasons", "S2 S4 S9 J6 F15", tables="seasons",
+    sql="""
+    SELECT item_id, spring + CAST(0.5 AS DOUBLE) AS spring, summer, CAST(0 AS DOUBLE) AS fall, winter FROM seasons
+    WHERE item_id % 7 <> 0""",
+)
+def loaded_seasons(spark, sf):
+    """Season votes with decimal commas and blanks; rows of unknown items are skipped."""
+    key = F.col("item_id")
+    raw = seasons(spark, sf).select(
+        F.when(key % 7 == 0, key + 90_000_000).otherwise(key).cast("string").alias("perfume_id "),
+        F.concat(F.col("spring").cast("int").cast("string"), F.lit(",5")).alias("Spring"),
+        F.concat(F.lit(" "), F.col("summer").cast("string")).alias("SUMMER"), F.lit(" ").alias("fall"), F.col("winter").cast("string").alias("Winter"),
+    )
+    return loading.load_seasons(raw, derived(spark, sf, "items"))[0]
+
+
+@query(
+    "loaded_users", "S2 S4 J7 F16 F17", tables="users tops dresses",
+    sql="""
+    SELECT user_id, t.id AS top_id, b.id AS bottom_id, d.id AS dress_id, season, nullif(trim(disliked_accord), '') AS disliked_accord
+    FROM users u LEFT JOIN tops t ON t.id = u.top_id LEFT JOIN tops b ON b.id = u.bottom_id LEFT JOIN dresses d ON d.id = u.dress_id
+    WHERE user_id <> 0""",
+)
+def loaded_users(spark, sf):
+    """Users from text columns; unknown garments become null, rows without an id are left out."""
+    raw = derived(spark, sf, "users").select(
+        F.concat(F.col("user_id").cast("string"), F.lit(".0")).alias("사용자_식별자"), F.col("top_id").cast("string").alias("상의_식별자"),
+        F.format_number("bottom_id", 0).alias("하의_식별자"), F.coalesce(F.col("dress_id").cast("string"), F.lit(" ")).alias("원피스_식별자 "),
+        F.col("season").alias("계절"), F.col("disliked_accord").alias("비선호_향조"),
+    )
+    return loading.load_users(raw, derived(spark, sf, "tops"), derived(spark, sf, "dresses"))
+
+
+@query(
+    "loaded_ratings", "S3 S4 J7 F16 F17", tables="items",
+    sql="""
+    SELECT l_orderkey * 10 + l_linenumber AS rate_id, o_custkey AS smelling_user_id, i.item_id, CAST(l_quantity AS BIGINT) AS smelling_rate,
+      nullif(trim(l_returnflag), '') AS brand, count(*) AS n
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN items i ON i.item_id = l_partkey + CASE WHEN l_partkey % 31 = 0 THEN 90000000 ELSE 0 END
+    GROUP BY ALL""",
+)
+def loaded_ratings(spark, sf):
+    """The rating log from text columns; unknown items become null."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    part = F.col("l_partkey")
+    raw = table(spark, sf, "lineitem").join(orders, "l_orderkey").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("rate_id"),
+        F.col("o_custkey").cast("string").alias("smelling_user_id"),
+        (part + F.when(part % 31 == 0, F.lit(90_000_000)).otherwise(F.lit(0))).cast("string").alias("perfume_id"),
+        F.col("l_quantity").cast("string").alias("smelling_rate"), F.concat(F.lit(" "), "l_returnflag").alias("Brand"),
+    )
+    loaded = loading.load_ratings(raw, derived(spark, sf, "tops"), derived(spark, sf, "dresses"), derived(spark, sf, "items"))
+    return loaded.groupBy("rate_id", "smelling_user_id", "item_id", "smelling_rate", "brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "loaded_colours", "S3 F19 S9", tables="messy_texts",
+    sql="""
+    SELECT nullif(trim(other), '') || id AS accord, CASE WHEN nullif(trim(text), '') IS NULL THEN '#CCCCCC' WHEN starts_with(trim(text), 'rgb') THEN trim(text)
+      ELSE 'rgb' || trim(text) END AS color FROM messy_texts WHERE other IS NOT NULL""",
+)
+def loaded_colours(spark, sf):
+    """Accord colours with a default for blank ones; rows without an accord are left out."""
+    raw = derived(spark, sf, "messy_texts").select(
+        F.concat(F.lit(" "), "other", F.col("id").cast("string")).alias("MainAccord"), F.col("text").alias("Color"),
+    )
+    return loading.load_accord_colours(raw)
