@@ -6,15 +6,20 @@ sums per cluster. A sweep runs all its k in the same pass. The plan of a round n
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylematch.session import spread
+from stylematch.session import shuffle_width, spread
+
+# the functions below run in Python workers that do not have this package installed
+register_pickle_by_value(sys.modules[__name__])
 
 CATEGORY = "c:"
 
@@ -101,6 +106,8 @@ def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> list:
         )
 
     parts = rows.select("vector", "category").mapInPandas(partial, "k int, cluster int, key string, value double")
+    # already summed per task; one placement by cluster serves both aggregations
+    parts = parts.repartition(shuffle_width(rows.sparkSession), "k", "cluster")
     totals = parts.groupBy("k", "cluster", "key").agg(F.sum("value").alias("value"))
     slot = F.when(F.col("key").startswith(CATEGORY), F.lit("mode")).otherwise(F.col("key"))
     return totals.groupBy("k", "cluster", slot.alias("slot")).agg(
