@@ -12,14 +12,15 @@ from stylematch.session import cut_lineage, stage
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    """(value, n), most frequent first."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column)
 
 
 def value_shares(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """Most frequent values with their share of all non-null values."""
     present = df.filter(F.col(column).isNotNull())
     total = present.count()
-    best = value_counts(present, column).orderBy(F.col("n").desc(), F.col(column)).limit(k)
+    best = value_counts(present, column).limit(k)
     return best.withColumn("share", F.col("n") / F.lit(float(total)))
 
 

@@ -133,7 +133,7 @@ def allowed_items_per_dislike(spark, sf):
     """Items left per dislike list; null accords never match and an empty list excludes nothing."""
     lists = ["", "woody", " rose , iris ", "lavender,,amber", "green"]
     items = derived(spark, sf, "items").withColumn("l", F.explode(F.array(*[F.lit(x) for x in lists])))
-    tidy = F.filter(trimmed_list(F.col("l")), lambda x: x.isNotNull())
+    tidy = trimmed_list(F.col("l"), keep_blank=False)
     kept = items.filter(~filters.disliked(F.array("accord1", "accord2", "accord3"), tidy))
     return kept.groupBy(F.regexp_replace(F.trim("l"), " *, *", ",").alias("dislikes")).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("item_id").alias("id_sum")
