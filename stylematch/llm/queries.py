@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import near_dedup
+from stylematch.llm import fingerprints, near_dedup, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,26 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its group of near-duplicates."""
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@_register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets: counts and digest of the fixed patterns, and all spans."""
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    told = "s -> concat_ws(':', s.kind, s.start, s.end)"
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = F.expr(f"sha2(array_join(transform(filter(spans, s -> s.kind <> 'novel'), {told}), ','), 256)").alias("base_sha256")
+    return found.select("doc_id", *counts[:3], base, F.expr(f"array_join(transform(spans, {told}), ',')").alias("spans"), counts[3])
+
+
+@_register
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and the likeness to that and to the next document."""
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
