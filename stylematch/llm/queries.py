@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import fingerprints, near_dedup, quality, secret_scan
+from stylematch.llm import fingerprints, html_text, mixing, near_dedup, quality, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,22 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_register
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@_register
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from normalised archives."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("url")
+
+
+@_register
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes from it."""
+    mixed = mixing.taken_words(*mixing.mix_sources(_table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
