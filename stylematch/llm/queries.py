@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import fingerprints, html_text, mixing, near_dedup, quality, secret_scan, warc
+from stylematch.llm import fingerprints, html_text, line_dedup, mixing, near_dedup, quality, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes from it."""
     mixed = mixing.taken_words(*mixing.mix_sources(_table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@_register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that match an earlier line."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_similar_lines(docs, count="n_removed").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
