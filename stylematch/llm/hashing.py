@@ -57,9 +57,9 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word in the bytes, and the words' bounds by row: row i has words bounds[i]:bounds[i + 1]."""
-    inside = IS_WORD[data]
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of ``letters`` in the bytes, and the words' bounds by row: row i has words bounds[i]:bounds[i + 1]."""
+    inside = letters[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     if len(data):
         edge[1:-1] = inside[1:] & ~inside[:-1]
@@ -77,12 +77,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, letters: np.ndarray = IS_WORD) -> np.ndarray:
     """A 64-bit hash of every word; with ``fold``, A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    own = data[IS_WORD[data]]
+    own = data[letters[data]]
     heads = np.cumsum(lengths) - lengths
     places = np.arange(len(own)) - np.repeat(heads, lengths)
     by_place = constants(int(lengths.max()), 23)

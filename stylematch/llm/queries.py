@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import fingerprints, html_text, line_dedup, mixing, near_dedup, quality, secret_scan, warc
+from stylematch.llm import chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dedup, quality, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,34 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that match an earlier line."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_similar_lines(docs, count="n_removed").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+
+
+@_register
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item that it holds."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_chat_snapshots"] = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM turns
+), kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies FROM placed
+  WHERE place = n_turns AND prefix NOT IN (SELECT prefix FROM placed WHERE place < n_turns)
+  GROUP BY prefix, n_turns
+)
+SELECT conv_id, turn // 256 AS part, n_turns, copies,
+  string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+FROM kept JOIN turns USING (conv_id) GROUP BY conv_id, turn // 256, n_turns, copies
+"""
