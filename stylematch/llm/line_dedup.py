@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from stylematch.session import stage
 
 #: Cells of the table that orders tokens by rarity: a byte each.
-CELLS = 1 << 22
+CELLS = 1 << 18
 _LOW = (1 << 57) - 1
+_ODD_BLANKS = "\t\x0b\x0c\r"
 
 
 def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,68 +19,85 @@ def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("_doc", F.xxhash64("_id", "_text"))
 
 
-def _tokens(line: Column) -> Column:
-    """The distinct hashed words of a line, lower-cased and parted by white space."""
-    parts = F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " ")
-    return F.array_distinct(F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w)))
+def _plain(text: Column) -> Column:
+    """The text in lower case with spaces as its only blanks; the slow translation runs only where it is needed."""
+    odd = F.lit(False)
+    for blank in _ODD_BLANKS:
+        odd = odd | text.contains(blank)
+    return F.lower(F.when(odd, F.translate(text, _ODD_BLANKS, "    ")).otherwise(text))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select("_id", "_doc", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    return rows.select("_id", "_doc", "line_no", _tokens(F.col("line")).alias("tokens"))
+    """(_id, _doc, line_no, tokens): the distinct hashed words of each line."""
+    rows = docs.select("_id", "_doc", F.posexplode(F.split(_plain(F.col("_text")), "\n")).alias("line_no", "line"))
+    return rows.select("_id", "_doc", "line_no", F.array_remove(F.array_distinct(_hashed(F.split("line", " "))), F.xxhash64(F.lit(""))).alias("tokens"))
+
+
+def _rarity(docs: DataFrame, cells: int) -> Column:
+    """An array with a byte per cell of hashed words: 1 + twice the log2 of how many words of the documents fall in it."""
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("_text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
+    ranks = counts.select("cell", F.least(F.lit(62), F.floor(1 + 2 * F.log2("n"))).cast("tinyint").alias("rank"))
+    every = docs.sparkSession.range(cells).join(ranks, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("rank", F.lit(0).cast("tinyint")).alias("rank"))
+    listed = stage(every, "rarity").agg(F.array_sort(F.collect_list(F.struct("id", "rank"))).alias("cells"))
+    return listed.select(F.transform("cells", lambda c: c["rank"])).scalar()
+
 
+def _parity(tokens: Column, half: int) -> Column:
+    """Half of 128 bits that each token flips one of: two sets differ in at least as many tokens as bits."""
+    def flipped(t: Column) -> Column:
+        own = F.shiftright(t, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("long")
+        return F.call_function("shiftleft", own, t.bitwiseAND(F.lit(63)).cast("int"))
 
-def _rarity(lines: DataFrame, cells: int) -> Column:
-    """An array with a byte per cell of hashed tokens: twice the log2 of how many (line, token) fall in it; 0 for one or none."""
-    cell = F.pmod(F.col("token"), F.lit(cells)).cast("int")
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    # Only cells that hold more than one are gathered; the size of the whole is fixed by ``cells``.
-    ranks = counts.filter("n > 1").select("cell", F.greatest(F.lit(1), F.floor(2 * F.log2("n"))).cast("tinyint").alias("rank"))
-    rows = F.lit(1 << 10)
-    strips = ranks.withColumn("strip", F.expr("cell div 1024")).groupBy("strip").agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("cell") % 1024).alias("at"), "rank"))).alias("held"))
-    all_strips = lines.sparkSession.range(cells // 1024).select(F.col("id").cast("int").alias("strip")).join(strips, "strip", "left")
-    filled = all_strips.select("strip", F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.coalesce(F.try_element_at("held", i.cast("int")), F.lit(0).cast("tinyint"))).alias("ranks"))
-    return stage(filled, "rarity").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("strip", "ranks"))), lambda s: s["ranks"])).alias("ranks")).scalar()
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(flipped(t)))
 
 
 def similar_line_sets(docs: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """Lines and their sets: (_id, _doc, line_no, k), and per set k its first line and whether an earlier set is similar.
+    """Lines and their sets: (_id, _doc, line_no, k), and (k, doc, line, late) for the sets with copies or a match.
 
-    ``docs`` comes from ``_doc_key``. See ``drop_similar_lines``.
+    ``doc`` and ``line`` are the place of the set's first line, ``late`` is whether an earlier set is similar. ``docs``
+    comes from ``_doc_key``. See ``drop_similar_lines``.
     """
-    table = _rarity(_lines(docs), cells)
-    lines = _lines(docs).withColumn("ranks", table).select(
-        "_id", "_doc", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("k"),
-        F.transform("tokens", lambda t: F.shiftleft(F.element_at("ranks", (F.pmod(t, F.lit(cells)) + 1).cast("int")).cast("long"), 57).bitwiseOR(t.bitwiseAND(F.lit(_LOW)))).alias("ranked"),
-    ).filter("n > 0")
-    prefix = F.slice(F.sort_array("ranked"), F.lit(1), F.expr("n - CAST(ceil(n * 3 / 4) AS INT) + 1"))
-    lines = stage(lines.select("_id", "_doc", "line_no", "n", "k", prefix.alias("prefix")), "lines")
+    lines = _lines(docs).filter("size(tokens) > 0").withColumn("ranks", _rarity(docs, cells))
+    ranked = F.transform("tokens", lambda t: F.shiftleft(F.get("ranks", t.bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), 57) + t.bitwiseAND(F.lit(_LOW)))
+    lines = lines.select(
+        "_id", "_doc", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("k"), F.sort_array(ranked).alias("ranked"),
+        _parity(F.col("tokens"), 0).alias("p0"), _parity(F.col("tokens"), 1).alias("p1"))
+    prefix = F.transform(F.slice("ranked", F.lit(1), F.expr("n - CAST(ceil(n * 3 / 4) AS INT) + 1")), lambda t: F.hash(t))
+    lines = stage(lines.select("_id", "_doc", "line_no", "n", "k", "p0", "p1", prefix.alias("prefix")), "lines")
 
     order = F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_doc").alias("doc"), F.col("line_no").alias("line"))
-    sets = lines.groupBy("k").agg(F.min(F.struct(order.alias("at"), "n", "prefix")).alias("s"), F.count("*").alias("copies"))
-    sets = stage(sets.select("k", "s.at", "s.n", "s.prefix", "copies"), "sets")
-
-    # A token that no other (line, token) shares a cell with has rank 0 and cannot join.
-    posted = sets.select("k", "n", F.posexplode("prefix").alias("i", "token")).filter(F.col("token") > _LOW)
-    short = posted.filter("i < n - CAST(ceil(n * 6 / 7) AS INT) + 1").select("token", F.col("k").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
-    met = posted.join(short, "token").filter("(m < n OR m = n AND a < k) AND 4 * m >= 3 * n AND least(i, j) + 1 + least(n - i - 1, m - j - 1) >= ceil((n + m) * 3 / 7)")
-    pairs = stage(met.select("a", F.col("k").alias("b")).distinct(), "pairs")
-
-    asked = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    at = sets.join(asked, "k", "left_semi").select("k", "at")
-    where = stage(at.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line_no")), "asked")
-    texts = docs.join(where.select("doc").distinct(), F.col("_doc") == F.col("doc"), "left_semi")
-    full = _lines(texts).withColumnRenamed("line_no", "at_line").join(where, (F.col("_doc") == F.col("doc")) & (F.col("at_line") == F.col("line_no")))
-    full = stage(full.select("k", "tokens").dropDuplicates(["k"]), "full")
-    one = full.select(F.col("k").alias("a"), F.col("tokens").alias("x"))
-    two = full.select(F.col("k").alias("b"), F.col("tokens").alias("y"))
+    sets = lines.groupBy("k").agg(F.min(F.struct(order.alias("at"), "n", "p0", "p1", "prefix")).alias("s"), F.count("*").alias("copies"))
+    sets = stage(sets.select("k", "s.*", "copies").withColumn("set", F.monotonically_increasing_id()), "sets")
+
+    posted = sets.select("set", "n", "p0", "p1", F.posexplode("prefix").alias("i", "token"))
+    short = posted.filter("i < n - CAST(ceil(n * 6 / 7) AS INT) + 1")
+    short = short.select("token", F.col("set").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    asked = "CAST(ceil((n + m) * 3 / 7) AS INT)"
+    met = posted.join(short, "token").filter(
+        f"(m < n OR m = n AND a < set) AND 4 * m >= 3 * n AND least(i, j) + 1 + least(n - i - 1, m - j - 1) >= {asked} "
+        f"AND bit_count(p0 ^ q0) + bit_count(p1 ^ q1) <= n + m - 2 * {asked}")
+    pairs = stage(met.select("a", F.col("set").alias("b")).distinct(), "pairs")
+
+    places = sets.select("set", "k", "at")
+    asked = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    where = stage(places.join(asked, "set").select("set", F.col("at.doc").alias("doc"), F.col("at.line").alias("line")), "asked")
+    texts = docs.join(where.select("doc").distinct(), F.col("_doc") == F.col("doc"), "left_semi").dropDuplicates(["_doc"])
+    full = _lines(texts).join(where, (F.col("_doc") == F.col("doc")) & (F.col("line_no") == F.col("line")))
+    full = stage(full.select("set", "tokens"), "full")
+    one = full.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
+    two = full.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
     common = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
     similar = common.filter("4 * common >= 3 * (both - common)").select("a", "b")
-    first, second = at.select(F.col("k").alias("a"), F.col("at").alias("at_a")), at.select(F.col("k").alias("b"), F.col("at").alias("at_b"))
-    placed = similar.join(first, "a").join(second, "b")
-    late = stage(placed.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct(), "late")
-    marked = sets.filter("copies > 1").select("k", "at").join(late.withColumn("late", F.lit(True)), "k", "full")
+    first = places.select(F.col("set").alias("a"), F.col("at").alias("at_a"), F.col("k").alias("k_a"))
+    second = places.select(F.col("set").alias("b"), F.col("at").alias("at_b"), F.col("k").alias("k_b"))
+    late = similar.join(first, "a").join(second, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("k_b")).otherwise(F.col("k_a")).alias("k")).distinct()
+    late = stage(late, "late").withColumn("late", F.lit(True))
+    marked = sets.select("k", "at", "copies").join(late, "k", "left").filter("copies > 1 OR late")
     return lines.select("_id", "_doc", "line_no", "k"), marked.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), F.coalesce("late", F.lit(False)).alias("late"))
 
 
@@ -94,11 +112,12 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns of ``docs`` are kept; with ``count``, a column of that name tells how many lines went.
 
     Method. Equal sets are one set, at the place of their first line. Tokens are ordered by rarity: by the logarithm of
-    the count of their cell in a table of hashed tokens over all lines, then by hash. A set of n tokens is posted under
-    its first n - ceil(3n/4) + 1 tokens; the smaller set of a pair needs only its first n - ceil(6n/7) + 1. Postings
-    meet under the length filter (4m >= 3n) and the positional filter (the tokens that are left can still reach the
-    overlap asked for), and the pairs are verified on whole sets. Any order of tokens gives the exact result; the table
-    only makes the postings short. Its size is fixed by ``cells``, a byte each, and it reaches each task with the plan.
+    the count of their cell in a table of hashed words over all documents, then by hash. A set of n tokens is posted
+    under its first n - ceil(3n/4) + 1 tokens; the smaller set of a pair needs only its first n - ceil(6n/7) + 1.
+    Postings meet under the length filter (4m >= 3n), the positional filter (the tokens that are left can still reach
+    the overlap asked for) and a bound on how many tokens differ, from 128 bits that each token flips one of; the pairs
+    are verified on whole sets. Any order of tokens gives the exact result; the table only makes the postings short. It
+    has ``cells`` bytes, whatever the input, and reaches each task with the plan.
     """
     names = docs.columns
     keyed = _doc_key(docs, id_col, text_col)
