@@ -203,8 +203,8 @@ def _latent_basis(docs: DataFrame, index: Index, rank: int, seed: int = 5) -> np
 FOUND = "doc_id long, item_id long, first_word int, n_words int, cosine double, common double, answer boolean"
 
 
-def _search(docs: DataFrame, index: Index) -> DataFrame:
-    """The confirmed (document, item) pairs: every window of two tiles against every item."""
+def _matcher(index: Index):
+    """A function from a text column to the confirmed (row, item number) pairs: every window of two tiles against every item."""
     number = [index.hits(np.array(item, np.uint64))[1] for item in index.items]
     items = index.project(np.concatenate(number), np.repeat(np.arange(len(number)), [len(x) for x in number]), len(number))
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
@@ -218,47 +218,69 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
         has = bool(answer) and any(passage[i:i + len(answer)] == answer for i in range(len(passage) - len(answer) + 1))
         return (common, has) if common >= COMMON or has else None
 
+    def matches(column: pa.Array) -> dict[tuple[int, int], tuple]:
+        best: dict[tuple[int, int], tuple] = {}
+        for row, hashes, bounds, tile, first in _chunks(column):
+            at, number = index.hits(hashes)
+            if not len(at):
+                continue
+            tiles = int(first[-1])
+            vectors = index.project(number, tile[at], tiles)
+            doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+            pair = np.flatnonzero(doc_of[:-1] == doc_of[1:])
+            alone = np.setdiff1d(np.arange(tiles), np.concatenate([pair, pair + 1]))
+            heads = np.concatenate([pair, alone])
+            windows = np.concatenate([vectors[pair] + vectors[pair + 1], vectors[alone]])
+            norms = np.linalg.norm(windows, axis=1)
+            some = np.flatnonzero(norms > 0)
+            for start in range(0, len(some), 4096):
+                part = some[start:start + 4096]
+                likeness = (windows[part] / norms[part, None]) @ items.T
+                for w, item in zip(*np.nonzero(likeness >= COSINE)):
+                    head = int(heads[part[w]])
+                    doc = int(doc_of[head])
+                    low, high = int(bounds[doc]), int(bounds[doc + 1])
+                    place = low + (head - int(first[doc])) * TILE
+                    reach = max(TILE, len(index.items[item]) // 2)
+                    a, b = max(low, place - reach), min(high, place + 2 * TILE + reach)
+                    got = confirm(hashes, a, b, int(item))
+                    if got:
+                        key = (row + doc, int(item))
+                        found = (got[0], got[1], float(likeness[w, item]), a - low, b - a)
+                        best[key] = max(best.get(key, found), found)
+        return best
+
+    return matches
+
+
+def _search(docs: DataFrame, index: Index) -> DataFrame:
+    matches, ids_of = _matcher(index), index.ids
+
     def find(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            best: dict[tuple[int, int], tuple] = {}
-            for row, hashes, bounds, tile, first in _chunks(batch.column(1)):
-                at, number = index.hits(hashes)
-                if not len(at):
-                    continue
-                tiles = int(first[-1])
-                vectors = index.project(number, tile[at], tiles)
-                doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-                pair = np.flatnonzero(doc_of[:-1] == doc_of[1:])
-                joined = np.unique(np.concatenate([pair, pair + 1]))
-                alone = np.setdiff1d(np.arange(tiles), joined, assume_unique=True)
-                heads = np.concatenate([pair, alone])
-                windows = np.concatenate([vectors[pair] + vectors[pair + 1], vectors[alone]])
-                norms = np.linalg.norm(windows, axis=1)
-                some = np.flatnonzero(norms > 0)
-                for start in range(0, len(some), 4096):
-                    part = some[start:start + 4096]
-                    likeness = (windows[part] / norms[part, None]) @ items.T
-                    for w, item in zip(*np.nonzero(likeness >= COSINE)):
-                        head = heads[part[w]]
-                        doc = int(doc_of[head])
-                        low, high = int(bounds[doc]), int(bounds[doc + 1])
-                        place = low + (int(head) - int(first[doc])) * TILE
-                        reach = max(TILE, len(index.items[item]) // 2)
-                        a, b = max(low, place - reach), min(high, place + 2 * TILE + reach)
-                        got = confirm(hashes, a, b, int(item))
-                        if got:
-                            key = (row + doc, int(item))
-                            found = (got[0], got[1], float(likeness[w, item]), a - low, b - a)
-                            best[key] = max(best.get(key, found), found)
             ids = batch.column(0)
-            rows = [(ids[r].as_py(), index.ids[i], f, n, c, common, has) for (r, i), (common, has, c, f, n) in sorted(best.items())]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
+            rows = [(ids[r].as_py(), ids_of[i], f, n, c, common, has) for (r, i), (common, has, c, f, n) in sorted(matches(batch.column(1)).items())]
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in FOUND.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(find, FOUND)
 
 
+def _fitted(docs: DataFrame, benchmark: DataFrame, rank: int, items: int) -> Iterator[Index]:
+    """The fitted index of each block of ``items`` items, one after the other."""
+    asked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    blocks = max(1, -(-asked.count() // items))
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        rows = [r for r in rows if len(hashed_words(r["text"] or ""))]
+        if rows:
+            index = _index(rows)
+            index = _selected(index, *_frequencies(docs, index))
+            index.basis = _latent_basis(docs, index, rank)
+            yield index
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, cosine, common, answer): the documents that hold benchmark items.
 
@@ -275,20 +297,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, items:
     Empty tables give an empty result. Other columns are not read.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    asked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
-    blocks = max(1, -(-asked.count() // items))
-    found = []
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        rows = [r for r in rows if len(hashed_words(r["text"] or ""))]
-        if rows:
-            index = _index(rows)
-            index = _selected(index, *_frequencies(docs, index))
-            index.basis = _latent_basis(docs, index, rank)
-            found.append(stage(_search(docs, index), "found"))
-    if not found:
-        return docs.sparkSession.createDataFrame([], FOUND)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for index in _fitted(docs, benchmark, rank, items):
+        out = out.unionByName(stage(_search(docs, index), "found"))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, items: int = ITEMS) -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark item; see ``contaminated``. Null and repeated ids do not matter."""
+    texts, at = docs.select(docs["text"].cast("string").alias("text")), docs.columns.index("text")
+    out = docs
+    for index in _fitted(texts, benchmark, rank, items):
+        matches = _matcher(index)
+
+        def kept(batches, matches=matches):
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[row for row, _ in matches(batch.column(at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = stage(out.mapInArrow(kept, out.schema), "clean")
     return out
