@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import any_list
+from stylematch.operators.ordered import rank_in_group
 from stylematch.session import stage
 
 
@@ -42,8 +43,7 @@ def ordinal_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
         .filter(F.col("value").isNotNull()).distinct()
     )
-    code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-    return values.withColumn("code", code)
+    return rank_in_group(values, "column", "value", "code")
 
 
 def ordinal_encode(df: DataFrame, columns: Sequence[str], codes: DataFrame) -> DataFrame:
@@ -60,13 +60,16 @@ def label_decode(df: DataFrame, column: str, codes: DataFrame, name: str, out: s
 
 
 def stratified_split(
-    df: DataFrame, label: str, row_id: str, test_share: float = 0.2, seed: int = 42, cells: int = 256
+    df: DataFrame, label: str, row_id: str, test_share: float = 0.2, seed: int = 42, cell_rows: int = 10_000
 ) -> DataFrame:
     """Adds ``is_test``: exactly round(n * test_share) rows of each class, chosen by hash order.
 
     Rows are counted per (class, hash cell) and the cells of a class are chained by their counts. A cell lies
-    before or behind the border of its class as a whole; only the rows of the border cell are ranked.
+    before or behind the border of its class as a whole; only the rows of the border cell are ranked. There are as many
+    cells as the largest class has ``cell_rows`` rows, so that cell does not grow with the table.
     """
+    largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cells = largest // cell_rows + 1
     hashed = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
     hashed = hashed.withColumn("_cell", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(cells)))
     sizes = hashed.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_size"))

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylematch.session import shuffle_width
+from stylematch.session import shuffle_width, stage
 
 # part -> columns taken from its clothes table
 PART_COLUMNS = {
@@ -82,6 +82,18 @@ def first_match(choices: DataFrame, table: DataFrame, on: Sequence[str], id_col:
     return choices.join(lowest, list(on), "left")
 
 
+def first_garment(choices: DataFrame, garments: DataFrame, part: str, out: str, id_col: str = "id") -> DataFrame:
+    """Lowest garment id for the chosen part: a dress by its colour, a top or bottom by category and colour.
+
+    Tops and bottoms need both choices as columns; a row in which one of them is null matches nothing.
+    """
+    wanted = [f"{part}_color"] if part == "dress" else [f"{part}_category", f"{part}_color"]
+    missing = [c for c in wanted if c not in choices.columns]
+    if missing:
+        raise ValueError(f"a {part} is chosen by {' and '.join(wanted)}: {', '.join(missing)} is missing")
+    return first_match(choices, garments, wanted, id_col, out)
+
+
 def agreement(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Share of keys on which two labelings agree; null never agrees."""
     joined = a.select(key, F.col(left).alias("_l")).join(b.select(key, F.col(right).alias("_r")), key)
@@ -97,50 +109,37 @@ def latest_bundle(log: DataFrame, session: str, items: DataFrame, item_id: str =
     return log.join(newest, session).join(items.select(item_id, "name"), item_id, "left")
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = 0.01) -> list:
-    """Keys that hold more than ``share`` of the counted rows; there are fewer than ``1/share`` of them."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.filter((F.col(n) > total * share) & F.col(key).isNotNull()).select(key).collect()]
+SALT_ROWS = 100_000
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, key: str, row_id: str, salts: int = 32, how: str = "inner",
-    hot: list | None = None,
-) -> DataFrame:
-    """Equi-join that spreads the hot keys of ``big`` over ``salts`` partitions.
+def salted_join(big: DataFrame, small: DataFrame, key: str, row_id: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join that spreads every frequent key of ``big`` over one salt per ``SALT_ROWS`` of its rows.
 
-    Only the hot keys (fewer than ``1/share`` of ``hot_keys``) are copied on the small side.
+    ``counts`` holds (key, n) where they are known already; only the keys that get more than one salt are used of them.
+    Both sides take the number of salts from that table, so the small side is copied once per salt of a key and a
+    salted key is never more than about ``SALT_ROWS`` rows in a task, however frequent it is.
     """
-    if hot is None:
-        hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
-    if not hot:
+    if counts is None:
+        counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = stage(counts.filter(F.col("n") > SALT_ROWS).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
         return big.join(small, key, how)
-    slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")
-    salted = big.withColumn("_salt", F.when(F.col(key).isin(hot), slot).otherwise(F.lit(0)))
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = small.withColumn("_salt", F.explode(copies))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    salts = F.coalesce("_salts", F.lit(1))
+    # fewer than rows / SALT_ROWS keys are hot; both sides learn their salts from that table
+    salted = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(F.col(row_id)), salts).cast("int")).drop("_hot", "_salts")
+    copied = small.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
+    return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
-# right sides up to this many (narrow) rows are copied to every executor instead of once per slot
-BROADCAST_ROWS = 50_000
-
-
-def fanned_join(
-    left: DataFrame, right: DataFrame, key: str, left_id: str, right_rows: int, fan: int | None = None
-) -> DataFrame:
+def fanned_join(left: DataFrame, right: DataFrame, key: str, left_id: str, fan: int | None = None) -> DataFrame:
     """Equi-join on a key with few values, in which every left row grows by the right rows of its key.
 
-    ``right_rows`` is the counted size of the right side. A small one is broadcast and the left rows are placed by
-    their id. A larger one is copied once per slot, and every left row goes to the slot of its id, so that a key
-    with many rows is spread over all slots. Either way the left side is placed with a fixed width (a width chosen
-    by its own small size would put the growth into one task), and windows by (key, _slot, left_id) need no
-    further shuffle.
+    The right side is copied once per slot and every left row goes to the slot of its id, so that a key with many rows
+    is spread over all slots; the same form serves all sizes. The left side is placed with a fixed width (a width chosen
+    by its own small size would put the growth into one task), and windows by (key, _slot, left_id) need no further
+    shuffle.
     """
     width = shuffle_width(left.sparkSession)
-    if fan is None and right_rows <= BROADCAST_ROWS:
-        placed = left.withColumn("_slot", F.lit(0)).repartition(width, left_id)
-        return placed.join(F.broadcast(right), key)
     fan = fan or width
     slotted = left.withColumn("_slot", F.pmod(F.xxhash64(F.col(left_id)), F.lit(fan)).cast("int"))
     copied = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
@@ -148,11 +147,14 @@ def fanned_join(
 
 
 def outer_join_spread(left: DataFrame, right: DataFrame, key: str, row_id: str, spots: int = 1024) -> DataFrame:
-    """Left join on one key; rows whose key is null are spread by their id instead of meeting in one task."""
-    nowhere = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(spots)).cast("string"))
-    keyed = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), nowhere))
-    side = right.withColumn("_key", F.col(key).cast("string")).drop(key)
-    return keyed.join(side, "_key", "left").drop("_key")
+    """Left join on one key; rows whose key is null are spread by their id instead of meeting in one task.
+
+    The key keeps its type, so keys of two types meet as in a plain join.
+    """
+    spot = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(spots)).cast("int")).otherwise(F.lit(-1))
+    keyed = left.withColumn("_spot", spot)
+    side = right.withColumnRenamed(key, "_key").withColumn("_at", F.lit(-1))
+    return keyed.join(side, (F.col(key) == F.col("_key")) & (F.col("_spot") == F.col("_at")), "left").drop("_key", "_spot", "_at")
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

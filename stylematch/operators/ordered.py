@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylematch.session import shuffle_width, stage
+
 
 def _ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
     numeric = df.withColumn("_pos", F.col(order).cast("double"))
@@ -30,7 +32,7 @@ def with_previous(df: DataFrame, order: str, columns: Sequence[str], ranges: int
 
     ``order`` must be numeric and unique.
     """
-    cut = _ranges(df, order, _range_count(df, ranges))
+    cut = _ranges(stage(df, "ordered"), order, _range_count(df, ranges))
     values = F.struct(*[F.col(c) for c in columns])
     inside = Window.partitionBy("_range").orderBy(order)
     last = cut.groupBy("_range").agg(F.max_by(values, order).alias("_last"))
@@ -82,6 +84,21 @@ def with_position(df: DataFrame, order: str, out: str = "position", ranges: int
     )
 
 
+def rank_in_group(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """Dense 0-based place of each row in its group by a unique column of any type, nulls first.
+
+    Rows are dealt by ranges of (group, order) and numbered in their range; per range and group only a count crosses
+    the border, so a group with many rows is many tasks.
+    """
+    dealt = df.repartitionByRange(shuffle_width(df.sparkSession), group, order).sortWithinPartitions(group, order)
+    placed = stage(dealt.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "ranks")
+    parts = placed.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    joined = placed.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first")).cast("int").alias(out))
+
+
 def first_of_group(df: DataFrame, group: str, columns: Sequence[str], order: str) -> DataFrame:
     """Every row takes the columns of its group's first row."""
     firsts = df.groupBy(group).agg(

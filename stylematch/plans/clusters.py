@@ -16,7 +16,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylematch.session import shuffle_width, spread
+from stylematch.session import stage
 
 # the functions below run in Python workers that do not have this package installed
 register_pickle_by_value(sys.modules[__name__])
@@ -63,11 +63,19 @@ def mismatch_weight(rows: DataFrame) -> float:
 
 
 def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int) -> dict[int, Prototypes]:
-    """The first k distinct rows in hash order are the first centres."""
-    distinct = rows.groupBy("vector", "category").agg(F.min("row_id").alias("row_id"))
-    chosen = distinct.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(max(ks)).collect()
-    if len(chosen) < max(ks):
-        raise ValueError(f"only {len(chosen)} distinct rows for {max(ks)} clusters")
+    """The first k distinct rows in hash order are the first centres.
+
+    Only the first rows are compared: if they repeat each other too often, twice as many are taken.
+    """
+    need, take = max(ks), 4 * max(ks)
+    while True:
+        first = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(take).collect()
+        chosen = list({(tuple(r["vector"]), r["category"]): r for r in reversed(first)}.values())[::-1][:need]
+        if len(chosen) == need:
+            break
+        if len(first) < take:
+            raise ValueError(f"only {len(chosen)} distinct rows for {need} clusters")
+        take *= 2
     return {
         k: Prototypes(k, np.array([r["vector"] for r in chosen[:k]], dtype=float), [r["category"] for r in chosen[:k]], gamma)
         for k in ks
@@ -106,8 +114,7 @@ def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> list:
         )
 
     parts = rows.select("vector", "category").mapInPandas(partial, "k int, cluster int, key string, value double")
-    # already summed per task; one placement by cluster serves both aggregations
-    parts = parts.repartition(shuffle_width(rows.sparkSession), "k", "cluster")
+    # summed per task already, and again by key, so that no task holds all parts of a cluster
     totals = parts.groupBy("k", "cluster", "key").agg(F.sum("value").alias("value"))
     slot = F.when(F.col("key").startswith(CATEGORY), F.lit("mode")).otherwise(F.col("key"))
     return totals.groupBy("k", "cluster", slot.alias("slot")).agg(
@@ -132,26 +139,23 @@ def _updated(model: Prototypes, sums: list) -> Prototypes:
 
 
 def fit(
-    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 20, gamma: float | None = None
+    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300, gamma: float | None = None
 ) -> dict[int, Prototypes]:
-    """Centres for every k; a k stops when its centres no longer move."""
-    rows = spread(rows).persist()
-    try:
-        gamma = mismatch_weight(rows) if gamma is None else gamma
-        models = _start(rows, ks, gamma, seed)
-        active = set(ks)
-        for _ in range(rounds):
-            sums = _sums(rows, [models[k] for k in sorted(active)])
-            for k in sorted(active):
-                after = _updated(models[k], sums)
-                if np.allclose(after.centres, models[k].centres) and after.categories == models[k].categories:
-                    active.discard(k)
-                models[k] = after
-            if not active:
-                break
-        return models
-    finally:
-        rows.unpersist()
+    """Centres for every k, run until they no longer move; an error if ``rounds`` passes are not enough for that."""
+    rows = stage(rows, "vectors")
+    gamma = mismatch_weight(rows) if gamma is None else gamma
+    models = _start(rows, ks, gamma, seed)
+    active = set(ks)
+    for _ in range(rounds):
+        sums = _sums(rows, [models[k] for k in sorted(active)])
+        for k in sorted(active):
+            after = _updated(models[k], sums)
+            if np.allclose(after.centres, models[k].centres) and after.categories == models[k].categories:
+                active.discard(k)
+            models[k] = after
+        if not active:
+            return models
+    raise RuntimeError(f"the centres for k = {sorted(active)} still move after {rounds} rounds")
 
 
 def assign(rows: DataFrame, model: Prototypes) -> DataFrame:
@@ -172,7 +176,7 @@ def assign(rows: DataFrame, model: Prototypes) -> DataFrame:
     return rows.mapInPandas(label, f"row_id {kind}, category string, cluster int, distance double")
 
 
-def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 20) -> list[tuple[int, float, float]]:
+def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300) -> list[tuple[int, float, float]]:
     """(k, cost, silhouette of the numeric part) for every k.
 
     The silhouette uses squared distances, which makes the mean distance to a cluster a function of the cluster's

@@ -14,7 +14,7 @@ from stylematch.operators.sets import weight_grid
 from stylematch.plans.score import (
     by_season, distinct_profiles, item_signatures, raw_pairs, scaled_pairs, season_scaled, user_profiles,
 )
-from stylematch.session import shuffle_width
+from stylematch.session import shuffle_width, stage
 
 SCORES = ("style_score", "color_score", "season_score")
 
@@ -122,16 +122,17 @@ def search_weights(scores: DataFrame, log: DataFrame, k: int = 3, steps: int = 5
 def search_weights_all_users(
     users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame, log: DataFrame,
     k: int = 3, steps: int = 5, rated_only: bool = False, use_dislikes: bool = False,
-    null_scores_zero: bool = False,
+    null_scores_zero: bool = False, stored_as: str | None = None,
 ) -> DataFrame:
     """Weight grid for all users without a user x item score table.
 
     Users of one profile share their ranking, so directions are ranked per profile, and an item counts as many
-    hits as users of the profile rated it.
+    hits as users of the profile rated it. ``stored_as`` is the type that the scores have where they are stored.
     """
-    profiled = user_profiles(users, clothes_colours, use_dislikes)
+    profiled = stage(user_profiles(users, clothes_colours, features if use_dislikes else None), "profiled")
+    rated = stage(distinct_items(log, "user_id", "item_id"), "rated")
     if rated_only:
-        profiled = profiled.join(log.select("user_id").distinct(), "user_id", "left_semi")
+        profiled = stage(profiled.join(rated.select("user_id").distinct(), "user_id", "left_semi"), "profiled")
     signatures = item_signatures(features, k, None)
     raw = raw_pairs(distinct_profiles(profiled), signatures, style_scores, null_scores_zero=null_scores_zero)
     pairs = scaled_pairs(raw)
@@ -139,9 +140,11 @@ def search_weights_all_users(
         "profile", F.col("_b.item_id").alias("item_id"), "style_score", "color_score",
         season_scaled(F.col("_b.share")).alias("season_score"),
     )
+    if stored_as:
+        rows = rows.withColumns({c: F.col(c).cast(stored_as).cast("double") for c in SCORES})
     candidates = _front_layers(rows, ["profile", "style_score"], k)
     worth = (
-        distinct_items(log, "user_id", "item_id").join(profiled.select("user_id", "profile"), "user_id")
+        rated.join(profiled.select("user_id", "profile"), "user_id")
         .groupBy("profile", "item_id").agg(F.count(F.lit(1)).alias("n_hits"))
     )
     valued = candidates.join(worth, ["profile", "item_id"], "left").fillna(0, ["n_hits"])
@@ -154,18 +157,23 @@ def rating_correlations(
     """Pearson correlation of style, colour, season and total score with the item rating over all user/item pairs.
 
     The sums are built from one row per (season, signature) and one per profile, weighted by the users of the
-    profile; ``features`` must carry ``rating``.
+    profile; ``features`` must carry ``rating``. Ratings and shares are taken from their means over the items first,
+    style and colour scores from the middle of theirs, so that large offsets do not cancel in the power sums.
     """
-    profiled = user_profiles(users, clothes_colours)
+    profiled = stage(user_profiles(users, clothes_colours, features), "profiled")
     names = ["family", "accord1", "accord2", "accord3"]
     rows = by_season(features).filter(F.col("share").isNotNull() & F.col("rating").isNotNull() & F.col("f0").isNotNull())
-    e, r = F.col("share"), F.col("rating")
+    means = stage(rows.select("share", "rating", "season", *names, "f0", "f1", "f2"), "rated")
+    middle = means.agg(F.avg("share").alias("e"), F.avg("rating").alias("r")).first()
+    style_middle = style_scores.agg(F.avg("score")).first()[0] or 0.0
+    rows = means
+    e, r = F.col("share") - F.lit(middle["e"] or 0.0), F.col("rating") - F.lit(middle["r"] or 0.0)
     signatures = rows.groupBy("season", *names, "f0", "f1", "f2").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(e).alias("e"), F.sum(e * e).alias("ee"),
         F.sum(r).alias("r"), F.sum(r * r).alias("rr"), F.sum(e * r).alias("er"),
     )
     pairs = raw_pairs(distinct_profiles(profiled), signatures, style_scores)
-    n, s, c = F.col("n"), F.col("style_raw"), F.col("color_raw")
+    n, s, c = F.col("n"), F.col("style_raw") - F.lit(float(style_middle)), F.col("color_raw") - F.lit(50.0)
     sc = s + c
     sums = {
         "n": n, "r": F.col("r"), "rr": F.col("rr"),
@@ -177,11 +185,17 @@ def rating_correlations(
     }
     per_profile = pairs.groupBy("profile").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
 
+    offsets = {"style": float(style_middle), "color": 50.0, "season": float(middle["e"] or 0.0), "rating": float(middle["r"] or 0.0)}
+    offsets["my"] = offsets["style"] + offsets["color"] + offsets["season"]
+
     def corr(name: str, out: str) -> Column:
         total, x, xx, xr = F.col("_n"), F.col(f"_x_{name}"), F.col(f"_xx_{name}"), F.col(f"_xr_{name}")
         var_x, var_r = total * xx - x * x, total * F.col("_rr") - F.col("_r") * F.col("_r")
-        tiny = F.lit(1e-12)
-        flat = (var_x <= tiny * total * xx) | (var_r <= tiny * total * F.col("_rr"))
+        # what rounding leaves of a constant: relative to the centred sums, and to the offset that was taken away
+        def constant(var: Column, squares: Column, offset: float) -> Column:
+            return var <= F.lit(1e-12) * total * squares + F.lit(1e-28 * offset * offset) * total * total
+
+        flat = constant(var_x, xx, offsets[name]) | constant(var_r, F.col("_rr"), offsets["rating"])
         return F.when(~flat, (total * xr - x * F.col("_r")) / (F.sqrt(var_x) * F.sqrt(var_r))).alias(out)
 
     measures = [corr("style", "corr_style"), corr("color", "corr_color"), corr("season", "corr_season"), corr("my", "corr_myscore")]
@@ -194,9 +208,13 @@ def rating_correlations(
 
 
 def epsilon_histograms(
-    scores: DataFrame, columns: Sequence[str] = SCORES, epsilons: Sequence[float] = (0.01, 0.02, 0.05), bins: int = 30
+    scores: DataFrame, columns: Sequence[str] = SCORES, epsilons: Sequence[float] = (0.01, 0.02, 0.05), bins: int = 30,
+    times: str | None = None,
 ) -> DataFrame:
-    """(column, epsilon, bin, n): counts of each smoothed score in equal bins between its extremes."""
+    """(column, epsilon, bin, n): counts of each smoothed score in equal bins between its extremes.
+
+    A row counts as often as its column ``times`` says, so one row can stand for all users of a profile.
+    """
     ends = scores.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]).first()
     values = [
         F.struct(
@@ -205,11 +223,12 @@ def epsilon_histograms(
         )
         for c in columns for e in epsilons
     ]
-    long = scores.select(F.explode(F.array(*values)).alias("v")).select("v.*")
+    weight = F.col(times) if times else F.lit(1).cast("long")
+    long = scores.select(weight.alias("_times"), F.explode(F.array(*values)).alias("v")).select("_times", "v.*")
 
     def moved(c: str) -> Column:
         return (F.col(c) + F.col("epsilon")) / (F.lit(1.0) + F.col("epsilon"))
 
     place = F.try_divide(moved("value") - moved("low"), moved("high") - moved("low")) * F.lit(float(bins))
     slot = F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return long.groupBy("column", "epsilon", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("column", "epsilon", slot.alias("bin")).agg(F.sum("_times").alias("n"))

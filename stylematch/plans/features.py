@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.operators.aggregates import tokens, vocabulary
-from stylematch.operators.joins import hot_keys, salted_join
+from stylematch.operators.joins import salted_join
 from stylematch.operators.ranking import top_k
-from stylematch.session import cut_lineage, spread, stage
+from stylematch.session import cut_lineage, stage
 
 
 def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: int = 25) -> DataFrame:
@@ -16,18 +16,18 @@ def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: i
 
     Tokens are cut at ``sep`` without trimming and kept when they occur ``min_count`` times in total; kept tokens
     are lowercased and split at blanks into terms. The vocabulary and the document counts are staged as tables, so
-    the joins know their sizes: a small one is broadcast, a large one meets the tokens in a salted join, because a
-    common token occurs in most documents.
+    the joins know their sizes; frequent tokens get salts by their count, because a common token occurs in most
+    documents.
     """
     n_docs = docs.count()
-    token_rows = tokens(spread(docs.select(doc_id, text)), doc_id, text, sep)
+    token_rows = tokens(docs.select(doc_id, text), doc_id, text, sep)
     frequent = stage(vocabulary(token_rows, min_count), "frequent")
-    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, hot=hot_keys(frequent, "token"))
+    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, frequent)
     terms = kept.select(doc_id, F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term"))
     tf = stage(terms.filter(F.col("term") != "").groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     idf = df.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    raw = salted_join(tf, idf, "term", doc_id, hot=hot_keys(df, "term", "df"))
+    raw = salted_join(tf, idf, "term", doc_id, df.withColumnRenamed("df", "n"))
     raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", (F.col("w") / norm).alias("weight"))

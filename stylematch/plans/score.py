@@ -1,9 +1,9 @@
 """Style, colour and season scores of users against items.
 
 Nothing here pairs users with items. A user enters a score only through a *profile* (style, outfit colour,
-season, dislikes), an item only through a *signature* (family and accords) and its season share. Profiles and
-signatures are bounded by the vocabularies (7 styles, outfit colours, 4 seasons; families and accords), not by the
-number of users or items. Inside a signature only the k best season shares can reach a top k, so the item side is
+season, dislikes that name an item accord), an item only through a *signature* (family and accords) and its season
+share. Both consist of vocabulary values only (styles, outfit colours, seasons, sets of accords; families, accords), not
+of free text. Inside a signature only the k best season shares can reach a top k, so the item side is
 cut to k rows per (season, signature) before the shuffle, and profiles meet signatures instead of items.
 """
 
@@ -86,8 +86,18 @@ def by_season(features: DataFrame) -> DataFrame:
     return features.select(*rest, F.explode(F.array(*entries)).alias("e")).select(*rest, "e.season", "e.share")
 
 
-def user_profiles(users: DataFrame, clothes_colours: DataFrame, use_dislikes: bool = True) -> DataFrame:
-    """Users with ``profile`` and its parts. Users without season, style or a complete outfit colour are left out."""
+def known_accords(features: DataFrame) -> Column:
+    """The accords of the scored items as one array: the vocabulary, whatever the number of items."""
+    named = features.select(F.explode(F.array(*ACCORDS)).alias("accord")).filter(F.col("accord").isNotNull()).distinct()
+    return named.agg(F.array_sort(F.collect_list("accord")).alias("accords")).scalar()
+
+
+def user_profiles(users: DataFrame, clothes_colours: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Users with ``profile`` and its parts. Users without season, style or a complete outfit colour are left out.
+
+    Dislikes count only with the items' ``features`` given, and only those that name an accord of an item: other words
+    cannot exclude anything, so free text makes no profiles of its own.
+    """
     out = users
     for part in ("dress", "top", "bottom"):
         out = lookup(out, f"{part}_color", clothes_colours, "color", "rgb", f"_{part}")
@@ -99,7 +109,7 @@ def user_profiles(users: DataFrame, clothes_colours: DataFrame, use_dislikes: bo
         "style": F.col("user_style"),
         "season": season_column(F.col("season")),
         "_vec": F.when(~named_dress, vector),
-        "dislikes": dislikes if use_dislikes else none,
+        "dislikes": none if features is None else F.array_intersect(dislikes, known_accords(features)),
     }
     out = out.withColumns(parts).withColumns({f"c{i}": c for i, c in enumerate(channels(F.col("_vec")))})
     key = F.concat_ws(SEP, "style", "season", "c0", "c1", "c2", F.array_join("dislikes", ","))
@@ -151,11 +161,11 @@ def raw_pairs(
 ) -> DataFrame:
     """Profile x signature rows of the same season with raw style and colour score.
 
-    The signatures are staged as a table: it is small, it is counted, and it is read in one place.
+    The signatures are staged as a table and copied once per slot of the profiles.
     Disliked signatures are left out, and with a gate so are the families the style does not allow.
     """
     signatures = stage(signatures, "signatures")
-    met = fanned_join(profiles, signatures, "season", "profile", signatures.count())
+    met = fanned_join(profiles, signatures, "season", "profile")
     met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
     if gate is not None:
         met = met.join(gate, ["style", "family"])
@@ -198,7 +208,7 @@ def additive_top(
     users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame, k: int = 3
 ) -> DataFrame:
     """Top k per user by style percent + colour + season share."""
-    profiled = user_profiles(users, clothes_colours)
+    profiled = user_profiles(users, clothes_colours, features)
     pairs = raw_pairs(distinct_profiles(profiled), item_signatures(features, k), style_scores)
     first = F.get(F.col("best"), F.lit(0))
 
@@ -216,7 +226,7 @@ def gated_top(
     k: int = 3,
 ) -> DataFrame:
     """Top k per user by colour + season share among the families the style allows."""
-    profiled = user_profiles(users, clothes_colours)
+    profiled = user_profiles(users, clothes_colours, features)
     pairs = raw_pairs(distinct_profiles(profiled), item_signatures(features, k), style_scores, gate)
     first = F.get(F.col("best"), F.lit(0))
 
@@ -275,7 +285,7 @@ def scaled_top(
 
     ``null_scores_zero`` counts a missing colour score as 0 before scaling (the batch rule).
     """
-    profiled = user_profiles(users, clothes_colours, use_dislikes)
+    profiled = user_profiles(users, clothes_colours, features if use_dislikes else None)
     profiles = distinct_profiles(profiled)
     best = scaled_profile_top(profiles, features, style_scores, weights, k, epsilon, null_scores_zero)
     return _to_users(profiled, best, SCORE_COLUMNS)
@@ -297,8 +307,8 @@ def score_all_items(
 
     Each (item, season) row meets the users of its season, so no item row is moved more than once per user.
     """
-    profiled = user_profiles(users, clothes_colours, use_dislikes)
-    met = fanned_join(by_season(features), profiled, "season", "item_id", profiled.count())
+    profiled = user_profiles(users, clothes_colours, features if use_dislikes else None)
+    met = fanned_join(by_season(features), profiled, "season", "item_id")
     if use_dislikes:
         met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
     if gate is not None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stylematch import vocab
 from stylematch.operators.joins import outer_join_spread
-from stylematch.operators.ordered import with_position
+from stylematch.operators.ordered import rank_in_group, with_position
 
 # Accords the generator lets users dislike.
 DISLIKES = ["woody", "lavender", "animalic", "powdery"]
@@ -25,7 +25,7 @@ def _pick_value(users: DataFrame, table: DataFrame, column: str, out: str, when:
     """Uniform pick among the distinct values of a column: the drawn position meets the numbered values."""
     values = table.select(F.col(column).alias(out)).filter(F.col(out).isNotNull()).distinct()
     if values.schema[out].dataType.typeName() == "string":
-        numbered = values.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(out)) - 1)
+        numbered = rank_in_group(values.withColumn("_all", F.lit(0)), "_all", out, "_pos").drop("_all")
     else:
         numbered = with_position(values, out, "_pos")
     n = values.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,14 +53,10 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than the session has cores; else unchanged.
-
-    For work that multiplies its input (tokens of a text, distances to many centres): a few small files would
-    otherwise keep it in a few tasks. Large inputs have enough splits and are not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -69,7 +66,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a stage table that no later plan reads."""
+    there = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    there.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries now.
+
+    Its cleaner learns that a query is done with when the driver's JVM collects the plan, by default every half hour;
+    an operator of many staged steps would hold the shuffles of all of them until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stylematch.session import stage
+
 BOM = "\ufeff"
 
 # Names Spark's CSV source understands. The two code pages need spark.sql.legacy.javaCharsets.
@@ -12,12 +14,19 @@ CHARSET = {"cp949": "x-windows-949", "cp1252": "windows-1252", "utf-8": "UTF-8",
 
 
 def _charset(spark: SparkSession, encoding: str) -> str:
+    """The charset's name. A code page needs a session setting that stays on, because Spark asks for it when the plan runs."""
     charset = CHARSET[encoding.lower()]
     if charset != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return charset
 
 
+def file_encodings(spark: SparkSession, path: str, legacy: str = "cp949") -> DataFrame:
+    """(file, encoding): ``utf-8`` for a file of which every line is valid UTF-8, else the legacy code page."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy("file").agg(F.when(F.bool_and("valid"), "utf-8").otherwise(legacy).alias("encoding"))
+
+
 def find_encoding(spark: SparkSession, path: str, legacy: str = "cp949") -> str:
     """``utf-8`` when every line of the files is valid UTF-8, else the legacy code page.
 
@@ -32,8 +41,27 @@ def read_delimited(
     spark: SparkSession, path: str, encoding: str | None = "utf-8", sep: str = ",", schema: str | None = None,
     multiline: bool = False, legacy: str = "cp949",
 ) -> DataFrame:
-    """Read files with a header; ``encoding=None`` finds the encoding first. All columns are strings without a schema."""
-    encoding = encoding or find_encoding(spark, path, legacy)
+    """Read files with a header. All columns are strings without a schema.
+
+    ``encoding=None`` decides per file: the folder is read once in each encoding and every file is kept from the reading
+    that is right for it, so a folder may hold both kinds. The headers must then agree once they are decoded.
+    """
+    if encoding is None:
+        found = stage(file_encodings(spark, path, legacy), "encodings")
+        kinds = [r[0] for r in found.select("encoding").distinct().orderBy(F.col("encoding") != "utf-8").collect()] or ["utf-8"]
+        parts = [(kind, _read(spark, path, kind, sep, schema, multiline)) for kind in kinds]
+        if len(parts) == 1:
+            return parts[0][1]
+        out = None
+        for kind, rows in parts:
+            right = found.filter(F.col("encoding") == kind).select(F.col("file").alias("_file"))
+            own = rows.withColumn("_file", F.col("_metadata.file_path")).join(right, "_file", "left_semi").drop("_file")
+            out = own if out is None else out.unionByName(own.toDF(*out.columns))
+        return out
+    return _read(spark, path, encoding, sep, schema, multiline)
+
+
+def _read(spark: SparkSession, path: str, encoding: str, sep: str, schema: str | None, multiline: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True).option("sep", sep).option("escape", '"')
         .option("encoding", _charset(spark, encoding)).option("multiLine", multiline)

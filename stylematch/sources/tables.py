@@ -13,13 +13,11 @@ from stylematch.operators.joins import keep_latest
 def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Table after the batch: a key in the batch replaces the stored row, the last batch row per key wins.
 
-    ``seq`` orders the batch and is not part of the result.
+    ``seq`` orders the batch and is not part of the result. The stored rows meet only the keys of the batch; they are
+    not sorted, and not moved either where the batch is small enough to be broadcast. Key parts must not be null.
     """
-    columns = table.columns
-    old = table.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(None).cast("long"))
-    new = batch.withColumn("_new", F.lit(1)).withColumn("_seq", F.col(seq).cast("long"))
-    both = old.unionByName(new.select(*columns, "_new", "_seq"))
-    return keep_latest(both, keys, [F.col("_new").desc(), F.col("_seq").desc_nulls_last()]).select(*columns)
+    latest = keep_latest(batch, keys, [F.col(seq).cast("long").desc_nulls_last()]).select(*table.columns)
+    return table.join(latest.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(latest)
 
 
 def load_report(df: DataFrame, key: str, ok: Column, skipped: Column | None = None) -> DataFrame:

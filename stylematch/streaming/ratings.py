@@ -1,7 +1,9 @@
 """Streams on rating actions.
 
-Every sink writes one folder per micro-batch and overwrites that folder when the batch is repeated, so a batch that
-is run again after a failure leaves the same files. Readers combine the folders.
+Every sink keeps its checkpoint beside its rows and writes one folder per micro-batch. A second start on the same sink
+goes on where the last one stopped: new input becomes new batches, and a batch that is run again after a failure
+overwrites its own folder only. A sink that holds rows but has lost its checkpoint is refused, because its batches
+would start at 0 again and overwrite what is there. Readers combine the folders.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stylematch.operators.joins import keep_latest
 from stylematch.operators.ordered import with_position
 from stylematch.operators.ranking import arg_max
-from stylematch.session import scratch_path
+from stylematch.session import path_exists
 
 REMOVE = "delete"
 
@@ -25,10 +27,13 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, label: str) -> StreamingQuery:
-    state = scratch_path(stream.sparkSession, f"{label}-state")
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], sink: str) -> StreamingQuery:
+    """Start or resume the stream of a sink; the checkpoint is a hidden folder in the sink."""
+    spark, state = stream.sparkSession, f"{sink}/_checkpoint"
+    if path_exists(spark, sink) and not path_exists(spark, state):
+        raise ValueError(f"{sink} has no checkpoint: its batches would be numbered from 0 and overwrite stored rows")
     return (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
         .foreachBatch(write).start()
     )
 
@@ -44,12 +49,15 @@ def current_basket(latest: DataFrame) -> DataFrame:
 
 
 def start_basket(actions: DataFrame, path: str) -> StreamingQuery:
-    """Keep the last action per (session, item); each batch writes the keys it changed."""
+    """Keep the last action per (session, item) of each batch; ``read_basket`` combines the batches.
+
+    No state is held between batches: what the batches wrote is the state.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        latest_actions(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _run(latest_actions(actions), write, "update", "basket")
+    return _run(actions, write, path)
 
 
 def read_basket(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +85,7 @@ def start_log(baskets: DataFrame, path: str) -> StreamingQuery:
         rows = batch.join(numbered, "basket_id").withColumn("smelling_user_id", F.col("_pos") + F.lit(before + 1))
         rows.drop("_pos").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _run(baskets, write, "append", "log")
+    return _run(baskets, write, path)
 
 
 def start_refit(
@@ -85,7 +93,7 @@ def start_refit(
 ) -> StreamingQuery:
     """After each batch of log rows search the weights on the whole log and append the best as a version.
 
-    ``search`` maps the log to the weight grid; the batch number is the version.
+    ``search`` maps the log to the weight grid; the batch number, which goes on over restarts, is the version.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -95,4 +103,4 @@ def start_refit(
         version = best.withColumn("weight_id", F.lit(batch_id + 1).cast("bigint"))
         version.coalesce(1).write.mode("overwrite").parquet(f"{weights_path}/batch_id={batch_id}")
 
-    return _run(log, write, "append", "refit")
+    return _run(log, write, weights_path)

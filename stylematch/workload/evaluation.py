@@ -12,7 +12,7 @@ from stylematch.plans import evaluate, score
 from stylematch.session import stage
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import (
-    BASE, FIRST_PEOPLE, PEOPLE, feats_sql, pairs_sql, scaled_sql, stored_scores,
+    BASE, PEOPLE, feats_sql, pairs_sql, scaled_sql,
 )
 from stylematch.workload.tables import clothes_colours, derived, feature_table, rating_log
 
@@ -94,27 +94,37 @@ def weight_candidates(spark, sf):
     return weight_grid(spark).withColumns({c: F.round(c, 9) for c in ("w_style", "w_color", "w_season")})
 
 
-# all users share 420 profiles, so the check ranks one user per profile and weighs the hits by its users
-_GRID_ALL = [
-    feats_sql("null", "null"), PEOPLE,
-    "groups AS (SELECT min(user_id) AS user_id, user_style, skey, c0, c1, c2, count(*) AS n_users FROM people "
-    "GROUP BY user_style, skey, c0, c1, c2)",
-    pairs_sql("points", "groups", dislikes=False), scaled_sql(zero_nulls=True), RATED,
-    "worth AS (SELECT g.user_id, r.item_id, count(*) AS n FROM groups g JOIN people p ON p.user_style = g.user_style "
-    "AND p.skey = g.skey AND p.c0 = g.c0 AND p.c1 = g.c1 AND p.c2 = g.c2 JOIN rated r ON r.user_id = p.user_id "
-    "GROUP BY g.user_id, r.item_id)",
-    GRID, DIRECTIONS,
-    "best AS (SELECT user_id, w1, w2, w3, max(struct_pack(s := ss * w1 + cs * w2 + es * w3, i := -item_id), 3) AS b "
-    "FROM scaled CROSS JOIN dirs GROUP BY user_id, w1, w2, w3)",
-    "hits AS (SELECT w1, w2, w3, sum(coalesce(n, 0)) AS h FROM (SELECT user_id, w1, w2, w3, -unnest(b).i AS item_id FROM best) "
-    "LEFT JOIN worth USING (user_id, item_id) GROUP BY w1, w2, w3)",
-    "result AS (SELECT seq, w1, w2, w3, h / CAST(3 * (SELECT count(*) FROM people) AS DOUBLE) AS p FROM grid "
-    "JOIN hits USING (w1, w2, w3))",
-]
+# Users who share style, season and outfit colour have the same scores: the check ranks one user of each group and
+# weighs the hits by the users of the group.
+GROUPS = (
+    "groups AS (SELECT min(user_id) AS user_id, user_style, skey, c0, c1, c2, count(*) AS n_users FROM base "
+    "GROUP BY user_style, skey, c0, c1, c2)"
+)
+
+
+def grid_all_sql(rated_only: bool = False, stored: bool = False) -> list[str]:
+    """CTEs up to ``result``: the weight grid over all users, or over those who rated; scores as stored or as computed."""
+    scores = [f"CAST(CAST({c} AS DECIMAL(10, 6)) AS DOUBLE) AS {c}" if stored else c for c in ("ss", "cs", "es")]
+    return [
+        feats_sql("null", "null"), PEOPLE, RATED,
+        "base AS (SELECT * FROM people" + (" WHERE user_id IN (SELECT user_id FROM rated))" if rated_only else ")"),
+        GROUPS, pairs_sql("points", "groups", dislikes=False), scaled_sql(zero_nulls=True),
+        f"kept AS (SELECT user_id, item_id, {', '.join(scores)} FROM scaled)",
+        "worth AS (SELECT g.user_id, r.item_id, count(*) AS n FROM groups g JOIN base p ON p.user_style = g.user_style "
+        "AND p.skey = g.skey AND p.c0 = g.c0 AND p.c1 = g.c1 AND p.c2 = g.c2 JOIN rated r ON r.user_id = p.user_id "
+        "GROUP BY g.user_id, r.item_id)",
+        GRID, DIRECTIONS,
+        "best AS (SELECT user_id, w1, w2, w3, max(struct_pack(s := ss * w1 + cs * w2 + es * w3, i := -item_id), 3) AS b "
+        "FROM kept CROSS JOIN dirs GROUP BY user_id, w1, w2, w3)",
+        "hits AS (SELECT w1, w2, w3, sum(coalesce(n, 0)) AS h FROM (SELECT user_id, w1, w2, w3, -unnest(b).i AS item_id FROM best) "
+        "LEFT JOIN worth USING (user_id, item_id) GROUP BY w1, w2, w3)",
+        "result AS (SELECT seq, w1, w2, w3, h / CAST(3 * (SELECT count(*) FROM base) AS DOUBLE) AS p FROM grid "
+        "JOIN hits USING (w1, w2, w3))",
+    ]
 
 
 @query(
-    "weight_grid_all_users", "E3 U5 F24 W3", tables=BASE + " points rating_log", extra=", ".join(_GRID_ALL),
+    "weight_grid_all_users", "E3 U5 F24 W3", tables=BASE + " points rating_log", extra=", ".join(grid_all_sql()),
     sql="""SELECT seq, round(w1, 9) AS w_style, round(w2, 9) AS w_color, round(w3, 9) AS w_season,
     round(p, 9) AS mean_precision FROM result""",
 )
@@ -127,31 +137,22 @@ def weight_grid_all_users(spark, sf):
     return grid.withColumns({c: F.round(c, 9) for c in ("w_style", "w_color", "w_season", "mean_precision")})
 
 
-_GRID_STORED = [
-    feats_sql("null", "null"), PEOPLE, FIRST_PEOPLE, pairs_sql("points", "first_people", dislikes=False),
-    scaled_sql(zero_nulls=True), RATED,
-    "stored AS (SELECT user_id, item_id, CAST(CAST(ss AS DECIMAL(10, 6)) AS DOUBLE) AS ss, "
-    "CAST(CAST(cs AS DECIMAL(10, 6)) AS DOUBLE) AS cs, CAST(CAST(es AS DECIMAL(10, 6)) AS DOUBLE) AS es FROM scaled)",
-    GRID, DIRECTIONS,
-    "best AS (SELECT user_id, w1, w2, w3, max(struct_pack(s := ss * w1 + cs * w2 + es * w3, i := -item_id), 3) AS b "
-    "FROM stored CROSS JOIN dirs WHERE user_id IN (SELECT user_id FROM rated) GROUP BY user_id, w1, w2, w3)",
-    "hits AS (SELECT w1, w2, w3, count(r.item_id) AS h FROM (SELECT user_id, w1, w2, w3, -unnest(b).i AS item_id FROM best) "
-    "LEFT JOIN rated r USING (user_id, item_id) GROUP BY w1, w2, w3)",
-    "result AS (SELECT seq, w1, w2, w3, h / CAST(3 * (SELECT count(*) FROM first_people WHERE user_id IN "
-    "(SELECT user_id FROM rated)) AS DOUBLE) AS p FROM grid JOIN hits USING (w1, w2, w3))",
-]
+def best_grid(spark, sf, log, **options):
+    """The weight grid over all users who rated, from the tables that every search shares."""
+    return evaluate.search_weights_all_users(
+        derived(spark, sf, "users"), _zero_features(spark, sf), clothes_colours(spark), vocab.style_scores(spark, "points"), log,
+        rated_only=True, null_scores_zero=True, **options,
+    )
 
 
 @query(
-    "best_weights_stored_scores", "E3 O4 E2 R5", tables=BASE + " points rating_log", extra=", ".join(_GRID_STORED),
+    "best_weights_stored_scores", "E3 O4 E2", tables=BASE + " points rating_log", extra=", ".join(grid_all_sql(True, True)),
     sql="""SELECT seq, round(w1, 9) AS w_style, round(w2, 9) AS w_color, round(w3, 9) AS w_season,
     round(p, 9) AS mean_precision FROM result ORDER BY p DESC, seq LIMIT 1""",
 )
 def best_weights_stored_scores(spark, sf):
-    """Best weight triple for the stored DECIMAL(10,6) scores of the first users; the first best wins."""
-    scores = stored_scores(spark, sf).withColumns({c: F.col(c).cast("decimal(10,6)") for c in evaluate.SCORES})
-    scores = stage(scores.select("user_id", "item_id", *evaluate.SCORES), "stored")
-    grid = evaluate.search_weights(scores, rating_log(spark, sf), rated_only=True)
+    """Best weight triple for scores stored as DECIMAL(10,6), over all users who rated; the first best wins."""
+    grid = best_grid(spark, sf, rating_log(spark, sf), stored_as="decimal(10,6)")
     return arg_max(grid, "mean_precision", "seq").withColumns(
         {c: F.round(c, 9) for c in ("w_style", "w_color", "w_season", "mean_precision")}
     )
@@ -197,21 +198,28 @@ def score_rating_correlation_per_user(spark, sf):
 @query(
     "epsilon_histograms", "E5 F23", tables=BASE + " points",
     extra=", ".join([
-        feats_sql("null", "null"), PEOPLE, FIRST_PEOPLE, pairs_sql("points", "first_people", dislikes=False),
+        feats_sql("null", "null"), PEOPLE, "base AS (SELECT * FROM people)", GROUPS, pairs_sql("points", "groups", dislikes=False),
         scaled_sql(zero_nulls=True),
-        "long AS (SELECT unnest(['style_score', 'color_score', 'season_score']) AS col, unnest([ss, cs, es]) AS v FROM scaled)",
-        "moved AS (SELECT col, eps, (v + eps) / (CAST(1 AS DOUBLE) + eps) AS v FROM long "
+        "long AS (SELECT unnest(['style_score', 'color_score', 'season_score']) AS col, unnest([ss, cs, es]) AS v, n_users "
+        "FROM scaled JOIN (SELECT user_id, n_users FROM groups) USING (user_id))",
+        "moved AS (SELECT col, eps, n_users, (v + eps) / (CAST(1 AS DOUBLE) + eps) AS v FROM long "
         "CROSS JOIN (SELECT unnest([CAST(0.01 AS DOUBLE), CAST(0.02 AS DOUBLE), CAST(0.05 AS DOUBLE)]) AS eps))",
         "ends AS (SELECT col, eps, min(v) AS low, max(v) AS high FROM moved GROUP BY col, eps)",
     ]),
     sql="""SELECT col AS "column", eps AS epsilon,
     CAST(least(coalesce(floor((v - low) / nullif(high - low, 0) * CAST(30 AS DOUBLE)), 0), 29) AS INTEGER) AS bin,
-    count(*) AS n FROM moved JOIN ends USING (col, eps) GROUP BY ALL""",
+    CAST(sum(n_users) AS BIGINT) AS n FROM moved JOIN ends USING (col, eps) GROUP BY ALL""",
 )
 def epsilon_histograms(spark, sf):
-    """30-bin histograms of the stored scores under three epsilons."""
-    scores = stage(stored_scores(spark, sf).select("user_id", "item_id", *evaluate.SCORES), "stored")
-    return evaluate.epsilon_histograms(scores)
+    """30-bin histograms of the scaled scores of all users under three epsilons; a row stands for the users of a profile."""
+    users, colours = derived(spark, sf, "users"), clothes_colours(spark)
+    profiled = score.user_profiles(users, colours)
+    groups = stage(profiled.groupBy("profile").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("n_users")).drop("profile"), "groups")
+    raw = score.score_all_items(
+        users.join(groups.select("user_id"), "user_id", "left_semi"), feature_table(spark, sf, "null", "null"), colours, vocab.style_scores(spark, "points")
+    )
+    scores = stage(score.batch_scaled(raw).select("user_id", "item_id", *evaluate.SCORES), "scored")
+    return evaluate.epsilon_histograms(scores.join(groups, "user_id"), times="n_users")
 
 
 @query(

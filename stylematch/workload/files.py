@@ -53,6 +53,16 @@ def utf8_file_found(spark, sf):
     return read.withColumn("id", thousands_id(F.col("id")))
 
 
+@query("mixed_encoding_folder", "S2 S7", tables="tops", sql=_GARMENT)
+def mixed_encoding_folder(spark, sf):
+    """Files of both encodings in one folder: each is read as what its bytes are."""
+    path = scratch_path(spark, "mixed")
+    rows = derived(spark, sf, "tops").select("id", "style", "top_color", "top_material")
+    write_delimited(rows.filter("id % 2 = 0"), path, "cp949")
+    write_delimited(rows.filter("id % 2 = 1"), path, "utf-8", mode="append")
+    return read_delimited(spark, path, None).withColumn("id", thousands_id(F.col("id")))
+
+
 @query("byte_order_mark_file", "S3 S4 S7", tables="tops", sql=_GARMENT)
 def byte_order_mark_file(spark, sf):
     """File that starts with a byte order mark."""

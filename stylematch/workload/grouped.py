@@ -8,7 +8,6 @@ from stylematch import vocab
 from stylematch.functions.text import clean_key, name_prefix
 from stylematch.operators import aggregates, encode, ordered, ranking
 from stylematch.plans import catalogue, outfits
-from stylematch.session import spread
 from stylematch.workload.registry import query
 from stylematch.workload.tables import add_derived, derived, families, rating_log, table, weight_history
 
@@ -113,7 +112,7 @@ def rare_value_mask(spark, sf):
 )
 def frequent_tokens(spark, sf):
     """Untrimmed tokens of all documents with at least 25 occurrences."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return aggregates.vocabulary(aggregates.tokens(docs, "doc_id", "text", " "), 25)
 
 

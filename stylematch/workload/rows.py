@@ -12,6 +12,7 @@ from stylematch.operators.aggregates import newest_row, share_where
 from stylematch.operators.ranking import best_rows
 from stylematch.plans import score
 from stylematch.plans.styles import add_pairs
+from stylematch.session import scratch_path
 from stylematch.sources import tables as maintenance
 from stylematch.sources.delimited import column_named, tidy_header
 from stylematch.workload.registry import query
@@ -376,7 +377,19 @@ def soft_references(spark, sf):
 def first_matching_garment(spark, sf):
     """Lowest garment id of the chosen category and colour."""
     users = derived(spark, sf, "users").select("user_id", "top_category", "top_color")
-    return joins.first_match(users, derived(spark, sf, "tops"), ["top_category", "top_color"], "id", "matched_id")
+    return joins.first_garment(users, derived(spark, sf, "tops"), "top", "matched_id")
+
+
+@query(
+    "first_matching_dress", "J8", tables="users dresses",
+    sql="""
+    SELECT user_id, dress_color, m.id AS matched_id FROM users u
+    LEFT JOIN (SELECT dress_color AS c, min(id) AS id FROM dresses GROUP BY ALL) m ON m.c = u.dress_color""",
+)
+def first_matching_dress(spark, sf):
+    """Lowest dress id of the chosen colour; a dress has no other choice."""
+    users = derived(spark, sf, "users").select("user_id", "dress_color")
+    return joins.first_garment(users, derived(spark, sf, "dresses"), "dress", "matched_id")
 
 
 @query(
@@ -547,6 +560,21 @@ def next_weight_row(spark, sf):
     return maintenance.append_version(weight_history(spark, sf), values)
 
 
+@query(
+    "appended_weight_version", "S11 A15",
+    sql="""SELECT s_suppkey AS weight_id, CAST(1 + s_suppkey % 3 AS DOUBLE) / 6 AS style_weight,
+    CAST(1 + s_suppkey % 2 AS DOUBLE) / 6 AS color_weight, CAST(1 AS DOUBLE) / 6 AS season_weight FROM supplier
+    UNION ALL SELECT max(s_suppkey) + 1, CAST(0.5 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.2 AS DOUBLE) FROM supplier""",
+)
+def appended_weight_version(spark, sf):
+    """The weight history as a stored table, after a version was appended to it and the table was read again."""
+    path = scratch_path(spark, "weights")
+    weight_history(spark, sf).write.parquet(path)
+    values = {"style_weight": 0.5, "color_weight": 0.3, "season_weight": 0.2}
+    maintenance.append_version(spark.read.parquet(path), values).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "missing_parents", "S12 F19", tables="items accord_colours",
     sql="""

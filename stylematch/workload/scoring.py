@@ -10,7 +10,7 @@ from stylematch.operators.filters import nonzero_gate, top_value_gate
 from stylematch.operators.ordered import first_rows
 from stylematch.plans import score
 from stylematch.workload.registry import query
-from stylematch.workload.tables import clothes_colours, derived, feature_table, weight_history
+from stylematch.workload.tables import clothes_colours, derived, feature_table, table, weight_history
 
 DEC = "CAST({} AS DOUBLE)"
 
@@ -192,7 +192,10 @@ def weighted_scaled_top3(spark, sf):
     return _round(out, *SCORES)
 
 
-FIRST_PEOPLE = "first_people AS (SELECT * FROM people ORDER BY user_id LIMIT 100)"
+FIRST_PEOPLE = (
+    "first_people AS (SELECT p.* FROM people p JOIN (SELECT o_custkey AS user_id, min(o_orderkey) AS k FROM orders GROUP BY o_custkey) "
+    "USING (user_id) ORDER BY k LIMIT 100)"
+)
 
 
 @query(
@@ -207,12 +210,14 @@ FIRST_PEOPLE = "first_people AS (SELECT * FROM people ORDER BY user_id LIMIT 100
     FROM scaled""",
 )
 def batch_scaled_first_users(spark, sf):
-    """Every item scored for the first 100 users; nulls become 0 before scaling, no dislike filter."""
-    return _round(stored_scores(spark, sf), *SCORES)
+    """Every item scored for the first 100 distinct users of the log, with the outfit logged there; nulls become 0
+    before scaling, no dislike filter."""
+    return _round(_first_scores(spark, sf), *SCORES)
 
 
-def stored_scores(spark, sf):
-    users = first_rows(derived(spark, sf, "users"), "user_id", "user_id", 100)
+def _first_scores(spark, sf):
+    log = table(spark, sf, "orders").select(F.col("o_orderkey").alias("logged"), F.col("o_custkey").alias("user_id"))
+    users = first_rows(log.join(derived(spark, sf, "users"), "user_id"), "user_id", "logged", 100).drop("logged")
     raw = score.score_all_items(
         users, feature_table(spark, sf, "null", "null"), clothes_colours(spark), vocab.style_scores(spark, "points")
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stylematch.plans import evaluate
-from stylematch.session import scratch_path, stage
+from stylematch.session import scratch_path
 from stylematch.streaming import ratings
 from stylematch.workload.registry import query
-from stylematch.workload.scoring import stored_scores
+from stylematch.workload.evaluation import best_grid, grid_all_sql
+from stylematch.workload.scoring import BASE
 from stylematch.workload.tables import DERIVED, table
 
 _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, item_id ORDER BY event_id DESC) AS rn
@@ -56,16 +56,19 @@ def rating_log_stream(spark, sf):
     return spark.read.parquet(path).select("basket_id", "item_id", "rate", "smelling_user_id")
 
 
-@query("weights_refit_stream", "T3 S11 E3")
+@query(
+    "weights_refit_stream", "T3 S11 E3", tables=BASE + " points rating_log", extra=", ".join(grid_all_sql(True)),
+    sql="""SELECT CAST(1 AS BIGINT) AS weight_id, round(w1, 9) AS w_style, round(w2, 9) AS w_color, round(w3, 9) AS w_season,
+    round(p, 9) AS mean_precision FROM result ORDER BY p DESC, seq LIMIT 1""",
+)
 def weights_refit_stream(spark, sf):
-    """Weights searched again after new log rows; one version per batch."""
-    scores = stage(stored_scores(spark, sf).select("user_id", "item_id", *evaluate.SCORES), "stored")
+    """Weights of all users searched again after new log rows; one version per batch."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     lines = ratings.file_stream(spark, f"{sf}/lineitem.parquet*", table(spark, sf, "lineitem"))
     log = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item_id")).join(orders, "o_orderkey")
     path = scratch_path(spark, "refit")
     ratings.start_refit(
-        log.select("user_id", "item_id"), f"{path}/log", f"{path}/weights",
-        lambda rows: evaluate.search_weights(scores, rows, rated_only=True),
+        log.select("user_id", "item_id"), f"{path}/log", f"{path}/weights", lambda rows: best_grid(spark, sf, rows),
     ).awaitTermination()
-    return spark.read.parquet(f"{path}/weights").select("weight_id", "w_style", "w_color", "w_season", "mean_precision")
+    found = spark.read.parquet(f"{path}/weights").select("weight_id", "w_style", "w_color", "w_season", "mean_precision")
+    return found.withColumns({c: F.round(c, 9) for c in found.columns[1:]})

@@ -28,24 +28,23 @@ def word_map(expr: str, mapping: dict[str, str]) -> str:
     return f"CASE {expr} {text} END"
 
 
-# Colour dimensions: name -> colour string in the two notations the loaders meet.
+def _invented(i: int) -> tuple[int, int, int]:
+    return (67 * i + 29) % 256, (151 * i + 83) % 256, (211 * i + 47) % 256
+
+
+# Colour dimensions with invented colours, in the notations the loaders meet: "rgb(r, g, b);", "#RRGGBB" and "(r, g, b)".
+_ACCORDS = [
+    "aquatic", "citrus", "warm spicy", "woody", "green", "powdery", "rose", "herbal", "smoky", "musky", "fruity", "iris", "vanilla",
+    "leather", "mossy", "lavender", "amber", "floral", "sweet", "white floral", "balsamic",
+]
+_CLOTHES = [
+    "화이트", "블랙", "베이지", "핑크", "스카이블루", "그레이", "브라운", "네이비", "레드", "옐로우", "블루", "라벤더", "와인", "실버", "오렌지", "카키", "그린",
+    "퍼플", "민트", "골드", "네온",
+]
 ACCORD_COLOURS = {
-    "aquatic": "rgb(99, 204, 226);", "citrus": "rgb(249, 255, 82);", "warm spicy": "rgb(204, 51, 0);",
-    "woody": "rgb(119, 68, 20);", "green": "rgb(14, 140, 29);", "powdery": "rgb(238, 221, 204);",
-    "rose": "#FE016B", "herbal": "rgb(108, 164, 127);", "smoky": "rgb(130, 116, 135);",
-    "musky": "rgb(231, 216, 234);", "fruity": "#FC4B29", "iris": "rgb(254, 1, 107);",
-    "vanilla": "rgb(255, 254, 192);", "leather": "rgb(120, 72, 58);", "mossy": "rgb(91, 107, 50);",
-    "lavender": "rgb(231, 206, 236);", "amber": "rgb(188, 77, 16);", "floral": "rgb(255, 95, 141);",
-    "sweet": "rgb(238, 54, 59);", "white floral": "rgb(237, 242, 251);", "balsamic": "rgb(173, 131, 89);",
-}
-CLOTHES_COLOURS = {
-    "화이트": "(255, 255, 255)", "블랙": "(0, 0, 0)", "베이지": "(245, 245, 220)", "핑크": "(255, 192, 203)",
-    "스카이블루": "(135, 206, 235)", "그레이": "(128, 128, 128)", "브라운": "(165, 42, 42)", "네이비": "(0, 0, 128)",
-    "레드": "(255, 0, 0)", "옐로우": "(255, 255, 0)", "블루": "(0, 0, 255)", "라벤더": "(230, 230, 250)",
-    "와인": "(114, 47, 55)", "실버": "(192, 192, 192)", "오렌지": "(255, 165, 0)", "카키": "(240, 230, 140)",
-    "그린": "(0, 128, 0)", "퍼플": "(128, 0, 128)", "민트": "(62, 180, 137)", "골드": "(255, 215, 0)",
-    "네온": "(57, 255, 20)",
+    name: "#{:02X}{:02X}{:02X}".format(*_invented(i)) if i % 7 == 3 else "rgb({}, {}, {});".format(*_invented(i)) for i, name in enumerate(_ACCORDS)
 }
+CLOTHES_COLOURS = {name: "({}, {}, {})".format(*_invented(100 + i)) for i, name in enumerate(_CLOTHES)}
 COLOURS = list(CLOTHES_COLOURS)
 WORD_1 = {
     "blue": "aquatic", "cold": "citrus", "hot": "warm spicy", "large": "woody", "new": "green", "old": "powdery",

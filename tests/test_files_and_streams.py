@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stylematch.plans import outfits
 from stylematch.session import scratch_path
-from stylematch.sources.delimited import BOM, column_named, find_encoding, read_delimited, tidy_header, write_delimited
+from stylematch.sources.delimited import BOM, column_named, file_encodings, find_encoding, read_delimited, tidy_header, write_delimited
 from stylematch.sources.outfit_labels import read_label_documents
 from stylematch.streaming import ratings
 
@@ -20,6 +20,13 @@ def test_encodings_are_found(spark, tmp_path):
         assert rows[0].__fields__ == ["color", "rgb_tuple"]
 
 
+def test_each_file_of_a_folder_has_its_own_encoding(spark, tmp_path):
+    for name, encoding, word in (("a", "cp949", "화이트"), ("b", "utf-8", "블랙"), ("c", "utf-8", "레드")):
+        (tmp_path / f"{name}.csv").write_bytes(f"color,n\n{word},1\n".encode(encoding))
+    assert sorted(r["encoding"] for r in file_encodings(spark, str(tmp_path)).collect()) == ["cp949", "utf-8", "utf-8"]
+    assert sorted(r["color"] for r in read_delimited(spark, str(tmp_path), None).collect()) == sorted(["화이트", "블랙", "레드"])
+
+
 def test_every_written_file_starts_with_the_mark(spark, tmp_path):
     path = str(tmp_path / "out")
     write_delimited(spark.createDataFrame([(i, "가") for i in range(20)], "id int, v string").repartition(3), path, "utf-8-sig")
@@ -112,6 +119,50 @@ def test_log_ids_continue_over_batches(spark):
     assert len(ids) == 5 and sorted(ids.values()) == [1, 2, 3, 4, 5] and got.count() == 6
 
 
+def test_a_second_start_goes_on(spark):
+    source, log, basket = scratch_path(spark, "again"), scratch_path(spark, "log"), scratch_path(spark, "basket")
+
+    def add(rows):
+        schema = "basket_id long, session_id long, item_id long, action string, rate long, event_id long"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def start():
+        stream = ratings.file_stream(spark, source, spark.read.parquet(source), 1)
+        ratings.start_log(stream.select("basket_id", "item_id", "rate"), log).awaitTermination()
+        ratings.start_basket(stream.drop("basket_id"), basket).awaitTermination()
+
+    add([(7, 1, 10, "add", 5, 1), (8, 2, 11, "add", 6, 2)])
+    start()
+    add([(9, 1, 10, "delete", None, 3), (9, 3, 12, "add", 4, 4)])
+    start()
+    start()
+    rows = sorted((r["basket_id"], r["item_id"], r["smelling_user_id"]) for r in spark.read.parquet(log).collect())
+    assert rows == [(7, 10, 1), (8, 11, 2), (9, 10, 3), (9, 12, 3)]
+    assert sorted(tuple(r) for r in ratings.read_basket(spark, basket).collect()) == [(2, 11, 6), (3, 12, 4)]
+
+
+def test_a_sink_without_its_checkpoint_is_refused(spark):
+    source, sink = scratch_path(spark, "in"), scratch_path(spark, "out")
+    rows = spark.createDataFrame([(1, 2, 3)], "basket_id long, item_id long, rate long")
+    rows.write.parquet(source)
+    rows.write.parquet(f"{sink}/batch_id=0")
+    with pytest.raises(ValueError, match="checkpoint"):
+        ratings.start_log(ratings.file_stream(spark, source, rows), sink)
+
+
+def test_refit_goes_on_with_the_next_version(spark):
+    from stylematch.plans.evaluate import search_weights
+
+    scores = spark.createDataFrame([(1, i, i / 5.0, 0.5, 0.1) for i in range(5)], "user_id long, item_id long, style_score double, color_score double, season_score double")
+    path, out = scratch_path(spark, "ratings"), scratch_path(spark, "refit")
+    for item in (4, 3):
+        spark.createDataFrame([(1, item)], "user_id long, item_id long").write.mode("append").parquet(path)
+        stream = ratings.file_stream(spark, path, spark.read.parquet(path))
+        ratings.start_refit(stream, f"{out}/log", f"{out}/weights", lambda log: search_weights(scores, log, rated_only=True)).awaitTermination()
+    assert sorted(r["weight_id"] for r in spark.read.parquet(f"{out}/weights").collect()) == [1, 2]
+    assert spark.read.parquet(f"{out}/log").count() == 2
+
+
 def test_refit_appends_a_version_per_batch(spark):
     from stylematch.plans.evaluate import search_weights
 

@@ -19,7 +19,7 @@ def rows(spark):
 
 
 def test_cost_never_rises_and_matches_assignment(rows):
-    model = clusters.fit(rows, [4], rounds=15)[4]
+    model = clusters.fit(rows, [4])[4]
     assert all(b <= a + 1e-9 for a, b in zip(model.costs, model.costs[1:]))
     total = clusters.assign(rows, model).agg(F.sum("distance")).first()[0]
     assert total <= model.costs[-1] + 1e-6
@@ -47,6 +47,11 @@ def test_sweep_equals_single_fits_and_library_silhouette(rows):
         assert swept[k][1] == pytest.approx(library, abs=1e-6)
 
 
+def test_unfinished_clustering_is_an_error(rows):
+    with pytest.raises(RuntimeError, match="still move"):
+        clusters.fit(rows, [4], rounds=1)
+
+
 def test_too_few_rows_for_the_clusters(rows):
     with pytest.raises(ValueError):
         clusters.fit(rows.limit(3), [5])

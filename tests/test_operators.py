@@ -211,21 +211,47 @@ def test_agreement_null_is_no_match(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [0, 400])
-def test_salted_join_equals_plain_join(spark, hot_rows):
+def test_salted_join_equals_plain_join(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(joins, "SALT_ROWS", 50)
     rng = random.Random(2)
     big = [(i, rng.randrange(300)) for i in range(600)] + [(1000 + i, 7) for i in range(hot_rows)]
     left = spark.createDataFrame(big, "id int, k int")
     right = spark.createDataFrame([(k, k * 10) for k in range(0, 300, 2)] + [(7, 70)], "k int, v int")
-    assert pairs(joins.salted_join(left, right, "k", "id", salts=8), "id", "k", "v") == pairs(left.join(right, "k"), "id", "k", "v")
+    assert pairs(joins.salted_join(left, right, "k", "id"), "id", "k", "v") == pairs(left.join(right, "k"), "id", "k", "v")
 
 
 def test_fanned_join_equals_plain_join(spark):
     left = spark.createDataFrame([(i, i % 4) for i in range(100)], "id int, k int")
     right = spark.createDataFrame([(j % 4, j) for j in range(40)], "k int, v int")
     want = pairs(left.join(right, "k"), "id", "v")
-    small, large = joins.fanned_join(left, right, "k", "id", 40), joins.fanned_join(left, right, "k", "id", 10**9)
-    assert pairs(small, "id", "v") == want and pairs(large, "id", "v") == want
-    assert pairs(joins.fanned_join(left, right, "k", "id", 40, fan=6), "id", "v") == want
+    assert pairs(joins.fanned_join(left, right, "k", "id"), "id", "v") == want
+    assert pairs(joins.fanned_join(left, right, "k", "id", fan=6), "id", "v") == want
+
+
+def test_spread_join_keeps_key_types(spark):
+    left = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "id int, k double")
+    right = spark.createDataFrame([(1, "a"), (3, "c")], "k long, v string")
+    got = {r["id"]: (r["k"], r["v"]) for r in joins.outer_join_spread(left, right, "k", "id").collect()}
+    assert got == {1: (1.0, "a"), 2: (2.0, None), 3: (None, None)}
+
+
+def test_rank_in_group_matches_sorting(spark):
+    rng = random.Random(11)
+    data = sorted({(rng.choice("abc"), f"v{rng.randrange(500)}") for _ in range(400)}) + [("d", None)]
+    got = {(r["g"], r["v"]): r["code"] for r in ordered.rank_in_group(spark.createDataFrame(data, "g string, v string"), "g", "v", "code").collect()}
+    want = {}
+    for g in "abcd":
+        want.update({(g, v): i for i, v in enumerate(sorted(v for h, v in data if h == g and v is not None))})
+    assert got == {**want, ("d", None): 0}
+
+
+def test_garments_need_their_choices(spark):
+    dresses = spark.createDataFrame([(4, "red"), (2, "red"), (9, "blue")], "id int, dress_color string")
+    chosen = spark.createDataFrame([(1, "red"), (2, None)], "user_id int, dress_color string")
+    got = {r["user_id"]: r["m"] for r in joins.first_garment(chosen, dresses, "dress", "m").collect()}
+    assert got == {1: 2, 2: None}
+    with pytest.raises(ValueError, match="top_category"):
+        joins.first_garment(spark.createDataFrame([("red",)], "top_color string"), dresses, "top", "m")
 
 
 def test_soft_reference_and_first_match(spark):
@@ -240,7 +266,7 @@ def test_soft_reference_and_first_match(spark):
 def test_split_is_exact_per_class_even_when_one_class_dominates(spark):
     data = [(i, "big") for i in range(1000)] + [(2000 + i, "small") for i in range(10)] + [(3000, "one")]
     df = spark.createDataFrame(data, "id int, y string")
-    split = encode.stratified_split(df, "y", "id", 0.2, cells=16)
+    split = encode.stratified_split(df, "y", "id", 0.2, cell_rows=60)
     sizes = {r["y"]: (r["n"], r["t"]) for r in split.groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
     assert sizes == {"big": (1000, 200), "small": (10, 2), "one": (1, 0)}
 

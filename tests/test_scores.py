@@ -163,6 +163,16 @@ def test_user_who_dislikes_everything_gets_nothing(spark, world):
     assert nothing and not nothing & set(result(got))
 
 
+def test_free_text_dislikes_make_no_profiles(spark, world):
+    _, _, frames = world
+    one = frames["users"].filter("user_id = 0").drop("user_id", "disliked_accord")
+    typed = F.concat(F.lit("misspelt"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, ", rose").otherwise(""))
+    users = spark.range(200).withColumnRenamed("id", "user_id").crossJoin(one).withColumn("disliked_accord", typed)
+    profiled = score.user_profiles(users, frames["clothes"], features(frames))
+    assert profiled.count() == 200 and score.distinct_profiles(profiled).count() == 2
+    assert sorted(r["dislikes"] for r in score.distinct_profiles(profiled).collect()) == [[], ["rose"]]
+
+
 def test_newest_weights(spark):
     history = spark.createDataFrame([(2, 0.2, 0.3, 0.5), (1, 1.0, 1.0, 1.0)], "weight_id long, style_weight double, color_weight double, season_weight double")
     assert score.newest_weights(history) == (0.2, 0.3, 0.5)
@@ -287,6 +297,16 @@ def test_correlations_from_sums(spark, world):
             assert per_user[u]["corr_myscore"] == pytest.approx(np.corrcoef(mine.T)[0, 1], abs=1e-8)
 
 
+def test_correlations_with_a_large_offset(spark, world):
+    _, _, f = world
+    rated = features(f).withColumn("rating", ((F.col("item_id") * 37) % 23).cast("double"))
+    args = f["users"], f["clothes"], vocab.style_scores(spark)
+    near = evaluate.rating_correlations(args[0], rated, *args[1:]).first()
+    far = evaluate.rating_correlations(args[0], rated.withColumn("rating", F.col("rating") + 1e9), *args[1:]).first()
+    for name in ("corr_style", "corr_color", "corr_season", "corr_myscore"):
+        assert far[name] == pytest.approx(near[name], abs=1e-6) and near[name] is not None
+
+
 def test_season_constant_gives_null_correlation(spark, world):
     _, _, f = world
     one = spark.createDataFrame([(1, "봄"), (2, "봄")], "user_id long, season string")
