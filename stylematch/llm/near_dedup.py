@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from stylematch.llm.graph import components
 from stylematch.llm.hashing import constants, mix, shingle_hashes, text_chunks, word_hashes, words
+from stylematch.llm.rarity import by_rarity, rarity_table
 from stylematch.session import stage
 
 COORDINATES = 32
 MATCHES = 12
+CELLS = 1 << 18
 _FACTORS, _SALTS = constants(COORDINATES, 101), constants(COORDINATES, 202)
 
 
@@ -81,6 +83,28 @@ def _linked(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFra
     return both.filter("100L * common >= 75L * (n + m - common)").select("a", "b")
 
 
+def _cross_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets (cls, root, shingles) that are in different groups and may have a similarity of 0.75.
+
+    A set of n shingles is posted under its n - ceil(3n/4) + 1 rarest, the smaller one of a pair under its first
+    n - ceil(6n/7) + 1, and from their first common shingle on both must have as many left as the overlap asked for.
+    Whoever only shares what a large group has in common is thus not proposed. A posting meets only with its rows outside its largest group.
+    """
+    ranks = rarity_table(sets.select(F.explode("shingles").alias("token")), CELLS)
+    ranked = sets.withColumn("ranks", ranks).select("cls", "root", F.size("shingles").alias("n"), by_rarity(F.col("shingles"), F.col("ranks"), CELLS).alias("ranked"))
+    prefix = F.slice("ranked", F.lit(1), F.expr("n - CAST(ceil(n * 3 / 4) AS INT) + 1"))
+    posted = stage(ranked.select("cls", "root", "n", F.posexplode(prefix).alias("i", "token")), "posted")
+    parts = posted.groupBy("token", "root").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    mixed = stage(posted.join(largest.select("token", F.col("top.root").alias("most")), "token"), "mixed")
+    long = mixed.select("token", "cls", "root", "n", "i", "most")
+    short = mixed.filter("i < n - CAST(ceil(n * 6 / 7) AS INT) + 1").select("token", F.col("cls").alias("c"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("most").alias("most_m"))
+    fits = "root <> r AND (m < n OR m = n AND c < cls) AND 4 * m >= 3 * n AND least(n - i, m - j) >= ceil((n + m) * 3 / 7)"
+    met = long.filter("root <> most").join(short, "token").filter(fits).select("c", "cls")
+    met = met.unionByName(long.filter("root = most").join(short.filter("r <> most_m"), "token").filter(fits).select("c", "cls"))
+    return met.select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: groups of documents joined by near-duplicate links.
 
@@ -95,9 +119,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     skipped and looked up in the partner's signature. Proposed pairs are counted on whole signatures and confirmed on
     whole sets.
 
-    Pairs are never listed within a large group. First each posting proposes only (class, first class of the posting);
-    the confirmed links merge most of every group. Then a posting whose classes are in more than one group proposes
-    pairs between its largest group and the others, and among the others; links inside a group are not needed.
+    Pairs are never listed within a large group. First each posting proposes only (class, the class of the posting
+    that shares most); the confirmed links merge most of every group. Then the classes of postings that still hold more
+    than one group are joined across groups, by the prefixes of their whole sets (``_cross_pairs``), and counted and
+    confirmed like the others; links inside a group are not needed.
 
     Null or empty texts have an empty set and link with nothing. Every row is a document of its own: rows that repeat
     an id are linked by their texts alone. Rows with a null id link others but get and lend no id. An empty table gives
@@ -108,25 +133,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = profiles.filter("n_shingles > 0")
     classes = stage(whole.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     postings = classes.select("cls", F.explode("signature").alias("token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("first")).filter("df > 1")
-    shared = postings.join(lists, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token", "first"))).alias("by_rarity"))
-    prefixes = stage(shared.filter(F.size("by_rarity") >= MATCHES).select("cls", F.slice("by_rarity", F.lit(1), F.size("by_rarity") - (MATCHES - 1)).alias("prefix")), "prefixes")
+    lists = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = postings.join(lists, "token").groupBy("cls").agg(F.sum("df").alias("shares"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
+    shared = shared.filter(F.size("by_rarity") >= MATCHES)
+    prefixes = stage(shared.select("cls", "shares", F.slice("by_rarity", F.lit(1), F.size("by_rarity") - (MATCHES - 1)).alias("prefix")), "prefixes")
 
     signatures = stage(classes.join(prefixes.select("cls"), "cls", "left_semi").select("cls", "signature"), "signatures")
     sets = stage(_sets_of(docs, classes.join(signatures.select("cls"), "cls", "left_semi").select("cls", "rep")), "sets")
 
-    posted = prefixes.select("cls", F.explode("prefix").alias("p")).select("cls", "p.token", "p.first")
-    stars = posted.filter("cls <> first").select(F.least("first", "cls").alias("a"), F.greatest("first", "cls").alias("b")).distinct()
-    links = stage(_linked(stars, signatures, sets), "links")
+    posted = prefixes.select("cls", "shares", F.explode("prefix").alias("p")).select("cls", "shares", "p.token")
+    centres = posted.groupBy("token").agg(F.max(F.struct("shares", "cls")).alias("c")).select("token", F.col("c.cls").alias("centre"))
+    stars = posted.join(centres, "token").filter("cls <> centre").select(F.least("centre", "cls").alias("a"), F.greatest("centre", "cls").alias("b")).distinct()
+    links = stage(_linked(stage(stars, "stars"), signatures, sets), "links")
     groups = components(links)
 
     labelled = stage(posted.select("cls", "token").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "token", F.coalesce("root", "cls").alias("root")), "labelled")
-    parts = labelled.groupBy("token", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.root").alias("most"))
-    mixed = stage(labelled.join(largest, "token"), "mixed")
-    few = mixed.filter("root <> most").select("token", F.col("cls").alias("x"), F.col("root").alias("x_root"))
-    met = few.join(mixed.select("token", "cls", "root"), "token").filter("root <> x_root")
-    pairs = met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+    open_ = stage(labelled.join(split, "token", "left_semi").select("cls", "root").distinct(), "open")
+    pairs = _cross_pairs(open_.join(sets, "cls"))
     links = links.unionByName(stage(_linked(stage(pairs, "pairs"), signatures, sets), "links"))
 
     groups = classes.select("cls", "rep").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
