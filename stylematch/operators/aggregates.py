@@ -88,7 +88,8 @@ def mask_rare(df: DataFrame, columns: Sequence[str], threshold: int = 20, mask:
     Masking one value never changes the count of another, so one round reaches the fixpoint.
     """
     counts = stacked_counts(df, columns)
-    frequent = counts.filter(F.col("n") >= threshold).select(F.col("value").alias("_value"))
+    # staged, so that the joins know its size: few values are broadcast and the table stays where it is
+    frequent = stage(counts.filter(F.col("n") >= threshold).select(F.col("value").alias("_value")), "frequent")
     for c in columns:
         side = frequent.withColumnRenamed("_value", f"_keep_{c}")
         df = df.join(side, F.col(c) == F.col(f"_keep_{c}"), "left")

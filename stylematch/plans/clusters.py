@@ -230,8 +230,8 @@ def bounded_terms(weights: DataFrame, most: int = 5000) -> list[str]:
 
 def dense_vectors(weights: DataFrame, docs: DataFrame, doc_id: str, terms: Sequence[str]) -> DataFrame:
     """TF-IDF rows to one dense vector per document over a bounded vocabulary; no term gives zeros."""
-    index = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
-    cells = weights.select(doc_id, F.struct(index[F.col("term")].alias("i"), F.col("weight").alias("w")).alias("c"))
+    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    cells = weights.join(index, "term").select(doc_id, F.struct("i", F.col("weight").alias("w")).alias("c"))
     by_doc = cells.groupBy(doc_id).agg(F.map_from_entries(F.collect_list("c")).alias("cells"))
     value = F.transform(
         F.sequence(F.lit(0), F.lit(len(terms) - 1)),
