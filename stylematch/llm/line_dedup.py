@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylematch.session import stage
+from stylematch.llm.rarity import by_rarity, rarity_table
+from stylematch.session import discard, release, stage
 
 #: Cells of the table that orders tokens by rarity: a byte each.
 CELLS = 1 << 18
-_LOW = (1 << 57) - 1
 _ODD_BLANKS = "\t\x0b\x0c\r"
 
 
@@ -38,13 +38,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame, cells: int) -> Column:
-    """An array with a byte per cell of hashed words: 1 + twice the log2 of how many words of the documents fall in it."""
     words = docs.select(F.explode(F.split(F.replace(_plain(F.col("_text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
-    ranks = counts.select("cell", F.least(F.lit(62), F.floor(1 + 2 * F.log2("n"))).cast("tinyint").alias("rank"))
-    every = docs.sparkSession.range(cells).join(ranks, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("rank", F.lit(0).cast("tinyint")).alias("rank"))
-    listed = stage(every, "rarity").agg(F.array_sort(F.collect_list(F.struct("id", "rank"))).alias("cells"))
-    return listed.select(F.transform("cells", lambda c: c["rank"])).scalar()
+    return rarity_table(words.select(F.xxhash64("word").alias("token")), cells)
 
 
 def _parity(tokens: Column, half: int) -> Column:
@@ -62,43 +57,81 @@ def similar_line_sets(docs: DataFrame, cells: int = CELLS) -> tuple[DataFrame, D
     ``doc`` and ``line`` are the place of the set's first line, ``late`` is whether an earlier set is similar. ``docs``
     comes from ``_doc_key``. See ``drop_similar_lines``.
     """
-    lines = _lines(docs).filter("size(tokens) > 0").withColumn("ranks", _rarity(docs, cells))
-    ranked = F.transform("tokens", lambda t: F.shiftleft(F.get("ranks", t.bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), 57) + t.bitwiseAND(F.lit(_LOW)))
-    lines = lines.select(
-        "_id", "_doc", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("k"), F.sort_array(ranked).alias("ranked"),
-        _parity(F.col("tokens"), 0).alias("p0"), _parity(F.col("tokens"), 1).alias("p1"))
-    prefix = F.transform(F.slice("ranked", F.lit(1), F.expr("n - CAST(ceil(n * 3 / 4) AS INT) + 1")), lambda t: F.hash(t))
-    lines = stage(lines.select("_id", "_doc", "line_no", "n", "k", "p0", "p1", prefix.alias("prefix")), "lines")
+    ranked = _lines(docs).filter("size(tokens) > 0").withColumn("ranks", _rarity(docs, cells))
+    ranked = ranked.select("_id", "_doc", "line_no", by_rarity(F.col("tokens"), F.col("ranks"), cells).alias("t"))
+    prefix = F.transform(F.expr("slice(t, 1, size(t) - CAST(ceil(size(t) * 3 / 4) AS INT) + 1)"), lambda t: F.hash(t))
+    full = stage(ranked.select(
+        "_id", "_doc", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("k"), _parity(F.col("t"), 0).alias("p0"), _parity(F.col("t"), 1).alias("p1"), prefix.alias("prefix")), "full-lines")
 
     order = F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_doc").alias("doc"), F.col("line_no").alias("line"))
-    sets = lines.groupBy("k").agg(F.min(F.struct(order.alias("at"), "n", "p0", "p1", "prefix")).alias("s"), F.count("*").alias("copies"))
-    sets = stage(sets.select("k", "s.*", "copies").withColumn("set", F.monotonically_increasing_id()), "sets")
-
-    posted = sets.select("set", "n", "p0", "p1", F.posexplode("prefix").alias("i", "token"))
-    short = posted.filter("i < n - CAST(ceil(n * 6 / 7) AS INT) + 1")
-    short = short.select("token", F.col("set").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
-    asked = "CAST(ceil((n + m) * 3 / 7) AS INT)"
-    met = posted.join(short, "token").filter(
-        f"(m < n OR m = n AND a < set) AND 4 * m >= 3 * n AND least(i, j) + 1 + least(n - i - 1, m - j - 1) >= {asked} "
-        f"AND bit_count(p0 ^ q0) + bit_count(p1 ^ q1) <= n + m - 2 * {asked}")
-    pairs = stage(met.select("a", F.col("set").alias("b")).distinct(), "pairs")
-
-    places = sets.select("set", "k", "at")
+    sets = full.groupBy("k").agg(F.min(F.struct(order.alias("at"), "n", "p0", "p1", "prefix")).alias("s"), F.count("*").alias("copies"))
+    # numbered in the order of their first lines: a smaller number is an earlier set
+    sets = stage(sets.select("k", "s.*", "copies").orderBy("at").withColumn("set", F.monotonically_increasing_id()), "sets")
+    lines = stage(full.select("_id", "_doc", "line_no", "k"), "lines")
+    discard(full)
+    release(docs.sparkSession)
+
+    stars = stage(_stars(sets), "stars")
+    release(docs.sparkSession)
+    pairs = stage(stars.unionByName(_pairs(sets, stars.select(F.col("b").alias("set")).distinct(), None)), "pairs")
+    release(docs.sparkSession)
+    similar = _similar(docs, sets, pairs)
+    # a set whose star was no match after all is searched like the others
+    failed = stage(stars.select("b").distinct().join(similar.select("b"), "b", "left_anti").select(F.col("b").alias("set")), "failed")
+    if not failed.isEmpty():
+        similar = similar.unionByName(_similar(docs, sets, stage(_pairs(sets, None, failed), "pairs")))
+    late = similar.select(F.col("b").alias("set")).distinct().withColumn("late", F.lit(True))
+    marked = sets.select("set", "k", "at", "copies").join(late, "set", "left").filter("copies > 1 OR late")
+    return lines, marked.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), F.coalesce("late", F.lit(False)).alias("late"))
+
+
+_OVERLAP = "CAST(ceil((n + m) * 3 / 7) AS INT)"
+_NEAR = f"4 * least(n, m) >= 3 * greatest(n, m) AND bit_count(p0 ^ q0) + bit_count(p1 ^ q1) <= n + m - 2 * {_OVERLAP}"
+
+
+def _stars(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the earliest set and another one among those that share one of four tokens, if they may match.
+
+    The tokens are the two least and the two greatest hashes of a prefix, which variants of a line have in common. In a
+    large family of variants nearly every set thus meets an earlier one without the pairs of the family being listed.
+    """
+    ordered = F.sort_array("prefix")
+    keyed = sets.select("set", "n", "p0", "p1", F.explode(F.array_distinct(F.concat(F.slice(ordered, 1, 2), F.slice(F.reverse(ordered), 1, 2)))).alias("token"))
+    first = keyed.groupBy("token").agg(F.min(F.struct("set", "n", "p0", "p1")).alias("f"), F.count("*").alias("size")).filter("size > 1")
+    first = first.select("token", F.col("f.set").alias("a"), F.col("f.n").alias("m"), F.col("f.p0").alias("q0"), F.col("f.p1").alias("q1"))
+    met = keyed.join(first, "token").filter(f"a < set AND {_NEAR}")
+    return met.groupBy(F.col("set").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _pairs(sets: DataFrame, settled: DataFrame | None, sought: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that may match, a before b, where b is not one of the ``settled`` sets, or is one of the ``sought``."""
+    named, wanted = (settled, F.col("_named").isNull()) if sought is None else (sought, F.col("_named").isNotNull())
+    marked = sets.select("set", "n", "p0", "p1", "prefix").join(named.withColumn("_named", F.lit(1)), "set", "left")
+    # n, the place in the prefix and whether it is wanted share a number: a posting is as narrow as can be
+    at = F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + wanted.cast("int")
+    posted = marked.select("set", "n", "p0", "p1", "_named", F.posexplode("prefix").alias("i", "token")).select("token", "set", at.alias("at"), "p0", "p1")
+    one = "shiftright({0}.at, 32)"
+    left = "(shiftright({0}.at, 32) - shiftright({0}.at & 4294967295L, 1))"
+    n, m, n_left, m_left = one.format("x"), one.format("y"), left.format("x"), left.format("y")
+    overlap = f"ceil(({n} + {m}) * 3 / 7)"
+    # both sides are the same rows, so they are shuffled once; what the smaller set needs fewer tokens for follows from the overlap
+    met = posted.alias("x").join(posted.alias("y"), F.expr(
+        f"x.token = y.token AND x.set < y.set AND (y.at & 1L) = 1 AND least({n_left}, {m_left}) >= {overlap} AND 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) "
+        f"AND bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) <= {n} + {m} - 2 * {overlap}"))
+    return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets, read from the texts again, have a Jaccard similarity of 0.75 or more."""
     asked = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    where = stage(places.join(asked, "set").select("set", F.col("at.doc").alias("doc"), F.col("at.line").alias("line")), "asked")
+    where = stage(sets.select("set", "at").join(asked, "set").select("set", F.col("at.doc").alias("doc"), F.col("at.line").alias("line")), "asked")
     texts = docs.join(where.select("doc").distinct(), F.col("_doc") == F.col("doc"), "left_semi").dropDuplicates(["_doc"])
     full = _lines(texts).join(where, (F.col("_doc") == F.col("doc")) & (F.col("line_no") == F.col("line")))
     full = stage(full.select("set", "tokens"), "full")
     one = full.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
     two = full.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
     common = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
-    similar = common.filter("4 * common >= 3 * (both - common)").select("a", "b")
-    first = places.select(F.col("set").alias("a"), F.col("at").alias("at_a"), F.col("k").alias("k_a"))
-    second = places.select(F.col("set").alias("b"), F.col("at").alias("at_b"), F.col("k").alias("k_b"))
-    late = similar.join(first, "a").join(second, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("k_b")).otherwise(F.col("k_a")).alias("k")).distinct()
-    late = stage(late, "late").withColumn("late", F.lit(True))
-    marked = sets.select("k", "at", "copies").join(late, "k", "left").filter("copies > 1 OR late")
-    return lines.select("_id", "_doc", "line_no", "k"), marked.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), F.coalesce("late", F.lit(False)).alias("late"))
+    return stage(common.filter("4 * common >= 3 * (both - common)").select("a", "b"), "similar")
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str | None = None, cells: int = CELLS) -> DataFrame:
@@ -113,10 +146,11 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Method. Equal sets are one set, at the place of their first line. Tokens are ordered by rarity: by the logarithm of
     the count of their cell in a table of hashed words over all documents, then by hash. A set of n tokens is posted
-    under its first n - ceil(3n/4) + 1 tokens; the smaller set of a pair needs only its first n - ceil(6n/7) + 1.
-    Postings meet under the length filter (4m >= 3n), the positional filter (the tokens that are left can still reach
-    the overlap asked for) and a bound on how many tokens differ, from 128 bits that each token flips one of; the pairs
-    are verified on whole sets. Any order of tokens gives the exact result; the table only makes the postings short. It
+    under its first n - ceil(3n/4) + 1 tokens.
+    Postings meet under the length filter (4m >= 3n), the positional filter (from the first common token on both
+    must have as many left as the overlap asked for) and a bound on how many tokens differ, from 128 bits that each token flips one of; the pairs
+    are verified on whole sets. Before that, sets that meet an earlier one under four of their tokens (``_stars``) are
+    settled, so that a large family of variants is not paired with itself; those that fail the verification are searched. Any order of tokens gives the exact result; the table only makes the postings short. It
     has ``cells`` bytes, whatever the input, and reaches each task with the plan.
     """
     names = docs.columns
@@ -125,6 +159,7 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = lines.join(sets, "k").filter("late OR NOT (doc <=> _doc AND line <=> line_no)")
     gone = gone.groupBy("_doc").agg(F.collect_set("line_no").alias("_gone"))
     gone = stage(gone.withColumnRenamed("_doc", "_of"), "gone")
+    release(docs.sparkSession)
     joined = keyed.join(gone, F.col("_doc") == F.col("_of"), "left")
     parts = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i))
