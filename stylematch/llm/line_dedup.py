@@ -114,9 +114,10 @@ def _pairs(sets: DataFrame, settled: DataFrame | None, sought: DataFrame | None)
     left = "(shiftright({0}.at, 32) - shiftright({0}.at & 4294967295L, 1))"
     n, m, n_left, m_left = one.format("x"), one.format("y"), left.format("x"), left.format("y")
     overlap = f"ceil(({n} + {m}) * 3 / 7)"
-    # both sides are the same rows, so they are shuffled once; what the smaller set needs fewer tokens for follows from the overlap
+    # Both sides are the same rows and no condition is on one side alone, so they are shuffled once; that the smaller set
+    # needs fewer tokens follows from the overlap.
     met = posted.alias("x").join(posted.alias("y"), F.expr(
-        f"x.token = y.token AND x.set < y.set AND (y.at & 1L) = 1 AND least({n_left}, {m_left}) >= {overlap} AND 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) "
+        f"x.token = y.token AND IF(x.set < y.set, y.at & 1L, 0L) = 1 AND least({n_left}, {m_left}) >= {overlap} AND 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) "
         f"AND bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) <= {n} + {m} - 2 * {overlap}"))
     return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
