@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["quality"].cast("int").alias("y")).filter("label_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(~in_fold(F.col("label_id"))).distinct()
     sample = known.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(rows)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("label_id"))
+    # at most ``rows`` rows of two numbers: small by the bound, so the texts stay where they are
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     held = joined.select("y", "text").mapInArrow(_measured, "y int, x array<double>").toPandas()
     if not len(held):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
