@@ -17,12 +17,15 @@ from stylematch.session import stage
 TILE = 32
 RANK = 96
 COSINE = 0.45
+SHARE = 0.45
 COMMON = 0.6
 COMMON_WITH_ANSWER = 0.45
 ITEMS = 4000
 FEW = 8
 COMMON_TERM = 0.02
 STRIP = 64
+#: Postings met per tile, as expected from the frequencies, that are counted at once.
+SLAB = 64.0
 
 #: Letters, digits and all bytes beyond ASCII make words; everything else parts them.
 LETTERS = np.zeros(256, dtype=bool)
@@ -67,6 +70,7 @@ class Index:
     terms: np.ndarray
     near: np.ndarray
     idf: np.ndarray | None = None
+    own: list[np.ndarray] | None = None
     basis: np.ndarray | None = None
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +137,17 @@ def _frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
 
 def _selected(index: Index, df: np.ndarray, tiles: int) -> Index:
     """The index without very common terms, but with at least ``FEW`` of each item's rarest words, and with weights."""
-    keep = df <= COMMON_TERM * tiles
+    few = df <= COMMON_TERM * tiles
+    keep, owned = few.copy(), []
     for item in index.items:
         own = np.unique(np.searchsorted(index.terms, np.array(item, np.uint64)))
-        if keep[own].sum() < FEW:
-            keep[own[np.argsort(df[own], kind="stable")[:FEW]]] = True
-    terms = index.terms[keep]
+        own = own[few[own]] if few[own].sum() >= FEW else own[np.argsort(df[own], kind="stable")[:FEW]]
+        keep[own] = True
+        owned.append(own)
+    terms, place = index.terms[keep], np.cumsum(keep) - 1
     near = np.zeros(len(index.near), bool)
     near[(terms & np.uint64(len(near) - 1)).astype(np.int64)] = True
-    return Index(index.ids, index.items, index.answers, terms, near, np.log((1 + tiles) / (1 + df[keep])) + 0.1)
+    return Index(index.ids, index.items, index.answers, terms, near, np.log((1 + tiles) / (1 + df[keep])) + 0.1, [place[own] for own in owned])
 
 
 def _latent_basis(docs: DataFrame, index: Index, rank: int, seed: int = 5) -> np.ndarray:
@@ -200,11 +206,69 @@ def _latent_basis(docs: DataFrame, index: Index, rank: int, seed: int = 5) -> np
     return (np.linalg.qr(z)[0] * idf[:, None]).astype(np.float32)
 
 
+def _reach(words_of: list[int]) -> int:
+    """Words on either side of a window that are compared with an item too."""
+    return max(TILE, len(words_of) // 2)
+
+
+class Slab:
+    """Postings of some items' kept terms, to count the weight of an item's terms in every passage."""
+
+    def __init__(self, index: Index, items: np.ndarray):
+        self.items = items
+        own = [index.own[i] for i in items]
+        term = np.concatenate(own)
+        order = np.argsort(term, kind="stable")
+        self.start = np.searchsorted(term[order], np.arange(len(index.terms) + 1))
+        self.which = np.repeat(np.arange(len(items)), [len(x) for x in own])[order]
+        self.weight = index.idf[term[order]]
+        self.need = np.array([SHARE * index.idf[x].sum() for x in own]) - 1e-6
+        self.side = np.array([-(-_reach(index.items[i]) // TILE) for i in items])
+
+    def candidates(self, tile: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window's tile, item number) wherever the tiles of the passage may hold the share of the item's weight.
+
+        ``tile`` and ``number`` are the distinct pairs of a tile and a term. A term in several tiles counts in each, so
+        no passage that holds the share is missed.
+        """
+        counts = self.start[number + 1] - self.start[number]
+        from_pair = np.repeat(np.arange(len(number)), counts)
+        posting = np.arange(len(from_pair)) + np.repeat(self.start[number] - (np.cumsum(counts) - counts), counts)
+        item, at = self.which[posting], tile[from_pair]
+        # Documents stand so far apart that no passage reaches from one into the next.
+        gap = 2 * int(self.side.max()) + 2
+        doc = np.searchsorted(first, at, side="right") - 1
+        span = int(first[-1]) + len(first) * gap
+        key = item * span + at + doc * gap
+        order = np.argsort(key, kind="stable")
+        key, item, at, doc = key[order], item[order], at[order], doc[order]
+        total = np.concatenate([[0.0], np.cumsum(self.weight[posting[order]])])
+        wide = 2 * self.side[item] + 2
+        good = np.flatnonzero(total[np.searchsorted(key, key + wide)] - total[np.searchsorted(key, key)] >= self.need[item])
+        per = wide[good]
+        item, doc = np.repeat(item[good], per), np.repeat(doc[good], per)
+        head = np.repeat(at[good] - self.side[item[np.cumsum(per) - per]] - 1 if len(good) else at[good], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        inside = (head >= first[doc]) & (head <= np.maximum(first[doc], first[doc + 1] - 2))
+        spots = np.unique(item[inside] * span + head[inside])
+        item, head = spots // span, spots % span
+        low = item * span + head + (np.searchsorted(first, head, side="right") - 1) * gap - self.side[item]
+        held = total[np.searchsorted(key, low + 2 * self.side[item] + 2)] - total[np.searchsorted(key, low)]
+        some = held >= self.need[item]
+        return head[some], self.items[item[some]]
+
+
+def _slabs(index: Index) -> list[Slab]:
+    rate = np.cumsum([np.exp(0.1 - index.idf[own]).sum() for own in index.own])
+    return [Slab(index, part) for part in np.split(np.arange(len(rate)), np.flatnonzero(np.diff(rate // SLAB)) + 1)]
+
+
 FOUND = "doc_id long, item_id long, first_word int, n_words int, cosine double, common double, answer boolean"
 
 
 def _matcher(index: Index):
     """A function from a text column to the confirmed (row, item number) pairs: every window of two tiles against every item."""
+    slabs = _slabs(index)
+    weights = [dict(zip(index.terms[own].tolist(), index.idf[own].tolist())) for own in index.own]
     number = [index.hits(np.array(item, np.uint64))[1] for item in index.items]
     items = index.project(np.concatenate(number), np.repeat(np.arange(len(number)), [len(x) for x in number]), len(number))
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
@@ -218,6 +282,10 @@ def _matcher(index: Index):
         has = bool(answer) and any(passage[i:i + len(answer)] == answer for i in range(len(passage) - len(answer) + 1))
         return (common, has) if common >= COMMON or has else None
 
+    def weighs(hashes, first, last, item):
+        own = weights[item]
+        return sum(own[w] for w in own.keys() & set(hashes[first:last].tolist())) >= SHARE * sum(own.values()) - 1e-6
+
     def matches(column: pa.Array) -> dict[tuple[int, int], tuple]:
         best: dict[tuple[int, int], tuple] = {}
         for row, hashes, bounds, tile, first in _chunks(column):
@@ -233,21 +301,33 @@ def _matcher(index: Index):
             windows = np.concatenate([vectors[pair] + vectors[pair + 1], vectors[alone]])
             norms = np.linalg.norm(windows, axis=1)
             some = np.flatnonzero(norms > 0)
+            seen = set()
+
+            def look(head, item, likeness, exact):
+                doc = int(doc_of[head])
+                low, high = int(bounds[doc]), int(bounds[doc + 1])
+                place, reach = low + (head - int(first[doc])) * TILE, _reach(index.items[item])
+                a, b = max(low, place - reach), min(high, place + 2 * TILE + reach)
+                got = confirm(hashes, a, b, item) if not exact or weighs(hashes, a, b, item) else None
+                if got:
+                    key = (row + doc, item)
+                    found = (got[0], got[1], likeness, a - low, b - a)
+                    best[key] = max(best.get(key, found), found)
+
             for start in range(0, len(some), 4096):
                 part = some[start:start + 4096]
                 likeness = (windows[part] / norms[part, None]) @ items.T
                 for w, item in zip(*np.nonzero(likeness >= COSINE)):
-                    head = int(heads[part[w]])
-                    doc = int(doc_of[head])
-                    low, high = int(bounds[doc]), int(bounds[doc + 1])
-                    place = low + (head - int(first[doc])) * TILE
-                    reach = max(TILE, len(index.items[item]) // 2)
-                    a, b = max(low, place - reach), min(high, place + 2 * TILE + reach)
-                    got = confirm(hashes, a, b, int(item))
-                    if got:
-                        key = (row + doc, int(item))
-                        found = (got[0], got[1], float(likeness[w, item]), a - low, b - a)
-                        best[key] = max(best.get(key, found), found)
+                    seen.add((int(heads[part[w]]), int(item)))
+                    look(int(heads[part[w]]), int(item), float(likeness[w, item]), False)
+            window_of = np.zeros(tiles, np.int64)
+            window_of[heads] = np.arange(len(heads))
+            pairs = np.unique(tile[at] * len(index.terms) + number)
+            for slab in slabs:
+                for head, item in zip(*(x.tolist() for x in slab.candidates(pairs // len(index.terms), pairs % len(index.terms), first))):
+                    if (head, item) not in seen:
+                        w = window_of[head]
+                        look(head, item, float(windows[w] @ items[item] / max(norms[w], 1e-9)), True)
         return best
 
     return matches
@@ -286,8 +366,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, items:
 
     Words are runs of letters and digits, A-Z as a-z. Documents are cut into tiles of 32 words. A distributed
     randomised SVD of the TF-IDF matrix of all tiles, over the terms of the items, gives a latent space; windows of two
-    tiles whose cosine to an item is at least 0.45 there are candidates. A candidate's words, with those around it, hold
-    the item if their longest common subsequence has 60 % of the item's words, or 45 % and the answer (the last
+    tiles whose cosine to an item is at least 0.45 there are candidates. The space is too small to tell thousands of
+    items apart, so windows that hold, with the words around them, 45 % of the summed weights of an item's terms are
+    candidates too, whatever their cosine; these are counted exactly. A candidate's words, with those around it, hold the
+    item if their longest common subsequence has 60 % of the item's words, or 45 % and the answer (the last
     sentence of three or more words) stands in them. Of several windows of a document the best is returned. Terms in
     more than 2 % of the tiles weigh nothing, except that every item keeps its eight rarest.
 

@@ -151,6 +151,39 @@ def test_paraphrases_and_odd_rows(spark):
     assert decontaminate.contaminated(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least, most", [(8, 14), (15, 59)])
+def test_leaks_of_thousands_of_items(spark, least, most):
+    rng = random.Random(least + most)
+    vocab = [f"v{i}" for i in range(4000)]
+    noise = lambda n: rng.choices(vocab, k=n)
+    items = [noise(rng.randrange(least, most + 1)) for _ in range(3000)]
+    docs, want = [], set()
+    for d in range(150):
+        words = noise(rng.randrange(20, 120))
+        for item in rng.sample(range(len(items)), 2):
+            plant = list(items[item])
+            for i in rng.sample(range(len(plant)), len(plant) // 5 if d % 2 else 0):
+                plant[i] = f"edit{d}"
+            words += plant + noise(rng.randrange(20, 120))
+            want.add((d, item))
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert want <= found
+    asked = sorted({i for _, i in want})[:60]
+    near = set()
+    for d, text in docs:
+        words = text.split()
+        for i in asked:
+            reach = max(32, len(items[i]) // 2)
+            for place in range(0, max(1, len(words) - 32), 32):
+                passage = words[max(0, place - reach):place + 64 + reach]
+                if decontaminate.common_length(items[i], passage) / len(items[i]) >= 0.6:
+                    near.add((d, i))
+    missed = near - found
+    assert len(missed) <= 0.1 * len(near) and not missed & want, (len(near), len(missed))
+
+
 def conversations(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
 
