@@ -209,12 +209,20 @@ def _measure(root: Node) -> None:
             node.parent.link_chars += node.link_chars
 
 
+def _beside(child: Node | str, parent: Node) -> bool:
+    """Whether what stands beside the best container belongs to it: all but links, and the header of the whole page."""
+    if isinstance(child, str) or child.drop or not child.chars or child.tag == "header" and parent.parent is None:
+        return False
+    return child.tag in HEADINGS or child.tag == "header" or 2 * child.link_chars < child.chars
+
+
 def main_text(page: str | None) -> str:
-    """The blocks of the best container and of its siblings that read like it, joined by line feeds.
+    """The blocks of the best container and of its siblings, joined by line feeds.
 
     Every paragraph gives points to its ancestors, 1 + commas + a point per 100 characters (3 at most), in full to the
     parent, half to the grandparent, less above. A node's score, with a bonus for elements and names that hold
-    articles, is multiplied by one minus its share of text in links. Without any paragraph the whole page counts.
+    articles, is multiplied by one minus its share of text in links. Without any paragraph the whole page counts. A best node inside
+    an article or main element stands for that element; beside any other, all that is not half links is kept.
     """
     if not page:
         return ""
@@ -241,19 +249,24 @@ def main_text(page: str | None) -> str:
         return node.score * (1 - node.link_chars / max(1, node.chars))
 
     best = max(scored.values(), key=value)
+    above = best
+    while above is not None and above.tag not in ("article", "main"):
+        above = above.parent
+    best = above or best
+    while best.parent is not None and best.parent.chars == best.chars and best.tag not in ("article", "main"):
+        best = best.parent
     chosen = [best]
     if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(10.0, 0.2 * value(best))
-        chosen = [
-            child for child in best.parent.children
-            if child is best or not isinstance(child, str) and not child.drop and child.chars
-            and (value(child) >= least or child.tag in PARAGRAPHS and child.chars > 80 and child.link_chars < 0.25 * child.chars)
-        ]
+        chosen += [child for child in best.parent.children if child is not best and _beside(child, best.parent)]
     within, stack = set(), list(chosen)
     while stack:
         node = stack.pop()
         within.add(id(node))
         stack.extend(child for child in node.children if not isinstance(child, str))
+    if best.parent is not None and best.tag not in ("article", "main"):
+        loose = [(len(c.strip()), 0) if isinstance(c, str) else (c.chars, c.link_chars) for c in best.parent.children if isinstance(c, str) or not c.drop and c.tag not in BLOCKS]
+        if 2 * sum(links for _, links in loose) < sum(chars for chars, _ in loose):
+            within.add(id(best.parent))
     return "\n".join(text for node, text in blocks if id(node) in within)
 
 

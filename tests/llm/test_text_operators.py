@@ -184,6 +184,20 @@ def test_main_text_of_a_page():
     assert html_text.main_text("a < b and c > d") == "a < b and c > d"
 
 
+def test_nothing_beside_the_best_container_is_lost():
+    paragraphs = [f"Paragraph {i}, with commas, and words, enough of them." for i in range(40)]
+    long = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for n in (5, 40):
+        got = html_text.main_text(f"<article><h1>Title</h1><div>{''.join(f'<p>{p}</p>' for p in paragraphs[:n])}</div></article>")
+        assert got.split("\n") == ["Title", *paragraphs[:n]]
+    whole = "\n".join(paragraphs)
+    assert html_text.main_text(f"<article><section>{long}</section><section><p>Short end.</p></section></article>") == whole + "\nShort end."
+    assert html_text.main_text(f"<main><header><h1>T</h1></header><div><div>{long}</div></div><p>End.</p></main>") == f"T\n{whole}\nEnd."
+    menu = "<ul><li><a href=a>Other pages</a><li><a href=b>More pages</a></ul>"
+    assert html_text.main_text(f"<div><h2>T</h2><p>Short.</p><div>{long}</div>loose words{menu}<p>Last.</p></div>") == f"T\nShort.\n{whole}\nloose words\nLast."
+    assert html_text.main_text(f"<div><h1>T</h1><div><div>{long}</div></div></div>") == f"T\n{whole}"
+
+
 def test_main_text_query(spark, sf):
     import html
 
