@@ -21,7 +21,7 @@ BLOCKS = frozenset(
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset(
-    "script style noscript template iframe object embed svg math canvas nav menu aside footer form button input select textarea option "
+    "script style noscript template iframe object embed svg math canvas nav menu aside footer button input select textarea option "
     "label dialog title head noembed noframes audio video map".split())
 CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption".split())
 #: An open element that ends where one of the others starts, unless a container stands between them.
@@ -39,41 +39,49 @@ PAGE_NOISE = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 BONUS = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 2.0}
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
+#: First and last parts of names that tell what an element has, not what it is.
+HAS = frozenset("has have with no not without is are show shows hide hides can supports".split())
+STATES = frozenset("enabled disabled on off open opened closed collapsed expanded active inactive visible allowed ready".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "hint", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "hint", "score", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, hint: float = 0.0):
         self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
         self.children: list = []
+        #: Dropped for a name alone, which ``_restore`` may take back.
+        self.named = False
         self.score = 0.0
         self.chars = self.link_chars = 0
 
 
-def _noisy(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is page furniture by its name or attributes, and a bonus for those that name content."""
+def _noisy(tag: str, attributes: str) -> tuple[bool, bool, float]:
+    """Whether an element is page furniture, whether only its name says so, and a bonus for names of content."""
     if tag in DROPPED:
-        return True, 0.0
-    hint = BONUS.get(tag, 0.0)
+        return True, False, 0.0
+    hint, named = BONUS.get(tag, 0.0), False
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False, hint
+        return tag == "form", tag == "form", hint
+    main = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, 0.0
+            return True, False, 0.0
         if name == "role":
             if value in NOISE_ROLES:
-                return True, 0.0
+                return True, False, 0.0
             hint += 25.0 * (value in ("main", "article"))
         if name in ("class", "id"):
             for word in value.split():
                 parts = [word, *re.split(r"[-_]+|\d+", word)]
                 if any(p in PAGE_NOISE for p in parts):
-                    return True, 0.0
-                hint += 8.0 * any(p in MAIN_WORDS for p in parts)
-    return False, hint
+                    named = named or not (len(parts) > 2 and (parts[1] in HAS or parts[-1] in STATES))
+                elif any(p in MAIN_WORDS for p in parts):
+                    main, hint = True, hint + 8.0
+    named = tag == "form" or named and not main
+    return named, named, hint
 
 
 def parse(page: str) -> Node:
@@ -122,12 +130,14 @@ def parse(page: str) -> Node:
         if tag == "br":
             at.children.append(" ")
             continue
-        drop, hint = _noisy(tag, token[3])
+        drop, named, hint = _noisy(tag, token[3])
         if tag in VOID:
             if tag == "hr":
                 at.children.append(Node(tag, at))
             continue
         node = Node(tag, at, drop, hint)
+        node.named = named
+        root.named = root.named or named
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, end)
@@ -189,6 +199,47 @@ def _flush(inside: list[str], out: list[tuple[Node, str]], block: Node) -> None:
         out.append((block, text))
 
 
+def _content(node: Node) -> bool:
+    return node.tag in ("article", "main", "h1") or node.hint > BONUS.get(node.tag, 0.0)
+
+
+def _restore(root: Node) -> None:
+    """Take back the drop of named elements that hold the article.
+
+    Such an element contains a main element, or most characters that the page has in paragraphs outside links; then it
+    also contains an h1, or no text outside it stands in an element that is or is named content.
+    """
+    order, stack = [], [(root, False, False)]
+    inside: dict[int, list] = {}
+    while stack:
+        node, linked, paragraph = stack.pop()
+        linked, paragraph = linked or node.tag == "a", paragraph or node.tag in PARAGRAPHS and node.tag not in HEADINGS
+        order.append(node)
+        inside[id(node)] = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) * (paragraph and not linked), node.tag == "main", node.tag == "h1"]
+        stack.extend((c, linked, paragraph) for c in node.children if not isinstance(c, str) and (c.named or not c.drop))
+    for node in reversed(order):
+        if node.parent is not None:
+            own, up = inside[id(node)], inside[id(node.parent)]
+            up[0], up[1], up[2] = up[0] + own[0], up[1] or own[1], up[2] or own[2]
+    least = inside[id(root)][0] / 2
+    asked = [n for n in order if n.named and n is not root and (inside[id(n)][1] or inside[id(n)][0] > least)]
+    for node in asked:
+        if inside[id(node)][1] or inside[id(node)][2] or not _content_in_sight(root):
+            node.drop = False
+
+
+def _content_in_sight(root: Node) -> bool:
+    """Whether text that is not dropped stands in an element that is or is named content, the page's header aside."""
+    stack = [(root, False)]
+    while stack:
+        node, content = stack.pop()
+        content = content or _content(node)
+        if content and any(isinstance(c, str) and c.strip() for c in node.children):
+            return True
+        stack.extend((c, content) for c in node.children if not isinstance(c, str) and not c.drop and not (c.tag == "header" and node is root))
+    return False
+
+
 def _measure(root: Node) -> None:
     """Characters of text, and of text in links, below each node that is not dropped."""
     order, stack = [], [(root, False)]
@@ -227,6 +278,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    if root.named:
+        _restore(root)
     _measure(root)
     blocks: list[tuple[Node, str]] = []
     _blocks(root, blocks)

@@ -198,6 +198,22 @@ def test_nothing_beside_the_best_container_is_lost():
     assert html_text.main_text(f"<div><h1>T</h1><div><div>{long}</div></div></div>") == f"T\n{whole}"
 
 
+def test_names_of_noise_are_no_proof_alone():
+    paragraphs = [f"Paragraph {i}, with commas, and words, enough of them." for i in range(8)]
+    long, whole = "".join(f"<p>{p}</p>" for p in paragraphs), "\n".join(paragraphs)
+    for element in ("div class='content has-sidebar'", "div id='post' class='share-enabled'", "div class='page with-comments'",
+                    "section class='related-work'", "form action=x", "div class=widget", "div class='content share'"):
+        tag = element.split()[0]
+        assert html_text.main_text(f"<nav>menu</nav><{element}><h1>T</h1>{long}</{tag}><footer>x</footer>") == f"T\n{whole}"
+        assert html_text.main_text(f"<{element}><main><h1>T</h1>{long}</main></{tag}>") == f"T\n{whole}"
+        assert html_text.main_text(f"<header><h1>Site</h1></header><{element}><article>{long}</article></{tag}>") == whole
+    inner = "<div class='comments'><p>Nice, nice, very nice</p></div><form><p>Search, find</p></form>"
+    assert html_text.main_text(f"<form><div class='page with-comments'><h1>T</h1>{long}{inner}</div></form>") == f"T\n{whole}"
+    talk = "<div class=comments>" + "<article class=comment><p>Much, longer, comments, than, the text itself, by far.</p></article>" * 50 + "</div>"
+    assert html_text.main_text(f"<article><h1>T</h1>{long}</article>{talk}") == f"T\n{whole}"
+    assert html_text.main_text(f"<div class=post><h1>T</h1>{long}{talk}</div>") == f"T\n{whole}"
+
+
 def test_main_text_query(spark, sf):
     import html
 
