@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -40,7 +44,11 @@ IDENTIFIERS = (
 )
 
 HEX_BYTES = bytes(ord("h") if chr(b) in "0123456789abcdef" else ord(".") for b in range(256))
-DIGITS = bytes(ord("0") if chr(b) in "0123456789" else ord(".") for b in range(256))
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets of keys, the smallest first.
+ALPHABETS = sorted((DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", LOWER + "234567", LOWER, UPPER, LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER, LOWER + UPPER + DIGITS), key=len)
+LETTERS_OF_WORDS = re.compile(r"[^a-z]+")
+PAIRS = Counter(zip(f" {IDENTIFIERS}", f"{IDENTIFIERS} "))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,26 +76,52 @@ def marginal_ratio(value: str, around: str, level: int = 3) -> float:
     return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
 
 
+@lru_cache(4096)
+def random_ratio(alphabet: str, length: int) -> float:
+    """The least marginal ratio of a few random strings of an alphabet: from 64 characters on, zstandard codes small alphabets."""
+    made = random.Random(f"{alphabet} {length}")
+    return min(marginal_ratio("".join(made.choices(alphabet, k=length)), "") for _ in range(3))
+
+
+def least_ratio(value: str, least: float) -> float:
+    """The ratio from which a string counts as random: ``least``, or nine tenths of what random strings like it have."""
+    used = {c for c in value if c.isalnum()}
+    alphabet = next((a for a in ALPHABETS if used.issubset(a)), ALPHABETS[-1])
+    return least if len(value) < 64 else min(least, 0.9 * random_ratio(alphabet, len(value)))
+
+
+def wordlike(value: str, around: str) -> bool:
+    """Whether the letter pairs of the identifiers and the surroundings code the string better than even chances do."""
+    around = LETTERS_OF_WORDS.sub(" ", around.lower())
+    near = Counter(zip(around, around[1:]))
+    heads = Counter()
+    for pairs in (PAIRS, near):
+        for (a, _), n in pairs.items():
+            heads[a] += n
+    text = f" {LETTERS_OF_WORDS.sub(' ', value.lower()).strip()} "
+    bits = sum(math.log2((heads[a] + 13.5) / (PAIRS[a, b] + near[a, b] + 0.5)) for a, b in zip(text, text[1:]))
+    return bits < math.log2(26) * (len(text) - 1)
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], reach: int = 48, around: int = 600, least: float = 0.8) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, ratio) of incompressible strings in a sensitive context.
 
-    A candidate has 16 or more of A-Z a-z 0-9 + / _ = -, with a letter and a digit among them, no overlap with a known
-    span, and a word such as key, token or auth within the ``reach`` characters before it. Its dictionary is the
-    ``around`` characters on both sides, without copies of the candidate, and the identifier words.
+    A candidate has 16 or more of A-Z a-z 0-9 + / _ = -, with a letter among them, no overlap with a known span, and
+    a word such as key, token or auth within the ``reach`` characters before it. Its dictionary is the ``around``
+    characters on both sides, without copies of the candidate, and the identifier words. Without a digit it must not
+    read like words either. Strings of 64 characters or more are held against random strings of their alphabet.
     """
-    if b"0" not in text.encode().translate(DIGITS):
-        return []
     found = []
     taken = sorted((start, end) for start, _, end in known)
     for m in CANDIDATE.finditer(text):
         value, start, end = m[0], m.start(), m.end()
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        if not any(c.isalpha() for c in value):
             continue
         if any(a < end and start < b for a, b in taken) or not SENSITIVE.search(text, max(0, start - reach), start):
             continue
         near = (text[max(0, start - around):start] + " " + text[end:end + around]).replace(value, " ")
         ratio = marginal_ratio(value, near)
-        if ratio >= least:
+        if ratio >= least_ratio(value, least) and (any(c.isdigit() for c in value) or not wordlike(value, near)):
             found.append((start, 3, end, ratio))
     return found
 
@@ -111,8 +145,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, spans) for every row: the secrets of its whole text by start, then kind as listed in ``KINDS``.
 
     Kinds assign, access and hex are fixed patterns. Kind novel is a string in a sensitive context whose marginal
-    zstandard size, with the surrounding text and an identifier list as dictionary, is close to its length; ``ratio``
-    is that size per byte. Offsets are code points, end exclusive. A null or empty text has no spans; rows with a null
+    zstandard size, with the surrounding text and an identifier list as dictionary, is close to its length, or from 64
+    characters on to that of random strings of its alphabet; ``ratio`` is that size per byte. Offsets are code points, end exclusive. A null or empty text has no spans; rows with a null
     or repeated id are scanned like any other; an empty table gives an empty result. Other columns are not read. One
     pass without a shuffle; a text is held whole, one at a time.
     """

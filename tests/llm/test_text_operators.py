@@ -67,6 +67,29 @@ def test_novel_strings_need_context_and_surprise():
     assert not secret_scan.novel_spans(known, [(21, 0, 21 + len(random))])
 
 
+def test_novel_strings_of_every_alphabet_and_length():
+    import random
+
+    rng = random.Random(3)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    found, asked = {}, {}
+    for alphabet in (digits + "ABCDEF", upper + "234567", lower + digits, lower + upper, lower + upper + digits + "+/", lower):
+        for n in (16, 32, 63, 64, 128, 256, 800, 2000):
+            for _ in range(20):
+                value = "".join(rng.choices(alphabet, k=n))
+                text = f"the signing_key of the server is {value} and then more text"
+                got = [text[a:b] for a, _, b, _ in secret_scan.novel_spans(text, [])]
+                asked[alphabet, n] = asked.get((alphabet, n), 0) + any(c.isalpha() for c in value)
+                found[alphabet, n] = found.get((alphabet, n), 0) + (got == [value])
+    print({k: (found[k], asked[k]) for k in asked if found[k] < asked[k]})
+    assert all(found[k] >= 0.9 * asked[k] for k in asked) and sum(found.values()) >= 0.99 * sum(asked.values())
+    words = secret_scan.IDENTIFIERS.split()
+    plain = ["_".join(rng.choices(words, k=k)) for k in (3, 8, 20, 100) for _ in range(20)]
+    plain += ["".join(w.title() for w in rng.choices(words, k=k)) for k in (3, 8, 20, 100) for _ in range(20)]
+    plain += ["internationalization", "characteristically", "getElementByIdentifierName", "a" * 200, "ab01" * 100]
+    assert not [p for p in plain if secret_scan.novel_spans(f"auth key {p} end", [])]
+
+
 def test_secret_query_matches_plain_scan(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
