@@ -19,11 +19,11 @@ _THREE = constants(3, 53)
 
 
 def paragraph_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: four 64-bit sums of its paragraphs' BLAKE2b digests, and ``LANES`` 16-bit sums of signs.
+    """Per text: four 64-bit sums of its paragraphs' BLAKE2b digests, and ``LANES`` 32-bit sums of signs.
 
     A paragraph is what stands between line feeds. Its sign vector adds +1 or -1 to one lane for each of its words, by
     a hash of the word and the two after it in the paragraph. Both parts are sums over paragraphs modulo 2^64 and
-    2^16: the order of the paragraphs does not matter, and adding or subtracting one is adding or subtracting its sums.
+    2^32, which no lane of a text below 4 GB reaches: the order of the paragraphs does not matter, and adding or subtracting one is adding or subtracting its sums.
     """
     exact = np.zeros((len(texts), 4), np.uint64)
     raw, rows = [], []
@@ -36,7 +36,7 @@ def paragraph_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(raw), np.uint8)
     starts, ends, bounds = words(data, np.concatenate([[0], np.cumsum([len(p) for p in raw])]).astype(np.int64))
     if not len(starts):
-        return exact, np.zeros((len(texts), LANES), np.int16)
+        return exact, np.zeros((len(texts), LANES), np.int32)
     hashes = word_hashes(data, starts, ends, fold=False)
     counts = np.diff(bounds)
     left = np.repeat(bounds[1:], counts) - np.arange(len(hashes))
@@ -46,17 +46,17 @@ def paragraph_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     run = mix(run)
     cell = np.repeat(np.array(rows), counts) * LANES + (run % np.uint64(LANES)).astype(np.int64)
     signs = 1.0 - 2.0 * ((run >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
-    sums = np.bincount(cell, signs, len(texts) * LANES).astype(np.int64).astype(np.int16)
+    sums = np.bincount(cell, signs, len(texts) * LANES).astype(np.int64).astype(np.int32)
     return exact, sums.reshape(len(texts), LANES)
 
 
 def encode(exact: np.ndarray, sums: np.ndarray) -> str:
-    return exact.astype("<u8").tobytes().hex() + ":" + base64.b64encode(sums.astype("<i2").tobytes()).decode()
+    return exact.astype("<u8").tobytes().hex() + ":" + base64.b64encode(sums.astype("<i4").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     exact, sums = fingerprint.split(":")
-    return np.frombuffer(bytes.fromhex(exact), "<u8"), np.frombuffer(base64.b64decode(sums), "<i2")
+    return np.frombuffer(bytes.fromhex(exact), "<u8"), np.frombuffer(base64.b64decode(sums), "<i4")
 
 
 def fingerprint(text: str) -> str:

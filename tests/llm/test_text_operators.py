@@ -121,6 +121,13 @@ def test_fingerprints_are_multisets():
     assert fingerprints.encode(*decoded) == whole and fingerprints.likeness(decoded, decoded) == 1.0
 
 
+def test_lanes_of_repetitive_texts_do_not_wrap():
+    text = "a " * 40_000
+    whole, half = fingerprints.fingerprint(text), fingerprints.fingerprint(text[:40_000] + "b c d e f " * 100)
+    assert fingerprints.likeness(fingerprints.decode(whole), fingerprints.decode(half)) > 0.9
+    assert fingerprints.insert(fingerprints.insert(half, text), text, -1) == half
+
+
 def test_fingerprint_query_matches_plain_edit(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op5_document_fingerprints"](spark, sf).collect()}
     docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
