@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dedup, quality, secret_scan, warc
+from stylematch.llm import chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dedup, quality, repair, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
 
+@_register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a checksum rule: its faults and the cheapest repair."""
+    return repair.repair_report(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 ORACLES["op9_chat_snapshots"] = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
