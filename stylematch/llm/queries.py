@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylematch.llm import chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dedup, quality, repair, secret_scan, warc
+from stylematch.llm import chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dedup, quality, repair, secret_scan, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,13 @@ def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
 
+@_register
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of its links and its component."""
+    found = vectors.link_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 @_register
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a checksum rule: its faults and the cheapest repair."""
@@ -113,3 +120,20 @@ SELECT conv_id, turn // 256 AS part, n_turns, copies,
   string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
 FROM kept JOIN turns USING (conv_id) GROUP BY conv_id, turn // 256, n_turns, copies
 """
+
+ORACLES["op11_embedding_near_dedup"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS length FROM vectors
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.9
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM vectors UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
