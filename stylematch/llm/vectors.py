@@ -314,7 +314,7 @@ def _named(rows: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
     large = classes.filter(F.col("copies") > max(HOT, total // 1000)).select("h1", "h2", F.lit(SALTS).alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     sound = rows.filter("v IS NOT NULL").select("id", "h1", "h2").join(F.broadcast(large), ["h1", "h2"], "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts))
-    salted = classes.join(F.broadcast(large), ["h1", "h2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)).cast("long"))
+    salted = classes.join(F.broadcast(large), ["h1", "h2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
     linked = sound.join(salted.select("h1", "h2", "salt", "n_links", "component"), ["h1", "h2", "salt"])
     lone = rows.filter("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.select("id", "n_links", "component").unionByName(lone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"))
