@@ -53,7 +53,7 @@ def some_texts(rng, langs, n, vocabulary):
 def test_against_plain_counts(spark):
     rng = random.Random(13)
     vocabulary = ["a", "A", "the", "The", "of", "é", "É", "-x-", "…", "word" * 30, "日本"] + [f"w{i}" for i in range(12)]
-    rows = some_texts(rng, ["en", "de", None, "und", ""], 400, vocabulary)
+    rows = some_texts(rng, ["en", "de", None, "und", ""], 3000, vocabulary)
     rows += [("en", None), (None, ""), ("en", " ,.\n"), ("fr", "a a a a a a a a a a a a a a"), ("it", "one two " * 20000)]
     want = plain(rows)
     assert len(want) > 100
