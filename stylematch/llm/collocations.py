@@ -174,7 +174,7 @@ def _filter(spark: SparkSession, hashes: Column, frequent: DataFrame, bits: int)
     out = np.zeros(max(1 << (bits - 3), 1 << 16), dtype=np.uint8)
     for row in cells.repartition("part").select("cell").mapInArrow(_packed, "part long, bits binary").toLocalIterator():
         out[row.part << 16:(row.part + 1) << 16] = np.frombuffer(row.bits, np.uint8)
-    return spark.sparkContext.broadcast(out[:1 << (bits - 3)] if bits >= 19 else out)
+    return spark.sparkContext.broadcast(out[:1 << (bits - 3)])
 
 
 @dataclass
