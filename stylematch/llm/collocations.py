@@ -19,12 +19,12 @@ BLANKS, SEPARATORS = b" \t", b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, MOST, SHARE = 10, 3, 2000, 50
 #: Bits of the fixed-size table that a level's surviving hashes are kept in (2^27: 16 MB).
 FILTER_BITS = 27
-#: Phrases per trie: at most about 100 MB to build, hold and broadcast.
-SHARD = 1 << 21
+#: Phrases per trie, which takes some 30 MB, and tries that are broadcast for one pass over the texts.
+SHARD, TRIES = 1 << 19, 4
 #: Children of a wide trie node that share a base.
 FAN = 4
 SALTS = 64
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 IS_LETTER = np.ones(256, dtype=bool)
 IS_LETTER[list(BLANKS + SEPARATORS)] = False
@@ -305,44 +305,53 @@ def _placed(bucket: np.ndarray, symbol: np.ndarray, parent: np.ndarray, bases: i
     return base, owner, slot_of
 
 
-def _trie_counts(batches: Iterator[pa.RecordBatch], trie: Broadcast, ids: Broadcast) -> Iterator[pa.RecordBatch]:
-    """How often each phrase of the trie occurs in these rows: all places advance together, a word at a time."""
-    t, total = trie.value, np.zeros(len(ids.value), np.int64)
+def _trie_counts(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """How often each phrase of the tries occurs in these rows: all places advance together, a word at a time."""
+    held = [t.value for t in tries]
+    totals = [np.zeros(len(ids), np.int64) for _, ids in held]
     for _, w in _read(batches):
-        symbols = t.symbols(w.one, w.two)
-        places = np.flatnonzero(symbols >= 0)
-        nodes = t.step(np.zeros(len(places), np.int64), symbols[places])
-        for level in range(LONGEST):
-            places, nodes = places[nodes >= 0], nodes[nodes >= 0]
-            ended = t.phrase[nodes]
-            total += np.bincount(ended[ended >= 0], minlength=len(total))
-            if level + 1 < LONGEST:
-                on = w.follows[places + level]
-                places, nodes = places[on], nodes[on]
-                nodes = t.step(nodes, symbols[places + level + 1])
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(ids.value[some]), pa.array(total[some])], ["id", "n"])
+        for (t, _), total in zip(held, totals):
+            symbols = t.symbols(w.one, w.two)
+            places = np.flatnonzero(symbols >= 0)
+            nodes = t.step(np.zeros(len(places), np.int64), symbols[places])
+            for level in range(LONGEST):
+                places, nodes = places[nodes >= 0], nodes[nodes >= 0]
+                ended = t.phrase[nodes]
+                total += np.bincount(ended[ended >= 0], minlength=len(total))
+                if level + 1 < LONGEST:
+                    on = w.follows[places + level]
+                    places, nodes = places[on], nodes[on]
+                    nodes = t.step(nodes, symbols[places + level + 1])
+    for (_, ids), total in zip(held, totals):
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(ids[some]), pa.array(total[some])], ["id", "n"])
+
+
+def _trie_of(candidates: DataFrame) -> tuple[Trie, np.ndarray] | None:
+    own = candidates.toArrow()
+    if not own.num_rows:
+        return None
+    hashes = np.stack([np.asarray(own.column(c).fill_null(0)).view(np.uint64) for c in _SYMBOLS], axis=1).reshape(-1, LONGEST, 2)
+    return build_trie(hashes, np.asarray(own.column("size"))), np.asarray(own.column("id"))
 
 
 def _counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(id, a): the count of every candidate, a trie of at most about SHARD phrases at a time."""
+    """(id, a): the count of every candidate, in passes over the texts with a few tries of about SHARD phrases each."""
     spark = texts.sparkSession
     shards = max(1, -(-candidates.count() // SHARD))
     dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("size", *_SYMBOLS), F.lit(shards)))
-    out = None
-    for shard in range(shards):
-        own = dealt.filter(F.col("shard") == shard).drop("shard").toArrow()
-        if not own.num_rows:
-            continue
-        hashes = np.stack([np.asarray(own.column(c).fill_null(0)).view(np.uint64) for c in _SYMBOLS], axis=1).reshape(-1, LONGEST, 2)
-        trie = spark.sparkContext.broadcast(build_trie(hashes, np.asarray(own.column("size"))))
-        ids = spark.sparkContext.broadcast(np.asarray(own.column("id")))
-        parts = texts.mapInArrow(lambda batches, t=trie, i=ids: _trie_counts(batches, t, i), "id long, n long")
-        found = stage(parts.groupBy("id").agg(F.sum("n").alias("a")), "phrase-counts")
-        out = found if out is None else out.unionByName(found)
-        trie.unpersist()
-        ids.unpersist()
-    return spark.createDataFrame([], "id long, a long") if out is None else out
+    out = spark.createDataFrame([], "id long, a long")
+    for first in range(0, shards, TRIES):
+        tries = []
+        for shard in range(first, min(first + TRIES, shards)):
+            built = _trie_of(dealt.filter(F.col("shard") == shard).drop("shard"))
+            if built is not None:
+                tries.append(spark.sparkContext.broadcast(built))
+        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "id long, n long")
+        out = out.unionByName(stage(parts.groupBy("id").agg(F.sum("n").alias("a")), "phrase-counts"))
+        for t in tries:
+            t.unpersist()
+    return out
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
