@@ -21,6 +21,8 @@ LEAST, LONGEST, MOST, SHARE = 10, 3, 2000, 50
 FILTER_BITS = 27
 #: Phrases per trie, which takes some 30 MB, and tries that are broadcast for one pass over the texts.
 SHARD, TRIES = 1 << 19, 4
+#: Phrases whose counts of a task travel as one row.
+BLOCK = 1 << 14
 #: Children of a wide trie node that share a base.
 FAN = 4
 SALTS = 64
@@ -308,9 +310,9 @@ def _placed(bucket: np.ndarray, symbol: np.ndarray, parent: np.ndarray, bases: i
 def _trie_counts(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """How often each phrase of the tries occurs in these rows: all places advance together, a word at a time."""
     held = [t.value for t in tries]
-    totals = [np.zeros(len(ids), np.int64) for _, ids in held]
+    totals = [np.zeros(int(t.phrase.max()) + 1, np.int64) for t in held]
     for _, w in _read(batches):
-        for (t, _), total in zip(held, totals):
+        for t, total in zip(held, totals):
             symbols = t.symbols(w.one, w.two)
             places = np.flatnonzero(symbols >= 0)
             nodes = t.step(np.zeros(len(places), np.int64), symbols[places])
@@ -322,9 +324,31 @@ def _trie_counts(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> I
                     on = w.follows[places + level]
                     places, nodes = places[on], nodes[on]
                     nodes = t.step(nodes, symbols[places + level + 1])
-    for (_, ids), total in zip(held, totals):
+    for number, total in enumerate(totals):
+        for start in range(0, len(total), BLOCK):
+            some = np.flatnonzero(total[start:start + BLOCK])
+            if len(some):
+                row = [number, start, some.astype(np.uint16).tobytes(), total[start + some].tobytes()]
+                yield pa.record_batch([pa.array([x]) for x in row], ["trie", "start", "at", "n"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], ids: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """The counts of the tasks added up, a block at a time."""
+    block, total = None, np.zeros(BLOCK, np.int64)
+
+    def done() -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(ids[some]), pa.array(total[some])], ["id", "n"])
+        if len(some):
+            yield pa.record_batch([pa.array(ids[block[0]].value[block[1] + some]), pa.array(total[some])], ["id", "a"])
+        total[:] = 0
+
+    for batch in batches:
+        for number, start, at, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (number, start) != block:
+                yield from done()
+                block = (number, start)
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+    yield from done()
 
 
 def _trie_of(candidates: DataFrame) -> tuple[Trie, np.ndarray] | None:
@@ -342,15 +366,17 @@ def _counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("size", *_SYMBOLS), F.lit(shards)))
     out = spark.createDataFrame([], "id long, a long")
     for first in range(0, shards, TRIES):
-        tries = []
+        tries, ids = [], []
         for shard in range(first, min(first + TRIES, shards)):
             built = _trie_of(dealt.filter(F.col("shard") == shard).drop("shard"))
             if built is not None:
-                tries.append(spark.sparkContext.broadcast(built))
-        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "id long, n long")
-        out = out.unionByName(stage(parts.groupBy("id").agg(F.sum("n").alias("a")), "phrase-counts"))
-        for t in tries:
-            t.unpersist()
+                tries.append(spark.sparkContext.broadcast(built[0]))
+                ids.append(spark.sparkContext.broadcast(built[1]))
+        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "trie int, start int, at binary, n binary")
+        parts = parts.repartition("trie", "start").sortWithinPartitions("trie", "start")
+        out = out.unionByName(stage(parts.mapInArrow(lambda batches, own=ids: _summed(batches, own), "id long, a long"), "phrase-counts"))
+        for b in tries + ids:
+            b.unpersist()
     return out
 
 
@@ -398,9 +424,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Method. Words are counted with their texts. Then level by level (Apriori): a phrase is looked at only if its
     shorter parts are frequent by a table of 2^27 bits over their hashes; the counts of its hash decide which cells of
     its level's table are set. Whatever occurs ``least`` times has its cells set, so no candidate is lost; a crowded table
-    only lets more through. The phrases that pass are listed once and counted exactly: a double-array trie of at most
-    about two million of them is broadcast, and in every task all places of the texts advance through it together, level
-    by level. Larger sets take several tries, each a pass over the texts. Words are compared by 128 bits of hash,
+    only lets more through. The phrases that pass are listed once and counted exactly: double-array tries of some 500,000 of them
+    each are broadcast, and in every task all places of the texts advance through them together, level by level; the
+    counts of the tasks are added up by blocks of phrases. A pass over the texts takes four tries; larger sets take more. Words are compared by 128 bits of hash,
     with the language in it. Scores are exact in decimals.
 
     A null language is ``und``, a null text empty; texts without words, repeated rows and an empty table need no care. Other columns are not read.
