@@ -372,7 +372,7 @@ def _counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
             if built is not None:
                 tries.append(spark.sparkContext.broadcast(built[0]))
                 ids.append(spark.sparkContext.broadcast(built[1]))
-        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "trie int, start int, at binary, n binary")
+        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "trie long, start long, at binary, n binary")
         parts = parts.repartition("trie", "start").sortWithinPartitions("trie", "start")
         out = out.unionByName(stage(parts.mapInArrow(lambda batches, own=ids: _summed(batches, own), "id long, a long"), "phrase-counts"))
         for b in tries + ids:
