@@ -5,6 +5,10 @@ season, dislikes that name an item accord), an item only through a *signature* (
 share. Both consist of vocabulary values only (styles, outfit colours, seasons, sets of accords; families, accords), not
 of free text. Inside a signature only the k best season shares can reach a top k, so the item side is
 cut to k rows per (season, signature) before the shuffle, and profiles meet signatures instead of items.
+
+Top lists go one step further: dislikes are no part of what is ranked. Signatures are ranked once per *base* (style,
+season, outfit colour), and every profile of a base reads that list from the top, skipping what it dislikes
+(``operators/exclusion.py``). However many sets of dislikes there are, the pairs are those of the bases.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from stylematch.functions.numbers import min_max, share, smooth, weighted
 from stylematch.functions.season import season_column
 from stylematch.functions.text import trimmed_list
 from stylematch.operators.aggregates import newest_row
+from stylematch.operators.exclusion import Ranking, first_allowed
 from stylematch.operators.filters import disliked
 from stylematch.operators.joins import fanned_join, lookup
 from stylematch.operators.ranking import scale_by_group, top_k
-from stylematch.session import stage
+from stylematch.session import shuffle_width, stage
 from stylematch.vocab import EPSILON, SEASONS
 
 ACCORDS = ["accord1", "accord2", "accord3"]
@@ -157,16 +162,19 @@ def item_signatures(features: DataFrame, k: int, season_weight: float | None = 1
 
 def raw_pairs(
     profiles: DataFrame, signatures: DataFrame, style_scores: DataFrame, gate: DataFrame | None = None,
-    null_scores_zero: bool = False,
+    null_scores_zero: bool = False, fan: int | None = None,
 ) -> DataFrame:
     """Profile x signature rows of the same season with raw style and colour score.
 
-    The signatures are staged as a table and copied once per slot of the profiles.
-    Disliked signatures are left out, and with a gate so are the families the style does not allow.
+    The signatures are staged as a table, unless they are one, and copied once per slot of the profiles.
+    Disliked signatures are left out where the profiles have dislikes, and with a gate so are the families the style
+    does not allow.
     """
-    signatures = stage(signatures, "signatures")
-    met = fanned_join(profiles, signatures, "season", "profile")
-    met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
+    if not hasattr(signatures, "staged_at"):
+        signatures = stage(signatures, "signatures")
+    met = fanned_join(profiles, signatures, "season", "profile", fan)
+    if "dislikes" in profiles.columns:
+        met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
     if gate is not None:
         met = met.join(gate, ["style", "family"])
     met = met.join(style_scores.withColumnRenamed("score", "style_raw"), ["style", "family"], "left")
@@ -179,20 +187,39 @@ def raw_pairs(
 GROUP = ["season", "_slot", "profile"]
 
 
-def _expand_best(pairs: DataFrame, k: int, best_score: Column, item_score) -> DataFrame:
-    """Top k items per profile from pairs that each carry their k best items in order.
+#: Bases per slot that a copy of the signatures is worth.
+PER_SLOT = 16
+BASE = ["style", "season", "c0", "c1", "c2"]
+ITEM = ["style_score", "color_score", "season_score", "myscore", "item_id"]
+
+
+def _bases(profiles: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """The distinct bases with their key as ``profile``, and over how many slots to spread them."""
+    bases = profiles.select(*BASE, *extra).distinct().withColumn("profile", F.concat_ws(SEP, *BASE, *extra))
+    return bases, max(1, min(shuffle_width(profiles.sparkSession), -(-bases.count() // PER_SLOT)))
 
-    The items of a top k come from the k signatures with the best first item, so only those are expanded.
-    """
-    first = F.get(F.col("best"), F.lit(0))
-    kept = top_k(
-        pairs.withColumn("_top", best_score).withColumn("_first_id", first["item_id"]),
-        GROUP, [F.col("_top").desc_nulls_last(), F.col("_first_id")], k,
-    )
-    rows = kept.withColumn("_b", F.explode("best")).withColumn("item_id", F.col("_b.item_id"))
-    rows = rows.withColumn("share", F.col("_b.share")).drop("_b", "best", "_top", "_first_id")
-    scored = item_score(rows)
-    return top_k(scored, GROUP, [F.col("myscore").desc_nulls_last(), F.col("item_id")], k, rank="rank")
+
+def _ranked_signatures(bases: DataFrame, signatures: DataFrame, style_scores: DataFrame, fan: int, item_score, key: Sequence[str], k: int, **rules) -> Ranking:
+    """Per base the signatures by their best item, each with its k best items scored by ``item_score``."""
+
+    def rows(keys: DataFrame | None, last: int) -> DataFrame:
+        asked = bases if keys is None else bases.join(keys, list(key), "left_semi")
+        pairs = raw_pairs(asked, signatures, style_scores, fan=fan, **rules)
+        scored = F.transform("best", lambda b: F.struct(*[v.alias(n) for n, v in item_score(b["share"]).items()], b["item_id"].alias("item_id")))
+        pairs = pairs.withColumn("items", scored).withColumn("_first", F.get("items", F.lit(0)))
+        best = top_k(pairs, GROUP, [F.col("_first.myscore").desc_nulls_last(), F.col("_first.item_id")], last, rank="pos")
+        return best.select(*key, "pos", F.array(*ACCORDS).alias("tags"), F.struct(F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in ITEM])).alias("items")).alias("entry"))
+
+    types = {c: "double" for c in ITEM} | {"item_id": signatures.schema["best"].dataType.elementType["item_id"].dataType.simpleString()}
+    return Ranking(list(key), rows, f"struct<items:array<struct<{','.join(f'{c}:{t}' for c, t in types.items())}>>>", k)
+
+
+def _best_items(found: DataFrame, k: int) -> DataFrame:
+    """(profile, rank, item and scores): the k best items of the signatures that a profile found, sorted in place."""
+    items = F.flatten(F.transform("found", lambda e: e["items"]))
+    keyed = F.transform(items, lambda i: F.struct(i["myscore"].isNull().alias("n"), (-i["myscore"]).alias("m"), i["item_id"].alias("id"), i.alias("i")))
+    ranked = found.select("profile", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("p", "b"))
+    return ranked.select("profile", "b.i.*", (F.col("p") + 1).alias("rank"))
 
 
 def _to_users(profiled: DataFrame, best: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -204,21 +231,27 @@ def _to_users(profiled: DataFrame, best: DataFrame, columns: Sequence[str]) -> D
 SCORE_COLUMNS = ["item_id", "style_score", "color_score", "season_score", "myscore", "rank"]
 
 
+def _unscaled_top(
+    users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame, k: int, item_score, **rules
+) -> DataFrame:
+    profiled = user_profiles(users, clothes_colours, features)
+    profiles = stage(distinct_profiles(profiled), "profiles")
+    bases, fan = _bases(profiles)
+    signatures = stage(item_signatures(features, k), "signatures")
+    ranking = _ranked_signatures(bases, signatures, style_scores, fan, item_score, BASE, k, **rules)
+    return _to_users(profiled, _best_items(first_allowed(profiles, {"found": ranking}), k), SCORE_COLUMNS)
+
+
 def additive_top(
     users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame, k: int = 3
 ) -> DataFrame:
     """Top k per user by style percent + colour + season share."""
-    profiled = user_profiles(users, clothes_colours, features)
-    pairs = raw_pairs(distinct_profiles(profiled), item_signatures(features, k), style_scores)
-    first = F.get(F.col("best"), F.lit(0))
 
-    def score(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({
-            "style_score": F.col("style_raw"), "color_score": F.col("color_raw"), "season_score": F.col("share"),
-        }).withColumn("myscore", F.col("style_score") + F.col("color_score") + F.col("season_score"))
+    def score(share_value: Column) -> dict[str, Column]:
+        style, colour = F.col("style_raw"), F.col("color_raw")
+        return {"style_score": style, "color_score": colour, "season_score": share_value, "myscore": style + colour + share_value}
 
-    best = _expand_best(pairs, k, F.col("style_raw") + F.col("color_raw") + first["share"], score)
-    return _to_users(profiled, best, SCORE_COLUMNS)
+    return _unscaled_top(users, features, clothes_colours, style_scores, k, score)
 
 
 def gated_top(
@@ -226,17 +259,12 @@ def gated_top(
     k: int = 3,
 ) -> DataFrame:
     """Top k per user by colour + season share among the families the style allows."""
-    profiled = user_profiles(users, clothes_colours, features)
-    pairs = raw_pairs(distinct_profiles(profiled), item_signatures(features, k), style_scores, gate)
-    first = F.get(F.col("best"), F.lit(0))
 
-    def score(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"color_score": F.col("color_raw"), "season_score": F.col("share")}).withColumn(
-            "myscore", F.col("color_score") + F.col("season_score")
-        )
+    def score(share_value: Column) -> dict[str, Column]:
+        colour = F.col("color_raw")
+        return {"style_score": F.col("style_raw"), "color_score": colour, "season_score": share_value, "myscore": colour + share_value}
 
-    best = _expand_best(pairs, k, F.col("color_raw") + first["share"], score)
-    return _to_users(profiled, best, [c for c in SCORE_COLUMNS if c != "style_score"])
+    return _unscaled_top(users, features, clothes_colours, style_scores, k, score, gate=gate).drop("style_score")
 
 
 def scaled_pairs(pairs: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -258,22 +286,71 @@ def season_scaled(share_value: Column, epsilon: float = EPSILON) -> Column:
     return smooth(min_max(share_value, F.col("season_low"), F.col("season_high")), epsilon)
 
 
+def _extremes(bases: DataFrame, signatures: DataFrame, style_scores: DataFrame, null_scores_zero: bool) -> dict[str, Ranking]:
+    """Lists from which the least and the greatest allowed score of each kind are the first entries.
+
+    Season shares depend on the season alone, style scores on style and season, colour scores on colour and season, so
+    each list has the smallest key that it can have.
+    """
+    colours = ["season", "c0", "c1", "c2"]
+    colour = similarity([F.col(f"c{i}") for i in range(3)], [F.col(f"f{i}") for i in range(3)])
+    colour = F.coalesce(colour, F.lit(0.0)) if null_scores_zero else colour
+    by_family = style_scores.withColumnRenamed("score", "v")
+    # a list needs a set of accords once per value, so signatures that differ in nothing it looks at are one entry
+    families = signatures.select("season", "family", *ACCORDS).distinct()
+    tones = signatures.select("season", "f0", "f1", "f2", *ACCORDS).distinct()
+
+    def style_rows(keys: DataFrame) -> DataFrame:
+        return keys.join(families, "season").join(by_family, ["style", "family"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+    def colour_rows(keys: DataFrame) -> DataFrame:
+        return keys.join(tones, "season").withColumn("v", colour)
+
+    def season_rows(column: str):
+        return lambda keys: keys.join(signatures, "season").withColumn("v", F.col(column))
+
+    def ranking(key: list[str], values, order: Column) -> Ranking:
+        def rows(keys: DataFrame | None, last: int) -> DataFrame:
+            asked = bases.select(*key).distinct() if keys is None else keys
+            best = top_k(values(asked).filter("v IS NOT NULL"), key, [order, F.array(*ACCORDS)], last, rank="pos")
+            return best.select(*key, "pos", F.array(*ACCORDS).alias("tags"), F.struct("v").alias("entry"))
+
+        return Ranking(key, rows, "struct<v:double>")
+
+    low, high = F.col("v").asc(), F.col("v").desc()
+    return {
+        "style_low": ranking(["style", "season"], style_rows, low), "style_high": ranking(["style", "season"], style_rows, high),
+        "color_low": ranking(colours, colour_rows, low), "color_high": ranking(colours, colour_rows, high),
+        "season_low": ranking(["season"], season_rows("low_share"), low), "season_high": ranking(["season"], season_rows("high_share"), high),
+    }
+
+
 def scaled_profile_top(
     profiles: DataFrame, features: DataFrame, style_scores: DataFrame, weights: Sequence[float], k: int,
     epsilon: float = EPSILON, null_scores_zero: bool = False,
 ) -> DataFrame:
-    """Top k per profile by the weighted sum of the scaled scores."""
-    signatures = item_signatures(features, k, weights[2])
-    raw = raw_pairs(profiles, signatures, style_scores, null_scores_zero=null_scores_zero)
-    pairs = scaled_pairs(raw, epsilon)
-    style, colour = F.col("style_score"), F.col("color_score")
-    first = F.get(F.col("best"), F.lit(0))
-
-    def score(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("season_score", season_scaled(F.col("share"), epsilon))
-        return rows.withColumn("myscore", weighted(style, colour, F.col("season_score"), *weights))
-
-    return _expand_best(pairs, k, weighted(style, colour, season_scaled(first["share"], epsilon), *weights), score)
+    """Top k per profile by the weighted sum of the scaled scores.
+
+    A profile's scores are scaled by the extremes of what it allows. They are found first; profiles of a base with the
+    same extremes, as most are, share one ranking.
+    """
+    signatures = stage(item_signatures(features, k, weights[2]), "signatures")
+    profiles = stage(profiles, "profiles")
+    extremes = _extremes(profiles.select(*BASE).distinct(), signatures, style_scores, null_scores_zero)
+    ends = list(extremes)
+    known = first_allowed(profiles, extremes).withColumns({e: F.get(e, F.lit(0))["v"] for e in ends})
+    known = known.withColumn("scale", F.concat_ws(SEP, *[F.coalesce(F.col(e).cast("string"), F.lit(NO_VALUE)) for e in ends]))
+    scales, fan = _bases(known, ["scale", *ends])
+
+    def scaled(value: Column, name: str) -> Column:
+        return smooth(min_max(value, F.col(f"{name}_low"), F.col(f"{name}_high")), epsilon)
+
+    def score(share_value: Column) -> dict[str, Column]:
+        out = {"style_score": scaled(F.col("style_raw"), "style"), "color_score": scaled(F.col("color_raw"), "color"), "season_score": scaled(share_value, "season")}
+        return out | {"myscore": weighted(*out.values(), *weights)}
+
+    ranking = _ranked_signatures(scales, signatures, style_scores, fan, score, [*BASE, "scale"], k, null_scores_zero=null_scores_zero)
+    return _best_items(first_allowed(known, {"found": ranking}), k)
 
 
 def scaled_top(

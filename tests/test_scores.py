@@ -1,5 +1,6 @@
 """Scores against a plain user x item loop on small fixtures with ties, nulls, dislikes and shared profiles."""
 
+import itertools
 import math
 import random
 
@@ -315,3 +316,46 @@ def test_season_constant_gives_null_correlation(spark, world):
     flat = features(f).withColumn("spring", F.lit(25.0)).withColumn("rating", F.col("item_id").cast("double"))
     got = evaluate.rating_correlations(users, flat, f["clothes"], vocab.style_scores(spark)).first()
     assert got["corr_season"] is None and got["corr_color"] is not None
+
+
+def test_many_dislike_sets_share_one_ranking(spark, world, monkeypatch):
+    """10,000 sets of dislikes: the signatures are paired with the few bases, not with the sets, and results stay exact."""
+    _, _, f = world
+    rng = random.Random(21)
+    names = [f"a{i}" for i in range(40)]
+    colours = {n: [rng.randrange(256) for _ in range(3)] for n in names}
+    items = [(i, rng.sample(names, 3), rng.choice(vocab.FAMILIES), [float(rng.randrange(1, 5)) for _ in range(4)]) for i in range(800)]
+    sets = [",".join(s) for s in [*itertools.islice(itertools.combinations(names, 4), 9990)]] + [",".join(names[:n]) for n in (30, 35, 37, 38, 39, 40)] + ["", "none of them", "a1", None]
+    users = [(u, vocab.STYLES[u % 2], "summer", "navy", None, None, s) for u, s in enumerate(sets)]
+    made = item_tables(spark, items, colours)
+    feats = score.item_features(made["items"], made["accords"], made["families"], made["seasons"])
+    people = spark.createDataFrame(users, "user_id long, user_style string, season string, dress_color string, top_color string, bottom_color string, disliked_accord string")
+
+    paired, plain = [], score.raw_pairs
+    monkeypatch.setattr(score, "raw_pairs", lambda profiles, signatures, *a, **kw: paired.append((profiles.count(), signatures.filter("season = 'summer'").count())) or plain(profiles, signatures, *a, **kw))
+    scores = vocab.style_scores(spark)
+    got = result(score.additive_top(people, feats, f["clothes"], scores, 3))
+    assert sum(p * s for p, s in paired) <= 2 * 2 * 800 * len(paired) and len(paired) <= 4
+    assert sorted(got) == [u for u, *_, s in users if any(not set((s or "").split(",")) & set(t) for _, t, _, _ in items)]
+    monkeypatch.setitem(globals(), "ACCORDS", colours)
+    sample = [users[i] for i in [*rng.sample(range(9990), 60), *range(9990, 10000)]]
+    check({u[0]: got[u[0]] for u in sample if u[0] in got}, {u[0]: best(raw_scores(items, u, vocab.STYLE_PERCENT, "drop", "drop"), lambda r: r[1] + r[2] + r[3], 3) for u in sample})
+
+    paired.clear()
+    points = vocab.style_scores(spark, "points")
+    few = people.join(spark.createDataFrame([(u[0],) for u in sample], "user_id long"), "user_id")
+    got = result(score.scaled_top(few, feats, f["clothes"], points, (0.2, 0.5, 0.3), 3))
+    want = {}
+    for u in sample:
+        rows = raw_scores(items, u, vocab.STYLE_POINTS, "drop", "drop")
+        want[u[0]] = best(scaled(rows), lambda r: 0.2 * r[1] + 0.5 * r[2] + 0.3 * r[3], 3) if rows else []
+    check(got, want)
+
+
+def item_tables(spark, items, colours):
+    return {
+        "items": spark.createDataFrame([(i, *t) for i, t, _, _ in items], "item_id long, accord1 string, accord2 string, accord3 string"),
+        "families": spark.createDataFrame([(i, f) for i, _, f, _ in items], "item_id long, family string"),
+        "seasons": spark.createDataFrame([(i, *v) for i, _, _, v in items], "item_id long, spring double, summer double, fall double, winter double"),
+        "accords": spark.createDataFrame(list(colours.items()), "accord string, rgb array<int>"),
+    }
