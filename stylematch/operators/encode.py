@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import any_list
+from stylematch.operators.joins import salted_join
 from stylematch.operators.ordered import rank_in_group
 from stylematch.session import stage
 
@@ -25,12 +26,26 @@ def multi_hot_rows(df: DataFrame, row_id: str, column: str) -> DataFrame:
     return df.select(row_id, F.explode(F.array_distinct(any_list(F.col(column)))).alias("class"))
 
 
-def multi_hot(df: DataFrame, row_id: str, column: str, max_classes: int = 2000) -> DataFrame:
-    """One 0/1 column per class, named ``column_class``. Wider sets stay in the long form."""
+def class_index(rows: DataFrame) -> DataFrame:
+    """(class, place): the classes of the long form in order, numbered from 0 without gathering them anywhere."""
+    named = rows.select("class", F.lit(0).alias("all")).distinct()
+    return rank_in_group(named, "all", "class", "place").select("class", "place")
+
+
+def multi_hot_sparse(df: DataFrame, row_id: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """((row_id, indices), (class, place)): the 0/1 matrix as sparse rows, for any number of classes.
+
+    A row's indices are the places of its classes in order; a row without classes has none.
+    """
     rows = multi_hot_rows(df, row_id, column)
-    classes = [r[0] for r in rows.select("class").distinct().orderBy("class").limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError(f"{column} has more than {max_classes} classes: use multi_hot_rows")
+    index = stage(class_index(rows), "classes")
+    places = salted_join(rows, index, "class", row_id).groupBy(row_id).agg(F.array_sort(F.collect_set("place")).alias("indices"))
+    out = df.select(row_id).distinct().join(places, row_id, "left")
+    return out.select(row_id, F.coalesce("indices", F.array().cast("array<int>")).alias("indices")), index
+
+
+def multi_hot(df: DataFrame, row_id: str, column: str, classes: Sequence[str]) -> DataFrame:
+    """One 0/1 column per class of ``classes``, named ``column_class``. ``multi_hot_sparse`` needs no list of classes."""
     lists = F.array_distinct(any_list(F.col(column)))
     flags = [F.array_contains(lists, c).cast("int").alias(f"{column}_{c}") for c in classes]
     return df.select(row_id, *flags)

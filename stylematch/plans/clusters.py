@@ -1,6 +1,6 @@
-"""K-Prototypes on a numeric vector plus one category, for one k or a sweep of k.
+"""K-Prototypes on a numeric vector, dense or sparse, plus one category, for one k or a sweep of k.
 
-Centroids (k x dimension) are the only state kept between rounds; each round is one pass over the rows that returns
+Centroids (k x dimension, per start) are the only state kept between rounds; each round is one pass over the rows that returns
 sums per cluster. A sweep runs all its k in the same pass. The plan of a round never contains the rounds before.
 """
 
@@ -16,14 +16,14 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stylematch.operators.joins import salted_join
+from stylematch.operators.ordered import rank_in_group
+from stylematch.operators.ranking import top_k
 from stylematch.session import stage
 
 # the functions below run in Python workers that do not have this package installed
 register_pickle_by_value(sys.modules[__name__])
 
-CATEGORY = "c:"
-
-
 @dataclass
 class Prototypes:
     """Centres of one clustering."""
@@ -37,15 +37,49 @@ class Prototypes:
     sizes: np.ndarray | None = None
     squares: np.ndarray | None = None
 
-    def distances(self, x: np.ndarray, category: np.ndarray) -> np.ndarray:
+    def distances(self, rows: Vectors) -> np.ndarray:
         """Rows x k: squared distance plus gamma for another category."""
-        squared = (x * x).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)[None, :]
-        other = category[:, None] != np.array(self.categories, dtype=object)[None, :]
+        squared = rows.squares()[:, None] - 2 * rows.dot(self.centres) + (self.centres**2).sum(axis=1)[None, :]
+        other = rows.category[:, None] != np.array(self.categories, dtype=object)[None, :]
         return np.maximum(squared, 0) + self.gamma * other
 
 
-def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack(frame["vector"].to_numpy()).astype(float), frame["category"].to_numpy(dtype=object)
+@dataclass
+class Vectors:
+    """Rows in sparse form: row i has ``values`` at ``places`` from bounds[i] to bounds[i + 1]."""
+
+    bounds: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    category: np.ndarray
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame) -> Vectors:
+        category = frame["category"].to_numpy(dtype=object)
+        if "vector" in frame:
+            dense = np.stack(frame["vector"].to_numpy()).astype(float)
+            row, places = np.nonzero(dense)
+            return cls(np.searchsorted(row, np.arange(len(dense) + 1)), places, dense[row, places], category)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in frame["indices"]])])
+        joined = [np.concatenate([np.asarray(x, dtype=kind) for x in frame[c]]) if bounds[-1] else np.zeros(0, kind) for c, kind in (("indices", np.int64), ("values", float))]
+        return cls(bounds, *joined, category)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.category)), np.diff(self.bounds))
+
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.rows(), weights=self.values**2, minlength=len(self.category))
+
+    def dot(self, centres: np.ndarray) -> np.ndarray:
+        """Rows x centres; the work grows with the entries, not with the width."""
+        at = self.rows()
+        return np.stack([np.bincount(at, weights=self.values * c[self.places], minlength=len(self.category)) for c in centres], axis=1)
+
+    def sums(self, label: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cluster, place, sum) of the entries of each cluster, where there are any."""
+        key = label[self.rows()] * width + self.places
+        found, inverse = np.unique(key, return_inverse=True)
+        return found // width, found % width, np.bincount(inverse, weights=self.values, minlength=len(found))
 
 
 def vector_rows(df: DataFrame, row_id: str, vector: str, category: str) -> DataFrame:
@@ -56,106 +90,184 @@ def vector_rows(df: DataFrame, row_id: str, vector: str, category: str) -> DataF
     )
 
 
+def sparse_rows(weights: DataFrame, docs: DataFrame, doc_id: str, category: str) -> tuple[DataFrame, DataFrame]:
+    """((row_id, indices, values, category), (term, place)): TF-IDF rows as sparse vectors, however many terms there are.
+
+    A document without terms has no entries, which is the zero vector.
+    """
+    terms = weights.select("term", F.lit(0).alias("all")).distinct()
+    index = stage(rank_in_group(terms, "all", "term", "place").select("term", "place"), "terms")
+    cells = salted_join(weights, index, "term", doc_id).groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("cells"))
+    named = docs.select(doc_id, F.coalesce(F.col(category).cast("string"), F.lit("None")).alias("category"))
+    out = named.join(cells, doc_id, "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<place:int,weight:double>>")))
+    return out.select(F.col(doc_id).alias("row_id"), F.col("cells.place").alias("indices"), F.col("cells.weight").alias("values"), "category"), index
+
+
+def _parts(rows: DataFrame) -> list[str]:
+    return ["vector"] if "vector" in rows.columns else ["indices", "values"]
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """(place, x) of all entries that are not zero."""
+    if "vector" in rows.columns:
+        long = rows.select(F.posexplode("vector").alias("place", "x"))
+    else:
+        long = rows.select(F.explode(F.arrays_zip("indices", "values")).alias("e")).select(F.col("e.indices").alias("place"), F.col("e.values").alias("x"))
+    return long.filter("x <> 0")
+
+
+def spreads(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, standard deviation) of every numeric attribute, entries that are not there counting as zero."""
+    n = rows.count()
+    width = _width(rows)
+    found = _entries(rows).groupBy("place").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).toArrow()
+    place, held, mean, var = (np.asarray(found.column(c)) for c in ("place", "n", "m", "v"))
+    share = held / max(n, 1)
+    means, deviations = np.zeros(width), np.zeros(width)
+    means[place] = share * mean
+    deviations[place] = np.sqrt(share * var + share * (1 - share) * mean**2)
+    return means, deviations
+
+
+def _width(rows: DataFrame) -> int:
+    size = F.size("vector") if "vector" in rows.columns else F.coalesce(F.array_max("indices"), F.lit(-1)) + 1
+    return int(rows.agg(F.max(size)).first()[0] or 0)
+
+
 def mismatch_weight(rows: DataFrame) -> float:
     """Half the mean standard deviation of the numeric attributes."""
-    spread = rows.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.stddev_pop("x").alias("s"))
-    return 0.5 * float(spread.agg(F.avg("s")).first()[0])
+    deviations = spreads(rows)[1]
+    return 0.5 * float(deviations.mean()) if len(deviations) else 0.0
 
 
-def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int) -> dict[int, Prototypes]:
-    """The first k distinct rows in hash order are the first centres.
+def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int, starts: int, spread: tuple[np.ndarray, np.ndarray]) -> dict[tuple[int, int], Prototypes]:
+    """Huang's start, several times for each k: draws by the frequency of the values, moved to the nearest distinct rows.
 
-    Only the first rows are compared: if they repeat each other too often, twice as many are taken.
+    A draw's numbers are normal with the mean and deviation of their attribute, its category comes by its share of the
+    rows. All draws look for their rows in one pass, which returns the k nearest distinct rows of each; the draws of a
+    start then take the nearest row that is still free, in turn. Equal distances go to the smaller row id.
     """
-    need, take = max(ks), 4 * max(ks)
-    while True:
-        first = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(take).collect()
-        chosen = list({(tuple(r["vector"]), r["category"]): r for r in reversed(first)}.values())[::-1][:need]
-        if len(chosen) == need:
-            break
-        if len(first) < take:
-            raise ValueError(f"only {len(chosen)} distinct rows for {need} clusters")
-        take *= 2
-    return {
-        k: Prototypes(k, np.array([r["vector"] for r in chosen[:k]], dtype=float), [r["category"] for r in chosen[:k]], gamma)
-        for k in ks
-    }
-
-
-def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> list:
-    """Per (k, cluster): size, cost, sum of squares, coordinate sums, and the most frequent category."""
+    need = max(ks)
+    shares = rows.groupBy("category").count().orderBy("category").toArrow()
+    names, counts = shares.column("category").to_pylist(), np.asarray(shares.column("count"), dtype=float)
+    rng = np.random.default_rng(seed)
+    draws = [Prototypes(need, spread[0] + rng.standard_normal((need, len(spread[0]))) * spread[1], [names[i] for i in rng.choice(len(names), need, p=counts / counts.sum())], gamma) for _ in range(starts)] if names else []
+    parts = _parts(rows)
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            keys = [tuple(np.asarray(x).tobytes() for x in r[:-1]) + r[-1:] for r in frame[[*parts, "category"]].itertuples(index=False, name=None)]
+            first = frame.assign(key=keys).sort_values("row_id").drop_duplicates("key").drop(columns="key").reset_index(drop=True)
+            for start, draw in enumerate(draws):
+                distance = draw.distances(Vectors.of(first))
+                for j in range(need):
+                    at = np.argsort(distance[:, j], kind="stable")[:need]
+                    yield first.iloc[at].assign(start=start, draw=j, distance=distance[at, j])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    seen = rows.mapInPandas(nearest, f"{kinds}, start int, draw int, distance double")
+    seen = seen.groupBy("start", "draw", *parts, "category").agg(F.min("row_id").alias("row_id"), F.min("distance").alias("distance"))
+    near = top_k(seen, ["start", "draw"], [F.col("distance"), F.col("row_id")], need).orderBy("start", "draw", "distance", "row_id").toPandas()
+    out = {}
+    for start in range(starts):
+        taken: dict[tuple, Vectors] = {}
+        for _, own in near[near["start"] == start].groupby("draw", sort=True):
+            for r in own.itertuples(index=False):
+                key = (*(tuple(getattr(r, p)) for p in parts), r.category)
+                if key not in taken:
+                    taken[key] = Vectors.of(pd.DataFrame({**{p: [getattr(r, p)] for p in parts}, "category": [r.category]}))
+                    break
+        if len(taken) < need:
+            raise ValueError(f"only {len(taken)} distinct rows for {need} clusters")
+        centres = np.zeros((need, len(spread[0])))
+        for j, v in enumerate(taken.values()):
+            centres[j, v.places] = v.values
+        for k in ks:
+            out[k, start] = Prototypes(k, centres[:k].copy(), [key[-1] for key in taken][:k], gamma)
+    return out
+
+
+#: What a sum is of, where it is not of an attribute.
+_SIZE, _COST, _SQUARES, _CATEGORY = -1, -2, -3, -4
+
+
+def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> pd.DataFrame:
+    """(model, cluster, place, category, value): per cluster size, cost, sum of squares, the sums of the attributes that
+    are not zero, and the most frequent category."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[int, int, str], float] = {}
-
-        def add(k: int, j: int, key: str, value: float) -> None:
-            totals[(k, j, key)] = totals.get((k, j, key), 0.0) + float(value)
-
         for frame in frames:
             if frame.empty:
                 continue
-            x, category = _matrix(frame)
-            for model in models:
-                distance = model.distances(x, category)
+            x = Vectors.of(frame)
+            squares = x.squares()
+            for number, model in enumerate(models):
+                distance = model.distances(x)
                 label = distance.argmin(axis=1)
                 best = distance[np.arange(len(label)), label]
-                for j in np.unique(label):
-                    mine = label == j
-                    add(model.k, j, "n", mine.sum())
-                    add(model.k, j, "cost", best[mine].sum())
-                    add(model.k, j, "q", (x[mine] ** 2).sum())
-                    for i, value in enumerate(x[mine].sum(axis=0)):
-                        add(model.k, j, f"x{i}", value)
-                    names, counts = np.unique(category[mine].astype(str), return_counts=True)
-                    for name, count in zip(names, counts):
-                        add(model.k, j, CATEGORY + name, count)
-        yield pd.DataFrame(
-            [(k, j, key, v) for (k, j, key), v in totals.items()], columns=["k", "cluster", "key", "value"]
-        )
-
-    parts = rows.select("vector", "category").mapInPandas(partial, "k int, cluster int, key string, value double")
-    # summed per task already, and again by key, so that no task holds all parts of a cluster
-    totals = parts.groupBy("k", "cluster", "key").agg(F.sum("value").alias("value"))
-    slot = F.when(F.col("key").startswith(CATEGORY), F.lit("mode")).otherwise(F.col("key"))
-    return totals.groupBy("k", "cluster", slot.alias("slot")).agg(
-        F.min_by("key", F.struct((-F.col("value")).alias("a"), F.col("key").alias("b"))).alias("key"),
-        F.max("value").alias("value"),
-    ).collect()
-
-
-def _updated(model: Prototypes, sums: list) -> Prototypes:
-    mine = {(r["cluster"], r["slot"]): r for r in sums if r["k"] == model.k}
+                cluster, place, value = x.sums(label, model.centres.shape[1])
+                totals = [(cluster, place, None, value)]
+                own = np.unique(label)
+                for what, amount in ((_SIZE, np.ones(len(label))), (_COST, best), (_SQUARES, squares)):
+                    totals.append((own, what, None, np.bincount(label, weights=amount, minlength=model.k)[own]))
+                for j in own:
+                    names, counts = np.unique(x.category[label == j].astype(str), return_counts=True)
+                    totals.append((j, _CATEGORY, names, counts))
+                for cluster, place, category, value in totals:
+                    yield pd.DataFrame({"cluster": cluster, "place": place, "category": category, "value": np.asarray(value, dtype=float)}, index=range(len(value))).assign(model=number)
+
+    parts = rows.select(*_parts(rows), "category").mapInPandas(partial, "cluster int, place int, category string, value double, model int")
+    # by key, so that no task holds all parts of a cluster
+    totals = parts.groupBy("model", "cluster", "place", "category").agg(F.sum("value").alias("value"))
+    best = totals.groupBy("model", "cluster", "place").agg(F.min_by("category", F.struct((-F.col("value")).alias("a"), F.col("category").alias("b"))).alias("category"), F.max("value").alias("value"))
+    return best.toArrow().to_pandas()
+
+
+def _updated(model: Prototypes, sums: pd.DataFrame) -> Prototypes:
+    """The model after a pass, from the sums of its own clusters."""
     centres, categories = model.centres.copy(), list(model.categories)
-    sizes, squares = np.zeros(model.k), np.zeros(model.k)
-    for j in range(model.k):
-        if (j, "n") not in mine:
-            continue
-        sizes[j] = mine[(j, "n")]["value"]
-        squares[j] = mine[(j, "q")]["value"]
-        centres[j] = [mine[(j, f"x{i}")]["value"] / sizes[j] for i in range(centres.shape[1])]
-        categories[j] = mine[(j, "mode")]["key"][len(CATEGORY):]
-    cost = sum(r["value"] for (j, slot), r in mine.items() if slot == "cost")
+
+    def total(what: int) -> np.ndarray:
+        own = sums[sums["place"] == what]
+        return np.bincount(own["cluster"], weights=own["value"], minlength=model.k)
+
+    sizes, squares = total(_SIZE), total(_SQUARES)
+    centres[sizes > 0] = 0
+    cells = sums[sums["place"] >= 0]
+    centres[cells["cluster"], cells["place"]] = cells["value"] / sizes[cells["cluster"]]
+    for r in sums[sums["place"] == _CATEGORY].itertuples():
+        categories[r.cluster] = r.category
+    cost = float(total(_COST).sum())
     return Prototypes(model.k, centres, categories, model.gamma, cost, [*model.costs, cost], sizes, squares)
 
 
 def fit(
-    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300, gamma: float | None = None
+    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300, gamma: float | None = None, starts: int = 3
 ) -> dict[int, Prototypes]:
-    """Centres for every k, run until they no longer move; an error if ``rounds`` passes are not enough for that."""
+    """Centres for every k, run until they no longer move; an error if ``rounds`` passes are not enough for that.
+
+    Each k is started ``starts`` times, all in the same passes; the one with the least cost is returned. The centres are
+    dense, k x terms numbers per start in the driver and in each task; rows and sums hold entries only.
+    """
     rows = stage(rows, "vectors")
-    gamma = mismatch_weight(rows) if gamma is None else gamma
-    models = _start(rows, ks, gamma, seed)
-    active = set(ks)
+    spread = spreads(rows)
+    if gamma is None:
+        gamma = 0.5 * float(spread[1].mean()) if len(spread[1]) else 0.0
+    models = _start(rows, ks, gamma, seed, starts, spread)
+    active = set(models)
     for _ in range(rounds):
-        sums = _sums(rows, [models[k] for k in sorted(active)])
-        for k in sorted(active):
-            after = _updated(models[k], sums)
-            if np.allclose(after.centres, models[k].centres) and after.categories == models[k].categories:
-                active.discard(k)
-            models[k] = after
+        order = sorted(active)
+        sums = dict(iter(_sums(rows, [models[m] for m in order]).groupby("model")))
+        for number, m in enumerate(order):
+            after = _updated(models[m], sums[number])
+            if np.allclose(after.centres, models[m].centres) and after.categories == models[m].categories:
+                active.discard(m)
+            models[m] = after
         if not active:
-            return models
-    raise RuntimeError(f"the centres for k = {sorted(active)} still move after {rounds} rounds")
+            return {k: min((models[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
+    raise RuntimeError(f"the centres for k = {sorted({k for k, _ in active})} still move after {rounds} rounds")
 
 
 def assign(rows: DataFrame, model: Prototypes) -> DataFrame:
@@ -165,7 +277,7 @@ def assign(rows: DataFrame, model: Prototypes) -> DataFrame:
         for frame in frames:
             if frame.empty:
                 continue
-            distance = model.distances(*_matrix(frame))
+            distance = model.distances(Vectors.of(frame))
             best = distance.argmin(axis=1)
             yield pd.DataFrame({
                 "row_id": frame["row_id"], "category": frame["category"], "cluster": best.astype("int32"),
@@ -184,8 +296,8 @@ def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300)
     """
     fitted = fit(rows, ks, seed, rounds)
     final = [fitted[k] for k in ks]
-    sums = _sums(rows, final)
-    stats = [_updated(m, sums) for m in final]
+    sums = dict(iter(_sums(rows, final).groupby("model")))
+    stats = [_updated(m, sums[i]) for i, m in enumerate(final)]
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {m.k: 0.0 for m in final}
@@ -193,22 +305,22 @@ def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300)
         for frame in frames:
             if frame.empty:
                 continue
-            x, category = _matrix(frame)
-            count += len(x)
+            x = Vectors.of(frame)
+            count += len(x.category)
             for model, stat in zip(final, stats):
-                own = model.distances(x, category).argmin(axis=1)
+                own = model.distances(x).argmin(axis=1)
                 totals[model.k] += float(_silhouettes(x, own, stat).sum())
         yield pd.DataFrame([(k, v, count) for k, v in totals.items()], columns=["k", "total", "n"])
 
-    parts = rows.select("vector", "category").mapInPandas(partial, "k int, total double, n long")
+    parts = rows.select(*_parts(rows), "category").mapInPandas(partial, "k int, total double, n long")
     means = {r["k"]: r["s"] for r in parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("s")).collect()}
     return [(m.k, s.cost, means[m.k]) for m, s in zip(final, stats)]
 
 
-def _silhouettes(x: np.ndarray, own: np.ndarray, stat: Prototypes) -> np.ndarray:
+def _silhouettes(x: Vectors, own: np.ndarray, stat: Prototypes) -> np.ndarray:
     filled = stat.sizes > 0
     sizes = np.where(filled, stat.sizes, 1)
-    mean = (x * x).sum(axis=1)[:, None] + (stat.squares / sizes)[None, :] - 2 * x @ stat.centres.T
+    mean = x.squares()[:, None] + (stat.squares / sizes)[None, :] - 2 * x.dot(stat.centres)
     mean = np.where(filled[None, :], mean, np.inf)
     at = np.arange(len(own))
     n_own = stat.sizes[own]
@@ -218,23 +330,3 @@ def _silhouettes(x: np.ndarray, own: np.ndarray, stat: Prototypes) -> np.ndarray
     top = np.maximum(inside, outside)
     value = np.where(top > 0, (outside - inside) / np.where(top > 0, top, 1), 0.0)
     return np.where(n_own > 1, value, 0.0)
-
-
-def bounded_terms(weights: DataFrame, most: int = 5000) -> list[str]:
-    """All terms in order; refuses a vocabulary too wide for dense vectors."""
-    terms = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(most + 1).collect()]
-    if len(terms) > most:
-        raise ValueError(f"more than {most} terms: raise the minimum count")
-    return terms
-
-
-def dense_vectors(weights: DataFrame, docs: DataFrame, doc_id: str, terms: Sequence[str]) -> DataFrame:
-    """TF-IDF rows to one dense vector per document over a bounded vocabulary; no term gives zeros."""
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
-    cells = weights.join(index, "term").select(doc_id, F.struct("i", F.col("weight").alias("w")).alias("c"))
-    by_doc = cells.groupBy(doc_id).agg(F.map_from_entries(F.collect_list("c")).alias("cells"))
-    value = F.transform(
-        F.sequence(F.lit(0), F.lit(len(terms) - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)),
-    )
-    return docs.join(by_doc, doc_id, "left").withColumn("vector", value).drop("cells")

@@ -365,7 +365,26 @@ def sampled_images(spark, sf):
 )
 def multi_hot_materials(spark, sf):
     """One 0/1 column per material."""
-    return encode.multi_hot(derived(spark, sf, "tops"), "id", "top_material")
+    tops = derived(spark, sf, "tops")
+    named = encode.class_index(encode.multi_hot_rows(tops, "id", "top_material"))
+    return encode.multi_hot(tops, "id", "top_material", [r["class"] for r in named.orderBy("place").collect()])
+
+
+@query(
+    "multi_hot_places", "M5", tables="tops",
+    sql="""
+    WITH l AS (SELECT id, unnest(CASE WHEN top_material IS NULL THEN ['nan']
+      WHEN top_material LIKE '[%' THEN string_split(replace(replace(replace(top_material, '[''', ''), ''']', ''), ''', ''', '~'), '~')
+      WHEN contains(top_material, ',') THEN string_split(replace(top_material, ', ', ','), ',')
+      WHEN contains(top_material, '|') THEN string_split(top_material, '|')
+      WHEN contains(top_material, '/') THEN string_split(top_material, '/') ELSE [top_material] END) AS m FROM tops),
+    c AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS place FROM (SELECT DISTINCT m FROM l))
+    SELECT id, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM (SELECT DISTINCT id, place FROM l JOIN c USING (m)) GROUP BY id""",
+)
+def multi_hot_places(spark, sf):
+    """The materials of every row as places in the list of all materials: the sparse form of the matrix."""
+    rows, _ = encode.multi_hot_sparse(derived(spark, sf, "tops"), "id", "top_material")
+    return rows.select("id", F.array_join(F.col("indices").cast("array<string>"), ",").alias("places"))
 
 
 @query(

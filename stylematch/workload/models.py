@@ -113,9 +113,7 @@ def note_clusters(spark, sf):
     """Notes to TF-IDF vectors, K-Prototypes with gender as category, cluster sizes and families."""
     noted = derived(spark, sf, "noted")
     weights = stage(features.tf_idf(noted, "item_id", "notes"), "weights")
-    terms = clusters.bounded_terms(weights)
-    dense = clusters.dense_vectors(weights, noted.select("item_id", "gender"), "item_id", terms)
-    rows = stage(clusters.vector_rows(dense, "item_id", "vector", "gender"), "vectors")
+    rows = stage(clusters.sparse_rows(weights, noted, "item_id", "gender")[0], "vectors")
     labels = clusters.assign(rows, clusters.fit(rows, [11])[11])
     both = labels.withColumnRenamed("row_id", "item_id").join(families(spark, sf), "item_id")
     return value_counts(both.withColumn("family", F.coalesce("family", F.lit("-"))).withColumn(
@@ -179,13 +177,13 @@ def item_families(spark, sf):
 def _two_piece(spark, sf):
     rows = styles.two_piece_rows(derived(spark, sf, "tops"))
     train, test = styles.split_and_fill(rows, styles.TWO_PIECE)
-    return styles.train_style_model(train, styles.TWO_PIECE, trees=20, rounds=4), test
+    return styles.train_style_model(train, styles.TWO_PIECE), test
 
 
 def _one_piece(spark, sf):
     rows = styles.one_piece_rows(derived(spark, sf, "dresses"))
     train, test = styles.split_and_fill(rows, styles.ONE_PIECE)
-    return styles.train_style_model(train, styles.ONE_PIECE, trees=20, rounds=4), test
+    return styles.train_style_model(train, styles.ONE_PIECE), test
 
 
 def _report(model, test):
@@ -220,7 +218,7 @@ def stacked_style_report(spark, sf):
     rows = styles.one_piece_rows(derived(spark, sf, "dresses"))
     train, test = styles.split_and_fill(rows, styles.ONE_PIECE)
     model = styles.encoders(train, styles.ONE_PIECE)
-    meta = styles.train_stacked(model, styles.coded_rows(model, train), trees=10, rounds=2)
+    meta = styles.train_stacked(model, styles.coded_rows(model, train))
     scored = styles.predict_stacked(model, meta, styles.coded_rows(model, test))
     return features.class_report(scored.select(F.col("y").cast("int").alias("label"), F.col("prediction").cast("int")))
 

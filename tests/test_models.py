@@ -4,6 +4,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from stylematch.operators import encode
 from stylematch.plans import clusters, features, styles, synthetic
 
 
@@ -71,11 +72,74 @@ def test_tf_idf_against_formula(spark):
     assert {r["term"] for r in kept.collect()} == {"rose"}
 
 
-def test_dense_vectors(spark):
-    weights = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.25)], "id int, term string, weight double")
-    docs = spark.createDataFrame([(1,), (2,)], "id int")
-    out = clusters.dense_vectors(weights, docs, "id", ["a", "b", "c"]).orderBy("id").collect()
-    assert [r["vector"] for r in out] == [[0.25, 0.5, 0.0], [0.0, 0.0, 0.0]]
+def test_sparse_rows(spark):
+    weights = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.25), (3, "c", 1.0)], "id int, term string, weight double")
+    docs = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "id int, cat string")
+    rows, index = clusters.sparse_rows(weights, docs, "id", "cat")
+    assert {r["row_id"]: (r["indices"], r["values"], r["category"]) for r in rows.collect()} == {1: ([0, 1], [0.25, 0.5], "x"), 2: ([], [], "None"), 3: ([2], [1.0], "x")}
+    assert {r["term"]: r["place"] for r in index.collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_sparse_and_dense_rows_cluster_alike(spark, rows):
+    dense = rows.withColumn("vector", F.transform("vector", lambda x: F.when(x > 0, x).otherwise(0.0)))
+    entries = dense.select("row_id", "category", F.filter(F.transform("vector", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0).alias("e"))
+    sparse = entries.select("row_id", F.col("e.i").alias("indices"), F.col("e.x").alias("values"), "category")
+    assert clusters.mismatch_weight(sparse) == pytest.approx(clusters.mismatch_weight(dense))
+    one, two = clusters.fit(dense, [4])[4], clusters.fit(sparse, [4])[4]
+    assert np.allclose(one.centres, two.centres) and one.categories == two.categories and one.cost == pytest.approx(two.cost)
+    assert np.allclose(clusters.sweep(sparse, [3, 4]), clusters.sweep(dense, [3, 4]))
+
+
+def _lloyd(data, centres, categories, gamma):
+    """Plain K-Prototypes from given centres: the final cost."""
+    x, cat = np.array([d[0] for d in data]), np.array([d[1] for d in data])
+    while True:
+        distance = ((x[:, None] - centres[None]) ** 2).sum(axis=2) + gamma * (cat[:, None] != np.array(categories)[None])
+        label, before = distance.argmin(axis=1), centres.copy()
+        for j in range(len(centres)):
+            if (label == j).any():
+                centres[j] = x[label == j].mean(axis=0)
+                names, counts = np.unique(cat[label == j], return_counts=True)
+                categories[j] = names[counts.argmax()]
+        if np.allclose(before, centres):
+            return distance.min(axis=1).sum()
+
+
+def test_start_is_fixed_by_the_seed_and_no_worse_than_the_first_rows(rows):
+    held = rows.orderBy(F.xxhash64("row_id", F.lit(42)), "row_id").collect()
+    data = [(r["vector"], r["category"]) for r in held]
+    for k in (3, 4, 6):
+        model, again = clusters.fit(rows, [k])[k], clusters.fit(rows.repartition(5), [k])[k]
+        assert np.allclose(model.centres, again.centres) and model.categories == again.categories
+        first = _lloyd(data, np.array([v for v, _ in data[:k]]), [c for _, c in data[:k]], model.gamma)
+        assert model.cost <= first + 1e-6
+
+
+def test_start_takes_distinct_rows(spark):
+    same = spark.createDataFrame([(i, [1.0, 0.0], "a") for i in range(50)] + [(50, [0.0, 1.0], "a"), (51, [1.0, 0.0], "b")], "id int, v array<double>, cat string")
+    model = clusters.fit(clusters.vector_rows(same, "id", "v", "cat"), [3])[3]
+    assert model.cost == pytest.approx(0) and sorted(model.sizes) == [1, 1, 50]
+
+
+def test_a_hundred_thousand_terms(spark):
+    """Three groups of documents with terms of their own, 100,000 terms in all; nothing is refused or cut."""
+    weights = [(d, f"t{t}", 20.0 if t < 15 else 1.0) for d in range(300) for t in (*range(d % 3 * 5, d % 3 * 5 + 5), *range(15 + d * 334, 15 + (d + 1) * 334))]
+    docs = spark.createDataFrame([(d, "x") for d in range(300)], "id int, cat string")
+    rows, index = clusters.sparse_rows(spark.createDataFrame(weights, "id int, term string, weight double"), docs, "id", "cat")
+    assert index.count() > 100_000
+    model = clusters.fit(rows, [3])[3]
+    assert sorted(model.sizes) == [100, 100, 100]
+    groups = clusters.assign(rows, model).groupBy("cluster").agg(F.collect_set(F.col("row_id") % 3).alias("g")).collect()
+    assert sorted(tuple(r["g"]) for r in groups) == [(0,), (1,), (2,)]
+
+
+def test_sparse_multi_hot_has_no_widest_class_list(spark):
+    df = spark.createDataFrame([(i, f"c{i},c{(i * 7) % 3000}") for i in range(3000)] + [(3000, "c5")], "id int, m string")
+    rows, index = encode.multi_hot_sparse(df, "id", "m")
+    names = sorted(f"c{i}" for i in range(3000))
+    assert [r["class"] for r in index.orderBy("place").collect()] == names
+    for r in rows.filter("id % 500 = 0").collect():
+        assert [names[p] for p in r["indices"]] == sorted({"c5"} if r["id"] == 3000 else {f"c{r['id']}", f"c{r['id'] * 7 % 3000}"})
 
 
 def test_soft_vote_first_class_wins_ties(spark):
