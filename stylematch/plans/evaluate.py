@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,22 +214,36 @@ def epsilon_histograms(
 ) -> DataFrame:
     """(column, epsilon, bin, n): counts of each smoothed score in equal bins between its extremes.
 
-    A row counts as often as its column ``times`` says, so one row can stand for all users of a profile.
+    A row counts as often as its column ``times`` says, so one row can stand for all users of a profile. Every task adds
+    its rows to one array of bins per column and epsilon, in one pass; the arrays of the tasks are added up. A score that
+    is null, or without a range, counts in the first bin.
     """
     ends = scores.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]).first()
-    values = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(ends[f"low_{c}"]).cast("double").alias("low"),
-            F.lit(ends[f"high_{c}"]).cast("double").alias("high"), F.lit(float(e)).alias("epsilon"),
+    names, steps = list(columns), [float(e) for e in epsilons]
+    reach = [(ends[f"low_{c}"], ends[f"high_{c}"]) for c in names]
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(names), len(steps), bins), dtype=np.int64)
+        for batch in batches:
+            weight = np.asarray(batch.column(len(names)), dtype=np.int64)
+            for i, (low, high) in enumerate(reach):
+                value = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                for j, e in enumerate(steps):
+                    slot = np.zeros(len(value), dtype=np.int64)
+                    if low is not None:
+                        first, last = ((end + e) / (1.0 + e) for end in (float(low), float(high)))
+                        if last != first:
+                            place = ((value + e) / (1.0 + e) - first) / (last - first) * float(bins)
+                            slot = np.minimum(np.where(np.isnan(place), 0, np.floor(place)), bins - 1).astype(np.int64)
+                    # whole numbers below 2^53 stay exact as weights
+                    totals[i, j] += np.bincount(slot, weights=weight, minlength=bins).astype(np.int64)
+        column, epsilon, slot = np.nonzero(totals)
+        yield pa.record_batch(
+            [pa.array([names[i] for i in column], pa.string()), pa.array([steps[j] for j in epsilon], pa.float64()), pa.array(slot, pa.int32()), pa.array(totals[column, epsilon, slot])],
+            ["column", "epsilon", "bin", "n"],
         )
-        for c in columns for e in epsilons
-    ]
-    weight = F.col(times) if times else F.lit(1).cast("long")
-    long = scores.select(weight.alias("_times"), F.explode(F.array(*values)).alias("v")).select("_times", "v.*")
 
-    def moved(c: str) -> Column:
-        return (F.col(c) + F.col("epsilon")) / (F.lit(1.0) + F.col("epsilon"))
-
-    place = F.try_divide(moved("value") - moved("low"), moved("high") - moved("low")) * F.lit(float(bins))
-    slot = F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return long.groupBy("column", "epsilon", slot.alias("bin")).agg(F.sum("_times").alias("n"))
+    weight = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    parts = scores.select(*[F.col(c).cast("double").alias(c) for c in names], weight.alias("_times"))
+    parts = parts.mapInArrow(binned, "column string, epsilon double, bin int, n long")
+    return parts.groupBy("column", "epsilon", "bin").agg(F.sum("n").alias("n"))
