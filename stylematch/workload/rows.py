@@ -15,6 +15,7 @@ from stylematch.plans.styles import add_pairs
 from stylematch.session import scratch_path
 from stylematch.sources import tables as maintenance
 from stylematch.sources.delimited import column_named, tidy_header
+from stylematch.sources.stored import StoredTable
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import PEOPLE
 from stylematch.workload.tables import (
@@ -498,6 +499,15 @@ def tidy_headers(spark, sf):
     )
 
 
+def _item_batch(stored):
+    """Three versions of every third item; those with odd ids are new."""
+    key = F.col("item_id")
+    return stored.filter(key % 3 == 0).withColumn("s", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
+        (key + F.when(key % 2 == 0, F.lit(0)).otherwise(F.lit(5000000))).alias("item_id"),
+        F.concat("name", F.lit("!"), F.col("s").cast("string")).alias("name"), "brand", (key * 10 + F.col("s")).alias("seq"),
+    )
+
+
 @query(
     "keyed_upsert", "S8", tables="items",
     sql="""
@@ -511,12 +521,52 @@ def tidy_headers(spark, sf):
 def keyed_upsert(spark, sf):
     """Stored rows replaced by the last batch row of their key, new keys added."""
     stored = derived(spark, sf, "items").select("item_id", "name", "brand")
-    key = F.col("item_id")
-    batch = stored.filter(key % 3 == 0).withColumn("s", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
-        (key + F.when(key % 2 == 0, F.lit(0)).otherwise(F.lit(5000000))).alias("item_id"),
-        F.concat("name", F.lit("!"), F.col("s").cast("string")).alias("name"), "brand", (key * 10 + F.col("s")).alias("seq"),
-    )
-    return maintenance.upsert(stored, batch, ["item_id"], "seq")
+    return maintenance.upsert(stored, _item_batch(stored), ["item_id"], "seq")
+
+
+@query(
+    "stored_upsert", "S8", tables="items",
+    sql="""
+    WITH batch AS (SELECT item_id + CASE WHEN item_id % 2 = 0 THEN 0 ELSE 5000000 END AS item_id, name || '!' || s AS name, brand,
+                          item_id * 10 + s AS seq
+                   FROM items CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) WHERE item_id % 3 = 0),
+    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn FROM batch) WHERE rn = 1)
+    SELECT item_id, name, brand FROM last
+    UNION ALL SELECT item_id, name, brand FROM items WHERE item_id NOT IN (SELECT item_id FROM last)""",
+)
+def stored_upsert(spark, sf):
+    """The same batch applied to a stored table, of which it rewrites the buckets of its keys."""
+    stored = derived(spark, sf, "items").select("item_id", "name", "brand")
+    held = StoredTable.create(stored, scratch_path(spark, "stored-items"), ["item_id"], 16)
+    held.upsert(_item_batch(stored), "seq")
+    return held.rows()
+
+
+@query(
+    "stored_user_rows", "S10", tables="rating_log",
+    sql="""
+    WITH fresh AS (SELECT user_id, item_id, rate + 1000 AS rate FROM rating_log WHERE rate > 98)
+    SELECT * FROM fresh UNION ALL SELECT * FROM rating_log WHERE user_id NOT IN (SELECT user_id FROM fresh)""",
+)
+def stored_user_rows(spark, sf):
+    """A stored rating table in buckets by user, in which the rows of some users are replaced."""
+    log = rating_log(spark, sf)
+    held = StoredTable.create(log, scratch_path(spark, "stored-ratings"), ["user_id"], 16)
+    held.replace_groups(log.filter("rate > 98").withColumn("rate", F.col("rate") + 1000))
+    return held.rows()
+
+
+@query(
+    "stored_parents", "S12", tables="items accord_colours",
+    sql="""SELECT accord FROM accord_colours WHERE accord <> 'rose' UNION
+    SELECT trim(a) FROM (SELECT unnest([accord1, accord2, accord3]) AS a FROM items) WHERE a IS NOT NULL AND trim(a) <> ''""",
+)
+def stored_parents(spark, sf):
+    """A stored colour table without one accord, to which the items' missing accords are appended."""
+    known = accord_colours(spark).select("accord").filter("accord <> 'rose'")
+    held = StoredTable.create(known, scratch_path(spark, "stored-accords"), ["accord"], 8)
+    held.add_parents(derived(spark, sf, "items"), ["accord1", "accord2", "accord3"], {})
+    return held.rows()
 
 
 @query(
