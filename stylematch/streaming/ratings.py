@@ -8,7 +8,7 @@ would start at 0 again and overwrite what is there. Readers combine the folders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stylematch.operators.joins import keep_latest
 from stylematch.operators.ordered import with_position
 from stylematch.operators.ranking import arg_max
-from stylematch.session import path_exists
+from stylematch.session import discard, path_exists, stage
 
 REMOVE = "delete"
 
@@ -66,8 +66,44 @@ def read_basket(spark: SparkSession, path: str) -> DataFrame:
     return current_basket(keep_latest(changes, ["session_id", "item_id"], [F.col("event_id").desc()]))
 
 
+def once(rows: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+    """The rows without those that repeat the keys of an earlier one, as long as that one is not ``delay`` behind.
+
+    Works on a stream: the keys seen are state of its checkpoint and expire with the event time, so a file that is
+    delivered again, also after a restart, adds nothing.
+    """
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def start_sessions(actions: DataFrame, path: str, time: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> StreamingQuery:
+    """The baskets of sessions that have ended: after ``gap`` without an action, and ``delay`` for late ones.
+
+    What is known of an open session is keyed state of the stream; it goes when the session is written, so the state holds
+    open sessions only. A batch writes the last action per item of the sessions that it closed; deleted items are left out.
+    """
+    one = F.struct("event_id", "item_id", "action", "rate")
+    opened = actions.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), "session_id").agg(F.collect_list(one).alias("actions"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), F.explode("actions").alias("a")).select("session_id", "started", "ended", "a.*")
+        last = keep_latest(rows, ["session_id", "started", "item_id"], [F.col("event_id").desc()])
+        kept = last.filter(F.col("action") != REMOVE).select("session_id", "started", "ended", "item_id", "rate")
+        kept.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _run(opened, write, path)
+
+
 def _largest_id_before(spark: SparkSession, path: str, batch_id: int) -> int:
-    """Largest id of the earlier batches; the folder partitions keep a repeated batch from seeing its own rows."""
+    """Largest id of the earlier batches, from the one number that each keeps beside its rows.
+
+    The folder partitions keep a repeated batch from seeing its own number. Logs whose batches keep no number, as
+    earlier versions wrote them, are read whole.
+    """
+    kept = f"{path}/_last"
+    if path_exists(spark, kept):
+        numbers = spark.read.option("basePath", kept).schema("last bigint, batch_id bigint").parquet(kept).filter(F.col("batch_id") < batch_id)
+        if numbers.count() == batch_id:
+            return numbers.agg(F.max("last")).first()[0] or 0
     rows = spark.read.schema("smelling_user_id bigint, batch_id bigint").parquet(path)
     return rows.filter(F.col("batch_id") < batch_id).agg(F.max("smelling_user_id")).first()[0] or 0
 
@@ -80,10 +116,15 @@ def start_log(baskets: DataFrame, path: str) -> StreamingQuery:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # a batch is computed once, whatever state it takes, and then read several times
+        batch = stage(batch, "baskets")
         before = _largest_id_before(spark, path, batch_id) if batch_id > 0 else 0
         numbered = with_position(batch.select("basket_id").distinct(), "basket_id", "_pos")
         rows = batch.join(numbered, "basket_id").withColumn("smelling_user_id", F.col("_pos") + F.lit(before + 1))
         rows.drop("_pos").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        last = numbered.agg((F.coalesce(F.max("_pos") + 1, F.lit(0)) + F.lit(before)).cast("bigint").alias("last"))
+        last.write.mode("overwrite").parquet(f"{path}/_last/batch_id={batch_id}")
+        discard(batch)
 
     return _run(baskets, write, path)
 
