@@ -70,7 +70,11 @@ def drop_repeated_key(df: DataFrame, keys: Sequence[Column], order: str, ranges:
 
 
 def with_position(df: DataFrame, order: str, out: str = "position", ranges: int | None = None) -> DataFrame:
-    """Dense 0-based position in the order of a numeric, unique column."""
+    """Dense 0-based position in the order of a numeric, unique column.
+
+    The rows are staged first: the quantiles, the counts and the numbering each read them.
+    """
+    df = stage(df, "positions")
     cut = _ranges(df, order, _range_count(df, ranges))
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     running = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
