@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stylematch.operators.joins import keep_latest
@@ -33,6 +33,23 @@ def load_report(df: DataFrame, key: str, ok: Column, skipped: Column | None = No
     )
 
 
+def load_observed(df: DataFrame, key: str, ok: Column, path: str, skipped: Column | None = None) -> DataFrame:
+    """Write the rows that load to ``path`` and report on the load: one row with the columns of ``load_report``.
+
+    Rows read, loaded, skipped and failed are counted by the job that writes, as it reads each row once; only the
+    distinct keys are counted afterwards, over the loaded rows. A refused row is not written.
+    """
+    skip = F.coalesce(skipped, F.lit(False)) if skipped is not None else F.lit(False)
+    loaded = F.coalesce(ok, F.lit(False)) & ~skip
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n_read"), F.count_if("_ok").alias("n_ok"), F.count_if("_skip").alias("n_skipped"), F.count_if(~F.col("_ok") & ~F.col("_skip")).alias("n_failed")]
+    marked = df.withColumns({"_ok": loaded, "_skip": skip}).observe(seen, *counts)
+    marked.filter("_ok").drop("_ok", "_skip").write.parquet(path)
+    told = seen.get
+    keys = df.sparkSession.read.parquet(path).agg(F.countDistinct(key).alias("n_keys"))
+    return keys.select(*[F.lit(told[c]).cast("bigint").alias(c) for c in ("n_read", "n_ok", "n_skipped", "n_failed")], "n_keys")
+
+
 def replace_groups(table: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     """Stored rows of every group present in ``rows`` are replaced by them."""
     return table.join(rows.select(group).distinct(), group, "left_anti").unionByName(rows.select(*table.columns))

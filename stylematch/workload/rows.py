@@ -586,6 +586,23 @@ def load_report(spark, sf):
     return maintenance.load_report(rows, "k", F.col("k").isNotNull(), blank)
 
 
+@query(
+    "observed_load", "S9", tables="number_texts",
+    sql="""
+    WITH n AS (SELECT id, text, CAST(trunc(CASE WHEN regexp_matches(trim(replace(text, ',', '')), '^[+-]?[0-9]+[.]?[0-9]*$')
+               THEN CAST(trim(replace(text, ',', '')) AS DOUBLE) END) AS BIGINT) AS k FROM number_texts)
+    SELECT count(*) AS n_read, count(*) FILTER (WHERE k IS NOT NULL AND text IS NOT NULL AND text <> '') AS n_ok,
+      count(*) FILTER (WHERE text IS NULL OR text = '') AS n_skipped,
+      count(*) FILTER (WHERE k IS NULL AND text IS NOT NULL AND text <> '') AS n_failed,
+      count(DISTINCT k) AS n_keys FROM n""",
+)
+def observed_load(spark, sf):
+    """The same report from the job that writes the rows."""
+    rows = derived(spark, sf, "number_texts").withColumn("k", thousands_id(F.col("text")))
+    blank = F.col("text").isNull() | (F.col("text") == "")
+    return maintenance.load_observed(rows, "k", F.col("k").isNotNull(), scratch_path(spark, "loaded"), blank)
+
+
 @query(
     "replaced_user_rows", "S10", tables="rating_log",
     sql="""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stylematch.sources.stored import BUCKET, StoredTable
+from stylematch.sources.tables import load_observed
 
 
 def files(path):
@@ -70,3 +71,22 @@ def test_layout_is_kept_and_paths_are_not_overwritten(spark, held):
         StoredTable.create(held.rows(), held.path, ["id"])
     with pytest.raises(ValueError):
         StoredTable.create(held.rows().withColumn(BUCKET, F.lit(1)), held.path + "x", ["id"])
+
+
+def test_load_is_reported_by_the_job_that_writes(spark, tmp_path):
+    rows = [(1, "1"), (2, "x"), (3, None), (4, "4"), (5, ""), (6, "1")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3).withColumn("k", F.expr("try_cast(text AS INT)"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    counted = df.mapInPandas(read, df.schema)
+    report = load_observed(counted, "k", F.col("k").isNotNull(), f"{tmp_path}/loaded", F.col("text").isNull() | (F.col("text") == "")).first()
+    assert report.asDict() == {"n_read": 6, "n_ok": 3, "n_skipped": 2, "n_failed": 1, "n_keys": 2}
+    assert seen.value == 6
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/loaded").collect()) == [1, 4, 6]
+    empty = load_observed(df.limit(0), "k", F.col("k").isNotNull(), f"{tmp_path}/none").first()
+    assert tuple(empty) == (0, 0, 0, 0, 0)
