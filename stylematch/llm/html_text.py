@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/<>]*+))")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # Element names of HTML by what they do.
@@ -35,7 +36,12 @@ PAGE_NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion outbrain taboola comment comments "
     "disqus respond replies reply-list sidebar side-bar widget widgets menu navbar navigation breadcrumb breadcrumbs pagination pager footer "
     "masthead topbar toolbar cookie cookies consent gdpr notice notices popup pop-up modal overlay lightbox newsletter subscribe subscription "
-    "signup sign-up login share sharing social related recommended recommendations skip-link screen-reader sr-only".split())
+    "signup sign-up login share sharing social related recommended recommendations skip-link screen-reader sr-only foot legal colophon "
+    "copyright".split())
+#: Words that are joined to such a name without changing what it names, as in commentlist.
+HOLDERS = ("list", "area", "section", "box", "form", "wrap", "wrapper", "container", "block", "bar", "thread", "holder", "panel")
+TITLES = frozenset("lead lede standfirst summary subtitle subheading intro dek teaser-text abstract".split())
+CELLS = frozenset("td th".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 BONUS = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 2.0}
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
@@ -45,17 +51,24 @@ STATES = frozenset("enabled disabled on off open opened closed collapsed expande
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "named", "hint", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "lead", "hint", "score", "half", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, hint: float = 0.0):
         self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
         self.children: list = []
         #: Dropped for a name alone, which ``_restore`` may take back.
         self.named = False
-        self.score = 0.0
+        #: A paragraph whose name says that it opens the article.
+        self.lead = False
+        self.score = self.half = 0.0
         self.chars = self.link_chars = 0
 
 
+def _furniture(word: str) -> bool:
+    """Whether a name, or the name before a word such as list or box, is one of page furniture."""
+    return word in PAGE_NOISE or any(word.endswith(h) and word[:-len(h)] in PAGE_NOISE for h in HOLDERS)
+
+
 def _noisy(tag: str, attributes: str) -> tuple[bool, bool, float]:
     """Whether an element is page furniture, whether only its name says so, and a bonus for names of content."""
     if tag in DROPPED:
@@ -76,7 +89,7 @@ def _noisy(tag: str, attributes: str) -> tuple[bool, bool, float]:
         if name in ("class", "id"):
             for word in value.split():
                 parts = [word, *re.split(r"[-_]+|\d+", word)]
-                if any(p in PAGE_NOISE for p in parts):
+                if any(_furniture(p) for p in parts):
                     named = named or not (len(parts) > 2 and (parts[1] in HAS or parts[-1] in STATES))
                 elif any(p in MAIN_WORDS for p in parts):
                     main, hint = True, hint + 8.0
@@ -84,77 +97,140 @@ def _noisy(tag: str, attributes: str) -> tuple[bool, bool, float]:
     return named, named, hint
 
 
-def parse(page: str) -> Node:
-    """A lenient tree: unclosed elements end with their parents, paragraphs end where blocks start, stray ends are ignored."""
-    root = Node("html", None)
-    at, end, skip = root, 0, None
+class _Tags:
+    """Finds the ends of tags, each character being passed a bounded number of times whatever the page holds.
+
+    A tag ends at the first ``>`` outside quotes. One that has none before the page ends is text; all later tags that
+    come upon the same opening quote have none either, so it is remembered.
+    """
 
-    def add(text: str) -> None:
-        if text:
-            at.children.append(html.unescape(text))
+    def __init__(self, page: str):
+        self.page = page
+        self.hopeless: set[int] = set()
+        self.seen = (0, -1)
+
+    def _special(self, start: int) -> int:
+        """The first ``>`` or quote from ``start`` on, or the length of the page."""
+        if not self.seen[0] <= start <= self.seen[1]:
+            found = SPECIAL.search(self.page, start)
+            self.seen = (start, found.start() if found else len(self.page))
+        return self.seen[1]
+
+    def end(self, start: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``start``, or -1."""
+        passed, at = [], start
+        while at >= 0:
+            at = self._special(at)
+            if at == len(self.page) or at in self.hopeless:
+                break
+            if self.page[at] == ">":
+                return at
+            passed.append(at)
+            closing = self.page.find(self.page[at], at + 1)
+            at = closing + 1 if closing >= 0 else -1
+        self.hopeless.update(passed)
+        return -1
+
+
+class _Open:
+    """The elements that are open, innermost last, with the places of each tag and of the containers among them."""
+
+    def __init__(self):
+        self.chain: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.stops: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.chain))
+        if node.tag in STOPS:
+            self.stops.append(len(self.chain))
+        self.chain.append(node)
+
+    def end(self, tag: str, through: bool = False) -> None:
+        """End the innermost element of a tag and all inside it; a container in between protects it unless ``through``."""
+        places = self.places.get(tag)
+        if not places or not through and self.stops and self.stops[-1] > places[-1]:
+            return
+        for node in reversed(self.chain[places[-1]:]):
+            self.places[node.tag].pop()
+            if node.tag in STOPS:
+                self.stops.pop()
+            self.chain.pop()
 
-    tokens = TOKEN.finditer(page)
-    for token in tokens:
-        if token.start() < end:
-            continue
-        add(page[end:token.start()])
-        end = token.end()
-        name = token[2]
+
+def parse(page: str) -> Node:
+    """A lenient tree: unclosed elements end with their parents, paragraphs end where blocks start, stray ends are ignored.
+
+    Unclosed tags, quotes and elements cost no more than others: the time is linear in the page.
+    """
+    root = Node("html", None)
+    opened, tags, end, start = _Open(), _Tags(page), 0, 0
+
+    def add(what: str | Node) -> None:
+        if what:
+            (opened.chain[-1] if opened.chain else root).children.append(what)
+
+    while token := OPENING.search(page, start):
+        comment, declared, closing, name = token.groups()
+        if comment:
+            close = page.find("-->", token.end())
+            close = len(page) if close < 0 else close + 2
+        elif declared:
+            close = page.find(">", token.end())
+            if close < 0:
+                # no tag can end either
+                break
+        else:
+            close = tags.end(token.end())
+            if close < 0:
+                start = token.end()
+                continue
+        add(html.unescape(page[end:token.start()]))
+        start = end = min(close + 1, len(page))
         if name is None:
             continue
         tag = name.lower()
-        if token[1]:
-            above = at
-            while above is not root and above.tag != tag:
-                if above.tag in STOPS and tag not in STOPS and tag not in BLOCKS:
-                    above = root
-                    break
-                above = above.parent
-            if above is not root:
-                at = above.parent
+        if closing:
+            opened.end(tag, tag in STOPS or tag in BLOCKS)
             continue
         if tag in CLOSES_P:
-            above = at
-            while above is not root and above.tag != "p" and above.tag not in STOPS:
-                above = above.parent
-            if above.tag == "p":
-                at = above.parent
+            opened.end("p")
         for open_tag in ENDS.get(tag, ()):
-            above = at
-            while above is not root and above.tag != open_tag and above.tag not in STOPS:
-                above = above.parent
-            if above.tag == open_tag and above is not root:
-                at = above.parent
+            opened.end(open_tag)
         if tag == "body" or tag == "html":
             continue
         if tag == "br":
-            at.children.append(" ")
+            add(" ")
             continue
-        drop, named, hint = _noisy(tag, token[3])
+        attributes = page[token.end():close]
+        drop, named, hint = _noisy(tag, attributes)
+        parent = opened.chain[-1] if opened.chain else root
         if tag in VOID:
             if tag == "hr":
-                at.children.append(Node(tag, at))
+                add(Node(tag, parent))
             continue
-        node = Node(tag, at, drop, hint)
+        node = Node(tag, parent, drop, hint)
         node.named = named
+        node.lead = tag == "p" and any(word in TITLES for word in re.split(r"[^a-z]+", attributes.lower()))
         root.named = root.named or named
-        at.children.append(node)
+        add(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, end)
-            end = close.end() if close else len(page)
+            raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, end)
+            close = page.find(">", raw.end()) if raw else -1
+            start = end = close + 1 if close >= 0 else len(page)
             continue
-        if not token[3].endswith("/"):
-            at = node
-    add(page[end:])
+        if not attributes.endswith("/"):
+            opened.push(node)
+    add(html.unescape(page[end:]))
     return root
 
 
 def _blocks(root: Node, out: list[tuple[Node, str]]) -> None:
     """Add the blocks of text below a node, with the block element they stand in, to ``out`` in page order."""
     inside: list[str] = []
-    stack = [(root, root, iter(root.children))]
+    stack = [(root, root, iter(root.children), False)]
     while stack:
-        here, block, children = stack[-1]
+        here, block, children, within = stack[-1]
         for child in children:
             if isinstance(child, str):
                 inside.append(child)
@@ -165,12 +241,12 @@ def _blocks(root: Node, out: list[tuple[Node, str]]) -> None:
                 continue
             if child.tag == "header":
                 _flush(inside, out, block)
-                child.children = _headings(child)
+                child.children = _headings(child, within)
             if child.tag in BLOCKS:
                 _flush(inside, out, block)
-                stack.append((child, child, iter(child.children)))
+                stack.append((child, child, iter(child.children), within or child.tag == "article"))
             else:
-                stack.append((child, block, iter(child.children)))
+                stack.append((child, block, iter(child.children), within))
             break
         else:
             if here.tag in BLOCKS:
@@ -178,20 +254,33 @@ def _blocks(root: Node, out: list[tuple[Node, str]]) -> None:
             stack.pop()
 
 
-def _headings(node: Node) -> list[Node]:
-    """The headings below a header element: they belong to the article it stands in, the rest does not."""
+def _headings(node: Node, article: bool) -> list[Node]:
+    """The headings below a header element: they belong to the article it stands in, the rest does not.
+
+    In the header of an article element, paragraphs that are sentences or named as its lead belong to it as well.
+    """
     found, stack = [], list(reversed(node.children))
     while stack:
         child = stack.pop()
         if isinstance(child, str) or child.drop:
             continue
-        if child.tag in HEADINGS:
+        if child.tag in HEADINGS or article and child.tag == "p" and _lead(child):
             found.append(child)
         else:
             stack.extend(reversed(child.children))
     return found
 
 
+def _lead(node: Node) -> bool:
+    """Whether a paragraph of a header is text: named as a lead, or 40 characters and more that end as sentences do."""
+    if node.lead:
+        return True
+    if node.chars < 40 or 2 * node.link_chars >= node.chars:
+        return False
+    last = next((c for c in reversed(node.children) if not isinstance(c, str) or c.strip()), "")
+    return isinstance(last, str) and last.rstrip().endswith((".", "!", "?", "…", ".”", ".\""))
+
+
 def _flush(inside: list[str], out: list[tuple[Node, str]], block: Node) -> None:
     text = " ".join("".join(inside).split())
     inside.clear()
@@ -209,39 +298,43 @@ def _restore(root: Node) -> None:
     Such an element contains a main element, or most characters that the page has in paragraphs outside links; then it
     also contains an h1, or no text outside it stands in an element that is or is named content.
     """
-    order, stack = [], [(root, False, False)]
+    order, stack = [], [(root, False, False, False)]
     inside: dict[int, list] = {}
     while stack:
-        node, linked, paragraph = stack.pop()
+        node, linked, paragraph, content = stack.pop()
         linked, paragraph = linked or node.tag == "a", paragraph or node.tag in PARAGRAPHS and node.tag not in HEADINGS
-        order.append(node)
+        order.append((node, content))
         inside[id(node)] = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) * (paragraph and not linked), node.tag == "main", node.tag == "h1"]
-        stack.extend((c, linked, paragraph) for c in node.children if not isinstance(c, str) and (c.named or not c.drop))
-    for node in reversed(order):
+        content = content or _content(node)
+        stack.extend((c, linked, paragraph, content) for c in node.children if not isinstance(c, str) and (c.named or not c.drop))
+    for node, _ in reversed(order):
         if node.parent is not None:
             own, up = inside[id(node)], inside[id(node.parent)]
             up[0], up[1], up[2] = up[0] + own[0], up[1] or own[1], up[2] or own[2]
     least = inside[id(root)][0] / 2
-    asked = [n for n in order if n.named and n is not root and (inside[id(n)][1] or inside[id(n)][0] > least)]
-    for node in asked:
-        if inside[id(node)][1] or inside[id(node)][2] or not _content_in_sight(root):
+    in_sight = _content_in_sight(root, False)
+    for node, content in order:
+        if not node.named or node is root or not (inside[id(node)][1] or inside[id(node)][0] > least):
+            continue
+        if inside[id(node)][1] or inside[id(node)][2] or not in_sight:
             node.drop = False
+            in_sight = in_sight or _content_in_sight(node, content)
 
 
-def _content_in_sight(root: Node) -> bool:
-    """Whether text that is not dropped stands in an element that is or is named content, the page's header aside."""
-    stack = [(root, False)]
+def _content_in_sight(top: Node, content: bool) -> bool:
+    """Whether text below a node that is not dropped stands in an element that is or is named content, the page's header aside."""
+    stack = [(top, content)]
     while stack:
         node, content = stack.pop()
         content = content or _content(node)
         if content and any(isinstance(c, str) and c.strip() for c in node.children):
             return True
-        stack.extend((c, content) for c in node.children if not isinstance(c, str) and not c.drop and not (c.tag == "header" and node is root))
+        stack.extend((c, content) for c in node.children if not isinstance(c, str) and not c.drop and not (c.tag == "header" and node.parent is None))
     return False
 
 
-def _measure(root: Node) -> None:
-    """Characters of text, and of text in links, below each node that is not dropped."""
+def _measure(root: Node) -> list[Node]:
+    """Characters of text, and of text in links, below each node that is not dropped; the nodes, parents first."""
     order, stack = [], [(root, False)]
     while stack:
         node, linked = stack.pop()
@@ -258,6 +351,7 @@ def _measure(root: Node) -> None:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
+    return order
 
 
 def _beside(child: Node | str, parent: Node) -> bool:
@@ -267,53 +361,89 @@ def _beside(child: Node | str, parent: Node) -> bool:
     return child.tag in HEADINGS or child.tag == "header" or 2 * child.link_chars < child.chars
 
 
+def _score(blocks: list[tuple[Node, str]], order: list[Node]) -> list[Node]:
+    """The ancestors of the blocks, with their scores: points in full, then half, then less by half at each step up."""
+    scored: dict[int, Node] = {}
+    for node, text in blocks:
+        first = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+        above = first
+        while above is not None and id(above) not in scored:
+            scored[id(above)] = above
+            above = above.parent
+        first.score += 1.0 + text.count(",") + min(3.0, len(text) / 100)
+    # ``score`` holds a node's own points until its turn, ``half`` what has come up from below
+    for node in reversed(order):
+        if id(node) in scored:
+            if node.parent is not None:
+                node.parent.half += node.score / 2 + node.half / 1.5
+            node.score += node.half + node.hint
+    return list(scored.values())
+
+
+def _beside_article(article: Node) -> list[Node]:
+    """What belongs to an article element beside it: the siblings of it and of its ancestors up to the content around it.
+
+    That is the nearest main element or element named as content, or else the element it stands in. Right below the
+    body only other articles and an h1 are taken.
+    """
+    top, chosen = article.parent, []
+    while top.parent is not None and not _content(top):
+        top = top.parent
+    if top.parent is None:
+        top = article.parent
+    node = article
+    while True:
+        parent = node.parent
+        for child in parent.children:
+            if child is not node and _beside(child, parent) and (parent.parent is not None or child.tag in ("article", "h1")):
+                chosen.append(child)
+        if parent is top:
+            return chosen
+        node = parent
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the best container and of its siblings, joined by line feeds.
 
     Every paragraph gives points to its ancestors, 1 + commas + a point per 100 characters (3 at most), in full to the
     parent, half to the grandparent, less above. A node's score, with a bonus for elements and names that hold
     articles, is multiplied by one minus its share of text in links. Without any paragraph the whole page counts. A best node inside
-    an article or main element stands for that element; beside any other, all that is not half links is kept.
+    an article or main element stands for that element; beside an article, what ``_beside_article`` names is kept, and beside any
+    other node but a main element all that is not half links. Of the cells of a layout table those of links go.
     """
     if not page:
         return ""
     root = parse(page)
     if root.named:
         _restore(root)
-    _measure(root)
+    order = _measure(root)
     blocks: list[tuple[Node, str]] = []
     _blocks(root, blocks)
-    scored: dict[int, Node] = {}
-    for node, text in blocks:
-        points = 1.0 + text.count(",") + min(3.0, len(text) / 100)
-        above = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
-        share = 1.0
-        while above is not None:
-            if id(above) not in scored:
-                scored[id(above)] = above
-                above.score += above.hint
-            above.score += points * share
-            share = 0.5 if share == 1.0 else share / 1.5
-            above = above.parent
+    scored = _score(blocks, order)
     if not scored:
         return ""
 
     def value(node: Node) -> float:
         return node.score * (1 - node.link_chars / max(1, node.chars))
 
-    best = max(scored.values(), key=value)
+    best = max(scored, key=value)
     above = best
     while above is not None and above.tag not in ("article", "main"):
         above = above.parent
     best = above or best
+    layout = best.tag in ("table", "tbody", "tr")
     while best.parent is not None and best.parent.chars == best.chars and best.tag not in ("article", "main"):
         best = best.parent
     chosen = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
+    if best.tag == "article":
+        chosen += _beside_article(best)
+    elif best.parent is not None and best.tag != "main":
         chosen += [child for child in best.parent.children if child is not best and _beside(child, best.parent)]
     within, stack = set(), list(chosen)
     while stack:
         node = stack.pop()
+        if layout and node.tag in CELLS and 0 < node.chars <= 2 * node.link_chars:
+            continue
         within.add(id(node))
         stack.extend(child for child in node.children if not isinstance(child, str))
     if best.parent is not None and best.tag not in ("article", "main"):
@@ -336,7 +466,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     A null or empty page has an empty text. Null and repeated ids and urls pass through. An empty table gives an empty
     result; other columns are not read. One pass without a shuffle; one page is held at a time, and the tree is walked
-    without recursion, so neither long nor deep pages overflow.
+    without recursion and in time linear in the page, however malformed or deep it is.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
