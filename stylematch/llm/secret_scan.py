@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -113,11 +115,13 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], reach: int = 48, a
     """
     found = []
     taken = sorted((start, end) for start, _, end in known)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in CANDIDATE.finditer(text):
         value, start, end = m[0], m.start(), m.end()
         if not any(c.isalpha() for c in value):
             continue
-        if any(a < end and start < b for a, b in taken) or not SENSITIVE.search(text, max(0, start - reach), start):
+        before = bisect_left(starts, end)
+        if before and ends[before - 1] > start or not SENSITIVE.search(text, max(0, start - reach), start):
             continue
         near = (text[max(0, start - around):start] + " " + text[end:end + around]).replace(value, " ")
         ratio = marginal_ratio(value, near)
