@@ -156,22 +156,26 @@ def in_fold(id_column) -> F.Column:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array(list(statistics(batch.column(1))), pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.record_batch([batch.column(0), pa.array(list(statistics(batch.column(1))), pa.list_(pa.float64()))], ["key", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
     """Fit on the documents with a 0/1 ``quality`` label that are not held out, at most ``rows`` of them.
 
     The sample is the labelled ids with the least hashes, so it does not depend on the partitions, and it is the only
-    bound: statistics are taken of their whole texts. Null labels and ids are ignored; an id with both labels, or with
-    repeated rows, counts once per distinct row of either table.
+    bound: statistics are taken of their whole texts. Null labels and ids are ignored; an id with both labels counts
+    with both, one with several texts once per text, and if that makes more than ``rows`` rows, those with the least
+    hashes of id and text are taken, so no more than ``rows`` reach the driver.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["quality"].cast("int").alias("y")).filter("label_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(~in_fold(F.col("label_id"))).distinct()
     sample = known.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(rows)
     # at most ``rows`` rows of two numbers: small by the bound, so the texts stay where they are
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    held = joined.select("y", "text").mapInArrow(_measured, "y int, x array<double>").toPandas()
+    named = joined.select(F.struct("y", "label_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("key"), "text")
+    # narrow rows are made distinct and cut to the bound, so an id with very many rows costs their statistics alone
+    distinct = named.mapInArrow(_measured, "key struct<y:int,label_id:long,digest:string>, x array<double>").dropDuplicates(["key"])
+    held = distinct.orderBy(F.xxhash64("key.label_id", "key.digest"), "key").limit(rows).select("key.y", "x").toPandas()
     if not len(held):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(held["x"].to_numpy()), held["y"].to_numpy().astype(float)
