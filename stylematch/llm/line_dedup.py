@@ -143,7 +143,7 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by id (null last), then by place in the text. Lines without words always stay. Rows that repeat id and text count
     as one document and get the same result; rows that share only the id are ordered by a hash. A null text stays null,
     an empty one empty; a document whose lines all go keeps an empty text. An empty table gives an empty result. All
-    columns of ``docs`` are kept; with ``count``, a column of that name tells how many lines went.
+    columns of ``docs`` are kept, whatever their names; with ``count``, a column of that name tells how many lines went.
 
     Method. Equal sets are one set, at the place of their first line. Tokens are ordered by rarity: by the logarithm of
     the count of their cell in a table of hashed words over all documents, then by hash. A set of n tokens is posted
@@ -155,7 +155,10 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has ``cells`` bytes, whatever the input, and reaches each task with the plan.
     """
     names = docs.columns
-    keyed = _doc_key(docs, id_col, text_col)
+    # by place, so that no column name of the input can meet one of the work columns
+    docs = docs.toDF(*(f"in{i}" for i in range(len(names))))
+    text_in = f"in{names.index(text_col)}"
+    keyed = _doc_key(docs, f"in{names.index(id_col)}", text_in)
     lines, sets = similar_line_sets(keyed.select("_id", "_text", "_doc"), cells)
     gone = lines.join(sets, "k").filter("late OR NOT (doc <=> _doc AND line <=> line_no)")
     gone = gone.groupBy("_doc").agg(F.collect_set("line_no").alias("_gone"))
@@ -164,9 +167,9 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = keyed.join(gone, F.col("_doc") == F.col("_of"), "left")
     parts = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i))
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_in)).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("_kept", text)
-    out = [F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    out = [F.col("_kept" if c == text_col else f"in{i}").alias(c) for i, c in enumerate(names)]
     if count:
         out.append(F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(count))
     return joined.select(*out)
