@@ -113,6 +113,14 @@ def test_lines_of_nothing_and_no_python(spark, capsys):
     assert "Python" not in plans and "Arrow" not in plans and "Pandas" not in plans
 
 
+@pytest.mark.parametrize("name", ["_id", "_kept", "_gone", "_of", "_doc", "_text", "in0", "a.b"])
+def test_lines_beside_any_column_name(spark, name):
+    docs = spark.createDataFrame([("x", 1, "a b c d\na b c d\ne"), ("y", 2, "a b c d\nf"), (None, None, None)], f"`{name}` string, doc_id long, text string")
+    got = line_dedup.drop_similar_lines(docs, count="gone")
+    assert got.columns == [*docs.columns, "gone"]
+    assert {tuple(r) for r in got.collect()} == {("x", 1, "a b c d\ne", 1), ("y", 2, "f", 1), (None, None, None, 0)}
+
+
 def test_common_length_matches_the_table():
     rng = random.Random(5)
     for _ in range(50):

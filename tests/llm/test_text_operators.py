@@ -5,6 +5,7 @@ import hashlib
 import os
 import re
 import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,16 @@ def test_novel_strings_of_every_alphabet_and_length():
     assert not [p for p in plain if secret_scan.novel_spans(f"auth key {p} end", [])]
 
 
+def test_novel_strings_beside_many_others():
+    value = "q9Xv2LmZ7RtB4KcW8NdY3HsF6GjP1TaE"
+    known = [(i, 2, i + 10 if i else 100) for i in range(0, 5000, 20)]
+    for at, want in ((30, []), (5010, [(5017, 3, 5017 + len(value))])):
+        text = " " * at + "secret " + value
+        assert [s[:3] for s in secret_scan.novel_spans(text, known)] == want
+    many = " ".join(f"token={i:032x}" for i in range(20000)) + " secret " + value
+    assert [s[:3] for s in secret_scan.novel_spans(many, secret_scan.base_spans(many))][-1][2] == len(many)
+
+
 def test_secret_query_matches_plain_scan(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
@@ -186,6 +197,18 @@ def test_quality_query_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
 
 
+def test_the_fitted_sample_is_bounded_by_rows(spark, monkeypatch):
+    rows = [(1, f"text {i} of an id with very many rows") for i in range(3000)] + [(i, f"another text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    seen, learn = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or learn(x, y))
+    quality.train(docs, labels, 500)
+    quality.train(docs.filter("doc_id > 1"), labels, 500)
+    held_out = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(2, 60))
+    assert seen == [500, 58 - held_out]
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality long")
     forest = quality.train(odd, labels)
@@ -244,6 +267,37 @@ def test_names_of_noise_are_no_proof_alone():
     assert html_text.main_text(f"<div class=post><h1>T</h1>{long}{talk}</div>") == f"T\n{whole}"
 
 
+def test_layouts_around_an_article():
+    long = "".join(f"<p>Paragraph {i}, with commas, and words, enough of them.</p>" for i in range(8))
+    whole = "\n".join(f"Paragraph {i}, with commas, and words, enough of them." for i in range(8))
+    text = html_text.main_text
+    assert text(f"<main><h1>Title</h1><div>By A</div><article>{long}</article></main>") == f"Title\nBy A\n{whole}"
+    assert text(f"<main><h1>Title</h1><div><article>{long}</article></div></main><div>Imprint of the page</div>") == f"Title\n{whole}"
+    assert text(f"<main><article>{long}</article><article><p>Second, short.</p></article></main>") == f"{whole}\nSecond, short."
+    assert text(f"<div>Some site</div><article>{long}</article><article><p>Second, short.</p></article><div>All of it</div>") == f"{whole}\nSecond, short."
+    assert text(f"<div id=content><article>{long}</article><section>rest</section><ul><li><a href=x>Next</a></ul></div>") == f"{whole}\nrest"
+    assert text(f"<article>{long}<ol class=commentlist><li>Nice, nice, nice</ol><ol id='commentList'><li>Nice</ol></article>") == whole
+    assert text(f"<div class=post>{long}<div class=foot>All rights</div><div class='legal'>Terms, of, use</div></div>") == whole
+    lead = "<header><h1>T</h1><p class=lead>The lead</p><p>By X</p><p>A whole sentence that says what the article is about.</p></header>"
+    assert text(f"<article>{lead}{long}</article>") == f"T\nThe lead\nA whole sentence that says what the article is about.\n{whole}"
+    assert text(f"<header>{lead[8:-9]}</header><article>{long}</article>") == whole
+    menu = "<a href=a>Home</a> <a href=b>More</a>"
+    assert text(f"<table><tr><td>{menu}</td><td>{long}</td></tr></table>") == whole
+    assert text(f"<table><tr><td>{menu}</td><td>The text, with commas, as it is.</td></tr></table>") == "The text, with commas, as it is."
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<!" * 500_000, "<a" * 500_000, '<a "x' * 250_000, "<a \"x'" * 200_000 + "'>'", "<script>" + "</script " * 110_000, "<p " + "class " * 160_000 + ">",
+    "<span>" * 150_000, "<span><p>x, y</p>" * 60_000, "<span>" * 80_000 + "</b>" * 120_000, "<ul><li>" * 120_000, "<div class=ad><div>" * 50_000 + "<p>x, y</p>",
+], ids=range(12))
+def test_malformed_megabytes_end(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 15
+
+
 def test_main_text_query(spark, sf):
     import html
 
