@@ -16,6 +16,7 @@ from stylematch.session import scratch_path
 from stylematch.sources import tables as maintenance
 from stylematch.sources.delimited import column_named, tidy_header
 from stylematch.sources.stored import StoredTable
+from stylematch.sources.text_index import TextIndex
 from stylematch.workload.registry import query
 from stylematch.workload.scoring import PEOPLE
 from stylematch.workload.tables import (
@@ -198,6 +199,34 @@ def search_all_terms(spark, sf):
     return filters.search_terms(derived(spark, sf, "items"), "GEAR #1", ["name", "brand"]).select("item_id", "name", "brand")
 
 
+def _indexed_items(spark, sf):
+    items = derived(spark, sf, "items")
+    return items, TextIndex.create(items, scratch_path(spark, "item-index"), "item_id", ["name", "brand"], 16)
+
+
+@query(
+    "indexed_search_items", "P15", tables="items",
+    sql="""SELECT item_id, name, brand FROM items WHERE contains(lower(name), 'red w') OR contains(lower(brand), 'red w')
+    OR contains(lower(brand), 'redw') ORDER BY item_id LIMIT 20""",
+)
+def indexed_search_items(spark, sf):
+    """Name or brand search by trigram postings, first 20 by id."""
+    items, index = _indexed_items(spark, sf)
+    return index.search_items(items, " Red W").select("item_id", "name", "brand")
+
+
+@query(
+    "indexed_search_all_terms", "P16", tables="items",
+    sql="""SELECT item_id, name, brand FROM items
+    WHERE (contains(lower(name), 'gear') OR contains(lower(brand), 'gear'))
+      AND (contains(lower(name), '#1') OR contains(lower(brand), '#1'))""",
+)
+def indexed_search_all_terms(spark, sf):
+    """Every term in name or brand, by the postings of the terms that have trigrams."""
+    items, index = _indexed_items(spark, sf)
+    return index.search_terms(items, "GEAR #1", ["name", "brand"]).select("item_id", "name", "brand")
+
+
 @query(
     "facets", "P17", tables="tops",
     sql="""
