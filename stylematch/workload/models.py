@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from stylematch import vocab
 from stylematch.operators.aggregates import value_counts
 from stylematch.operators.joins import enrich_outfits
-from stylematch.plans import clusters, features, styles, synthetic
-from stylematch.session import stage
+from stylematch.plans import clusters, features, stored_models, styles, synthetic
+from stylematch.session import scratch_path, stage
 from stylematch.workload.registry import query
 from stylematch.workload.tables import add_derived, derived, families, table
 
@@ -205,11 +205,14 @@ def one_piece_style_report(spark, sf):
 
 @query("predicted_user_styles", "M15 J1 M12")
 def predicted_user_styles(spark, sf):
-    """Style of every user from the model of its outfit shape."""
+    """Style of every user from the stored model of its outfit shape."""
     users = derived(spark, sf, "users").drop("user_style")
     tops, dresses = derived(spark, sf, "tops"), derived(spark, sf, "dresses")
     wide = enrich_outfits(users, tops, dresses, {"dress": ["dress_sleeve_length"]})
-    return styles.predict_outfits(wide, _two_piece(spark, sf)[0], _one_piece(spark, sf)[0])
+    folder = scratch_path(spark, "style-models")
+    for name, fitted in (("two-piece", _two_piece), ("one-piece", _one_piece)):
+        stored_models.save_style_model(fitted(spark, sf)[0], f"{folder}/{name}")
+    return styles.predict_outfits(wide, *[stored_models.load_style_model(spark, f"{folder}/{name}") for name in ("two-piece", "one-piece")])
 
 
 @query("stacked_style_report", "M18")

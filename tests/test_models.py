@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from stylematch.operators import encode
-from stylematch.plans import clusters, features, styles, synthetic
+from stylematch.plans import clusters, features, stored_models, styles, synthetic
 
 
 @pytest.fixture(scope="module")
@@ -148,7 +148,7 @@ def test_soft_vote_first_class_wins_ties(spark):
     assert [r["c"] for r in out] == [0, 1]
 
 
-def test_style_model_learns_a_rule(spark):
+def test_style_model_learns_a_rule_and_is_stored(spark, tmp_path):
     colours, fits = ["화이트", "블랙", "레드"], ["루즈", "노멀", None]
     data = [
         (i, "ab"[i % 3 == 0], colours[i % 3], "셔츠", "긴팔", "면", "무지", fits[i % 3], "x", "롱", "팬츠", "블랙", "면", "노멀", "x")
@@ -163,6 +163,19 @@ def test_style_model_learns_a_rule(spark):
     model = styles.train_style_model(train, styles.TWO_PIECE, trees=5, rounds=2)
     scored = model.predict(test)
     assert scored.filter("style = predicted_style").count() == 36
+
+    folder = str(tmp_path / "models")
+    with pytest.raises(ValueError):
+        stored_models.load_style_model(spark, folder)
+    assert [stored_models.save_style_model(model, folder) for _ in range(2)] == [1, 2]
+    # a save that was cut short is no version, and its folder is not written again
+    spark.range(1).write.parquet(f"{folder}/3/codes")
+    for version in (None, 1):
+        loaded = stored_models.load_style_model(spark, folder, version)
+        assert sorted(loaded.predict(test).select("id", "probability", "predicted_style").collect()) == sorted(scored.select("id", "probability", "predicted_style").collect())
+    with pytest.raises(ValueError):
+        stored_models.load_style_model(spark, folder, 3)
+    assert stored_models.save_style_model(model, folder) == 4
     unseen = test.withColumn("top_color", F.lit("never seen"))
     assert model.predict(unseen).filter("predicted_style IS NULL").count() == 0
 
