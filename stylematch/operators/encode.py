@@ -12,6 +12,9 @@ from stylematch.operators.joins import salted_join
 from stylematch.operators.ordered import rank_in_group
 from stylematch.session import stage
 
+#: Draws of one run when rows are drawn with replacement.
+DRAWS = 10_000
+
 
 def list_like_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, list_like): does any value look like a list (``[...]`` or a comma)?"""
@@ -121,3 +124,24 @@ def oversample(df: DataFrame, label: str, targets: Mapping[str, int], row_id: st
     repeated = grown.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     untouched = df.join(short.select(label), label, "left_anti")
     return untouched.unionByName(repeated.select(*df.columns))
+
+
+def oversample_drawn(df: DataFrame, label: str, targets: Mapping[str, int], row_id: str, seed: int = 42) -> DataFrame:
+    """Grow the named classes to exactly their target counts by draws with replacement; every row also stays once.
+
+    Draw i of a class of n rows takes the row at place hash(class, i, seed) mod n in the order of the unique ``row_id``,
+    so reruns agree whatever the partitions. Draws are made in runs of ``DRAWS`` and counted per row and run before
+    they meet the rows, and rows are numbered by ranges: no class is one task, and no row carries a long list of copies.
+    """
+    pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(int(v)).cast("long"))]
+    target = F.try_element_at(F.create_map(*pairs), F.col(label))
+    counts = df.filter(F.col(label).isin(list(targets))).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    short = stage(counts.withColumn("_more", target - F.col("_n")).filter("_more > 0"), "short")
+    runs = short.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_more") - 1) / DRAWS))))
+    first = F.col("_run") * DRAWS
+    draws = runs.repartition(label, "_run").withColumn("_draw", F.explode(F.sequence(first, F.least(first + DRAWS, F.col("_more")) - 1)))
+    place = F.pmod(F.xxhash64(label, "_draw", F.lit(seed)), F.col("_n")).cast("int")
+    drawn = draws.withColumn("_place", place).groupBy(label, "_place", "_run").agg(F.count(F.lit(1)).cast("int").alias("_draws"))
+    placed = rank_in_group(df.join(short.select(label), label, "left_semi"), label, row_id, "_place")
+    repeated = placed.join(drawn, [label, "_place"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
+    return df.unionByName(repeated.select(*df.columns))

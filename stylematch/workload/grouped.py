@@ -439,3 +439,14 @@ def oversampled_sizes(spark, sf):
     """Two named classes grown to 800 rows, every original row kept."""
     grown = encode.oversample(derived(spark, sf, "tops"), "style", {"아방가르드": 800, "젠더리스": 800}, "id")
     return grown.groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_rows"))
+
+
+@query(
+    "oversampled_with_replacement", "M11", tables="tops",
+    sql="""SELECT style, CASE style WHEN '아방가르드' THEN greatest(count(*), 2500) WHEN '젠더리스' THEN greatest(count(*), 2500) ELSE count(*) END AS n,
+    count(DISTINCT id) AS n_rows FROM tops GROUP BY style""",
+)
+def oversampled_with_replacement(spark, sf):
+    """Two named classes grown to 2,500 rows by draws with replacement, every original row kept."""
+    grown = encode.oversample_drawn(derived(spark, sf, "tops"), "style", {"아방가르드": 2500, "젠더리스": 2500}, "id")
+    return grown.groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_rows"))

@@ -278,6 +278,21 @@ def test_oversampling_counts(spark):
     assert counts == {"a": (20, 7), "b": (30, 30), "c": (1, 1)}
 
 
+def test_draws_with_replacement(spark, monkeypatch):
+    monkeypatch.setattr(encode, "DRAWS", 7)
+    data = [(i, "a") for i in range(7)] + [(100 + i, "b") for i in range(30)] + [(200, "c"), (300, None), (301, "one")]
+    df = spark.createDataFrame(data, "id int, y string")
+    out = encode.oversample_drawn(df, "y", {"a": 40, "b": 20, "one": 25, "absent": 9}, "id").groupBy("y", "id").agg(F.count("*").alias("n")).collect()
+    sizes = {}
+    for r in out:
+        sizes.setdefault(r["y"], []).append(r["n"])
+    assert {y: (sum(n), len(n)) for y, n in sizes.items()} == {"a": (40, 7), "b": (30, 30), "c": (1, 1), None: (1, 1), "one": (25, 1)}
+    assert len(set(sizes["a"])) > 1
+    again = encode.oversample_drawn(df.repartition(3), "y", {"a": 40, "b": 20, "one": 25}, "id").groupBy("y", "id").agg(F.count("*").alias("n")).collect()
+    assert set(again) == set(out)
+    assert encode.oversample_drawn(df.limit(0), "y", {"a": 4}, "id").count() == 0
+
+
 def test_ordinal_codes_unknown_is_minus_one(spark):
     train = spark.createDataFrame([("b",), ("a",), (None,)], "x string")
     test = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, x string")
