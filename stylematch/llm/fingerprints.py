@@ -107,37 +107,49 @@ def _describe(seen: list[tuple[int, bool, int, str]]) -> pa.RecordBatch:
     ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 100_000) -> DataFrame:
     """Fingerprint of every whole text and of its edited text, and the likeness to that and to the next document.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document
     by descending id; after the last comes the first. A null or empty text counts as empty. Null ids come last; rows
-    that repeat an id go by text. A single row is its own next. An empty table gives an empty result. Other columns
-    are not read.
+    that repeat an id go by text, those of an id that fills several ranges by a hash of the text first. A single row is
+    its own next. An empty table gives an empty result. Other columns are not read.
 
-    The ids are cut into ranges at quantiles, as many as there are shuffle partitions. Texts move once, to their
-    range; the first row of a range is copied to the range before it, so every row meets its next one while the range
-    is read in order, and only one row is carried along.
+    The ids are cut into ranges at quantiles, a range per ``range_rows`` rows but at least as many as there are shuffle
+    partitions. An id that several cuts fall on is spread over their ranges by the hash of its texts, so only equal rows
+    must stay together. Texts move once, each range to a task of its own; the first row of a range is copied to the range before
+    it, so every row meets its next one while the range is read in order, and only one row is carried along.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(low)))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // range_rows))
     cuts = keyed.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = np.array(sorted({int(c) for c in cuts}), dtype=np.int64)
+    cuts = np.array(sorted(int(c) for c in cuts), dtype=np.int64)
+    keys, times = np.unique(cuts, return_counts=True)
+    hot = [int(k) for k in keys[times > 1]]
+    # texts are read for their hash only where an id needs it
+    tie = F.when(F.col("key").isin(hot), F.xxhash64("text")).otherwise(F.lit(0)) if hot else F.lit(0)
+    keyed = keyed.withColumn("tie", tie.cast("long"))
 
     @F.pandas_udf("int")
-    def part(key):
-        return pd.Series((len(cuts) - np.searchsorted(cuts, key.to_numpy(), side="left")).astype(np.int32))
-
-    heads = keyed.select(part("key").alias("part"), "key").groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    first = [r["key"] for r in heads]
-    before = {key: heads[i - 1]["part"] for i, key in enumerate(first)}
-
-    table = spark.createDataFrame([(k, p) for k, p in before.items()], "head long, to int")
-    own = keyed.select(part("key").alias("part"), F.lit(False).alias("copy"), "doc_id", "text", "key")
-    copies = keyed.join(F.broadcast(table), keyed["key"] == table["head"]).select(F.col("to").alias("part"), F.lit(True).alias("copy"), "doc_id", "text", "key")
-    dealt = own.unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("key"), "text")
+    def part(key, tie):
+        k = key.to_numpy()
+        left, right = np.searchsorted(cuts, k, side="left"), np.searchsorted(cuts, k, side="right")
+        share = (tie.to_numpy().astype(np.float64) + 2.0 ** 63) / 2.0 ** 64
+        width = np.maximum(right - left, 1)
+        return pd.Series((len(cuts) - left - width + 1 + np.minimum((share * width).astype(np.int64), width - 1)).astype(np.int32))
+
+    heads = keyed.select(part("key", "tie").alias("part"), "key", "tie").groupBy("part")
+    heads = heads.agg(F.max(F.struct("key", F.bitwise_not("tie").alias("tie"))).alias("head")).orderBy("part").collect()
+    before = [(h["head"]["key"], ~h["head"]["tie"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
+
+    # a row of three numbers per range
+    table = spark.createDataFrame(before, "head long, head_tie long, to int")
+    own = keyed.select(part("key", "tie").alias("part"), F.lit(False).alias("copy"), "doc_id", "text", "key", "tie")
+    copies = keyed.join(F.broadcast(table), (F.col("key") == F.col("head")) & (F.col("tie") == F.col("head_tie")))
+    copies = copies.select(F.col("to").alias("part"), F.lit(True).alias("copy"), "doc_id", "text", "key", "tie")
+    dealt = own.unionByName(copies).repartitionById(n, F.col("part")).sortWithinPartitions("part", "copy", F.desc("key"), "tie", "text")
     return dealt.select("part", "copy", "doc_id", "text").mapInArrow(
         _edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -154,6 +154,24 @@ def test_fingerprint_query_matches_plain_edit(spark, sf):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+@pytest.mark.parametrize("hot", [None, 7, 5000])
+def test_fingerprints_with_an_id_on_half_of_the_rows(spark, hot):
+    from pyspark.sql import functions as F
+
+    data = [(hot if i % 2 else i, f"text {i % 1500} of a row, {'word ' * (i % 5)}") for i in range(4000)] + [(hot, "")] * 20
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = fingerprints.fingerprint_edits(docs, range_rows=200)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(data) and max(sizes) < 700
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    order = [tuple(r) for r in docs.orderBy(key.desc(), F.when(key == (-(1 << 63) if hot is None else hot), F.xxhash64("text")).otherwise(0), "text").collect()]
+    want = []
+    for (doc_id, text), (_, other) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        want.append((str(doc_id), hashlib.sha256((text[:len(text) - half] + other[:half]).encode()).hexdigest()))
+    assert sorted(want) == sorted((str(r.doc_id), r.edited_sha256) for r in out.collect())
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     rows = fingerprints.fingerprint_edits(odd).collect()
     assert len(rows) == len(ODD)
