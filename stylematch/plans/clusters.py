@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from stylematch.operators.joins import salted_join
 from stylematch.operators.ordered import rank_in_group
 from stylematch.operators.ranking import top_k
-from stylematch.session import stage
+from stylematch.session import shuffle_width, stage
 
 # the functions below run in Python workers that do not have this package installed
 register_pickle_by_value(sys.modules[__name__])
@@ -39,47 +40,58 @@ class Prototypes:
 
     def distances(self, rows: Vectors) -> np.ndarray:
         """Rows x k: squared distance plus gamma for another category."""
-        squared = rows.squares()[:, None] - 2 * rows.dot(self.centres) + (self.centres**2).sum(axis=1)[None, :]
-        other = rows.category[:, None] != np.array(self.categories, dtype=object)[None, :]
+        squared = rows.squares[:, None] - 2 * rows.dot(self.centres) + (self.centres**2).sum(axis=1)[None, :]
+        other = rows.codes[:, None] != rows.names.get_indexer(self.categories)[None, :]
         return np.maximum(squared, 0) + self.gamma * other
 
 
 @dataclass
 class Vectors:
-    """Rows in sparse form: row i has ``values`` at ``places`` from bounds[i] to bounds[i + 1]."""
+    """Rows of a batch: a dense matrix, or in sparse form, where row i has ``values`` at ``places`` from bounds[i] to
+    bounds[i + 1]; row i has the category names[codes[i]]."""
 
-    bounds: np.ndarray
-    places: np.ndarray
-    values: np.ndarray
-    category: np.ndarray
+    codes: np.ndarray
+    names: pd.Index
+    dense: np.ndarray | None = None
+    bounds: np.ndarray | None = None
+    places: np.ndarray | None = None
+    values: np.ndarray | None = None
 
     @classmethod
     def of(cls, frame: pd.DataFrame) -> Vectors:
-        category = frame["category"].to_numpy(dtype=object)
+        codes, names = pd.factorize(frame["category"].to_numpy(dtype=object))
+        own = codes, pd.Index(names, dtype=object)
         if "vector" in frame:
-            dense = np.stack(frame["vector"].to_numpy()).astype(float)
-            row, places = np.nonzero(dense)
-            return cls(np.searchsorted(row, np.arange(len(dense) + 1)), places, dense[row, places], category)
+            return cls(*own, np.stack(frame["vector"].to_numpy()).astype(float))
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in frame["indices"]])])
         joined = [np.concatenate([np.asarray(x, dtype=kind) for x in frame[c]]) if bounds[-1] else np.zeros(0, kind) for c, kind in (("indices", np.int64), ("values", float))]
-        return cls(bounds, *joined, category)
+        return cls(*own, None, bounds, *joined)
 
+    @cached_property
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.category)), np.diff(self.bounds))
+        return np.repeat(np.arange(len(self.codes)), np.diff(self.bounds))
 
+    @cached_property
     def squares(self) -> np.ndarray:
-        return np.bincount(self.rows(), weights=self.values**2, minlength=len(self.category))
+        if self.dense is not None:
+            return (self.dense**2).sum(axis=1)
+        return np.bincount(self.rows, weights=self.values**2, minlength=len(self.codes))
 
     def dot(self, centres: np.ndarray) -> np.ndarray:
         """Rows x centres; the work grows with the entries, not with the width."""
-        at = self.rows()
-        return np.stack([np.bincount(at, weights=self.values * c[self.places], minlength=len(self.category)) for c in centres], axis=1)
+        if self.dense is not None:
+            return self.dense @ centres.T
+        return np.stack([np.bincount(self.rows, weights=self.values * c[self.places], minlength=len(self.codes)) for c in centres], axis=1)
 
-    def sums(self, label: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cluster, place, sum) of the entries of each cluster, where there are any."""
-        key = label[self.rows()] * width + self.places
-        found, inverse = np.unique(key, return_inverse=True)
-        return found // width, found % width, np.bincount(inverse, weights=self.values, minlength=len(found))
+    def add_sums(self, label: np.ndarray, totals: np.ndarray) -> None:
+        """Add the entries of every row to the row of ``totals`` that its label names."""
+        if self.dense is not None:
+            order = np.argsort(label, kind="stable")
+            own, first = np.unique(label[order], return_index=True)
+            totals[own] += np.add.reduceat(self.dense[order], first, axis=0)
+        else:
+            found, inverse = np.unique(label[self.rows] * totals.shape[1] + self.places, return_inverse=True)
+            totals.reshape(-1)[found] += np.bincount(inverse, weights=self.values, minlength=len(found))
 
 
 def vector_rows(df: DataFrame, row_id: str, vector: str, category: str) -> DataFrame:
@@ -183,7 +195,7 @@ def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int, starts:
             raise ValueError(f"only {len(taken)} distinct rows for {need} clusters")
         centres = np.zeros((need, len(spread[0])))
         for j, v in enumerate(taken.values()):
-            centres[j, v.places] = v.values
+            centres[j] = v.dense[0] if v.dense is not None else np.bincount(v.places, weights=v.values, minlength=centres.shape[1])
         for k in ks:
             out[k, start] = Prototypes(k, centres[:k].copy(), [key[-1] for key in taken][:k], gamma)
     return out
@@ -198,25 +210,31 @@ def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> pd.DataFrame:
     are not zero, and the most frequent category."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros(m.centres.shape) for m in models]
+        totals = [{what: np.zeros(m.k) for what in (_SIZE, _COST, _SQUARES)} for m in models]
         for frame in frames:
             if frame.empty:
                 continue
             x = Vectors.of(frame)
-            squares = x.squares()
+            counted = []
             for number, model in enumerate(models):
                 distance = model.distances(x)
                 label = distance.argmin(axis=1)
+                x.add_sums(label, sums[number])
                 best = distance[np.arange(len(label)), label]
-                cluster, place, value = x.sums(label, model.centres.shape[1])
-                totals = [(cluster, place, None, value)]
-                own = np.unique(label)
-                for what, amount in ((_SIZE, np.ones(len(label))), (_COST, best), (_SQUARES, squares)):
-                    totals.append((own, what, None, np.bincount(label, weights=amount, minlength=model.k)[own]))
-                for j in own:
-                    names, counts = np.unique(x.category[label == j].astype(str), return_counts=True)
-                    totals.append((j, _CATEGORY, names, counts))
-                for cluster, place, category, value in totals:
-                    yield pd.DataFrame({"cluster": cluster, "place": place, "category": category, "value": np.asarray(value, dtype=float)}, index=range(len(value))).assign(model=number)
+                for what, amount in ((_SIZE, None), (_COST, best), (_SQUARES, x.squares)):
+                    totals[number][what] += np.bincount(label, weights=amount, minlength=model.k)
+                key, count = np.unique(label * len(x.names) + x.codes, return_counts=True)
+                counted.append((np.full(len(key), number), key // len(x.names), key % len(x.names), count))
+            number, cluster, code, count = (np.concatenate(c) for c in zip(*counted))
+            yield pd.DataFrame({"cluster": cluster, "place": _CATEGORY, "category": x.names.to_numpy()[code], "value": count.astype(float), "model": number})
+        for number, model in enumerate(models):
+            cluster, place = np.nonzero(sums[number])
+            parts = [(cluster, place, sums[number][cluster, place])]
+            held = np.flatnonzero(totals[number][_SIZE])
+            parts += [(held, np.full(len(held), what), total[held]) for what, total in totals[number].items()]
+            cluster, place, value = (np.concatenate(c) for c in zip(*parts))
+            yield pd.DataFrame({"cluster": cluster, "place": place, "category": None, "value": value, "model": number})
 
     parts = rows.select(*_parts(rows), "category").mapInPandas(partial, "cluster int, place int, category string, value double, model int")
     # by key, so that no task holds all parts of a cluster
@@ -246,12 +264,21 @@ def _updated(model: Prototypes, sums: pd.DataFrame) -> Prototypes:
 def fit(
     rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300, gamma: float | None = None, starts: int = 3
 ) -> dict[int, Prototypes]:
-    """Centres for every k, run until they no longer move; an error if ``rounds`` passes are not enough for that.
+    """Centres for every k, run until they no longer move.
 
-    Each k is started ``starts`` times, all in the same passes; the one with the least cost is returned. The centres are
-    dense, k x terms numbers per start in the driver and in each task; rows and sums hold entries only.
+    It is an error if ``rounds`` passes are not enough. Each k is started ``starts`` times, all in the same
+    passes; the one with the least cost is returned. The centres are dense, k x terms numbers per start in the driver and
+    the sums as many in each task; rows and the sums that leave a task hold entries only. The rows are dealt over all
+    tasks first: a small table of vectors is one file and would keep one task busy.
     """
-    rows = stage(rows, "vectors")
+    rows = stage(rows.repartition(shuffle_width(rows.sparkSession)), "vectors").persist()
+    try:
+        return _fitted(rows, ks, seed, rounds, gamma, starts)
+    finally:
+        rows.unpersist()
+
+
+def _fitted(rows: DataFrame, ks: Sequence[int], seed: int, rounds: int, gamma: float | None, starts: int) -> dict[int, Prototypes]:
     spread = spreads(rows)
     if gamma is None:
         gamma = 0.5 * float(spread[1].mean()) if len(spread[1]) else 0.0
@@ -306,7 +333,7 @@ def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300)
             if frame.empty:
                 continue
             x = Vectors.of(frame)
-            count += len(x.category)
+            count += len(x.codes)
             for model, stat in zip(final, stats):
                 own = model.distances(x).argmin(axis=1)
                 totals[model.k] += float(_silhouettes(x, own, stat).sum())
@@ -320,7 +347,7 @@ def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300)
 def _silhouettes(x: Vectors, own: np.ndarray, stat: Prototypes) -> np.ndarray:
     filled = stat.sizes > 0
     sizes = np.where(filled, stat.sizes, 1)
-    mean = x.squares()[:, None] + (stat.squares / sizes)[None, :] - 2 * x.dot(stat.centres)
+    mean = x.squares[:, None] + (stat.squares / sizes)[None, :] - 2 * x.dot(stat.centres)
     mean = np.where(filled[None, :], mean, np.inf)
     at = np.arange(len(own))
     n_own = stat.sizes[own]

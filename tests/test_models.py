@@ -53,6 +53,18 @@ def test_unfinished_clustering_is_an_error(rows):
         clusters.fit(rows, [4], rounds=1)
 
 
+def test_one_file_of_vectors_is_dealt_over_the_tasks(rows, monkeypatch):
+    real, dealt = clusters.stage, []
+
+    def watched(df, label):
+        dealt.append(df.rdd.getNumPartitions())
+        return real(df, label)
+
+    monkeypatch.setattr(clusters, "stage", watched)
+    model = clusters.fit(rows.coalesce(1), [4])[4]
+    assert dealt == [4] and model.sizes.sum() == 160
+
+
 def test_too_few_rows_for_the_clusters(rows):
     with pytest.raises(ValueError):
         clusters.fit(rows.limit(3), [5])
