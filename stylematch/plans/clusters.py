@@ -6,6 +6,7 @@ sums per cluster. A sweep runs all its k in the same pass. The plan of a round n
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -262,11 +263,12 @@ def _updated(model: Prototypes, sums: pd.DataFrame) -> Prototypes:
 
 
 def fit(
-    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300, gamma: float | None = None, starts: int = 3
+    rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int | None = None, gamma: float | None = None, starts: int = 3
 ) -> dict[int, Prototypes]:
-    """Centres for every k, run until they no longer move.
+    """Centres for every k, run until they no longer move or the cost no longer falls.
 
-    It is an error if ``rounds`` passes are not enough. Each k is started ``starts`` times, all in the same
+    The rounds that takes grow with the rows. The cost falls in every round but the last, so that there is a last one;
+    with ``rounds`` it is an error if that many passes are not enough. Each k is started ``starts`` times, all in the same
     passes; the one with the least cost is returned. The centres are dense, k x terms numbers per start in the driver and
     the sums as many in each task; rows and the sums that leave a task hold entries only. The rows are dealt over all
     tasks first: a small table of vectors is one file and would keep one task busy.
@@ -278,18 +280,20 @@ def fit(
         rows.unpersist()
 
 
-def _fitted(rows: DataFrame, ks: Sequence[int], seed: int, rounds: int, gamma: float | None, starts: int) -> dict[int, Prototypes]:
+def _fitted(rows: DataFrame, ks: Sequence[int], seed: int, rounds: int | None, gamma: float | None, starts: int) -> dict[int, Prototypes]:
     spread = spreads(rows)
     if gamma is None:
         gamma = 0.5 * float(spread[1].mean()) if len(spread[1]) else 0.0
     models = _start(rows, ks, gamma, seed, starts, spread)
     active = set(models)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         order = sorted(active)
         sums = dict(iter(_sums(rows, [models[m] for m in order]).groupby("model")))
         for number, m in enumerate(order):
             after = _updated(models[m], sums[number])
-            if np.allclose(after.centres, models[m].centres) and after.categories == models[m].categories:
+            if not np.isfinite(after.cost):
+                raise ValueError(f"the cost for k = {m[0]} is {after.cost}: the vectors hold numbers that have no distances")
+            if np.allclose(after.centres, models[m].centres) and after.categories == models[m].categories or after.cost >= models[m].cost:
                 active.discard(m)
             models[m] = after
         if not active:
@@ -315,7 +319,7 @@ def assign(rows: DataFrame, model: Prototypes) -> DataFrame:
     return rows.mapInPandas(label, f"row_id {kind}, category string, cluster int, distance double")
 
 
-def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int = 300) -> list[tuple[int, float, float]]:
+def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, rounds: int | None = None) -> list[tuple[int, float, float]]:
     """(k, cost, silhouette of the numeric part) for every k.
 
     The silhouette uses squared distances, which makes the mean distance to a cluster a function of the cluster's

@@ -1,4 +1,7 @@
+import dataclasses
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -53,6 +56,22 @@ def test_unfinished_clustering_is_an_error(rows):
         clusters.fit(rows, [4], rounds=1)
 
 
+def test_only_the_cost_ends_the_rounds(rows, monkeypatch):
+    def moved(model, sums):
+        cost = 1 / min(len(model.costs) + 1, 400)
+        return dataclasses.replace(model, centres=model.centres + 1, cost=cost, costs=[*model.costs, cost])
+
+    monkeypatch.setattr(clusters, "_sums", lambda rows, models: pd.DataFrame({"model": range(len(models))}))
+    monkeypatch.setattr(clusters, "_updated", moved)
+    assert len(clusters.fit(rows, [4])[4].costs) == 401
+
+
+def test_vectors_without_distances_are_an_error(spark):
+    odd = spark.range(9).selectExpr("id", "array(double(id), IF(id = 4, double('NaN'), 1D)) AS v", "'a' AS cat")
+    with pytest.raises(ValueError):
+        clusters.fit(clusters.vector_rows(odd, "id", "v", "cat"), [2])
+
+
 def test_one_file_of_vectors_is_dealt_over_the_tasks(rows, monkeypatch):
     real, dealt = clusters.stage, []
 
