@@ -132,6 +132,16 @@ def test_common_length_matches_the_table():
         assert decontaminate.common_length(a, b) == table[-1][-1]
 
 
+def test_row_sums_match_a_loop():
+    rng = np.random.default_rng(3)
+    values, row = rng.standard_normal((40, 6)), np.sort(rng.integers(0, 30, 200))
+    number = rng.integers(0, 40, 200)
+    wanted = np.zeros((31, 6))
+    np.add.at(wanted, row, values[number])
+    assert np.allclose(decontaminate.row_sums(values, number, row, 31), wanted)
+    assert not decontaminate.row_sums(values, number[:0], row[:0], 31).any()
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
