@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.functions.text import clean_key
-from stylematch.session import cut_lineage, stage
+from stylematch.session import cut_lineage, shuffle_width, stage
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -187,10 +187,17 @@ def distinct_items(df: DataFrame, user: str, item: str) -> DataFrame:
 
 
 def overlap_sizes(a: DataFrame, b: DataFrame, user: str, item: str) -> DataFrame:
-    """Per user of ``a``: sizes of both item sets and of their intersection."""
-    left, right = distinct_items(a, user, item), distinct_items(b, user, item)
-    sizes_a = left.groupBy(user).agg(F.count(F.lit(1)).alias("n_a"))
-    sizes_b = right.groupBy(user).agg(F.count(F.lit(1)).alias("n_b"))
-    common = left.join(right, [user, item]).groupBy(user).agg(F.count(F.lit(1)).alias("n_both"))
-    joined = sizes_a.join(sizes_b, user, "left").join(common, user, "left")
-    return joined.fillna(0, ["n_b", "n_both"])
+    """Per user of ``a``: sizes of both item sets and of their intersection.
+
+    The rows of both tables are dealt over all tasks by user and item before they are made distinct, once for all three
+    sizes: a task holds its share of the pairs, however few partitions the tables come in. A null equals no user or item
+    of the other table.
+    """
+    def marked(df: DataFrame, in_a: bool) -> DataFrame:
+        return df.select(F.col(user), F.col(item), F.lit(int(in_a)).alias("_a"), F.lit(int(not in_a)).alias("_b"))
+
+    rows = marked(a, True).unionByName(marked(b.filter(F.col(user).isNotNull()), False))
+    pairs = rows.repartition(shuffle_width(a.sparkSession), user, item).groupBy(user, item).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    both = F.when(F.col(item).isNotNull(), F.col("_a") * F.col("_b")).otherwise(0)
+    sizes = pairs.groupBy(user).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.sum(both).alias("n_both"))
+    return sizes.filter("n_a > 0")

@@ -298,3 +298,12 @@ def test_ordinal_codes_unknown_is_minus_one(spark):
     test = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, x string")
     coded = encode.ordinal_encode(test, ["x"], encode.ordinal_codes(train, ["x"]))
     assert pairs(coded, "id", "x") == [(1, 0), (2, 1), (3, -1), (4, -1)]
+
+
+def test_overlap_deals_the_rows_before_it_makes_them_distinct(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5), (3, None), (None, 7)], "u long, i long")
+    b = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (3, None), (4, 1), (None, 7)], "u long, i long")
+    found = aggregates.overlap_sizes(a.coalesce(1), b.coalesce(1), "u", "i")
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2, 1), (2, 1, 0, 0), (3, 1, 1, 0), (None, 1, 0, 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
