@@ -378,13 +378,14 @@ def newest_weights(weights: DataFrame) -> tuple[float, float, float]:
 
 def score_all_items(
     users: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame,
-    use_dislikes: bool = False, gate: DataFrame | None = None,
+    use_dislikes: bool = False, gate: DataFrame | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Raw scores of every item for a *small* set of users: the result itself has users x items rows.
 
-    Each (item, season) row meets the users of its season, so no item row is moved more than once per user.
+    Each (item, season) row meets the users of its season, so no item row is moved more than once per user. Users that
+    have their profile already are taken as they are; ``keep`` names further columns of users or items to return.
     """
-    profiled = user_profiles(users, clothes_colours, features if use_dislikes else None)
+    profiled = users if "profile" in users.columns else user_profiles(users, clothes_colours, features if use_dislikes else None)
     met = fanned_join(by_season(features), profiled, "season", "item_id")
     if use_dislikes:
         met = met.filter(~disliked(F.array(*ACCORDS), F.col("dislikes")))
@@ -395,10 +396,40 @@ def score_all_items(
     return met.select(
         "user_id", F.col("style").alias("user_style"), "item_id",
         F.coalesce("style_raw", F.lit(0.0)).alias("style_score"),
-        colour.alias("color_score"), F.col("share").alias("season_score"),
+        colour.alias("color_score"), F.col("share").alias("season_score"), *keep,
     )
 
 
+#: What of a profile and of an item each score depends on.
+PARTS = {"style_score": (["style"], ["family"]), "color_score": (["c0", "c1", "c2"], ["f0", "f1", "f2"]), "season_score": (["season"], SEASONS)}
+
+
+def score_parts(people: DataFrame, features: DataFrame, clothes_colours: DataFrame, style_scores: DataFrame, times: str) -> dict[str, DataFrame]:
+    """Per score its scaled values over all pairs of people and items as (score, n): n is for how many pairs a row stands.
+
+    Without dislikes and gate every user meets every item, and each score depends on a part of the profile and a part
+    of the item only. So users that share the one meet items that share the other once: styles meet families, outfit
+    colours meet item colours, seasons meet items. ``people`` has profiles and the weight ``times`` of each row. Scores
+    are scaled per user; an id with rows of several profiles is scaled over all of them and so keeps rows of its own.
+    """
+    own = ["style", "season", "c0", "c1", "c2"]
+    several = people.groupBy("user_id").agg(F.countDistinct("profile").alias("_n")).filter("_n > 1").select("user_id", F.lit(True).alias("_several"))
+    marked = stage(people.join(several, "user_id", "left"), "people")
+    out = {}
+    for name, (of_user, of_item) in PARTS.items():
+        alone = F.when(F.col("_several"), F.concat(F.lit("id"), F.col("user_id").cast("string")))
+        one = marked.withColumn("user_id", F.coalesce(alone, F.concat_ws(SEP, F.lit("all"), *of_user)))
+        one = one.groupBy("user_id", *of_user).agg(F.sum(times).alias("_users"), F.min("profile").alias("profile"), *[F.min(c).alias(c) for c in own if c not in of_user])
+        if of_item == SEASONS:
+            items = features.withColumn("_items", F.lit(1).cast("long"))
+        else:
+            rest = [c for c in features.columns if c not in of_item]
+            items = features.groupBy(*of_item).agg(F.count(F.lit(1)).alias("_items"), *[F.min(c).alias(c) for c in rest])
+        scaled = batch_scaled(score_all_items(one, items, clothes_colours, style_scores, keep=["_users", "_items"]))
+        out[name] = stage(scaled.select(name, (F.col("_users") * F.col("_items")).alias("n")), "scored")
+    return out
+
+
 def batch_scaled(raw: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Scaled scores of all rows: nulls to 0, min-max per user, smoothing, sum."""
     columns = ["style_score", "color_score", "season_score"]

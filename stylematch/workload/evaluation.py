@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylematch import vocab
@@ -215,11 +218,10 @@ def epsilon_histograms(spark, sf):
     users, colours = derived(spark, sf, "users"), clothes_colours(spark)
     profiled = score.user_profiles(users, colours)
     groups = stage(profiled.groupBy("profile").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("n_users")).drop("profile"), "groups")
-    raw = score.score_all_items(
-        users.join(groups.select("user_id"), "user_id", "left_semi"), feature_table(spark, sf, "null", "null"), colours, vocab.style_scores(spark, "points")
-    )
-    scores = stage(score.batch_scaled(raw).select("user_id", "item_id", *evaluate.SCORES), "scored")
-    return evaluate.epsilon_histograms(scores.join(groups, "user_id"), times="n_users")
+    times = groups.groupBy("user_id").agg(F.sum("n_users").alias("n_users"))
+    people = profiled.join(times, "user_id")
+    parts = score.score_parts(people, feature_table(spark, sf, "null", "null"), colours, vocab.style_scores(spark, "points"), "n_users")
+    return reduce(DataFrame.unionByName, [evaluate.epsilon_histograms(rows, [name], times="n") for name, rows in parts.items()])
 
 
 @query(

@@ -359,3 +359,18 @@ def item_tables(spark, items, colours):
         "seasons": spark.createDataFrame([(i, *v) for i, _, _, v in items], "item_id long, spring double, summer double, fall double, winter double"),
         "accords": spark.createDataFrame(list(colours.items()), "accord string, rgb array<int>"),
     }
+
+
+def test_scores_by_parts_count_all_pairs(spark, world):
+    items, users, f = world
+    table, styles = features(f, "null", "null"), vocab.style_scores(spark, "points")
+    # ids of one profile twice, and ids of two profiles, which are scaled over both
+    people = f["users"].unionByName(f["users"].filter("user_id < 4")).unionByName(f["users"].filter("user_id < 8").withColumn("user_id", F.col("user_id") + 20))
+    profiled = score.user_profiles(people, f["clothes"]).withColumn("n_users", F.col("user_id") % 3 + 1)
+    whole = score.batch_scaled(score.score_all_items(people, table, f["clothes"], styles)).withColumn("n_users", F.col("user_id") % 3 + 1)
+    parts = score.score_parts(profiled, table, f["clothes"], styles, "n_users")
+    for name, rows in parts.items():
+        want = {(r["column"], r["epsilon"], r["bin"]): r["n"] for r in evaluate.epsilon_histograms(whole, [name], times="n_users").collect()}
+        got = {(r["column"], r["epsilon"], r["bin"]): r["n"] for r in evaluate.epsilon_histograms(rows, [name], times="n").collect()}
+        assert got == want
+        assert rows.count() < whole.count()
