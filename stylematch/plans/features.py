@@ -11,23 +11,40 @@ from stylematch.operators.ranking import top_k
 from stylematch.session import cut_lineage, stage
 
 
+#: Rows of a vocabulary that may be copied to every task, and bytes of text that a task counts.
+COPIED_ROWS = 500_000
+TASK_BYTES = 8 << 20
+
+
+def _joined(rows: DataFrame, side: DataFrame, key: str, doc_id: str, counts: DataFrame | None = None) -> DataFrame:
+    """The rows with those of the staged ``side``: copied to every task while it is small, so that the rows stay by document."""
+    if side.count() <= COPIED_ROWS:
+        return rows.join(F.broadcast(side), key)
+    return salted_join(rows, side, key, doc_id, counts)
+
+
 def tf_idf(docs: DataFrame, doc_id: str, text: str, sep: str = ",", min_count: int = 25) -> DataFrame:
     """(doc_id, term, weight): L2-normalised tf * (ln((1+n)/(1+df)) + 1).
 
     Tokens are cut at ``sep`` without trimming and kept when they occur ``min_count`` times in total; kept tokens
-    are lowercased and split at blanks into terms. The vocabulary and the document counts are staged as tables, so
-    the joins know their sizes; frequent tokens get salts by their count, because a common token occurs in most
-    documents.
+    are lowercased and split at blanks into terms. That is done once in the vocabulary, whose terms are numbered, so the
+    occurrences are counted by number, within the task to which their document was dealt. A vocabulary of up to
+    ``COPIED_ROWS`` rows is copied to the tasks; beyond that, frequent tokens get salts by their count, because a common
+    token occurs in most documents.
     """
-    n_docs = docs.count()
-    token_rows = tokens(docs.select(doc_id, text), doc_id, text, sep)
-    frequent = stage(vocabulary(token_rows, min_count), "frequent")
-    kept = salted_join(token_rows, frequent.select("token"), "token", doc_id, frequent)
-    terms = kept.select(doc_id, F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term"))
-    tf = stage(terms.filter(F.col("term") != "").groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    df = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    idf = df.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    raw = salted_join(tf, idf, "term", doc_id, df.withColumnRenamed("df", "n"))
+    n_docs, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()
+    frequent = stage(vocabulary(tokens(docs.select(doc_id, text), doc_id, text, sep), min_count), "frequent")
+    cut = frequent.select("token", F.explode(F.split(F.lower("token"), r"[ \t\n\r\f]+")).alias("term")).filter(F.col("term") != "")
+    numbered = stage(cut.select("term").distinct().withColumn("place", F.monotonically_increasing_id()), "terms")
+    places = stage(cut.join(numbered, "term").groupBy("token").agg(F.collect_list("place").alias("places")), "places")
+
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = tokens(docs.select(doc_id, text).repartition(tasks, doc_id), doc_id, text, sep)
+    kept = _joined(dealt, places, "token", doc_id, frequent).select(doc_id, F.explode("places").alias("place"))
+    tf = stage(kept.groupBy(doc_id, "place").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    df = stage(tf.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "df")
+    idf = (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("n"))) + 1.0).alias("idf")
+    raw = _joined(tf, stage(df.join(numbered, "place").select("place", "term", idf), "idf"), "place", doc_id, df)
     raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", (F.col("w") / norm).alias("weight"))

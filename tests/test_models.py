@@ -103,6 +103,26 @@ def test_tf_idf_against_formula(spark):
     assert {r["term"] for r in kept.collect()} == {"rose"}
 
 
+def test_tf_idf_counts_by_number_with_small_and_large_vocabularies(spark, monkeypatch):
+    texts = [(1, "Sea,salt\nsea,sea salt,"), (2, "salt\nsea,Sea,x"), (2, "Sea"), (3, None), (None, "sea salt,Sea")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+
+    def weights():
+        return {(r["id"], r["term"]): round(r["weight"], 9) for r in features.tf_idf(docs, "id", "text", ",", 2).collect()}
+
+    # kept tokens: Sea (4), "salt\nsea" (2), "sea salt" (2), and the empty one, which has no terms
+    df = {"sea": 3, "salt": 3}
+    tf = {(1, "sea"): 3, (1, "salt"): 2, (2, "sea"): 3, (2, "salt"): 1, (None, "sea"): 2, (None, "salt"): 1}
+    raw = {k: n * (np.log(6 / (1 + df[k[1]])) + 1) for k, n in tf.items()}
+    want = {k: round(w / np.sqrt(sum(v * v for j, v in raw.items() if j[0] == k[0])), 9) for k, w in raw.items()}
+    copied, salted = [], features.salted_join
+    monkeypatch.setattr(features, "salted_join", lambda *a: copied.append(a) or salted(*a))
+    assert weights() == pytest.approx(want) and not copied
+    monkeypatch.setattr(features, "COPIED_ROWS", 0)
+    monkeypatch.setattr(features, "TASK_BYTES", 4)
+    assert weights() == pytest.approx(want) and len(copied) == 2
+
+
 def test_sparse_rows(spark):
     weights = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.25), (3, "c", 1.0)], "id int, term string, weight double")
     docs = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "id int, cat string")
