@@ -27,6 +27,8 @@ ONE_PIECE = [
     "dress_length", "dress_color", "dress_sleeve_length", "dress_material", "dress_print", "dress_neckline",
     "dress_fit", "dress_detail", "dress_sub_style",
 ]
+#: Rows that one part of a fitted table holds.
+TASK_ROWS = 20_000
 PAIRS = {"color_pair": ("top_color", "bottom_color"), "fit_pair": ("top_fit", "bottom_fit")}
 
 
@@ -134,11 +136,17 @@ def encoders(train: DataFrame, base: Sequence[str]) -> StyleModel:
 
 
 def coded_rows(model: StyleModel, rows: DataFrame) -> DataFrame:
-    """(id, features, y, weight) with softened class weights, written once because fitting reads it many times."""
+    """(id, features, y, weight) with softened class weights, written once because fitting reads it many times.
+
+    More than ``TASK_ROWS`` rows are dealt evenly first: every round of a fit is as slow as its largest part, and the
+    parts of the table follow the files that it was read from.
+    """
     weights = stage(class_weights(rows, "style").select("style", F.col("soft_weight").alias("weight")), "weights")
     y = model.labels.select(F.col("value").alias("style"), F.col("code").cast("double").alias("y"))
     coded = model.encode(rows).join(weights, "style").join(y, "style")
-    return stage(coded.select("id", "features", "y", "weight"), "coded")
+    coded = coded.select("id", "features", "y", "weight")
+    tasks = -(-rows.count() // TASK_ROWS)
+    return stage(coded.repartition(tasks, "id", "features") if tasks > 1 else coded, "coded")
 
 
 def train_style_model(train: DataFrame, base: Sequence[str], trees: int = 50, rounds: int = 20) -> StyleModel:

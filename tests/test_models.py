@@ -123,6 +123,14 @@ def test_tf_idf_counts_by_number_with_small_and_large_vocabularies(spark, monkey
     assert weights() == pytest.approx(want) and len(copied) == 2
 
 
+def test_fitted_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(styles, "TASK_ROWS", 100)
+    rows = spark.range(1000).coalesce(1).selectExpr("id", "concat('s', id % 2) AS style", "concat('a', id % 7) AS kind")
+    coded = styles.coded_rows(styles.encoders(rows, ["kind"]), rows)
+    parts = [r[0] for r in coded.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(parts) == 1000 and len(parts) == 10 and max(parts) < 200
+
+
 def test_sparse_rows(spark):
     weights = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.25), (3, "c", 1.0)], "id int, term string, weight double")
     docs = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "id int, cat string")
