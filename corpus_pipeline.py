@@ -42,7 +42,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_dedup.near_duplicates(docs)
     found = stage(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("lead"), F.count("*").alias("n")), "kept")
-    kept = docs.join(found.filter("doc_id = lead").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # every id is found: the texts meet the few that go, not the many that stay
+    kept = docs.filter("doc_id IS NOT NULL").join(found.filter("doc_id <> lead").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     if not found.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylematch.llm.rarity import by_rarity, rarity_table
+from stylematch.llm.rarity import by_rarity, rarity_table, sieved
 from stylematch.session import discard, release, stage
 
 #: Cells of the table that orders tokens by rarity: a byte each.
@@ -27,14 +27,15 @@ def _plain(text: Column) -> Column:
     return F.lower(F.when(odd, F.translate(text, _ODD_BLANKS, "    ")).otherwise(text))
 
 
-def _hashed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _split_lines(docs: DataFrame) -> DataFrame:
+    """(_id, _doc, line_no, line): the lines of each text, as ``_plain`` gives them."""
+    return docs.select("_id", "_doc", F.posexplode(F.split(_plain(F.col("_text")), "\n")).alias("line_no", "line"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(_id, _doc, line_no, tokens): the distinct hashed words of each line."""
-    rows = docs.select("_id", "_doc", F.posexplode(F.split(_plain(F.col("_text")), "\n")).alias("line_no", "line"))
-    return rows.select("_id", "_doc", "line_no", F.array_remove(F.array_distinct(_hashed(F.split("line", " "))), F.xxhash64(F.lit(""))).alias("tokens"))
+def _tokens(line: Column) -> Column:
+    """The distinct hashed words of a line."""
+    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
 def _rarity(docs: DataFrame, cells: int) -> Column:
@@ -51,13 +52,15 @@ def _parity(tokens: Column, half: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(flipped(t)))
 
 
-def similar_line_sets(docs: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """Lines and their sets: (_id, _doc, line_no, k), and (k, doc, line, late) for the sets with copies or a match.
+def similar_line_sets(docs: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and their sets: (_id, _doc, line_no, k), and (k, doc, line, late) for the sets with copies or a match; and the
+    stage table that the latter read.
 
     ``doc`` and ``line`` are the place of the set's first line, ``late`` is whether an earlier set is similar. ``docs``
     comes from ``_doc_key``. See ``drop_similar_lines``.
     """
-    ranked = _lines(docs).filter("size(tokens) > 0").withColumn("ranks", _rarity(docs, cells))
+    # a filter on the tokens would go below them and compute them twice
+    ranked = _split_lines(docs).filter(F.trim("line") != "").withColumn("tokens", _tokens(F.col("line"))).withColumn("ranks", _rarity(docs, cells))
     ranked = ranked.select("_id", "_doc", "line_no", by_rarity(F.col("tokens"), F.col("ranks"), cells).alias("t"))
     prefix = F.transform(F.expr("slice(t, 1, size(t) - CAST(ceil(size(t) * 3 / 4) AS INT) + 1)"), lambda t: F.hash(t))
     full = stage(ranked.select(
@@ -73,16 +76,17 @@ def similar_line_sets(docs: DataFrame, cells: int = CELLS) -> tuple[DataFrame, D
 
     stars = stage(_stars(sets), "stars")
     release(docs.sparkSession)
-    pairs = stage(stars.unionByName(_pairs(sets, stars.select(F.col("b").alias("set")).distinct(), None)), "pairs")
+    settled = _similar(docs, sets, stars)
+    discard(stars)
+    release(docs.sparkSession)
+    pairs = stage(_meetings(sets, settled.select(F.col("b").alias("set")).distinct()).distinct(), "pairs")
+    release(docs.sparkSession)
+    similar = settled.unionByName(_similar(docs, sets, pairs))
+    discard(pairs)
     release(docs.sparkSession)
-    similar = _similar(docs, sets, pairs)
-    # a set whose star was no match after all is searched like the others
-    failed = stage(stars.select("b").distinct().join(similar.select("b"), "b", "left_anti").select(F.col("b").alias("set")), "failed")
-    if not failed.isEmpty():
-        similar = similar.unionByName(_similar(docs, sets, stage(_pairs(sets, None, failed), "pairs")))
     late = similar.select(F.col("b").alias("set")).distinct().withColumn("late", F.lit(True))
     marked = sets.select("set", "k", "at", "copies").join(late, "set", "left").filter("copies > 1 OR late")
-    return lines, marked.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), F.coalesce("late", F.lit(False)).alias("late"))
+    return lines, marked.select("k", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), F.coalesce("late", F.lit(False)).alias("late")), sets
 
 
 _OVERLAP = "CAST(ceil((n + m) * 3 / 7) AS INT)"
@@ -100,39 +104,47 @@ def _stars(sets: DataFrame) -> DataFrame:
     first = keyed.groupBy("token").agg(F.min(F.struct("set", "n", "p0", "p1")).alias("f"), F.count("*").alias("size")).filter("size > 1")
     first = first.select("token", F.col("f.set").alias("a"), F.col("f.n").alias("m"), F.col("f.p0").alias("q0"), F.col("f.p1").alias("q1"))
     met = keyed.join(first, "token").filter(f"a < set AND {_NEAR}")
-    return met.groupBy(F.col("set").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-
-
-def _pairs(sets: DataFrame, settled: DataFrame | None, sought: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that may match, a before b, where b is not one of the ``settled`` sets, or is one of the ``sought``."""
-    named, wanted = (settled, F.col("_named").isNull()) if sought is None else (sought, F.col("_named").isNotNull())
-    marked = sets.select("set", "n", "p0", "p1", "prefix").join(named.withColumn("_named", F.lit(1)), "set", "left")
-    # n, the place in the prefix and whether it is wanted share a number: a posting is as narrow as can be
-    at = F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + wanted.cast("int")
-    posted = marked.select("set", "n", "p0", "p1", "_named", F.posexplode("prefix").alias("i", "token")).select("token", "set", at.alias("at"), "p0", "p1")
+    return met.select("a", F.col("set").alias("b")).distinct()
+
+
+def _meetings(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may match, a before b, where b is not one of the ``settled`` sets: once for every run of common tokens."""
+    marked = sets.select("set", "n", "p0", "p1", "prefix").join(settled.withColumn("_named", F.lit(1)), "set", "left")
+    # n, the place in the prefix and whether it is wanted share a number, as do the token and the one before it: a
+    # posting is as narrow as can be
+    at = F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("_named").isNull().cast("int")
+    before = F.when(F.col("i") > 0, F.get("prefix", F.col("i") - 1)).otherwise(0).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    both = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(before)
+    posted = marked.select("set", "n", "p0", "p1", "prefix", "_named", F.posexplode("prefix").alias("i", "token"))
+    posted = posted.select(both.alias("tokens"), "set", at.alias("at"), "p0", "p1")
     one = "shiftright({0}.at, 32)"
-    left = "(shiftright({0}.at, 32) - shiftright({0}.at & 4294967295L, 1))"
-    n, m, n_left, m_left = one.format("x"), one.format("y"), left.format("x"), left.format("y")
+    place = "shiftright({0}.at & 4294967295L, 1)"
+    n, m, i, j = one.format("x"), one.format("y"), place.format("x"), place.format("y")
     overlap = f"ceil(({n} + {m}) * 3 / 7)"
     # Both sides are the same rows and no condition is on one side alone, so they are shuffled once; that the smaller set
-    # needs fewer tokens follows from the overlap.
+    # needs fewer tokens follows from the overlap. Where the tokens before are equal too, the pair has met under them.
     met = posted.alias("x").join(posted.alias("y"), F.expr(
-        f"x.token = y.token AND IF(x.set < y.set, y.at & 1L, 0L) = 1 AND least({n_left}, {m_left}) >= {overlap} AND 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) "
+        f"shiftright(x.tokens, 32) = shiftright(y.tokens, 32) AND IF(x.set < y.set, y.at & 1L, 0L) = 1 AND (x.tokens <> y.tokens OR least({i}, {j}) = 0) "
+        f"AND least({n} - {i}, {m} - {j}) >= {overlap} AND 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) "
         f"AND bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) <= {n} + {m} - 2 * {overlap}"))
-    return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
 
 
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets, read from the texts again, have a Jaccard similarity of 0.75 or more."""
     asked = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    where = stage(sets.select("set", "at").join(asked, "set").select("set", F.col("at.doc").alias("doc"), F.col("at.line").alias("line")), "asked")
-    texts = docs.join(where.select("doc").distinct(), F.col("_doc") == F.col("doc"), "left_semi").dropDuplicates(["_doc"])
-    full = _lines(texts).join(where, (F.col("_doc") == F.col("doc")) & (F.col("line_no") == F.col("line")))
-    full = stage(full.select("set", "tokens"), "full")
+    where = stage(sets.select("set", "at").join(asked, "set").select("set", F.col("at.doc").alias("_doc"), F.col("at.line").alias("line_no")), "asked")
+    texts = docs.filter(sieved(where, "_doc")).join(where.select("_doc").distinct(), "_doc", "left_semi")
+    # rows that repeat a document give its lines again: one of each is taken
+    full = _split_lines(texts).join(where, ["_doc", "line_no"]).groupBy("set").agg(F.first("line").alias("line"))
+    full = stage(full.select("set", _tokens(F.col("line")).alias("tokens")), "full")
     one = full.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
     two = full.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
     common = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return stage(common.filter("4 * common >= 3 * (both - common)").select("a", "b"), "similar")
+    similar = stage(common.filter("4 * common >= 3 * (both - common)").select("a", "b"), "similar")
+    discard(where)
+    discard(full)
+    return similar
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str | None = None, cells: int = CELLS) -> DataFrame:
@@ -151,7 +163,8 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Postings meet under the length filter (4m >= 3n), the positional filter (from the first common token on both
     must have as many left as the overlap asked for) and a bound on how many tokens differ, from 128 bits that each token flips one of; the pairs
     are verified on whole sets. Before that, sets that meet an earlier one under four of their tokens (``_stars``) are
-    settled, so that a large family of variants is not paired with itself; those that fail the verification are searched. Any order of tokens gives the exact result; the table only makes the postings short. It
+    settled if a verified pair holds them, so that a large family of variants is not paired with itself; only the others are
+    searched. A pair is listed where its first common tokens meet, not under every later one of a common run. Any order of tokens gives the exact result; the table only makes the postings short. It
     has ``cells`` bytes, whatever the input, and reaches each task with the plan.
     """
     names = docs.columns
@@ -159,10 +172,12 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.toDF(*(f"in{i}" for i in range(len(names))))
     text_in = f"in{names.index(text_col)}"
     keyed = _doc_key(docs, f"in{names.index(id_col)}", text_in)
-    lines, sets = similar_line_sets(keyed.select("_id", "_text", "_doc"), cells)
+    lines, sets, staged = similar_line_sets(keyed.select("_id", "_text", "_doc"), cells)
     gone = lines.join(sets, "k").filter("late OR NOT (doc <=> _doc AND line <=> line_no)")
     gone = gone.groupBy("_doc").agg(F.collect_set("line_no").alias("_gone"))
     gone = stage(gone.withColumnRenamed("_doc", "_of"), "gone")
+    for done in (lines, staged):
+        discard(done)
     release(docs.sparkSession)
     joined = keyed.join(gone, F.col("_doc") == F.col("_of"), "left")
     parts = F.split("_text", "\n")

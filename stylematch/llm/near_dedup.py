@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stylematch.llm.graph import components
 from stylematch.llm.hashing import constants, mix, shingle_hashes, text_chunks, word_hashes, words
-from stylematch.llm.rarity import by_rarity, rarity_table
+from stylematch.llm.rarity import by_rarity, rarity_table, sieved
 from stylematch.session import stage
 
 COORDINATES = 32
@@ -68,7 +68,8 @@ def _with_class(docs: DataFrame, read, last: str) -> DataFrame:
 
 def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(cls, shingles) of the chosen classes (cls, rep), read from the rows with the id rep."""
-    held = docs.join(chosen.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    held = docs.filter(sieved(chosen.select(F.col("rep").alias("doc_id")), "doc_id"))
+    held = held.join(chosen.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     return _with_class(held, _full_sets, "shingles").join(chosen.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from stylematch.llm import chat, decontaminate, graph, line_dedup, mixing, near_dedup, prefix  # noqa: E402
 from stylematch.llm.queries import QUERIES  # noqa: E402
+from stylematch.llm.rarity import sieved  # noqa: E402
 
 from helpers import WORD, deduped_lines, maximal, near_groups  # noqa: E402
 
@@ -121,6 +122,37 @@ def test_lines_beside_any_column_name(spark, name):
     assert {tuple(r) for r in got.collect()} == {("x", 1, "a b c d\ne", 1), ("y", 2, "f", 1), (None, None, None, 0)}
 
 
+def test_a_family_of_lines_meets_once_for_each_run_of_tokens(spark):
+    rng = random.Random(6)
+    prefixes = [list(range(100, 112)) for _ in range(30)]
+    for p in prefixes[10:]:
+        for _ in range(rng.randrange(1, 4)):
+            p[rng.randrange(12)] = rng.randrange(10 ** 6)
+    sets = spark.createDataFrame([(i, 46, 0, 0, p) for i, p in enumerate(prefixes)], "set long, n int, p0 long, p1 long, prefix array<int>")
+    met = Counter((r.a, r.b) for r in line_dedup._meetings(sets, spark.createDataFrame([(29,)], "set long")).collect())
+    near = {(a, b) for a in range(30) for b in range(a + 1, 29) if any(x == y and 46 - max(i, j) >= 40 for i, x in enumerate(prefixes[a]) for j, y in enumerate(prefixes[b]))}
+    assert set(met) == near
+    assert {met[a, b] for a in range(10) for b in range(a + 1, 10)} == {1}
+    assert sum(met.values()) < 4 * len(met)
+
+
+def test_lines_are_searched_once(spark, monkeypatch):
+    """Whatever stars fail: sets that no verified star holds are searched together with the others."""
+    staged = []
+    monkeypatch.setattr(line_dedup, "stage", lambda df, label, real=line_dedup.stage: staged.append(label) or real(df, label))
+    docs = [(i, " ".join(["shared"] + [f"w{i % 7}x{j}" for j in range(12)] + [f"v{i}y{j}" for j in range(i % 5)])) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_similar_lines(spark.createDataFrame(docs, "doc_id long, text string"), count="gone").collect()}
+    assert got == {d: text for (d, _), text in deduped_lines(docs).items()}
+    assert staged.count("pairs") == 1 and staged.index("similar") < staged.index("pairs")
+
+
+def test_sieve_keeps_every_key(spark):
+    keys = spark.createDataFrame([(i * 7919,) for i in range(500)] + [(None,)], "x long")
+    others = spark.createDataFrame([(-i - 1,) for i in range(5000)], "x long")
+    assert keys.filter(sieved(keys, "x")).count() == 501
+    assert others.filter(sieved(keys, "x")).count() < 20
+
+
 def test_common_length_matches_the_table():
     rng = random.Random(5)
     for _ in range(50):
