@@ -134,9 +134,12 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets, read from the texts again, have a Jaccard similarity of 0.75 or more."""
     asked = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     where = stage(sets.select("set", "at").join(asked, "set").select("set", F.col("at.doc").alias("_doc"), F.col("at.line").alias("line_no")), "asked")
-    texts = docs.filter(sieved(where, "_doc")).join(where.select("_doc").distinct(), "_doc", "left_semi")
+    # texts meet the list of their places: only the lines that are asked for are moved again
+    wanted = where.groupBy("_doc").agg(F.collect_list(F.struct("line_no", "set")).alias("wanted"))
+    texts = docs.select("_doc", "_text").filter(sieved(where, "_doc")).join(wanted, "_doc")
+    full = texts.select(F.split(_plain(F.col("_text")), "\n").alias("lines"), F.explode("wanted").alias("w"))
     # rows that repeat a document give its lines again: one of each is taken
-    full = _split_lines(texts).join(where, ["_doc", "line_no"]).groupBy("set").agg(F.first("line").alias("line"))
+    full = full.select("w.set", F.get("lines", F.col("w.line_no")).alias("line")).groupBy("set").agg(F.first("line").alias("line"))
     full = stage(full.select("set", _tokens(F.col("line")).alias("tokens")), "full")
     one = full.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
     two = full.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
@@ -179,8 +182,9 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for done in (lines, staged):
         discard(done)
     release(docs.sparkSession)
-    joined = keyed.join(gone, F.col("_doc") == F.col("_of"), "left")
-    parts = F.split("_text", "\n")
+    # a text is moved once, without its form for nulls
+    joined = keyed.drop("_text").join(gone, F.col("_doc") == F.col("_of"), "left")
+    parts = F.split(F.coalesce(F.col(text_in).cast("string"), F.lit("")), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i))
     text = F.when(F.col("_gone").isNull(), F.col(text_in)).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("_kept", text)
