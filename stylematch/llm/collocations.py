@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylematch.llm.hashing import constants, mix, text_chunks, words
-from stylematch.session import stage
+from stylematch.session import discard, stage
 
 BLANKS, SEPARATORS = b" \t", b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, MOST, SHARE = 10, 3, 2000, 50
@@ -27,6 +28,10 @@ BLOCK = 1 << 14
 FAN = 4
 SALTS = 64
 CHUNK = 1 << 21
+#: Word numbers per staged row and per step of a pass over them, about; bytes of a row group of the staged rows, which is read whole.
+RUN, RUNS, GROUP = 1 << 14, 1 << 20, 1 << 24
+#: Bits of the cells in a part of a filter, and hashes of a part that wait to be merged.
+PART, WAITING = 19, 1 << 20
 
 IS_LETTER = np.ones(256, dtype=bool)
 IS_LETTER[list(BLANKS + SEPARATORS)] = False
@@ -34,16 +39,11 @@ IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
 
 
-def _folded(seed: int) -> np.ndarray:
-    values = constants(256, seed)
-    values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
-    return values
-
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-_VALUES, _PLACES = (_folded(61), _folded(62)), (63, 64)
-_BY_WORD = (constants(LONGEST, 65), constants(LONGEST, 66))
+_PLACES = (63, 64)
+#: What of eight bytes belongs to a word that has so many left.
+_LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 @dataclass
@@ -60,13 +60,19 @@ class _Words:
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every word, A-Z as a-z, over its bytes by eight."""
+    folded = np.append(LOWER[data], np.zeros(8, np.uint8))
+    by_eight = np.ndarray(len(data) + 1, "<u8", folded, strides=(1,))
     lengths = ends - starts
-    own, heads = data[IS_LETTER[data]], np.cumsum(lengths) - lengths
-    places = np.arange(len(own)) - np.repeat(heads, lengths)
+    pieces = (lengths + 7) >> 3
+    heads = np.cumsum(pieces) - pieces
+    places = np.arange(int(pieces.sum())) - np.repeat(heads, pieces)
+    left = np.repeat(lengths, pieces) - 8 * places
+    own = by_eight[np.repeat(starts, pieces) + 8 * places] & _LEFT[np.minimum(left, 8)]
     out = []
-    for values, seed in zip(_VALUES, _PLACES):
-        by_place = constants(int(lengths.max()), seed)
-        out.append(mix(np.add.reduceat(values[own] * by_place[places], heads) + lengths.astype(np.uint64)))
+    for seed in _PLACES:
+        by_place = constants(int(pieces.max()), seed)
+        out.append(mix(np.add.reduceat(mix(own ^ by_place[places]), heads) + lengths.astype(np.uint64)))
     return out[0], out[1]
 
 
@@ -82,7 +88,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Words]
                 continue
             rows = row + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             one, two = _hashes(data, starts, ends)
-            breaks = np.concatenate([[0], np.cumsum(IS_SEPARATOR[data])])
+            breaks = np.append(np.int32(0), np.cumsum(IS_SEPARATOR[data], dtype=np.int32))
             follows = np.zeros(len(starts), dtype=bool)
             follows[:-1] = (rows[1:] == rows[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
             yield batch.column(0), _Words(data, starts, ends, rows, mix(one ^ by_row[rows, 0]), mix(two ^ by_row[rows, 1]), follows)
@@ -110,73 +116,181 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([langs.take(pa.array(w.rows[first])), texts, pa.array(w.one[first].view(np.int64)), pa.array(w.two[first].view(np.int64)), pa.array(counts)], ["lang", "word", "one", "two", "n"])
 
 
-def _phrase_hashes(w: _Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the phrases of ``size`` words that start at the places ``at``; for one word, its own."""
-    if size == 1:
-        return w.one[at], w.two[at]
-    return tuple(mix(sum(own[at + i] * by[i] for i in range(size)) + np.uint64(size)) for own, by in zip((w.one, w.two), _BY_WORD))
+class Numbers:
+    """The numbers of the frequent words: their sorted hashes, in buckets by the first bits."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray):
+        self.number = np.argsort(one, kind="stable").astype(np.int32)
+        self.one, self.two = one[self.number], two[self.number]
+        self.shift = np.uint64(63 - len(one).bit_length())
+        self.first = np.searchsorted(self.one >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out = np.full(len(one), -1, np.int32)
+        bucket = (one >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        words_ = np.flatnonzero(at < end)
+        while len(words_):
+            place = at[words_]
+            own = (self.one[place] == one[words_]) & (self.two[place] == two[words_])
+            out[words_[own]] = self.number[place[own]]
+            words_ = words_[~own]
+            at[words_] += 1
+            words_ = words_[at[words_] < end[words_]]
+        return out
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], numbers: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The texts as runs of numbers: the frequent words that follow each other in a piece, two at least, and a -1 after each run.
+
+    A row holds some RUN numbers of whole runs, their bytes by significance (the high ones are mostly 0 and pack well).
+    """
+    for _, w in _read(batches):
+        own = numbers.value.of(w.one, w.two)
+        own = np.insert(own, np.flatnonzero(~w.follows) + 1, -1)
+        before, after = np.append(-1, own[:-1]), np.append(own[1:], -1)
+        # a lone word is in no phrase, and one break is enough
+        lone = (own >= 0) & (before < 0) & (after < 0)
+        own = own[~lone & ((own >= 0) | (before >= 0)) & ~np.append(False, lone[:-1])]
+        ends = np.flatnonzero(own < 0) + 1
+        if not len(ends):
+            continue
+        cuts = np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(RUN, len(own) + RUN, RUN)), len(ends) - 1)])
+        rows = [part.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for part in np.split(own, cuts[:-1])]
+        yield pa.record_batch([pa.array(rows, pa.binary())], ["runs"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of some RUNS words at a time, whole runs."""
+    held, size = [], 0
+    for batch in batches:
+        for row in batch.column(0):
+            held.append(np.ascontiguousarray(np.frombuffer(row.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4")[:, 0])
+            size += len(held[-1])
+            if size >= RUNS:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _pairs(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The two words at each place in 64 bits."""
+    return (numbers[at].astype(np.uint64) << np.uint64(32)) | numbers[at + 1].astype(np.uint64)
+
+
+def _phrase_hashes(numbers: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the phrases of ``size`` words that start at the places ``at``; that of two words is one to one."""
+    out = mix(_pairs(numbers, at))
+    for i in range(2, size):
+        out = mix(out + numbers[at + i].astype(np.uint64))
+    return out
 
 
 def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cells = hashes & np.uint64(len(bits) * 8 - 1)
+    cells = hashes >> np.uint64(65 - (len(bits) * 8).bit_length())
     return (bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _possible(w: _Words, size: int, filters: list[np.ndarray]) -> np.ndarray:
+def _possible(numbers: np.ndarray, size: int, filters: list[np.ndarray]) -> np.ndarray:
     """Places where a phrase of ``size`` words starts whose shorter parts may all be frequent, by the filters of their sizes."""
-    alive = np.ones(len(w.one), dtype=bool)
-    places = np.arange(len(w.one))
+    alive = numbers >= 0
     for shorter in range(1, size):
-        alive[places] = _in_filter(filters[shorter - 1], _phrase_hashes(w, places, shorter)[0])
-        both = alive[:-1] & alive[1:] & w.follows[:-1]
-        alive = np.concatenate([both, [False]])
-        places = np.flatnonzero(alive)
-    return places
+        if shorter > 1:
+            places = np.flatnonzero(alive)
+            alive[places] = _in_filter(filters[shorter - 2], _phrase_hashes(numbers, places, shorter))
+        alive[:-1] &= alive[1:]
+        alive[-1:] = False
+    return np.flatnonzero(alive)
 
 
-def _level_counts(batches: Iterator[pa.RecordBatch], size: int, filters: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    """How often each hash of a possible phrase of this size occurs."""
-    bits = [f.value for f in filters]
-    for _, w in _read(batches):
-        found, counts = np.unique(_phrase_hashes(w, _possible(w, size, bits), size)[0], return_counts=True)
-        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(counts)], ["hash", "n"])
+def _level_counts(batches: Iterator[pa.RecordBatch], size: int, filters: list[Broadcast], least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """How often each hash of a possible phrase of this size occurs, up to ``least``, in a row per part of the filter."""
+    tables = [f.value for f in filters]
+    for numbers in _runs(batches):
+        found, counts = np.unique(_phrase_hashes(numbers, _possible(numbers, size, tables), size), return_counts=True)
+        # more than ``least`` decides no more than ``least``
+        counts = np.minimum(counts, least).astype(np.min_scalar_type(least))
+        parts, heads = np.unique((found >> np.uint64(64 - bits)) >> np.uint64(PART), return_index=True)
+        ends = [*heads[1:], len(found)]
+        columns = [parts.astype(np.int32), [found[i:j].tobytes() for i, j in zip(heads, ends)], [counts[i:j].tobytes() for i, j in zip(heads, ends)]]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
 
 
-_SYMBOLS = [f"{h}{i}" for i in range(LONGEST) for h in ("one", "two")]
+_SYMBOLS = [f"w{i}" for i in range(LONGEST)]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], filters: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases whose own hash and all of whose parts pass the filters, as the hashes of their words."""
+    """The distinct phrases whose own hash and all of whose parts pass the filters, as the numbers of their words.
+
+    ``spread`` is made of the first two words.
+    """
     bits = [f.value for f in filters]
-    for _, w in _read(batches):
+    for numbers in _runs(batches):
         for size in range(2, LONGEST + 1):
-            at = _possible(w, size, bits)
-            one, two = _phrase_hashes(w, at, size)
-            alive = _in_filter(bits[size - 1], one)
-            at = at[alive][_distinct(one[alive], two[alive])[0]]
-            columns = [pa.array(own[at + i].view(np.int64)) if i < size else pa.nulls(len(at), pa.int64()) for i in range(LONGEST) for own in (w.one, w.two)]
-            yield pa.record_batch([pa.array(np.full(len(at), size, np.int32)), *columns], ["size", *_SYMBOLS])
+            at = _possible(numbers, size, bits)
+            hashes = _phrase_hashes(numbers, at, size)
+            alive = _in_filter(bits[size - 2], hashes)
+            at, hashes = at[alive], hashes[alive]
+            if size == 2:
+                at = at[np.unique(hashes, return_index=True)[1]]
+            else:
+                at = at[_distinct_phrases(numbers, at, hashes, size)]
+            columns = [pa.array(numbers[at + i]) if i < size else pa.nulls(len(at), pa.int32()) for i in range(LONGEST)]
+            yield pa.record_batch([pa.array(np.full(len(at), size, np.int32)), pa.array(_spreads(numbers, at)), *columns], ["size", "spread", *_SYMBOLS])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of some parts of a filter, packed to bits: a row per part of 2^19 cells."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        cells = np.asarray(batch.column(0))
-        for part in np.unique(cells >> 19):
-            bits = held.setdefault(int(part), np.zeros(1 << 19, dtype=bool))
-            bits[cells[cells >> 19 == part] & ((1 << 19) - 1)] = True
-    for part, bits in held.items():
-        yield pa.record_batch([pa.array([part]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
+def _distinct_phrases(numbers: np.ndarray, at: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+    """Which of the places are the first of their phrase, by the words where hashes are equal."""
+    order = np.argsort(hashes, kind="stable")
+    own = np.stack([numbers[at[order] + i] for i in range(size)], axis=1)
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (own[1:] != own[:-1]).any(axis=1)
+    return order[fresh]
+
 
+def _spreads(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """31 bits of a hash of the first two words at each place: which trie holds the phrases that start with them."""
+    return (_phrase_hashes(numbers, at, 2) >> np.uint64(33)).astype(np.int32)
 
-def _filter(spark: SparkSession, hashes: Column, frequent: DataFrame, bits: int) -> Broadcast:
-    """A table of fixed size with a bit for the cell of every hash: what has none is not frequent."""
-    cells = frequent.select(hashes.bitwiseAND(F.lit((1 << bits) - 1)).alias("cell")).withColumn("part", F.shiftright("cell", 19))
-    out = np.zeros(max(1 << (bits - 3), 1 << 16), dtype=np.uint8)
-    for row in cells.repartition("part").select("cell").mapInArrow(_packed, "part long, bits binary").toLocalIterator():
-        out[row.part << 16:(row.part + 1) << 16] = np.frombuffer(row.bits, np.uint8)
-    return spark.sparkContext.broadcast(out[:1 << (bits - 3)])
+
+def _packed(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The cells of the hashes that occur ``least`` times in all, packed to bits: a row per part of 2^PART cells."""
+    kind = np.min_scalar_type(least)
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    waiting: dict[int, int] = {}
+
+    def merge(part: int) -> None:
+        hashes, counts = (np.concatenate(x) for x in zip(*held[part]))
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[order], counts[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        held[part], waiting[part] = [(hashes[heads], np.minimum(np.add.reduceat(counts, heads), least).astype(kind))], 0
+
+    for batch in batches:
+        for part, hashes, counts in zip(*batch.columns):
+            own = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), kind)
+            held.setdefault(part := part.as_py(), []).append(own)
+            waiting[part] = waiting.get(part, 0) + len(own[0])
+            if waiting[part] > max(WAITING, len(held[part][0][0])):
+                merge(part)
+    for part in held:
+        merge(part)
+        hashes, counts = held[part][0]
+        cells = (hashes[counts >= least] >> np.uint64(64 - bits)).astype(np.int64) & ((1 << PART) - 1)
+        own = np.zeros(1 << PART, dtype=bool)
+        own[cells] = True
+        yield pa.record_batch([pa.array([part]), pa.array([np.packbits(own, bitorder="little").tobytes()])], ["part", "bits"])
+
+
+def _filter(counted: DataFrame, least: int, bits: int) -> Broadcast:
+    """A table of fixed size with a bit for the cell of every hash that occurs ``least`` times: what has none is not frequent."""
+    out = np.zeros(max(1 << (bits - 3), 1 << (PART - 3)), dtype=np.uint8)
+    packed = counted.repartition("part").mapInArrow(lambda batches: _packed(batches, least, bits), "part long, bits binary")
+    for row in packed.collect():
+        out[row.part << (PART - 3):(row.part + 1) << (PART - 3)] = np.frombuffer(row.bits, np.uint8)
+    return counted.sparkSession.sparkContext.broadcast(out[:1 << (bits - 3)])
 
 
 @dataclass
@@ -307,32 +421,39 @@ def _placed(bucket: np.ndarray, symbol: np.ndarray, parent: np.ndarray, bases: i
     return base, owner, slot_of
 
 
-def _trie_counts(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    """How often each phrase of the tries occurs in these rows: all places advance together, a word at a time."""
-    held = [t.value for t in tries]
-    totals = [np.zeros(int(t.phrase.max()) + 1, np.int64) for t in held]
-    for _, w in _read(batches):
-        for t, total in zip(held, totals):
-            symbols = t.symbols(w.one, w.two)
-            places = np.flatnonzero(symbols >= 0)
-            nodes = t.step(np.zeros(len(places), np.int64), symbols[places])
+def _trie_counts(batches: Iterator[pa.RecordBatch], tries: dict[int, Broadcast], shards: int, words_: int, pairs: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How often each phrase of the tries occurs in these runs: all places of a trie advance together, a word at a time.
+
+    A place is looked up in the one trie that its first two words name, if they are frequent at all.
+    """
+    held = {shard: t.value for shard, t in tries.items()}
+    totals = {shard: np.zeros(int(t.phrase.max()) + 1, np.int64) for shard, t in held.items()}
+    symbols = {}
+    for shard, t in held.items():
+        symbols[shard] = np.full(words_ + 1, -1, np.int32)
+        symbols[shard][t.one.astype(np.int64)] = np.arange(len(t.one), dtype=np.int32)
+    for numbers in _runs(batches):
+        at = _possible(numbers, 2, [])
+        at = at[_in_filter(pairs.value, _phrase_hashes(numbers, at, 2))]
+        named = _spreads(numbers, at) % shards
+        for shard, t in held.items():
+            places, total = at[named == shard], totals[shard]
+            nodes = np.zeros(len(places), np.int64)
             for level in range(LONGEST):
+                # a break is the last entry, which no trie has as a symbol
+                nodes = t.step(nodes, symbols[shard][numbers[places + level]].astype(np.int64))
                 places, nodes = places[nodes >= 0], nodes[nodes >= 0]
                 ended = t.phrase[nodes]
                 total += np.bincount(ended[ended >= 0], minlength=len(total))
-                if level + 1 < LONGEST:
-                    on = w.follows[places + level]
-                    places, nodes = places[on], nodes[on]
-                    nodes = t.step(nodes, symbols[places + level + 1])
-    for number, total in enumerate(totals):
+    for shard, total in totals.items():
         for start in range(0, len(total), BLOCK):
             some = np.flatnonzero(total[start:start + BLOCK])
             if len(some):
-                row = [number, start, some.astype(np.uint16).tobytes(), total[start + some].tobytes()]
+                row = [shard, start, some.astype(np.uint16).tobytes(), total[start + some].tobytes()]
                 yield pa.record_batch([pa.array([x]) for x in row], ["trie", "start", "at", "n"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch], ids: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], ids: dict[int, Broadcast]) -> Iterator[pa.RecordBatch]:
     """The counts of the tasks added up, a block at a time."""
     block, total = None, np.zeros(BLOCK, np.int64)
 
@@ -351,35 +472,44 @@ def _summed(batches: Iterator[pa.RecordBatch], ids: list[Broadcast]) -> Iterator
     yield from done()
 
 
-def _trie_of(candidates: DataFrame) -> tuple[Trie, np.ndarray] | None:
-    own = candidates.toArrow()
-    if not own.num_rows:
-        return None
-    hashes = np.stack([np.asarray(own.column(c).fill_null(0)).view(np.uint64) for c in _SYMBOLS], axis=1).reshape(-1, LONGEST, 2)
-    return build_trie(hashes, np.asarray(own.column("size"))), np.asarray(own.column("id"))
+def _trie_of(candidates: pa.Table) -> tuple[Trie, np.ndarray]:
+    numbers = np.stack([np.asarray(candidates.column(c).combine_chunks().fill_null(0)).astype(np.uint64) for c in _SYMBOLS], axis=1)
+    return build_trie(np.stack([numbers, np.zeros_like(numbers)], axis=2), np.asarray(candidates.column("size"))), np.asarray(candidates.column("id"))
+
 
+def _counted(runs: DataFrame, candidates: DataFrame, words_: int, pairs: Broadcast) -> DataFrame:
+    """(id, a): the count of every candidate, in passes over the runs with a few tries of about SHARD phrases each.
 
-def _counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(id, a): the count of every candidate, in passes over the texts with a few tries of about SHARD phrases each."""
-    spark = texts.sparkSession
+    The phrases that start with the same two words are in one trie, so that a place is looked up once, however many tries there are.
+    """
+    spark = runs.sparkSession
     shards = max(1, -(-candidates.count() // SHARD))
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("size", *_SYMBOLS), F.lit(shards)))
+    dealt = candidates.withColumn("shard", F.col("spread") % shards).select("shard", "id", "size", *_SYMBOLS)
     out = spark.createDataFrame([], "id long, a long")
     for first in range(0, shards, TRIES):
-        tries, ids = [], []
+        tries, ids = {}, {}
         for shard in range(first, min(first + TRIES, shards)):
-            built = _trie_of(dealt.filter(F.col("shard") == shard).drop("shard"))
-            if built is not None:
-                tries.append(spark.sparkContext.broadcast(built[0]))
-                ids.append(spark.sparkContext.broadcast(built[1]))
-        parts = texts.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own), "trie long, start long, at binary, n binary")
+            own = dealt.filter(F.col("shard") == shard).drop("shard").toArrow()
+            if own.num_rows:
+                trie, numbers = _trie_of(own)
+                tries[shard], ids[shard] = spark.sparkContext.broadcast(trie), spark.sparkContext.broadcast(numbers)
+        parts = runs.mapInArrow(lambda batches, own=tries: _trie_counts(batches, own, shards, words_, pairs), "trie long, start long, at binary, n binary")
         parts = parts.repartition("trie", "start").sortWithinPartitions("trie", "start")
         out = out.unionByName(stage(parts.mapInArrow(lambda batches, own=ids: _summed(batches, own), "id long, a long"), "phrase-counts"))
-        for b in tries + ids:
+        for b in [*tries.values(), *ids.values()]:
             b.unpersist()
     return out
 
 
+def _spelt(batches: Iterator[pa.RecordBatch], names: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, f) of phrases given by the numbers of their words."""
+    langs, spelt = names.value.column("lang").combine_chunks(), names.value.column("word").combine_chunks()
+    for batch in batches:
+        each = [spelt.take(batch.column(c)) for c in _SYMBOLS]
+        phrase = pc.binary_join_element_wise(*each, pa.scalar(" ", spelt.type), null_handling="skip")
+        yield pa.record_batch([langs.take(batch.column(_SYMBOLS[0])), phrase, batch.column("size"), batch.column("a")], ["lang", "phrase", "size", "f"])
+
+
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): (lang, phrase, size, f) of all words, and of the phrases of 2 to 3 words that occur ``least`` times.
 
@@ -389,24 +519,32 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_counted_words, "lang string, word string, one long, two long, n long")
     vocabulary = stage(counted.groupBy("lang", "word", "one", "two").agg(F.sum("n").alias("f")), "words")
-    filters = [_filter(spark, F.col("one"), vocabulary.filter(F.col("f") >= least), filter_bits)]
+
+    # the most frequent words have the least numbers; the order is the same in both reads
+    frequent = vocabulary.filter(F.col("f") >= least).orderBy(F.desc("f"), "one", "two")
+    hashes = frequent.select("one", "two").toArrow()
+    words_ = hashes.num_rows
+    numbers = spark.sparkContext.broadcast(Numbers(*(np.asarray(hashes.column(c)).view(np.uint64) for c in ("one", "two"))))
+    runs = stage(texts.mapInArrow(lambda batches: _numbered(batches, numbers), "runs binary"), "runs", GROUP)
+    numbers.unpersist()
+
+    filters = []
     for size in range(2, LONGEST + 1):
         held = list(filters)
-        hashed = texts.mapInArrow(lambda batches, s=size, h=held: _level_counts(batches, s, h), "hash long, n long")
-        filters.append(_filter(spark, F.col("hash"), hashed.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), filter_bits))
-    schema = "size int, " + ", ".join(f"{s} long" for s in _SYMBOLS)
-    found = texts.mapInArrow(lambda batches: _candidates(batches, filters), schema).dropDuplicates()
+        found = runs.mapInArrow(lambda batches, s=size, h=held: _level_counts(batches, s, h, least, filter_bits), "part int, hashes binary, counts binary")
+        filters.append(_filter(found, least, filter_bits))
+    schema = "size int, spread int, " + ", ".join(f"{s} int" for s in _SYMBOLS)
+    found = runs.mapInArrow(lambda batches: _candidates(batches, filters), schema).dropDuplicates()
     found = stage(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
+    phrases = found.join(_counted(runs, found, words_, filters[0]).filter(F.col("a") >= least), "id").select(*_SYMBOLS, "size", "a")
     for f in filters:
         f.unpersist()
-    phrases = found.join(_counted(texts, found).filter(F.col("a") >= least), "id")
 
-    # the words of the phrases by their hashes
-    each = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"one{i}").alias("one"), F.col(f"two{i}").alias("two")) for i in range(LONGEST)]), lambda s: s["one"].isNotNull())
-    spelt = phrases.select("id", "size", "a", F.explode(each).alias("s")).select("id", "size", "a", "s.*").join(vocabulary.select("one", "two", "lang", "word"), ["one", "two"])
-    spelt = spelt.groupBy("id", "size", "a").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
-    spelt = spelt.select("lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"), "size", F.col("a").alias("f"))
-    return vocabulary.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"), stage(spelt, "phrases")
+    names = spark.sparkContext.broadcast(frequent.select("lang", "word").toArrow())
+    spelt = stage(phrases.mapInArrow(lambda batches: _spelt(batches, names), "lang string, phrase string, size int, f long"), "phrases")
+    names.unpersist()
+    discard(runs)
+    return vocabulary.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"), spelt
 
 
 def _cut(phrase: Column, start: Column, length: Column) -> Column:
@@ -421,13 +559,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     two that occur ``l`` and ``r`` times and scores floor(1000000 a² / (l r)); the lowest cut counts, of equals the
     earliest. A candidate goes if a longer one that holds its words in a row has ``share`` per cent of its count.
 
-    Method. Words are counted with their texts. Then level by level (Apriori): a phrase is looked at only if its
-    shorter parts are frequent by a table of 2^27 bits over their hashes; the counts of its hash decide which cells of
-    its level's table are set. Whatever occurs ``least`` times has its cells set, so no candidate is lost; a crowded table
-    only lets more through. The phrases that pass are listed once and counted exactly: double-array tries of some 500,000 of them
-    each are broadcast, and in every task all places of the texts advance through them together, level by level; the
-    counts of the tasks are added up by blocks of phrases. A pass over the texts takes four tries; larger sets take more. Words are compared by 128 bits of hash,
-    with the language in it. Scores are exact in decimals.
+    Method. Words are counted with their texts; those that occur ``least`` times are numbered, and the texts are staged as runs of
+    numbers, so that only two passes read texts. Then level by level (Apriori): a phrase is looked at only if its shorter
+    parts are frequent by a table of 2^27 bits over their hashes; the counts of its hash decide which cells of its level's
+    table are set. Whatever occurs ``least`` times has its cells set, so no candidate is lost; a crowded table only lets
+    more through. The phrases that pass are listed once and counted exactly: double-array tries of some 500,000 of them
+    each are broadcast, and in every task all places of the runs advance through them together, level by level; the
+    counts of the tasks are added up by blocks of phrases. Phrases with the same first two words are in one trie, so a
+    place is looked up once, however many tries there are. A pass over the runs takes four tries; larger sets take more.
+    Words are compared by 128 bits of hash, with the language in it. Scores are exact in decimals.
 
     A null language is ``und``, a null text empty; texts without words, repeated rows and an empty table need no care. Other columns are not read.
     """

@@ -59,13 +59,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, group: int | None = None) -> DataFrame:
     """Write a stage table below the shared folder and read it back.
 
-    Later plans start from files that outlive executors, and know the size of the table.
+    Later plans start from files that outlive executors, and know the size of the table. ``group`` is the size of a row
+    group in bytes; of wide rows a task reads a whole one at a time.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write if group is None else df.write.option("parquet.block.size", group)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

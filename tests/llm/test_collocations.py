@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,52 @@ def test_query(spark, sf):
     got = QUERIES["op13_phrase_collocations"](spark, sf)
     assert told(got) == plain(rows)
     assert got.filter(F.col("rank") > 2000).isEmpty()
+
+
+def test_texts_are_read_twice_however_many_tries(spark, monkeypatch):
+    """Words are counted, then numbered; all other passes, also those of many tries, go over the numbers."""
+    monkeypatch.setattr(C, "SHARD", 50)
+    rng = random.Random(5)
+    rows = some_texts(rng, ["en", "de"], 150, [f"w{i}" for i in range(14)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    read = F.udf(counted, "string").asNondeterministic()
+    docs = table(spark, rows)
+    assert told(C.collocations(docs.withColumn("text", read("text")))) == plain(rows)
+    assert seen.value == 2 * len(rows)
+
+
+def test_numbers_of_words():
+    """Words that share their first hash, or all its first bits, and words that have no number."""
+    rng = np.random.default_rng(2)
+    one, two = rng.integers(1 << 63, size=(2, 3000)).astype(np.uint64)
+    one[::5] = one[0]
+    one[1::5] = (one[1] & ~np.uint64(0xFFFF)) + np.arange(600, dtype=np.uint64)
+    one[2], one[3] = 0, 2**64 - 1
+    numbers = C.Numbers(one, two)
+    assert (numbers.of(one, two) == np.arange(3000)).all()
+    assert (numbers.of(one, two + np.uint64(1)) == -1).all()
+    assert (C.Numbers(one[:0], two[:0]).of(one, two) == -1).all()
+    assert (C.Numbers(one[:1], two[:1]).of(one, two) == np.append(0, np.full(2999, -1))).all()
+
+
+def test_runs_hold_what_follows(monkeypatch):
+    """Frequent words that follow each other, whole runs in rows of about RUN numbers."""
+    monkeypatch.setattr(C, "RUN", 4)
+    texts = ["a b x c d e, a", "", None, "A\tb c. d", "c", "x a b", "a b c d e a b c d e"]
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    found = next(C._read(iter([batch])))[1]
+    words = [found.data[i:j].tobytes().decode().lower() for i, j in zip(found.starts, found.ends)]
+    at = [words.index(w) for w in "abcde"]
+
+    class Held:
+        value = C.Numbers(found.one[at], found.two[at])
+
+    rows = list(C._numbered(iter([batch]), Held))
+    assert rows[0].num_rows > 2
+    runs = np.concatenate(list(C._runs(iter(rows))))
+    assert "".join("abcde "[n] for n in runs).split() == ["ab", "cde", "abc", "ab", "abcdeabcde"]
