@@ -1,12 +1,15 @@
 """K-Prototypes on a numeric vector, dense or sparse, plus one category, for one k or a sweep of k.
 
 Centroids (k x dimension, per start) are the only state kept between rounds; each round is one pass over the rows that returns
-sums per cluster. A sweep runs all its k in the same pass. The plan of a round never contains the rounds before.
+sums per cluster. A sweep runs all its k in the same pass. The plan of a round never contains the rounds before. Dense
+rows are packed to matrices once, and a round over them is one job of a single stage.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -14,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,9 +210,118 @@ def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int, starts:
 _SIZE, _COST, _SQUARES, _CATEGORY = -1, -2, -3, -4
 
 
-def _sums(rows: DataFrame, models: Sequence[Prototypes]) -> pd.DataFrame:
+#: Distances that are worked on at a time (4 MB), categories of a block up to which they are counted as attributes, and
+#: tasks up to which the driver adds their sums.
+_CELLS, _COUNTED, _ADDED = 1 << 19, 64, 64
+
+
+#: Rows of a batch for the rounds: category codes, their names, how many attributes there are, and a matrix of these, a
+#: column of ones, the squared lengths, and where there are few categories a column for each.
+_Block = tuple[np.ndarray, list, int, np.ndarray]
+
+
+def _packed(rows: DataFrame) -> RDD:
+    """Dense rows as blocks of a few thousand each, kept for the rounds."""
+
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = Vectors.of(frame)
+                columns = [x.dense, np.ones((len(x.codes), 1)), x.squares[:, None]]
+                if len(x.names) <= _COUNTED:
+                    columns.append(x.codes[:, None] == np.arange(len(x.names))[None, :])
+                yield pd.DataFrame({"block": [pickle.dumps((x.codes, list(x.names), x.dense.shape[1], np.concatenate(columns, axis=1)))]})
+
+    found = rows.select(*_parts(rows), "category").mapInPandas(blocks, "block binary")
+    return found.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _block_sums(block: _Block, models: Sequence[Prototypes]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(per cluster of all models the sums of the attributes, the size and the sum of squares; the cost of each model; per
+    category its count in each cluster) of a block."""
+    codes, names, width, wide = block
+    dense, squares, few = wide[:, :width], wide[:, width + 1], wide.shape[1] > width + 2
+    centres = np.concatenate([m.centres for m in models])
+    lengths = np.concatenate([(m.centres**2).sum(axis=1) for m in models])
+    places = pd.Index(names, dtype=object).get_indexer([c for m in models for c in m.categories])
+    gammas = np.repeat([m.gamma for m in models], [m.k for m in models])
+    ks = np.array([m.k for m in models])
+    heads = np.cumsum(ks) - ks
+    mismatch = gammas[:, None] * (places[:, None] != np.arange(len(names))[None, :]) if few else None
+    sums, costs = np.zeros((len(centres), wide.shape[1])), np.zeros(len(models))
+    counts = None if few else np.zeros((len(centres), len(names)))
+    step = max(1, _CELLS // len(centres))
+    for first in range(0, len(codes), step):
+        own = slice(first, first + step)
+        # clusters x rows, in the order of the terms of Prototypes.distances
+        distance = centres @ dense[own].T
+        distance *= -2
+        distance += squares[own]
+        distance += lengths[:, None]
+        np.maximum(distance, 0, out=distance)
+        distance += mismatch[:, codes[own]] if few else gammas[:, None] * (codes[own][None, :] != places[:, None])
+        best = np.minimum.reduceat(distance, heads, axis=0)
+        nearest = distance == np.repeat(best, ks, axis=0)
+        if np.count_nonzero(nearest) != best.size:
+            # equal distances go to the first cluster
+            nearest[:] = False
+            for head, k in zip(heads, ks):
+                nearest[head + distance[head:head + k].argmin(axis=0), np.arange(nearest.shape[1])] = True
+        costs += best.sum(axis=1)
+        sums += nearest.astype(float) @ wide[own]
+        if not few:
+            cluster, row = np.nonzero(nearest)
+            np.add.at(counts, (cluster, codes[own][row]), 1)
+    if few:
+        sums, counts = sums[:, :width + 2], sums[:, width + 2:]
+    return sums, costs, dict(zip(names, counts.T))
+
+
+def _added(one: tuple, two: tuple) -> tuple:
+    counts = dict(one[2])
+    for name, count in two[2].items():
+        counts[name] = counts[name] + count if name in counts else count
+    return one[0] + two[0], one[1] + two[1], counts
+
+
+def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
+    """The rows of ``_sums``, from packed rows; the cost of a model stands at its first cluster."""
+    lean = [Prototypes(m.k, m.centres, m.categories, m.gamma) for m in models]
+
+    def partial(own: Iterator[_Block]) -> Iterator[tuple]:
+        total = None
+        for x in own:
+            found = _block_sums(x, lean)
+            total = found if total is None else _added(total, found)
+        if total is not None:
+            yield total
+
+    parts = blocks.mapPartitions(partial)
+    sums, costs, counts = parts.treeReduce(_added) if parts.getNumPartitions() > _ADDED else functools.reduce(_added, parts.collect())
+    ks = np.array([m.k for m in models])
+    model, cluster = np.repeat(np.arange(len(ks)), ks), np.concatenate([np.arange(k) for k in ks])
+    width = sums.shape[1] - 2
+    # sizes are whole numbers; the attributes that are not zero, sizes and squares of the clusters with rows
+    held = sums[:, width] > 0
+    row, place = np.nonzero(sums[:, :width] * held[:, None])
+    names = np.array(sorted(counts), dtype=object)
+    table = np.stack([counts[n] for n in names], axis=1)
+    most = np.flatnonzero(held)
+    frames = [(row, place, sums[row, place]), (most, np.full(len(most), _SIZE), sums[most, width]), (most, np.full(len(most), _SQUARES), sums[most, width + 1])]
+    heads = np.cumsum(ks) - ks
+    frames += [(heads, np.full(len(heads), _COST), costs), (most, np.full(len(most), _CATEGORY), table[most].max(axis=1))]
+    row, place, value = (np.concatenate(c) for c in zip(*frames))
+    category = np.full(len(row), None, dtype=object)
+    # of equal counts the first name
+    category[len(row) - len(most):] = names[table[most].argmax(axis=1)]
+    return pd.DataFrame({"model": model[row], "cluster": cluster[row], "place": place, "category": category, "value": value})
+
+
+def _sums(rows: DataFrame | RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     """(model, cluster, place, category, value): per cluster size, cost, sum of squares, the sums of the attributes that
     are not zero, and the most frequent category."""
+    if isinstance(rows, RDD):
+        return _packed_sums(rows, models)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = [np.zeros(m.centres.shape) for m in models]
@@ -285,6 +398,15 @@ def _fitted(rows: DataFrame, ks: Sequence[int], seed: int, rounds: int | None, g
     if gamma is None:
         gamma = 0.5 * float(spread[1].mean()) if len(spread[1]) else 0.0
     models = _start(rows, ks, gamma, seed, starts, spread)
+    packed = _packed(rows) if "vector" in rows.columns else rows
+    try:
+        return _rounds(packed, models, ks, rounds, starts)
+    finally:
+        if packed is not rows:
+            packed.unpersist()
+
+
+def _rounds(rows: DataFrame | RDD, models: dict[tuple[int, int], Prototypes], ks: Sequence[int], rounds: int | None, starts: int) -> dict[int, Prototypes]:
     active = set(models)
     for _ in itertools.count() if rounds is None else range(rounds):
         order = sorted(active)

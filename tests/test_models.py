@@ -84,6 +84,45 @@ def test_one_file_of_vectors_is_dealt_over_the_tasks(rows, monkeypatch):
     assert dealt == [4] and model.sizes.sum() == 160
 
 
+def _told(sums):
+    """Costs come by cluster or at the first one."""
+    sums = sums.assign(cluster=sums["cluster"].where(sums["place"] != clusters._COST, 0), category=sums["category"].fillna(""))
+    return sums.groupby(["model", "cluster", "place", "category"])["value"].sum().sort_index()
+
+
+@pytest.mark.parametrize("counted", [64, 2])
+def test_packed_rows_have_the_same_sums(spark, monkeypatch, counted):
+    """Also with more categories than are counted as attributes, equal distances and clusters without rows."""
+    monkeypatch.setattr(clusters, "_COUNTED", counted)
+    monkeypatch.setattr(clusters, "_CELLS", 100)
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.integers(-2, 3, size=3)], "abcde"[i % 5] if i % 7 else None) for i in range(300)]
+    rows = clusters.vector_rows(spark.createDataFrame(data, "id int, v array<double>, cat string").repartition(3), "id", "v", "cat")
+    far = np.array([[0.0, 0, 0], [1, 0, 0], [1, 0, 0], [99, 0, 0]])
+    models = [clusters.Prototypes(4, far, ["a", "b", "b", "None"], 0.7), clusters.Prototypes(2, far[:2], ["z", "e"], 0.0)]
+    want, got = clusters._sums(rows, models), clusters._sums(clusters._packed(rows), models)
+    assert len(got) == len(got.drop_duplicates(["model", "cluster", "place"]))
+    assert _told(want).drop(index=_none_left(want), errors="ignore").to_dict() == pytest.approx(_told(got).to_dict())
+
+
+def _none_left(sums):
+    """Sums of attributes that come out as 0 are not listed for packed rows."""
+    return [k for k, v in _told(sums).items() if k[2] >= 0 and v == 0]
+
+
+def test_a_round_over_vectors_is_one_job_at_most(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=4)], "ab"[i % 2]) for i in range(600)]
+    rows = clusters.vector_rows(spark.createDataFrame(data, "id int, v array<double>, cat string"), "id", "v", "cat")
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        model = clusters.fit(rows, [8], starts=1)[8]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.costs) > 20
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < len(model.costs) + 20
+
+
 def test_too_few_rows_for_the_clusters(rows):
     with pytest.raises(ValueError):
         clusters.fit(rows.limit(3), [5])
