@@ -8,7 +8,6 @@ rows are packed to matrices once, and a round over them is one job of a single s
 from __future__ import annotations
 
 import functools
-import itertools
 import pickle
 import sys
 from collections.abc import Iterator, Sequence
@@ -42,6 +41,7 @@ class Prototypes:
     costs: list[float] = field(default_factory=list)
     sizes: np.ndarray | None = None
     squares: np.ndarray | None = None
+    room: float = 0.0
 
     def distances(self, rows: Vectors) -> np.ndarray:
         """Rows x k: squared distance plus gamma for another category."""
@@ -207,12 +207,17 @@ def _start(rows: DataFrame, ks: Sequence[int], gamma: float, seed: int, starts:
 
 
 #: What a sum is of, where it is not of an attribute.
-_SIZE, _COST, _SQUARES, _CATEGORY = -1, -2, -3, -4
+_SIZE, _COST, _SQUARES, _CATEGORY, _ROOM = -1, -2, -3, -4, -5
 
 
 #: Distances that are worked on at a time (4 MB), categories of a block up to which they are counted as attributes, and
 #: tasks up to which the driver adds their sums.
 _CELLS, _COUNTED, _ADDED = 1 << 19, 64, 64
+#: Rows of one model that a task takes for its local rounds, in bytes; steps that must fit into the room to make them worth it.
+_LOCAL_BYTES, _STEPS = 1 << 26, 3
+#: Rows are counted by the first bits of their room: from 2^-40 on, 256 bins, four from a power of two to the next.
+_MANTISSA, _BINS = 50, 256
+_LOWEST = int(np.array([2.0**-40]).view(np.int64)[0] >> _MANTISSA)
 
 
 #: Rows of a batch for the rounds: category codes, their names, how many attributes there are, and a matrix of these, a
@@ -236,9 +241,13 @@ def _packed(rows: DataFrame) -> RDD:
     return found.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _block_sums(block: _Block, models: Sequence[Prototypes]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(per cluster of all models the sums of the attributes, the size and the sum of squares; the cost of each model; per
-    category its count in each cluster) of a block."""
+def _block_sums(block: _Block, models: Sequence[Prototypes], rooms: np.ndarray | None = None) -> tuple[tuple, np.ndarray | None]:
+    """((per cluster of all models the sums of the attributes, the size and the sum of squares; the cost of each model; per
+    category its count in each cluster; per model the rows by their room), rows left out) of a block.
+
+    A row's room is how far all centres of a model may move before it can have another label, as long as their categories
+    stay. The sums are without the rows that have less room than the model's entry in ``rooms``, which are left out for it.
+    """
     codes, names, width, wide = block
     dense, squares, few = wide[:, :width], wide[:, width + 1], wide.shape[1] > width + 2
     centres = np.concatenate([m.centres for m in models])
@@ -248,8 +257,9 @@ def _block_sums(block: _Block, models: Sequence[Prototypes]) -> tuple[np.ndarray
     ks = np.array([m.k for m in models])
     heads = np.cumsum(ks) - ks
     mismatch = gammas[:, None] * (places[:, None] != np.arange(len(names))[None, :]) if few else None
-    sums, costs = np.zeros((len(centres), wide.shape[1])), np.zeros(len(models))
+    sums, costs, bins = np.zeros((len(centres), wide.shape[1])), np.zeros(len(models)), np.zeros(len(models) * _BINS, np.int64)
     counts = None if few else np.zeros((len(centres), len(names)))
+    out = None if rooms is None else np.zeros((len(models), len(codes)), dtype=bool)
     step = max(1, _CELLS // len(centres))
     for first in range(0, len(codes), step):
         own = slice(first, first + step)
@@ -259,6 +269,7 @@ def _block_sums(block: _Block, models: Sequence[Prototypes]) -> tuple[np.ndarray
         distance += squares[own]
         distance += lengths[:, None]
         np.maximum(distance, 0, out=distance)
+        apart = None if rooms is None else np.sqrt(distance)
         distance += mismatch[:, codes[own]] if few else gammas[:, None] * (codes[own][None, :] != places[:, None])
         best = np.minimum.reduceat(distance, heads, axis=0)
         nearest = distance == np.repeat(best, ks, axis=0)
@@ -268,36 +279,53 @@ def _block_sums(block: _Block, models: Sequence[Prototypes]) -> tuple[np.ndarray
             for head, k in zip(heads, ks):
                 nearest[head + distance[head:head + k].argmin(axis=0), np.arange(nearest.shape[1])] = True
         costs += best.sum(axis=1)
+        if rooms is not None:
+            near = np.add.reduceat(apart * nearest, heads, axis=0)
+            slack = (distance - np.repeat(best, ks, axis=0)) / (2 * (apart + np.repeat(near, ks, axis=0)) + 1e-300)
+            np.minimum(slack, apart, out=slack)
+            slack[nearest] = np.inf
+            # less than that by what rounding may add to it
+            lost = 1e-5 * (np.sqrt(squares[own]) + np.sqrt(lengths.max()))
+            room = np.maximum(0.999 * np.minimum.reduceat(slack, heads, axis=0) - lost, 0)
+            at = np.clip((room.view(np.int64) >> _MANTISSA) - _LOWEST, 0, _BINS - 1)
+            bins += np.bincount((at + _BINS * np.arange(len(models))[:, None]).reshape(-1), minlength=len(bins))
+            out[:, own] = room < rooms[:, None]
+            nearest &= ~np.repeat(out[:, own], ks, axis=0)
         sums += nearest.astype(float) @ wide[own]
         if not few:
             cluster, row = np.nonzero(nearest)
             np.add.at(counts, (cluster, codes[own][row]), 1)
     if few:
         sums, counts = sums[:, :width + 2], sums[:, width + 2:]
-    return sums, costs, dict(zip(names, counts.T))
+    return (sums, costs, dict(zip(names, counts.T)), bins), out
 
 
 def _added(one: tuple, two: tuple) -> tuple:
     counts = dict(one[2])
     for name, count in two[2].items():
         counts[name] = counts[name] + count if name in counts else count
-    return one[0] + two[0], one[1] + two[1], counts
+    return one[0] + two[0], one[1] + two[1], counts, one[3] + two[3]
+
+
+def _lean(models: Sequence[Prototypes]) -> list[Prototypes]:
+    return [Prototypes(m.k, m.centres, m.categories, m.gamma) for m in models]
 
 
 def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
-    """The rows of ``_sums``, from packed rows; the cost of a model stands at its first cluster."""
-    lean = [Prototypes(m.k, m.centres, m.categories, m.gamma) for m in models]
+    """The rows of ``_sums``, from packed rows; the cost of a model stands at its first cluster, and beside it the room
+    that all but some of the rows have."""
+    lean = _lean(models)
 
     def partial(own: Iterator[_Block]) -> Iterator[tuple]:
         total = None
-        for x in own:
-            found = _block_sums(x, lean)
+        for block in own:
+            found = _block_sums(block, lean, np.zeros(len(lean)))[0]
             total = found if total is None else _added(total, found)
         if total is not None:
             yield total
 
     parts = blocks.mapPartitions(partial)
-    sums, costs, counts = parts.treeReduce(_added) if parts.getNumPartitions() > _ADDED else functools.reduce(_added, parts.collect())
+    sums, costs, counts, bins = parts.treeReduce(_added) if parts.getNumPartitions() > _ADDED else functools.reduce(_added, parts.collect())
     ks = np.array([m.k for m in models])
     model, cluster = np.repeat(np.arange(len(ks)), ks), np.concatenate([np.arange(k) for k in ks])
     width = sums.shape[1] - 2
@@ -307,9 +335,10 @@ def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     names = np.array(sorted(counts), dtype=object)
     table = np.stack([counts[n] for n in names], axis=1)
     most = np.flatnonzero(held)
+    rooms = _room_of(bins.reshape(len(ks), _BINS), _LOCAL_BYTES // (8 * (width + 2)))
     frames = [(row, place, sums[row, place]), (most, np.full(len(most), _SIZE), sums[most, width]), (most, np.full(len(most), _SQUARES), sums[most, width + 1])]
     heads = np.cumsum(ks) - ks
-    frames += [(heads, np.full(len(heads), _COST), costs), (most, np.full(len(most), _CATEGORY), table[most].max(axis=1))]
+    frames += [(heads, np.full(len(heads), _COST), costs), (heads, np.full(len(heads), _ROOM), rooms), (most, np.full(len(most), _CATEGORY), table[most].max(axis=1))]
     row, place, value = (np.concatenate(c) for c in zip(*frames))
     category = np.full(len(row), None, dtype=object)
     # of equal counts the first name
@@ -317,6 +346,94 @@ def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     return pd.DataFrame({"model": model[row], "cluster": cluster[row], "place": place, "category": category, "value": value})
 
 
+def _room_of(bins: np.ndarray, most: int) -> np.ndarray:
+    """Per model the largest bound of a bin that at most so many rows have less room than."""
+    held = bins.cumsum(axis=1)
+    below = (held <= most).sum(axis=1)
+    bounds = ((_LOWEST + below.astype(np.int64)) << _MANTISSA).view(np.float64)
+    return np.where(below == _BINS, np.inf, np.where(below == 0, 0.0, bounds))
+
+
+def _moved(model: Prototypes, sums: np.ndarray, cost: float, counts: dict[str, np.ndarray]) -> Prototypes:
+    """The model after a pass, from the totals of its clusters."""
+    sizes = sums[:, -2]
+    held = np.flatnonzero(sizes > 0)
+    centres, categories = model.centres.copy(), list(model.categories)
+    centres[held] = sums[held, :-2] / sizes[held, None]
+    names = sorted(counts)
+    table = np.stack([counts[n] for n in names], axis=1)
+    for j in held:
+        categories[j] = names[table[j].argmax()]
+    return Prototypes(model.k, centres, categories, model.gamma, cost, [*model.costs, cost], sizes, sums[:, -1])
+
+
+def _drift(before: Prototypes, after: Prototypes) -> float:
+    return float(np.sqrt(((after.centres - before.centres) ** 2).sum(axis=1)).max())
+
+
+def _ended(before: Prototypes, after: Prototypes) -> bool:
+    return np.allclose(after.centres, before.centres) and after.categories == before.categories or after.cost >= before.cost
+
+
+def _local_rounds(blocks: RDD, bases: Sequence[Prototypes], models: Sequence[Prototypes], left: Sequence[int | None]) -> list[tuple[Prototypes, bool]]:
+    """(model, whether it has ended) after the rounds in which only the rows with little room can change their label.
+
+    ``models`` are one pass after ``bases``. Every other row keeps its label while no centre is farther from its base than
+    the room, and the categories stay; so a round needs the sums of these rows, made in one pass, and the few rows
+    themselves, which are dealt to a task for each model. The rounds are the same as over all rows.
+    """
+    lean, rooms = _lean(bases), np.array([m.room for m in models])
+
+    def split(own: Iterator[_Block]) -> Iterator[tuple[int, tuple]]:
+        total = None
+        heads = np.cumsum([0, *(m.k for m in lean)])
+        for block in own:
+            found, out = _block_sums(block, lean, rooms)
+            total = found if total is None else _added(total, found)
+            codes, names, width, wide = block
+            for i, rows in enumerate(out):
+                if rows.any():
+                    yield i, (codes[rows], names, wide[rows, :width + 2])
+        if total is not None:
+            for i, (head, end) in enumerate(zip(heads, heads[1:])):
+                yield i, (total[0][head:end], {n: c[head:end] for n, c in total[2].items()})
+
+    def run(number: int, parts: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, Prototypes, bool]]:
+        base, model, room, most = lean[number], models[number], rooms[number], left[number]
+        kept, counts, held = 0.0, {}, []
+        for _, part in parts:
+            if len(part) == 3:
+                held.append(part)
+                continue
+            kept = kept + part[0]
+            for name, count in part[1].items():
+                counts[name] = counts[name] + count if name in counts else count
+        names = sorted(counts)
+        block = None
+        if held:
+            codes = np.concatenate([pd.Index(names, dtype=object).get_indexer(own)[c] for c, own, _ in held])
+            wide = np.concatenate([w for _, _, w in held])
+            if len(names) <= _COUNTED:
+                wide = np.concatenate([wide, codes[:, None] == np.arange(len(names))[None, :]], axis=1)
+            block = codes, names, base.centres.shape[1], wide
+            held.clear()
+        ended, done = False, 0
+        while not ended and done != most and (room == np.inf or _drift(base, model) < room and model.categories == base.categories):
+            sizes = kept[:, -2]
+            same = np.array([counts[c][j] if c in counts else 0.0 for j, c in enumerate(model.categories)])
+            cost = float((kept[:, -1] - 2 * (kept[:, :-2] * model.centres).sum(axis=1) + sizes * (model.centres**2).sum(axis=1) + model.gamma * (sizes - same)).sum())
+            sums, own = kept, counts
+            if block is not None:
+                found = _block_sums(block, [model])[0]
+                sums, cost, own = kept + found[0], cost + float(found[1][0]), {n: c + found[2][n] for n, c in counts.items()}
+            after = _moved(model, sums, cost, own)
+            ended, model, done = _ended(model, after), after, done + 1
+        yield number, model, ended
+
+    found = blocks.mapPartitions(split).partitionBy(len(lean), int).mapPartitionsWithIndex(run).collect()
+    return [(model, ended) for _, model, ended in sorted(found, key=lambda f: f[0])]
+
+
 def _sums(rows: DataFrame | RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     """(model, cluster, place, category, value): per cluster size, cost, sum of squares, the sums of the attributes that
     are not zero, and the most frequent category."""
@@ -372,7 +489,7 @@ def _updated(model: Prototypes, sums: pd.DataFrame) -> Prototypes:
     for r in sums[sums["place"] == _CATEGORY].itertuples():
         categories[r.cluster] = r.category
     cost = float(total(_COST).sum())
-    return Prototypes(model.k, centres, categories, model.gamma, cost, [*model.costs, cost], sizes, squares)
+    return Prototypes(model.k, centres, categories, model.gamma, cost, [*model.costs, cost], sizes, squares, float(total(_ROOM).sum()))
 
 
 def fit(
@@ -382,7 +499,8 @@ def fit(
 
     The rounds that takes grow with the rows. The cost falls in every round but the last, so that there is a last one;
     with ``rounds`` it is an error if that many passes are not enough. Each k is started ``starts`` times, all in the same
-    passes; the one with the least cost is returned. The centres are dense, k x terms numbers per start in the driver and
+    passes; the one with the least cost is returned. Between two passes over dense rows, rounds go on over the rows that can
+    change their cluster at all, see ``_local_rounds``. The centres are dense, k x terms numbers per start in the driver and
     the sums as many in each task; rows and the sums that leave a task hold entries only. The rows are dealt over all
     tasks first: a small table of vectors is one file and would keep one task busy.
     """
@@ -408,19 +526,28 @@ def _fitted(rows: DataFrame, ks: Sequence[int], seed: int, rounds: int | None, g
 
 def _rounds(rows: DataFrame | RDD, models: dict[tuple[int, int], Prototypes], ks: Sequence[int], rounds: int | None, starts: int) -> dict[int, Prototypes]:
     active = set(models)
-    for _ in itertools.count() if rounds is None else range(rounds):
+    while active:
+        if rounds is not None and any(len(models[m].costs) >= rounds for m in active):
+            raise RuntimeError(f"the centres for k = {sorted({k for k, _ in active})} still move after {rounds} rounds")
         order = sorted(active)
         sums = dict(iter(_sums(rows, [models[m] for m in order]).groupby("model")))
+        near = {}
         for number, m in enumerate(order):
-            after = _updated(models[m], sums[number])
+            before, after = models[m], _updated(models[m], sums[number])
             if not np.isfinite(after.cost):
                 raise ValueError(f"the cost for k = {m[0]} is {after.cost}: the vectors hold numbers that have no distances")
-            if np.allclose(after.centres, models[m].centres) and after.categories == models[m].categories or after.cost >= models[m].cost:
+            if _ended(before, after):
                 active.discard(m)
+            elif after.room and _STEPS * _drift(before, after) < after.room:
+                near[m] = before
             models[m] = after
-        if not active:
-            return {k: min((models[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
-    raise RuntimeError(f"the centres for k = {sorted({k for k, _ in active})} still move after {rounds} rounds")
+        if near:
+            left = [None if rounds is None else rounds - len(models[m].costs) for m in near]
+            for m, (after, ended) in zip(near, _local_rounds(rows, list(near.values()), [models[m] for m in near], left)):
+                models[m] = after
+                if ended:
+                    active.discard(m)
+    return {k: min((models[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
 
 
 def assign(rows: DataFrame, model: Prototypes) -> DataFrame:

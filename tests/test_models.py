@@ -85,7 +85,8 @@ def test_one_file_of_vectors_is_dealt_over_the_tasks(rows, monkeypatch):
 
 
 def _told(sums):
-    """Costs come by cluster or at the first one."""
+    """Costs come by cluster or at the first one; only packed rows have a room."""
+    sums = sums[sums["place"] != clusters._ROOM]
     sums = sums.assign(cluster=sums["cluster"].where(sums["place"] != clusters._COST, 0), category=sums["category"].fillna(""))
     return sums.groupby(["model", "cluster", "place", "category"])["value"].sum().sort_index()
 
@@ -123,6 +124,44 @@ def test_a_round_over_vectors_is_one_job_at_most(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < len(model.costs) + 20
 
 
+@pytest.mark.parametrize("counted", [64, 2])
+def test_rounds_over_the_rows_with_little_room_are_those_over_all(spark, monkeypatch, counted):
+    """Every cost is the same, also where only some rows are dealt to the models' tasks, or none."""
+    monkeypatch.setattr(clusters, "_COUNTED", counted)
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.normal(size=3)] if i % 9 else [0.5, 0.5, 0.5], "abcd"[i * i % 4]) for i in range(3000)]
+    rows = clusters.vector_rows(spark.createDataFrame(data, "id int, v array<double>, cat string").repartition(3), "id", "v", "cat")
+    found, passes, real = {}, {}, clusters._sums
+    for size in (0, 40 * 1000, 1 << 25):
+        seen = []
+        monkeypatch.setattr(clusters, "_sums", lambda *a: seen.append(a) or real(*a))
+        monkeypatch.setattr(clusters, "_LOCAL_BYTES", size)
+        found[size], passes[size] = clusters.fit(rows, [5, 9], starts=2), len(seen)
+    assert max(len(m.costs) for m in found[0].values()) > 30
+    assert passes[0] > 30 and passes[0] > passes[40 * 1000] + 10 and passes[1 << 25] == 1
+    for size in (40 * 1000, 1 << 25):
+        for k in (5, 9):
+            one, two = found[0][k], found[size][k]
+            assert one.costs == pytest.approx(two.costs, rel=1e-12) and one.categories == two.categories
+            assert np.allclose(one.centres, two.centres, atol=1e-12) and (one.sizes == two.sizes).all()
+
+
+def test_room_is_how_far_the_centres_may_move():
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"vector": list(rng.normal(size=(400, 3))), "category": ["ab"[i % 2] for i in range(400)]})
+    x = clusters.Vectors.of(frame)
+    model = clusters.Prototypes(4, rng.normal(size=(4, 3)), ["a", "b", "b", "a"], 0.8)
+    block = x.codes, list(x.names), 3, np.concatenate([x.dense, np.ones((400, 1)), x.squares[:, None]], axis=1)
+    label = model.distances(x).argmin(axis=1)
+    for room in (0.0, 0.05, 0.2, 1.0):
+        out = clusters._block_sums(block, [model], np.array([room]))[1][0]
+        for _ in range(200):
+            step = rng.normal(size=(4, 3))
+            moved = dataclasses.replace(model, centres=model.centres + room * step / np.sqrt((step**2).sum(axis=1))[:, None])
+            assert ((moved.distances(x).argmin(axis=1) == label) | out).all()
+        assert room in (0.0, 1.0) or 0 < out.sum() < 400
+
+
 def test_too_few_rows_for_the_clusters(rows):
     with pytest.raises(ValueError):
         clusters.fit(rows.limit(3), [5])
