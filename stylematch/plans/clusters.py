@@ -42,6 +42,7 @@ class Prototypes:
     sizes: np.ndarray | None = None
     squares: np.ndarray | None = None
     room: float = 0.0
+    wait: int = 0
 
     def distances(self, rows: Vectors) -> np.ndarray:
         """Rows x k: squared distance plus gamma for another category."""
@@ -215,6 +216,8 @@ _SIZE, _COST, _SQUARES, _CATEGORY, _ROOM = -1, -2, -3, -4, -5
 _CELLS, _COUNTED, _ADDED = 1 << 19, 64, 64
 #: Rows of one model that a task takes for its local rounds, in bytes; steps that must fit into the room to make them worth it.
 _LOCAL_BYTES, _STEPS = 1 << 26, 3
+#: Passes after which the room is looked for again at the latest.
+_WAIT = 8
 #: Rows are counted by the first bits of their room: from 2^-40 on, 256 bins, four from a power of two to the next.
 _MANTISSA, _BINS = 50, 256
 _LOWEST = int(np.array([2.0**-40]).view(np.int64)[0] >> _MANTISSA)
@@ -313,13 +316,13 @@ def _lean(models: Sequence[Prototypes]) -> list[Prototypes]:
 
 def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     """The rows of ``_sums``, from packed rows; the cost of a model stands at its first cluster, and beside it the room
-    that all but some of the rows have."""
-    lean = _lean(models)
+    that all but some of the rows have, or 0 in the passes that all models wait."""
+    lean, looked = _lean(models), not all(m.wait for m in models)
 
     def partial(own: Iterator[_Block]) -> Iterator[tuple]:
         total = None
         for block in own:
-            found = _block_sums(block, lean, np.zeros(len(lean)))[0]
+            found = _block_sums(block, lean, np.zeros(len(lean)) if looked else None)[0]
             total = found if total is None else _added(total, found)
         if total is not None:
             yield total
@@ -335,7 +338,7 @@ def _packed_sums(blocks: RDD, models: Sequence[Prototypes]) -> pd.DataFrame:
     names = np.array(sorted(counts), dtype=object)
     table = np.stack([counts[n] for n in names], axis=1)
     most = np.flatnonzero(held)
-    rooms = _room_of(bins.reshape(len(ks), _BINS), _LOCAL_BYTES // (8 * (width + 2)))
+    rooms = _room_of(bins.reshape(len(ks), _BINS), _LOCAL_BYTES // (8 * (width + 2))) if looked else np.zeros(len(ks))
     frames = [(row, place, sums[row, place]), (most, np.full(len(most), _SIZE), sums[most, width]), (most, np.full(len(most), _SQUARES), sums[most, width + 1])]
     heads = np.cumsum(ks) - ks
     frames += [(heads, np.full(len(heads), _COST), costs), (heads, np.full(len(heads), _ROOM), rooms), (most, np.full(len(most), _CATEGORY), table[most].max(axis=1))]
@@ -531,15 +534,19 @@ def _rounds(rows: DataFrame | RDD, models: dict[tuple[int, int], Prototypes], ks
             raise RuntimeError(f"the centres for k = {sorted({k for k, _ in active})} still move after {rounds} rounds")
         order = sorted(active)
         sums = dict(iter(_sums(rows, [models[m] for m in order]).groupby("model")))
-        near = {}
+        near, wait = {}, _WAIT
         for number, m in enumerate(order):
             before, after = models[m], _updated(models[m], sums[number])
             if not np.isfinite(after.cost):
                 raise ValueError(f"the cost for k = {m[0]} is {after.cost}: the vectors hold numbers that have no distances")
             if _ended(before, after):
                 active.discard(m)
-            elif after.room and _STEPS * _drift(before, after) < after.room:
-                near[m] = before
+            else:
+                steps = _STEPS * _drift(before, after)
+                if steps < after.room:
+                    near[m] = before
+                # the room is looked for again when it may be enough
+                wait = before.wait - 1 if before.wait else min(wait, int(steps / after.room) if after.room else _WAIT)
             models[m] = after
         if near:
             left = [None if rounds is None else rounds - len(models[m].costs) for m in near]
@@ -547,6 +554,8 @@ def _rounds(rows: DataFrame | RDD, models: dict[tuple[int, int], Prototypes], ks
                 models[m] = after
                 if ended:
                     active.discard(m)
+        for m in active:
+            models[m].wait = wait
     return {k: min((models[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
 
 
