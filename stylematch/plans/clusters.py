@@ -546,7 +546,7 @@ def _rounds(rows: DataFrame | RDD, models: dict[tuple[int, int], Prototypes], ks
                 if steps < after.room:
                     near[m] = before
                 # the room is looked for again when it may be enough
-                wait = before.wait - 1 if before.wait else min(wait, int(steps / after.room) if after.room else _WAIT)
+                wait = before.wait - 1 if before.wait else min(wait, int(min(steps / after.room, _WAIT)) if after.room else _WAIT)
             models[m] = after
         if near:
             left = [None if rounds is None else rounds - len(models[m].costs) for m in near]
